@@ -111,7 +111,7 @@ def html_to_text(c: str | Column) -> Column:
     for entity, char in HTML_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, _WS_CLASS, " ")
-    return F.trim(text)
+    return strip_ws(text)
 
 
 def html_to_text_sql(column_sql: str) -> str:
@@ -123,13 +123,22 @@ def html_to_text_sql(column_sql: str) -> str:
         esc = char.replace("'", "''")
         expr = f"replace({expr}, '{entity}', '{esc}')"
     expr = f"regexp_replace({expr}, '{_WS_CLASS}', ' ', 'g')"
-    return f"trim({expr})"
+    return strip_ws_sql(expr)
 
 
 def join_text(*cols: str | Column, sep: str = " [SEP] ") -> Column:
     """``subject [SEP] description [SEP] body`` with nulls as '', trimmed."""
     parts = [F.coalesce(_col(c).cast("string"), F.lit("")) for c in cols]
-    return F.trim(F.concat_ws(sep, *parts))
+    return strip_ws(F.concat_ws(sep, *parts))
+
+
+def strip_ws(c: Column) -> Column:
+    """Python's ``str.strip()``: leading and trailing whitespace of any kind removed."""
+    return F.regexp_replace(c, f"^{_WS_CLASS}|{_WS_CLASS}$", "")
+
+
+def strip_ws_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{_WS_CLASS}|{_WS_CLASS}$', '', 'g')"
 
 
 def sigmoid(x: Column) -> Column:

@@ -239,3 +239,101 @@ def oracle_sql() -> dict[str, str]:
         f"max(campaign_id) AS hi, count(DISTINCT campaign_id) AS n FROM fact) x")
     q["top_findings"] = _top_findings_sql()
     return q
+
+
+# ---- attribution, quality, text -----------------------------------------------------------
+from lureline.functions.expressions import _WS_CLASS, html_to_text_sql, strip_ws_sql  # noqa: E402
+from lureline.operators.attribution import attribute_hits_sql  # noqa: E402
+from lureline.operators.quality import (  # noqa: E402
+    MSG_BODY, MSG_MISSING, MSG_RECOMMENDED, MSG_SUBJECT,
+)
+from lureline.constants import RECOMMENDED_PLACEHOLDERS, REQUIRED_PLACEHOLDERS  # noqa: E402
+
+PARSED_HITS_SQL = """SELECT hit_id, regexp_extract(url, '[?&]uid=([^&#]*)', 1) AS uid,
+    CASE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)
+      WHEN '/open.gif' THEN 'opened' WHEN '/r' THEN 'clicked' WHEN '/report' THEN 'reported' END AS event_type,
+    ts FROM hits"""
+
+
+def _blank_sql(c: str) -> str:
+    return f"({c} IS NULL OR length(regexp_replace({c}, '{_WS_CLASS}', '', 'g')) = 0)"
+
+
+def _validation_sql() -> str:
+    body = "coalesce(html_body, '')"
+    errs = [f"CASE WHEN {_blank_sql('html_body')} THEN '{MSG_BODY}' END",
+            f"CASE WHEN {_blank_sql('subject')} THEN '{MSG_SUBJECT}' END"]
+    errs += [f"CASE WHEN NOT contains({body}, '{p}') THEN '{MSG_MISSING}{p}' END" for p in REQUIRED_PLACEHOLDERS]
+    warns = [f"CASE WHEN NOT contains({body}, '{p}') THEN '{MSG_RECOMMENDED}{p}' END" for p in RECOMMENDED_PLACEHOLDERS]
+    n = " + ".join(f"CAST(({e}) IS NOT NULL AS INTEGER)" for e in errs)
+    return (f"SELECT id AS template_id, ({n}) = 0 AS valid, CAST({n} AS INTEGER) AS n_errors, "
+            f"concat_ws('; ', {', '.join(errs)}) AS errors, concat_ws('; ', {', '.join(warns)}) AS warnings "
+            f"FROM (SELECT page_id AS id, html AS html_body, "
+            f"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS subject FROM pages) p")
+
+
+def _extra_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["parse_hits"] = f"{with_views('hits')} {PARSED_HITS_SQL}"
+    q["unknown_uid_hits"] = (f"{with_views('hits', 'targets')}, parsed AS ({PARSED_HITS_SQL}) "
+                             f"SELECT * FROM parsed p WHERE NOT EXISTS "
+                             f"(SELECT 1 FROM targets t WHERE t.uid IS NOT NULL AND t.uid = p.uid)")
+    q["attribute_hits"] = (
+        f"{with_views('hits', 'targets', 'event_log')}, parsed AS ({PARSED_HITS_SQL}), "
+        f"resolved AS (SELECT p.uid, p.hit_id, p.event_type, p.ts, t.id AS target_id FROM parsed p "
+        f"JOIN targets t ON t.uid = p.uid WHERE p.event_type IS NOT NULL) "
+        f"{attribute_hits_sql('resolved', 'event_log')}")
+    q["template_validation"] = _validation_sql()
+    q["unique_violations"] = f"""{with_views('users', 'targets')}
+SELECT 'users' AS table_name, 'username' AS column_name, CAST(username AS VARCHAR) AS value,
+       CAST(count(*) AS BIGINT) AS occurrences FROM users WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1
+UNION ALL
+SELECT 'users', 'email', CAST(email AS VARCHAR), CAST(count(*) AS BIGINT) FROM users WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1
+UNION ALL
+SELECT 'targets', 'uid', CAST(uid AS VARCHAR), CAST(count(*) AS BIGINT) FROM targets WHERE uid IS NOT NULL GROUP BY uid HAVING count(*) > 1"""
+    checks = [("targets", ["segment_id", "recipient", "uid"]),
+              ("campaigns", ["channel", "status", "template_id", "segment_id", "launched_at"]),
+              ("event_log", ["campaign_id", "target_id", "template_id", "event_type", "occurred_at"])]
+    parts = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM {t}"
+             for t, cols in checks for c in cols]
+    q["null_violations"] = f"{with_views('targets', 'campaigns', 'event_log')} " + " UNION ALL ".join(parts)
+    fks = [("campaigns.template_id", "campaigns", "id", "template_id", "templates", "id"),
+           ("campaigns.segment_id", "campaigns", "id", "segment_id", "segments", "id"),
+           ("targets.segment_id", "targets", "id", "segment_id", "segments", "id"),
+           ("event_log.campaign_id", "event_log", "id", "campaign_id", "campaigns", "id"),
+           ("event_log.target_id", "event_log", "id", "target_id", "targets", "id"),
+           ("event_log.template_id", "event_log", "id", "template_id", "templates", "id")]
+    parts = [f"SELECT '{r}' AS relation, CAST(c.{i} AS BIGINT) AS child_id, CAST(c.{fk} AS BIGINT) AS missing_key "
+             f"FROM {ch} c WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pa} p WHERE p.{pk} = c.{fk})"
+             for r, ch, i, fk, pa, pk in fks]
+    q["fk_violations"] = (f"{with_views('campaigns', 'templates', 'segments', 'targets', 'event_log')} "
+                          + " UNION ALL ".join(parts))
+    q["cascade_delete"] = f"""{with_views('segments', 'targets', 'campaigns', 'event_log')},
+gone AS (SELECT id FROM segments WHERE gender = 'N/A')
+SELECT id, campaign_id, target_id, event_type FROM event_log
+WHERE campaign_id IN (SELECT id FROM campaigns WHERE segment_id NOT IN (SELECT id FROM gone))
+  AND target_id IN (SELECT id FROM targets WHERE segment_id NOT IN (SELECT id FROM gone))"""
+    q["sanitize_name"] = ("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(CAST(p_name AS VARCHAR))), "
+                          "'[^a-zA-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS safe_name FROM part")
+    q["html_to_text"] = f"SELECT page_id, {html_to_text_sql('html')} AS text FROM pages"
+    html = html_to_text_sql("t.html_body")
+    q["text_fact"] = f"""{with_views('campaigns', 'templates', 'segments', 'targets', 'pair_counts')}
+SELECT c.id AS campaign_id, s.id AS segment_id, g.id AS target_id, t.id AS template_id,
+  CASE WHEN t.id IS NULL THEN '' ELSE t.subject END AS template_subject,
+  CASE WHEN t.id IS NULL THEN '' ELSE t.description END AS template_description,
+  CASE WHEN t.id IS NULL THEN '' ELSE {html} END AS template_html_text,
+  {strip_ws_sql("concat_ws(' [SEP] ', coalesce(t.subject, ''), coalesce(t.description, ''), CASE WHEN t.id IS NULL THEN '' ELSE " + html + " END)")} AS text_input,
+  CAST(coalesce(k.clicked, 0) > 0 AS INTEGER) AS clicked_flag
+FROM campaigns c LEFT JOIN templates t ON c.template_id = t.id LEFT JOIN segments s ON c.segment_id = s.id
+JOIN targets g ON g.segment_id = c.segment_id
+LEFT JOIN pair_counts k ON k.campaign_id = c.id AND k.target_id = g.id"""
+    return q
+
+
+_BASE_SQL = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _BASE_SQL()
+    q.update(_extra_sql())
+    return q

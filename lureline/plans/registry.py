@@ -102,3 +102,101 @@ def queries() -> dict[str, Query]:
         "campaign_context": q_campaign_context,
         "top_findings": q_top_findings,
     }
+
+
+# ---- attribution, quality, text -----------------------------------------------------------
+from lureline.functions.expressions import html_to_text, sanitize_name  # noqa: E402
+from lureline.operators import attribution, quality, text  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def q_parse_hits(spark, sf):
+    return attribution.parse_hits(fx.hits(spark, sf))
+
+
+def q_unknown_uid_hits(spark, sf):
+    return attribution.unknown_uid_hits(attribution.parse_hits(fx.hits(spark, sf)), fx.targets(spark, sf))
+
+
+def q_attribute_hits(spark, sf):
+    resolved = attribution.resolve_uids(attribution.parse_hits(fx.hits(spark, sf)), fx.targets(spark, sf))
+    return attribution.attribute_hits(resolved, fx.event_log(spark, sf))
+
+
+def page_templates(spark, sf):
+    """Raw pages seen as candidate message templates: body = html, subject = <title>."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    return pages.select(F.col("page_id").alias("id"), F.col("html").alias("html_body"),
+                        F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("subject"))
+
+
+def q_template_validation(spark, sf):
+    return quality.template_validation(page_templates(spark, sf))
+
+
+def q_unique_violations(spark, sf):
+    u = fx.users(spark, sf)
+    return quality.unique_violations([("users", u, "username"), ("users", u, "email"),
+                                      ("targets", fx.targets(spark, sf), "uid")])
+
+
+def q_null_violations(spark, sf):
+    return quality.null_violations([
+        ("targets", fx.targets(spark, sf), ["segment_id", "recipient", "uid"]),
+        ("campaigns", fx.campaigns(spark, sf), ["channel", "status", "template_id", "segment_id", "launched_at"]),
+        ("event_log", fx.event_log(spark, sf), ["campaign_id", "target_id", "template_id", "event_type", "occurred_at"]),
+    ])
+
+
+def q_fk_violations(spark, sf):
+    t = fx.load(spark, sf)
+    return quality.fk_violations([
+        ("campaigns.template_id", t.campaigns, "id", "template_id", t.templates, "id"),
+        ("campaigns.segment_id", t.campaigns, "id", "segment_id", t.segments, "id"),
+        ("targets.segment_id", t.targets, "id", "segment_id", t.segments, "id"),
+        ("event_log.campaign_id", t.event_log, "id", "campaign_id", t.campaigns, "id"),
+        ("event_log.target_id", t.event_log, "id", "target_id", t.targets, "id"),
+        ("event_log.template_id", t.event_log, "id", "template_id", t.templates, "id"),
+    ])
+
+
+def q_cascade_delete(spark, sf):
+    t = fx.load(spark, sf)
+    erase = t.segments.where(F.col("gender") == "N/A")
+    left = quality.cascade_delete(t.segments, t.targets, t.campaigns, t.event_log, erase)
+    return left["event_log"].select("id", "campaign_id", "target_id", "event_type")
+
+
+def q_sanitize_name(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
+    return part.select("p_partkey", sanitize_name("p_name").alias("safe_name"))
+
+
+def q_html_to_text(spark, sf):
+    return text.page_text(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"))
+
+
+def q_text_fact(spark, sf):
+    t = fx.load(spark, sf)
+    return text.text_fact(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+
+
+_BASE = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    q = _BASE()
+    q.update({
+        "parse_hits": q_parse_hits,
+        "unknown_uid_hits": q_unknown_uid_hits,
+        "attribute_hits": q_attribute_hits,
+        "template_validation": q_template_validation,
+        "unique_violations": q_unique_violations,
+        "null_violations": q_null_violations,
+        "fk_violations": q_fk_violations,
+        "cascade_delete": q_cascade_delete,
+        "sanitize_name": q_sanitize_name,
+        "html_to_text": q_html_to_text,
+        "text_fact": q_text_fact,
+    })
+    return q
