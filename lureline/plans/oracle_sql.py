@@ -337,3 +337,200 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _BASE_SQL()
     q.update(_extra_sql())
     return q
+
+
+# ---- synthetic cohorts, contrasts, design ---------------------------------------------------
+from lureline import constants as K  # noqa: E402
+from lureline.functions.expressions import keyed_uniform_sql  # noqa: E402
+
+
+def _d(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _lookup_sql(col: str, table: dict) -> str:
+    whens = " ".join(f"WHEN {col} = '{k}' THEN {_d(v)}" for k, v in table.items())
+    return f"(CASE {whens} ELSE {_d(0.0)} END)"
+
+
+def _sig(c: str) -> str:
+    return f"CAST(coalesce({c}, 0) AS DOUBLE)"
+
+
+def _open_score_sql() -> str:
+    s = (f"(({_d(K.OPEN_INTERCEPT)} + {_lookup_sql('age_bracket', K.AGE_EFFECT)}) + "
+         f"{_lookup_sql('education', K.EDUCATION_EFFECT)} * {_d(K.OPEN_EDUCATION_SCALE)})")
+    s = f"({s} + {_lookup_sql('gender', K.GENDER_EFFECT)})"
+    for c, w in K.OPEN_SIGNAL_WEIGHTS.items():
+        s = f"({s} + {_d(w)} * {_sig(c)})"
+    return s
+
+
+def _click_score_sql() -> str:
+    s = (f"(({_d(K.CLICK_INTERCEPT)} + {_lookup_sql('age_bracket', K.AGE_EFFECT)} * {_d(K.CLICK_AGE_SCALE)}) + "
+         f"{_lookup_sql('education', K.EDUCATION_EFFECT)})")
+    s = f"({s} + {_lookup_sql('gender', K.GENDER_EFFECT)})"
+    for c, w in K.CLICK_SIGNAL_WEIGHTS.items():
+        s = f"({s} + {_d(w)} * {_sig(c)})"
+    bonus = (f"CASE WHEN signal_urgency = 1 AND signal_authority = 1 "
+             f"THEN {_d(K.CLICK_URGENCY_AUTHORITY_BONUS)} ELSE {_d(0.0)} END")
+    return f"({s} + {bonus})"
+
+
+def _prob_sql(score: str, lo: float, hi: float) -> str:
+    sig = f"({_d(1.0)} / ({_d(1.0)} + exp(-({score}))))"
+    return f"round_even(least(greatest({sig}, {_d(lo)}), {_d(hi)}), 10)"
+
+
+PROBS_SQL = (f"{_prob_sql(_open_score_sql(), *K.OPEN_CLAMP)} AS open_probability, "
+             f"{_prob_sql(_click_score_sql(), *K.CLICK_CLAMP)} AS click_probability")
+
+
+def _scenario_p_sql() -> tuple[str, str]:
+    e = "coalesce(segment_id = 1, false)"
+    p = "coalesce(signal_personalization = 1, false)"
+    po = (f"CASE scenario WHEN 'control' THEN {_d(K.CONTROL_P[0])} "
+          f"WHEN 'personalization' THEN CASE WHEN {p} THEN {_d(K.PERSONALIZATION_P_OPEN['personalized'])} "
+          f"ELSE {_d(K.PERSONALIZATION_P_OPEN['other'])} END "
+          f"WHEN 'segment' THEN {_d(K.SEGMENT_P_OPEN)} "
+          f"WHEN 'interaction' THEN CASE WHEN {e} AND {p} THEN {_d(K.INTERACTION_P_OPEN['experimental_personalized'])} "
+          f"WHEN {p} THEN {_d(K.INTERACTION_P_OPEN['personalized'])} WHEN {e} THEN {_d(K.INTERACTION_P_OPEN['experimental'])} "
+          f"ELSE {_d(K.INTERACTION_P_OPEN['other'])} END END")
+    pc = (f"CASE scenario WHEN 'control' THEN {_d(K.CONTROL_P[1])} "
+          f"WHEN 'personalization' THEN {_d(K.PERSONALIZATION_P_CLICK)} "
+          f"WHEN 'segment' THEN CASE WHEN {e} THEN {_d(K.SEGMENT_P_CLICK['experimental'])} "
+          f"ELSE {_d(K.SEGMENT_P_CLICK['other'])} END "
+          f"WHEN 'interaction' THEN {_d(K.INTERACTION_P_CLICK)} END")
+    return po, pc
+
+
+def _cohort_sql(seed: int = 42) -> str:
+    po, pc = _scenario_p_sql()
+    scen = ", ".join(f"('{s}')" for s in K.SCENARIOS)
+    uo = keyed_uniform_sql(seed, "scenario", "campaign_id", "target_id", "'open'")
+    uc = keyed_uniform_sql(seed, "scenario", "campaign_id", "target_id", "'click'")
+    return f"""cohort AS (
+  SELECT *, CAST(u_open < p_open AS INTEGER) AS opened_flag,
+         CAST(CASE WHEN u_open < p_open THEN u_click < p_click ELSE false END AS INTEGER) AS clicked_flag
+  FROM (SELECT f.* EXCLUDE (delivered, opened, clicked, reported, opened_flag, clicked_flag, reported_flag), sc.scenario, {po} AS p_open, {pc} AS p_click, {uo} AS u_open, {uc} AS u_click,
+               CAST(coalesce(f.segment_id = 1, false) AS INTEGER) AS experimental_target_segment
+        FROM fact f, (VALUES {scen}) sc(scenario)) x)"""
+
+
+def _validation_rows_sql() -> str:
+    def rate(cond: str, flag: str) -> str:
+        return (f"CASE WHEN count_if({cond}) = 0 THEN {_d(0.0)} ELSE "
+                f"CAST(coalesce(sum(CASE WHEN {cond} THEN {flag} END), 0) AS DOUBLE) / "
+                f"CAST(count_if({cond}) AS DOUBLE) * 100.0 END")
+    pers, nop = "signal_personalization = 1", "signal_personalization = 0"
+    ex, ot = "experimental_target_segment = 1", "experimental_target_segment = 0"
+    agg = (f"agg AS (SELECT scenario, {rate(pers, 'opened_flag')} AS ow, {rate(nop, 'opened_flag')} AS onw, "
+           f"{rate(ex, 'clicked_flag')} AS ce, {rate(ot, 'clicked_flag')} AS co, "
+           f"{rate(f'{ex} AND {pers}', 'opened_flag')} AS tp, {rate(f'{ex} AND {nop}', 'opened_flag')} AS tn, "
+           f"{rate(f'{ot} AND {pers}', 'opened_flag')} AS op, {rate(f'{ot} AND {nop}', 'opened_flag')} AS onn "
+           f"FROM cohort GROUP BY scenario)")
+    a = "CASE WHEN scenario IN ('control', 'personalization') THEN ow WHEN scenario = 'segment' THEN ce ELSE tp - tn END"
+    b = "CASE WHEN scenario IN ('control', 'personalization') THEN onw WHEN scenario = 'segment' THEN co ELSE op - onn END"
+
+    def label(i: int) -> str:
+        return "CASE scenario " + " ".join(f"WHEN '{s}' THEN '{row[i]}'" for s, row in K.SCENARIO_ROWS.items()) + " END"
+    return (f"{agg} SELECT {label(0)} AS scenario, {label(1)} AS comparison, {label(2)} AS group_a, "
+            f"round_even({a}, 2) AS group_a_rate_pct, {label(3)} AS group_b, round_even({b}, 2) AS group_b_rate_pct, "
+            f"round_even(({a}) - ({b}), 2) AS difference_pp, {label(4)} AS expected_pattern FROM agg")
+
+
+EMAIL_TPL = "SELECT * FROM tpl_dim WHERE template_id IN (SELECT id FROM templates WHERE channel = 'email')"
+
+
+def _population_sql(cpt: int = 10, seed: int = 42) -> str:
+    useg = keyed_uniform_sql(seed, "'segment'", "t.template_id", "r.range")
+    uo = keyed_uniform_sql(seed, "campaign_id", "target_id", "'open'")
+    uc = keyed_uniform_sql(seed, "campaign_id", "target_id", "'click'")
+    sig = ", ".join(K.SIGNAL_COLUMNS)
+    return f"""seg_rank AS (SELECT row_number() OVER (ORDER BY id) AS rnk, id AS segment_id, age_bracket, gender, education FROM segments),
+camp AS (SELECT t.*, r.range AS repetition, CAST((t.template_id - 1) * {cpt} + r.range AS BIGINT) AS campaign_id,
+                CAST(floor({useg} * (SELECT count(*) FROM segments)) + 1 AS INTEGER) AS rnk
+         FROM ({EMAIL_TPL}) t, range(1, {cpt + 1}) r),
+pop_rows AS (SELECT g.id AS target_id, g.recipient AS target_recipient, g.uid AS target_uid, c.*, s.segment_id, s.age_bracket, s.gender, s.education
+         FROM targets g JOIN (camp c JOIN seg_rank s ON c.rnk = s.rnk) ON g.segment_id = s.segment_id),
+pop_p AS (SELECT *, {PROBS_SQL} FROM pop_rows),
+pop_d AS (SELECT *, CAST({uo} < open_probability AS INTEGER) AS o,
+          CAST(CASE WHEN {uo} < open_probability THEN {uc} < click_probability ELSE false END AS INTEGER) AS c FROM pop_p),
+population AS (SELECT 'synthetic' AS source, campaign_id, 'launched' AS campaign_status, 'email' AS campaign_channel,
+    CAST(NULL AS TIMESTAMP) AS campaign_launched_at, template_id, template_name, template_subject, template_description,
+    {sig}, segment_id, age_bracket, gender, education, target_id, target_recipient, target_uid,
+    CAST(1 AS BIGINT) AS delivered, CAST(o AS BIGINT) AS opened, CAST(c AS BIGINT) AS clicked, CAST(0 AS BIGINT) AS reported,
+    o AS opened_flag, c AS clicked_flag, 0 AS reported_flag FROM pop_d)"""
+
+
+def _plan_sql(cpt: int = 2, seed: int = 42) -> str:
+    return f"""cnt AS (SELECT segment_id AS id, CAST(count(*) AS BIGINT) AS segment_target_count FROM targets GROUP BY segment_id),
+eligible AS (SELECT s.*, c.segment_target_count FROM segments s JOIN cnt c ON s.id = c.id),
+slots AS (SELECT t.*, CAST(r.range AS INTEGER) AS repetition,
+                 row_number() OVER (ORDER BY t.template_id, r.range) - 1 AS slot
+          FROM ({EMAIL_TPL}) t, range(1, {cpt + 1}) r),
+slots2 AS (SELECT *, CAST(floor(slot / (SELECT count(*) FROM eligible)) AS INTEGER) AS blk,
+                  CAST(slot % (SELECT count(*) FROM eligible) AS INTEGER) AS pos FROM slots),
+blocks AS (SELECT DISTINCT blk FROM slots2),
+perm AS (SELECT e.*, b.blk, CAST(row_number() OVER (PARTITION BY b.blk ORDER BY
+             md5('{seed}|' || CAST(b.blk AS VARCHAR) || '|' || CAST(e.id AS VARCHAR)), e.id) - 1 AS INTEGER) AS pos
+         FROM eligible e, blocks b),
+plan0 AS (SELECT CAST(s.slot + 1 AS BIGINT) AS assignment_id, s.template_id, s.template_name, s.template_subject,
+            s.signal_urgency, s.signal_authority, s.signal_reward, s.signal_personalization,
+            p.id AS segment_id, p.age_bracket, p.gender, p.education, p.segment_target_count,
+            'email' AS campaign_channel, s.repetition, {seed} AS random_seed, 'planned' AS status
+          FROM slots2 s JOIN perm p ON s.blk = p.blk AND s.pos = p.pos),
+plan AS (SELECT *, CAST(row_number() OVER (ORDER BY md5('{seed}|' || CAST(assignment_id AS VARCHAR)), assignment_id) AS BIGINT)
+           AS execution_order FROM plan0)"""
+
+
+def _valid_templates_sql() -> str:
+    body = "coalesce(html_body, '')"
+    conds = [f"NOT {_blank_sql('html_body')}", f"NOT {_blank_sql('subject')}"]
+    conds += [f"contains({body}, '{p}')" for p in REQUIRED_PLACEHOLDERS]
+    return f"SELECT id FROM templates WHERE {' AND '.join(conds)}"
+
+
+def _synthetic_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    cols = ", ".join(["campaign_id", "target_id", "age_bracket", "gender", "education", *K.SIGNAL_COLUMNS])
+    q["score_probabilities"] = f"{with_views('fact')} SELECT {cols}, {PROBS_SQL} FROM fact"
+    q["scenario_cohort"] = (
+        f"{with_views('fact')}, {_cohort_sql()} SELECT 'synthetic_scenario' AS source, scenario, 42 AS scenario_seed, "
+        f"campaign_id, target_id, template_id, segment_id, signal_personalization, experimental_target_segment, "
+        f"CAST(1 AS BIGINT) AS delivered, opened_flag, clicked_flag, 0 AS reported_flag, "
+        f"p_open AS expected_open_probability, p_click AS expected_click_given_open_probability FROM cohort")
+    val = f"{with_views('fact')}, {_cohort_sql()}, v AS ({_validation_rows_sql().replace('agg AS', 'WITH agg AS', 1)})"
+    q["scenario_validation"] = f"{val} SELECT * FROM v"
+    q["contrast_signal"] = f"{val} SELECT * FROM v WHERE scenario IN ('Control', 'Personalización')"
+    q["contrast_segment"] = f"{val} SELECT * FROM v WHERE scenario = 'Segmento'"
+    q["did_interaction"] = f"{val} SELECT * FROM v WHERE scenario = 'Interacción'"
+    pop = f"{with_views('fact', 'templates')}, {_population_sql()}"
+    q["synthetic_population"] = f"{pop} SELECT * FROM population"
+    q["combined_dataset"] = f"{pop} SELECT * FROM fact UNION ALL SELECT * FROM population"
+    plan = f"{with_views('segments', 'targets', 'tpl_dim', 'templates', 'campaigns')}, {_plan_sql()}"
+    q["sampling_plan"] = f"{plan} SELECT * FROM plan"
+    q["plan_balance"] = (f"{plan} SELECT segment_id, assignments, (max(assignments) OVER () - min(assignments) OVER ()) <= 1 "
+                         f"AS balanced FROM (SELECT segment_id, CAST(count(*) AS BIGINT) AS assignments FROM plan GROUP BY segment_id) x")
+    q["materialize_plan"] = (
+        f"{plan}, firstn AS (SELECT * FROM plan ORDER BY execution_order LIMIT 12), "
+        f"kept AS (SELECT * FROM firstn WHERE template_id IN (SELECT id FROM templates) AND segment_id IN (SELECT id FROM segments)) "
+        f"SELECT assignment_id, CAST((SELECT coalesce(max(id), 0) FROM campaigns) + row_number() OVER (ORDER BY execution_order) AS BIGINT) "
+        f"AS campaign_id, CAST(template_id AS BIGINT) AS template_id, CAST(segment_id AS BIGINT) AS segment_id, "
+        f"execution_order, 'created' AS status FROM kept")
+    q["expand_deliveries"] = (
+        f"{with_views('campaigns', 'templates', 'targets')} SELECT c.id AS campaign_id, g.id AS target_id, "
+        f"CAST(c.template_id AS BIGINT) AS template_id, 'delivered' AS event_type, "
+        f"coalesce(g.uid, md5('uid|' || CAST(g.id AS VARCHAR))) AS uid "
+        f"FROM campaigns c JOIN targets g ON g.segment_id = c.segment_id "
+        f"WHERE c.status <> 'launched' AND c.template_id IN ({_valid_templates_sql()})")
+    return q
+
+
+_BASE_SQL2 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _BASE_SQL2()
+    q.update(_synthetic_sql())
+    return q

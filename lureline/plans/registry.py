@@ -200,3 +200,92 @@ def queries() -> dict[str, Query]:  # noqa: F811
         "text_fact": q_text_fact,
     })
     return q
+
+
+# ---- synthetic cohorts, contrasts, design ---------------------------------------------------
+from lureline.operators import design, synthetic  # noqa: E402
+
+SCORE_COLUMNS = ("campaign_id", "target_id", "age_bracket", "gender", "education",
+                 "signal_urgency", "signal_authority", "signal_reward", "signal_personalization",
+                 "open_probability", "click_probability")
+COHORT_COLUMNS = ("source", "scenario", "scenario_seed", "campaign_id", "target_id", "template_id",
+                  "segment_id", "signal_personalization", "experimental_target_segment", "delivered",
+                  "opened_flag", "clicked_flag", "reported_flag", "expected_open_probability",
+                  "expected_click_given_open_probability")
+
+
+def q_score_probabilities(spark, sf):
+    return synthetic.score_probabilities(_fact(spark, sf)).select(*SCORE_COLUMNS)
+
+
+def q_scenario_cohort(spark, sf):
+    return synthetic.scenario_cohort(_fact(spark, sf)).select(*COHORT_COLUMNS)
+
+
+def q_scenario_validation(spark, sf):
+    return synthetic.scenario_validation(synthetic.scenario_cohort(_fact(spark, sf)))
+
+
+def q_contrast_signal(spark, sf):
+    v = q_scenario_validation(spark, sf)
+    return v.where(F.col("scenario").isin("Control", "Personalización"))
+
+
+def q_contrast_segment(spark, sf):
+    return q_scenario_validation(spark, sf).where(F.col("scenario") == "Segmento")
+
+
+def q_did_interaction(spark, sf):
+    return q_scenario_validation(spark, sf).where(F.col("scenario") == "Interacción")
+
+
+def q_synthetic_population(spark, sf):
+    return synthetic.synthetic_population(fx.segments(spark, sf), fx.templates(spark),
+                                          fx.targets(spark, sf))
+
+
+def q_combined_dataset(spark, sf):
+    return facts.combine_sources(_fact(spark, sf), q_synthetic_population(spark, sf))
+
+
+def _plan(spark, sf):
+    return design.sampling_plan(fx.segments(spark, sf), fx.templates(spark), fx.targets(spark, sf))
+
+
+def q_sampling_plan(spark, sf):
+    return _plan(spark, sf)
+
+
+def q_plan_balance(spark, sf):
+    return design.plan_balance(_plan(spark, sf))
+
+
+def q_materialize_plan(spark, sf):
+    return design.materialize_plan(_plan(spark, sf), fx.templates(spark), fx.segments(spark, sf),
+                                   fx.campaigns(spark, sf), limit=12)
+
+
+def q_expand_deliveries(spark, sf):
+    return design.expand_deliveries(fx.campaigns(spark, sf), fx.templates(spark), fx.targets(spark, sf))
+
+
+_BASE2 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    q = _BASE2()
+    q.update({
+        "score_probabilities": q_score_probabilities,
+        "scenario_cohort": q_scenario_cohort,
+        "scenario_validation": q_scenario_validation,
+        "contrast_signal": q_contrast_signal,
+        "contrast_segment": q_contrast_segment,
+        "did_interaction": q_did_interaction,
+        "synthetic_population": q_synthetic_population,
+        "combined_dataset": q_combined_dataset,
+        "sampling_plan": q_sampling_plan,
+        "plan_balance": q_plan_balance,
+        "materialize_plan": q_materialize_plan,
+        "expand_deliveries": q_expand_deliveries,
+    })
+    return q
