@@ -534,3 +534,99 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _BASE_SQL2()
     q.update(_synthetic_sql())
     return q
+
+
+# ---- evaluation ---------------------------------------------------------------------------------
+def _ev_sql(prob: str = "click_probability") -> str:
+    return (f"scored AS (SELECT *, {PROBS_SQL} FROM fact), "
+            f"ev AS (SELECT source, campaign_id, target_id, CAST(clicked_flag AS INTEGER) AS y, "
+            f"CAST({prob} AS DOUBLE) AS p FROM scored WHERE delivered > 0)")
+
+
+def _metrics_select(ev: str = "ev") -> str:
+    def div(a: str, b: str) -> str:
+        return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+    cm = (f"(SELECT CAST(count_if(y <> 1 AND p < 0.5) AS BIGINT) AS tn, CAST(count_if(y <> 1 AND p >= 0.5) AS BIGINT) AS fp, "
+          f"CAST(count_if(y = 1 AND p < 0.5) AS BIGINT) AS fn, CAST(count_if(y = 1 AND p >= 0.5) AS BIGINT) AS tp FROM {ev})")
+    return (f"SELECT tn + fp + fn + tp AS n_rows, fn + tp AS positives, {div('tp + tn', 'tn + fp + fn + tp')} AS accuracy, "
+            f"{div('tp', 'tp + fp')} AS precision, {div('tp', 'tp + fn')} AS recall, "
+            f"{div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM {cm} cm")
+
+
+def _auc_select(ev: str = "ev") -> str:
+    return (f"SELECT CASE WHEN P > 0 AND N > 0 THEN round_even(s / (CAST(P AS DOUBLE) * CAST(N AS DOUBLE)), 12) END AS roc_auc "
+            f"FROM (SELECT sum(CAST(pos AS DOUBLE) * CAST(cneg - neg AS DOUBLE) + 0.5 * CAST(pos AS DOUBLE) * CAST(neg AS DOUBLE)) AS s, "
+            f"sum(pos) AS P, sum(neg) AS N FROM (SELECT *, sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cneg "
+            f"FROM (SELECT p, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM {ev} GROUP BY p) a) b) c")
+
+
+def _brier_select(ev: str = "ev") -> str:
+    return f"SELECT round_even(avg(power(p - y, 2)), 10) AS brier_score FROM {ev}"
+
+
+def _evaluation_sql() -> dict[str, str]:
+    pre = f"{with_views('fact')}, {_ev_sql()}"
+    q: dict[str, str] = {}
+    q["confusion_matrix"] = (f"{pre} SELECT CAST(count_if(y <> 1 AND p < 0.5) AS BIGINT) AS tn, "
+                             f"CAST(count_if(y <> 1 AND p >= 0.5) AS BIGINT) AS fp, "
+                             f"CAST(count_if(y = 1 AND p < 0.5) AS BIGINT) AS fn, "
+                             f"CAST(count_if(y = 1 AND p >= 0.5) AS BIGINT) AS tp FROM ev")
+    q["classification_metrics"] = f"{pre} {_metrics_select()}"
+    q["roc_auc"] = f"{pre} {_auc_select()}"
+    q["brier_score"] = f"{pre} {_brier_select()}"
+    qs = ", ".join(repr(k / 10) for k in range(11))
+    q["calibration_curve"] = f"""{pre}, edges AS (SELECT quantile_cont(p, [{qs}]) AS e FROM ev),
+binned AS (SELECT ev.*, len(list_filter(edges.e[2:10], lambda x: x < ev.p)) AS b FROM ev, edges)
+SELECT CAST(row_number() OVER (ORDER BY b) AS INTEGER) AS bin,
+       round_even(sum(p) / count(*), 10) AS predicted_probability_mean,
+       CAST(sum(y) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS observed_positive_rate
+FROM binned GROUP BY b"""
+    q["lift_table"] = f"""{pre}, tot AS (SELECT count(*) AS n, sum(y) AS pos FROM ev),
+ranked AS (SELECT ev.*, row_number() OVER (ORDER BY p DESC, campaign_id, target_id) AS r FROM ev),
+bucketed AS (SELECT ranked.*, CAST(CASE WHEN tot.n = 1 THEN 1 ELSE greatest(1, ((r - 1) * least(10, tot.n) + tot.n - 2) // (tot.n - 1)) END AS INTEGER) AS bucket
+             FROM ranked, tot),
+per AS (SELECT bucket, CAST(count(*) AS BIGINT) AS rows, CAST(sum(y) AS BIGINT) AS positives, min(p) AS min_score,
+               max(p) AS max_score, round_even(avg(p), 10) AS avg_score FROM bucketed GROUP BY bucket)
+SELECT bucket, rows, positives, min_score, max_score, avg_score,
+       CAST(positives AS DOUBLE) / CAST(rows AS DOUBLE) AS positive_rate,
+       CASE WHEN tot.pos > 0 THEN (CAST(positives AS DOUBLE) / CAST(rows AS DOUBLE)) / (CAST(tot.pos AS DOUBLE) / CAST(tot.n AS DOUBLE))
+            ELSE CAST('NaN' AS DOUBLE) END AS lift,
+       CAST(sum(rows) OVER (ORDER BY bucket) AS BIGINT) AS cumulative_rows,
+       CAST(sum(positives) OVER (ORDER BY bucket) AS BIGINT) AS cumulative_positives,
+       CASE WHEN tot.pos > 0 THEN CAST(sum(positives) OVER (ORDER BY bucket) AS DOUBLE) / CAST(tot.pos AS DOUBLE) ELSE 0.0 END
+         AS cumulative_positive_capture_rate
+FROM per, tot"""
+    runs = []
+    for name, prob in (("x8_click", "click_probability"), ("x8_open", "open_probability")):
+        ev = f"ev_{name}"
+        runs.append((name, ev, f"{ev} AS (SELECT CAST(clicked_flag AS INTEGER) AS y, CAST({prob} AS DOUBLE) AS p "
+                               f"FROM scored WHERE delivered > 0)"))
+    comp_pre = (f"{with_views('fact')}, scored AS (SELECT *, {PROBS_SQL} FROM fact), "
+                + ", ".join(r[2] for r in runs))
+    comp = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, m.*, a.roc_auc, b.brier_score FROM ({_metrics_select(ev)}) m, "
+        f"({_auc_select(ev)}) a, ({_brier_select(ev)}) b" for name, ev, _ in runs)
+    q["model_comparison"] = f"{comp_pre} {comp}"
+    win = []
+    for metric, higher in (("accuracy", True), ("precision", True), ("recall", True), ("f1", True),
+                           ("roc_auc", True), ("brier_score", False)):
+        a = f"max(CASE WHEN model = 'x8_click' THEN {metric} END)"
+        b = f"max(CASE WHEN model = 'x8_open' THEN {metric} END)"
+        op = ">" if higher else "<"
+        win.append(f"SELECT '{metric}' AS metric, CAST({a} AS DOUBLE) AS value_a, CAST({b} AS DOUBLE) AS value_b, "
+                   f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a} {op} {b} THEN 'x8_click' "
+                   f"WHEN {b} {op} {a} THEN 'x8_open' ELSE 'tie' END AS winner, "
+                   f"(max(CASE WHEN model = 'x8_click' THEN n_rows END) = max(CASE WHEN model = 'x8_open' THEN n_rows END)) AND "
+                   f"(max(CASE WHEN model = 'x8_click' THEN positives END) = max(CASE WHEN model = 'x8_open' THEN positives END)) "
+                   f"AS comparable FROM comp")
+    q["metric_winners"] = f"{comp_pre}, comp AS ({comp}) " + " UNION ALL ".join(win)
+    return q
+
+
+_BASE_SQL3 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _BASE_SQL3()
+    q.update(_evaluation_sql())
+    return q

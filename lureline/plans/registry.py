@@ -289,3 +289,69 @@ def queries() -> dict[str, Query]:  # noqa: F811
         "expand_deliveries": q_expand_deliveries,
     })
     return q
+
+
+# ---- evaluation ---------------------------------------------------------------------------------
+from lureline.operators import evaluation  # noqa: E402
+
+
+def _ev(spark, sf, score="click_probability"):
+    scored = synthetic.score_probabilities(_fact(spark, sf))
+    return evaluation.evaluation_frame(scored, score_col=score)
+
+
+def q_confusion_matrix(spark, sf):
+    return evaluation.confusion_matrix(_ev(spark, sf))
+
+
+def q_classification_metrics(spark, sf):
+    return evaluation.classification_metrics(_ev(spark, sf))
+
+
+def q_roc_auc(spark, sf):
+    return evaluation.roc_auc(_ev(spark, sf))
+
+
+def q_brier_score(spark, sf):
+    return evaluation.brier_score(_ev(spark, sf))
+
+
+def q_calibration_curve(spark, sf):
+    return evaluation.calibration_curve(_ev(spark, sf))
+
+
+def q_lift_table(spark, sf):
+    return evaluation.lift_table(_ev(spark, sf))
+
+
+def _comparison(spark, sf):
+    scored = synthetic.score_probabilities(_fact(spark, sf)).cache()
+    runs = [evaluation.model_metrics(evaluation.evaluation_frame(scored, score_col=s), name)
+            for name, s in (("x8_click", "click_probability"), ("x8_open", "open_probability"))]
+    return runs[0].unionByName(runs[1])
+
+
+def q_model_comparison(spark, sf):
+    return _comparison(spark, sf)
+
+
+def q_metric_winners(spark, sf):
+    return evaluation.metric_winners(_comparison(spark, sf), "x8_click", "x8_open")
+
+
+_BASE3 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    q = _BASE3()
+    q.update({
+        "confusion_matrix": q_confusion_matrix,
+        "classification_metrics": q_classification_metrics,
+        "roc_auc": q_roc_auc,
+        "brier_score": q_brier_score,
+        "calibration_curve": q_calibration_curve,
+        "lift_table": q_lift_table,
+        "model_comparison": q_model_comparison,
+        "metric_winners": q_metric_winners,
+    })
+    return q
