@@ -56,7 +56,7 @@ def normalize_label(c: str | Column, numeric: bool = False) -> Column:
     """
     column = _col(c)
     if numeric:
-        return F.try_cast(column.cast("string"), "double").cast("int")
+        return column.cast("string").try_cast("double").cast("int")
     norm = F.lower(F.trim(column.cast("string")))
     expr = None
     for text, value in LABEL_TEXT_MAP.items():

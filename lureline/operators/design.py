@@ -105,7 +105,7 @@ def expand_deliveries(campaigns: DataFrame, templates: DataFrame, targets: DataF
     """
     valid = template_validation(templates).where("valid").select(F.col("template_id").alias("_vt"))
     camp = campaigns.where(F.col("status") != "launched").join(
-        sized_broadcast(valid), F.col("template_id") == F.col("_vt"), "left_semi")
+        valid, F.col("template_id") == F.col("_vt"), "left_semi")
     camp = sized_broadcast(camp.select(F.col("id").alias("campaign_id"), "template_id",
                                        F.col("segment_id").alias("_cseg")))
     tg = targets.select(F.col("id").alias("target_id"), "segment_id", "uid")

@@ -129,7 +129,8 @@ def lift_table(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "target_id"
     differ). Ties in the score are broken by the key columns.
     """
     key_cols = [k for k in keys if k in ev.columns]
-    n = ev.count()
+    totals = ev.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
+    n, total_pos = int(totals["n"]), int(totals["pos"] or 0)
     if n == 0:
         return ev.sparkSession.createDataFrame([], _LIFT_SCHEMA)
     q = min(n_bins, n)
@@ -140,9 +141,7 @@ def lift_table(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "target_id"
         F.sum("y").cast("bigint").alias("positives"),
         F.min("p").alias("min_score"), F.max("p").alias("max_score"),
         F.bround(F.avg("p"), MEAN_DECIMALS).alias("avg_score"))
-    totals = ev.agg(F.sum("y").alias("tp"), F.count(F.lit(1)).alias("tn")).first()
-    total_pos, total_rows = int(totals["tp"] or 0), int(totals["tn"])
-    overall = total_pos / total_rows
+    overall = total_pos / n
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # <= n_bins rows
     rate = F.col("positives").cast("double") / F.col("rows").cast("double")
     out = per.select(

@@ -59,9 +59,10 @@ def campaign_dimension(campaigns: DataFrame, templates: DataFrame,
     Keeps the campaign's own ``segment_id`` as ``_seg_key`` for the target fan-out; the output
     ``template_id`` / ``segment_id`` come from the dimension, null when it is missing.
     """
-    tpl = sized_broadcast(template_dimension(templates))
-    seg = sized_broadcast(segments.select(
-        F.col("id").alias("_seg_id"), "age_bracket", "gender", "education"))
+    # templates / segments are dimension tables: Catalyst broadcasts them from their size
+    # estimate (autoBroadcastJoinThreshold) and AQE re-checks with the real size at run time.
+    tpl = template_dimension(templates)
+    seg = segments.select(F.col("id").alias("_seg_id"), "age_bracket", "gender", "education")
     c = campaigns.select(
         F.col("id").alias("campaign_id"),
         F.col("status").alias("campaign_status"),
@@ -135,7 +136,7 @@ def clean_strict(df: DataFrame) -> DataFrame:
     for name in df.columns:
         c = F.col(name)
         if name in SIGNAL_COLUMNS:
-            c = F.coalesce(F.try_cast(c.cast("string"), "double"), F.lit(0.0))
+            c = F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
         elif name in ("age_bracket", "gender", "education"):
             c = F.trim(F.coalesce(c.cast("string"), F.lit("unknown")))
         out.append(c.alias(name))

@@ -186,7 +186,7 @@ def synthetic_population(segments: DataFrame, templates: DataFrame, targets: Dat
         ((F.col("template_id") - 1) * campaigns_per_template + F.col("repetition")).cast("bigint").alias("campaign_id"),
         (F.floor(keyed_uniform(seed, F.lit("segment"), "template_id", "repetition") * n_seg) + 1)
         .cast("int").alias("_rank"),
-    ).join(sized_broadcast(seg_rank), "_rank", "inner")
+    ).join(seg_rank, "_rank", "inner")
     camp = sized_broadcast(camp)
     tg = targets.select(F.col("id").alias("target_id"), F.col("segment_id").alias("_tseg"),
                         F.col("recipient").alias("target_recipient"), F.col("uid").alias("target_uid"))

@@ -41,8 +41,8 @@ def text_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
     seg = segments.select(F.col("id").alias("_sid"))
     dim = campaigns.select(F.col("id").alias("campaign_id"), F.col("template_id").alias("_tk"),
                            F.col("segment_id").alias("_sk"))
-    dim = (dim.join(sized_broadcast(tpl), F.col("_tk") == F.col("_tid"), "left")
-              .join(sized_broadcast(seg), F.col("_sk") == F.col("_sid"), "left"))
+    dim = (dim.join(tpl, F.col("_tk") == F.col("_tid"), "left")
+              .join(seg, F.col("_sk") == F.col("_sid"), "left"))
     dim = sized_broadcast(dim)
     tg = targets.select(F.col("id").alias("target_id"), F.col("segment_id").alias("_tseg"))
     pairs = tg.join(dim, F.col("_tseg") == F.col("_sk"), "inner")

@@ -213,7 +213,7 @@ SELECT * FROM (SELECT 'signal', senal, tasa_apertura_con_senal_pct, tasa_clic_co
   tasa_reporte_con_senal_pct FROM st ORDER BY tasa_clic_con_senal_pct DESC, ord ASC LIMIT 1)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _base_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["event_counts"] = f"{with_views('pair_counts')} SELECT * FROM pair_counts"
     q["interaction_fact"] = f"{with_views('fact')} SELECT * FROM fact"
@@ -330,15 +330,6 @@ LEFT JOIN pair_counts k ON k.campaign_id = c.id AND k.target_id = g.id"""
     return q
 
 
-_BASE_SQL = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _BASE_SQL()
-    q.update(_extra_sql())
-    return q
-
-
 # ---- synthetic cohorts, contrasts, design ---------------------------------------------------
 from lureline import constants as K  # noqa: E402
 from lureline.functions.expressions import keyed_uniform_sql  # noqa: E402
@@ -527,15 +518,6 @@ def _synthetic_sql() -> dict[str, str]:
     return q
 
 
-_BASE_SQL2 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _BASE_SQL2()
-    q.update(_synthetic_sql())
-    return q
-
-
 # ---- evaluation ---------------------------------------------------------------------------------
 def _ev_sql(prob: str = "click_probability") -> str:
     return (f"scored AS (SELECT *, {PROBS_SQL} FROM fact), "
@@ -623,10 +605,41 @@ FROM per, tot"""
     return q
 
 
-_BASE_SQL3 = oracle_sql
+# ---- dataset preparation ------------------------------------------------------------------------
+from lureline.constants import NA_TOKENS  # noqa: E402
+
 
+def _na_sql(c: str) -> str:
+    toks = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+    return f"CASE WHEN {c} IN ({toks}) THEN NULL ELSE {c} END"
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _BASE_SQL3()
+
+def _prep_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["list_newest"] = f"{with_views('targets')} SELECT id, segment_id, recipient, uid FROM targets ORDER BY id DESC"
+    q["lookup_uid"] = (f"{with_views('targets', 'hits')}, parsed AS ({PARSED_HITS_SQL}) "
+                       f"SELECT id, uid, segment_id FROM targets WHERE uid IN (SELECT uid FROM parsed)")
+    lab = ("CASE lower(trim(CAST(quality AS VARCHAR))) WHEN 'true' THEN 1 WHEN 'false' THEN 0 WHEN 'yes' THEN 1 "
+           "WHEN 'no' THEN 0 WHEN 'sí' THEN 1 WHEN 'si' THEN 1 WHEN '1' THEN 1 WHEN '0' THEN 0 END")
+    q["label_normalize"] = (f"SELECT * FROM (SELECT doc_id, CAST({lab} AS INTEGER) AS quality, "
+                            f"CAST(TRY_CAST(CAST(toxic AS VARCHAR) AS DOUBLE) AS INTEGER) AS toxic FROM labels) x "
+                            f"WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+    cols = ("age_bracket", "gender", "education", "template_subject", "template_description", "target_uid")
+    na = ", ".join(f"{_na_sql(c)} AS {c}" for c in cols)
+    q["na_tokens"] = f"{with_views('fact')} SELECT campaign_id, target_id, {na} FROM fact"
+    clean = ", ".join(f"coalesce({_na_sql(c)}, 'unknown') AS {c}" if c in ("age_bracket", "gender", "education", "template_subject")
+                      else f"{_na_sql(c)} AS {c}" for c in cols)
+    q["clean_dataset"] = f"{with_views('fact')} SELECT campaign_id, target_id, {clean} FROM fact"
+    sig = ", ".join(f"coalesce(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE), 0.0) AS {c}" for c in SIGNAL_COLUMNS)
+    dem = ", ".join(f"trim(coalesce({_na_sql(c)}, 'unknown')) AS {c}" for c in ("age_bracket", "gender", "education"))
+    q["clean_strict"] = f"{with_views('fact')} SELECT campaign_id, target_id, {sig}, {dem} FROM fact"
+    return q
+
+
+def oracle_sql() -> dict[str, str]:
+    q = _base_sql()
+    q.update(_extra_sql())
+    q.update(_synthetic_sql())
     q.update(_evaluation_sql())
+    q.update(_prep_sql())
     return q

@@ -1,7 +1,7 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
 Each query reads the driver's tables through the fixture mapping (or data Spark derives from
-them), so its work grows with the tables. Names match ``oracle_sql`` keys.
+them), so its work grows with the tables. Names match the keys of ``oracle_sql``.
 """
 
 from __future__ import annotations
@@ -9,11 +9,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lureline.operators import facts, summaries
+from lureline.functions.expressions import na_to_null, sanitize_name
+from lureline.operators import (
+    attribution, design, evaluation, facts, quality, summaries, synthetic, text,
+)
 from lureline.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
+_REGISTRY: dict[str, Query] = {}
+
+
+def register(name: str):
+    def deco(fn: Query) -> Query:
+        _REGISTRY[name] = fn
+        return fn
+    return deco
+
+
+def queries() -> dict[str, Query]:
+    import lureline.plans.registry_models  # noqa: F401  (registers model, streaming, mixed queries)
+    return dict(_REGISTRY)
 
 
 def _fact(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,103 +38,100 @@ def _fact(spark: SparkSession, sf: str) -> DataFrame:
     return facts.interaction_fact(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
 
 
+# ---- facts and summaries (A2-A17, F1) ---------------------------------------------------------
+
+@register("event_counts")
 def q_event_counts(spark, sf):
     return facts.event_counts(fx.event_log(spark, sf))
 
 
+@register("interaction_fact")
 def q_interaction_fact(spark, sf):
     return _fact(spark, sf)
 
 
+@register("campaign_summary")
 def q_campaign_summary(spark, sf):
+    """Flagship: A6 straight from the event log (no fan-out fact materialised)."""
     t = fx.load(spark, sf)
     return summaries.campaign_summary_from_log(t.campaigns, t.templates, t.segments, t.targets,
                                                t.event_log)
 
 
+@register("campaign_summary_fact")
 def q_campaign_summary_fact(spark, sf):
     return summaries.campaign_summary(_fact(spark, sf))
 
 
+@register("segment_summary")
 def q_segment_summary(spark, sf):
     return summaries.segment_summary(_fact(spark, sf))
 
 
+@register("template_summary")
 def q_template_summary(spark, sf):
     return summaries.template_summary(_fact(spark, sf))
 
 
+@register("signal_summary")
 def q_signal_summary(spark, sf):
     return summaries.signal_summary(_fact(spark, sf))
 
 
+@register("global_summary")
 def q_global_summary(spark, sf):
     return summaries.global_summary(_fact(spark, sf))
 
 
+@register("general_table")
 def q_general_table(spark, sf):
     return summaries.general_table(_fact(spark, sf))
 
 
+@register("operational_totals")
 def q_operational_totals(spark, sf):
     t = fx.load(spark, sf)
     return summaries.operational_totals(t.campaigns, t.targets, t.templates, t.segments, t.event_log)
 
 
+@register("source_distribution")
 def q_source_distribution(spark, sf):
     return summaries.value_distribution(_fact(spark, sf), "source")
 
 
+@register("label_distribution")
 def q_label_distribution(spark, sf):
     return summaries.value_distribution(_fact(spark, sf), "clicked_flag")
 
 
+@register("targets_per_segment")
 def q_targets_per_segment(spark, sf):
     return summaries.targets_per_segment(fx.targets(spark, sf))
 
 
+@register("campaign_context")
 def q_campaign_context(spark, sf):
     return summaries.campaign_context(_fact(spark, sf))
 
 
+@register("top_findings")
 def q_top_findings(spark, sf):
     return summaries.top_findings(_fact(spark, sf))
 
 
-def queries() -> dict[str, Query]:
-    return {
-        "event_counts": q_event_counts,
-        "interaction_fact": q_interaction_fact,
-        "campaign_summary": q_campaign_summary,
-        "campaign_summary_fact": q_campaign_summary_fact,
-        "segment_summary": q_segment_summary,
-        "template_summary": q_template_summary,
-        "signal_summary": q_signal_summary,
-        "global_summary": q_global_summary,
-        "general_table": q_general_table,
-        "operational_totals": q_operational_totals,
-        "source_distribution": q_source_distribution,
-        "label_distribution": q_label_distribution,
-        "targets_per_segment": q_targets_per_segment,
-        "campaign_context": q_campaign_context,
-        "top_findings": q_top_findings,
-    }
-
-
-# ---- attribution, quality, text -----------------------------------------------------------
-from lureline.functions.expressions import html_to_text, sanitize_name  # noqa: E402
-from lureline.operators import attribution, quality, text  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
+# ---- attribution, quality, text (C1, C2, C10, J5-J7, N1, Q1-Q6) --------------------------------
 
+@register("parse_hits")
 def q_parse_hits(spark, sf):
     return attribution.parse_hits(fx.hits(spark, sf))
 
 
+@register("unknown_uid_hits")
 def q_unknown_uid_hits(spark, sf):
     return attribution.unknown_uid_hits(attribution.parse_hits(fx.hits(spark, sf)), fx.targets(spark, sf))
 
 
+@register("attribute_hits")
 def q_attribute_hits(spark, sf):
     resolved = attribution.resolve_uids(attribution.parse_hits(fx.hits(spark, sf)), fx.targets(spark, sf))
     return attribution.attribute_hits(resolved, fx.event_log(spark, sf))
@@ -125,21 +139,24 @@ def q_attribute_hits(spark, sf):
 
 def page_templates(spark, sf):
     """Raw pages seen as candidate message templates: body = html, subject = <title>."""
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    pages = fx.read_table(spark, sf, "pages").select("page_id", "html")
     return pages.select(F.col("page_id").alias("id"), F.col("html").alias("html_body"),
                         F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("subject"))
 
 
+@register("template_validation")
 def q_template_validation(spark, sf):
     return quality.template_validation(page_templates(spark, sf))
 
 
+@register("unique_violations")
 def q_unique_violations(spark, sf):
     u = fx.users(spark, sf)
     return quality.unique_violations([("users", u, "username"), ("users", u, "email"),
                                       ("targets", fx.targets(spark, sf), "uid")])
 
 
+@register("null_violations")
 def q_null_violations(spark, sf):
     return quality.null_violations([
         ("targets", fx.targets(spark, sf), ["segment_id", "recipient", "uid"]),
@@ -148,6 +165,7 @@ def q_null_violations(spark, sf):
     ])
 
 
+@register("fk_violations")
 def q_fk_violations(spark, sf):
     t = fx.load(spark, sf)
     return quality.fk_violations([
@@ -160,6 +178,7 @@ def q_fk_violations(spark, sf):
     ])
 
 
+@register("cascade_delete")
 def q_cascade_delete(spark, sf):
     t = fx.load(spark, sf)
     erase = t.segments.where(F.col("gender") == "N/A")
@@ -167,43 +186,24 @@ def q_cascade_delete(spark, sf):
     return left["event_log"].select("id", "campaign_id", "target_id", "event_type")
 
 
+@register("sanitize_name")
 def q_sanitize_name(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
+    part = fx.read_table(spark, sf, "part").select("p_partkey", "p_name")
     return part.select("p_partkey", sanitize_name("p_name").alias("safe_name"))
 
 
+@register("html_to_text")
 def q_html_to_text(spark, sf):
-    return text.page_text(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"))
+    return text.page_text(fx.read_table(spark, sf, "pages").select("page_id", "html"))
 
 
+@register("text_fact")
 def q_text_fact(spark, sf):
     t = fx.load(spark, sf)
     return text.text_fact(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
 
 
-_BASE = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    q = _BASE()
-    q.update({
-        "parse_hits": q_parse_hits,
-        "unknown_uid_hits": q_unknown_uid_hits,
-        "attribute_hits": q_attribute_hits,
-        "template_validation": q_template_validation,
-        "unique_violations": q_unique_violations,
-        "null_violations": q_null_violations,
-        "fk_violations": q_fk_violations,
-        "cascade_delete": q_cascade_delete,
-        "sanitize_name": q_sanitize_name,
-        "html_to_text": q_html_to_text,
-        "text_fact": q_text_fact,
-    })
-    return q
-
-
-# ---- synthetic cohorts, contrasts, design ---------------------------------------------------
-from lureline.operators import design, synthetic  # noqa: E402
+# ---- synthetic cohorts, contrasts, design (X1-X8, A14-A16, U1) ---------------------------------
 
 SCORE_COLUMNS = ("campaign_id", "target_id", "age_bracket", "gender", "education",
                  "signal_urgency", "signal_authority", "signal_reward", "signal_personalization",
@@ -214,36 +214,43 @@ COHORT_COLUMNS = ("source", "scenario", "scenario_seed", "campaign_id", "target_
                   "expected_click_given_open_probability")
 
 
+@register("score_probabilities")
 def q_score_probabilities(spark, sf):
     return synthetic.score_probabilities(_fact(spark, sf)).select(*SCORE_COLUMNS)
 
 
+@register("scenario_cohort")
 def q_scenario_cohort(spark, sf):
     return synthetic.scenario_cohort(_fact(spark, sf)).select(*COHORT_COLUMNS)
 
 
+@register("scenario_validation")
 def q_scenario_validation(spark, sf):
     return synthetic.scenario_validation(synthetic.scenario_cohort(_fact(spark, sf)))
 
 
+@register("contrast_signal")
 def q_contrast_signal(spark, sf):
-    v = q_scenario_validation(spark, sf)
-    return v.where(F.col("scenario").isin("Control", "Personalización"))
+    return q_scenario_validation(spark, sf).where(F.col("scenario").isin("Control", "Personalización"))
 
 
+@register("contrast_segment")
 def q_contrast_segment(spark, sf):
     return q_scenario_validation(spark, sf).where(F.col("scenario") == "Segmento")
 
 
+@register("did_interaction")
 def q_did_interaction(spark, sf):
     return q_scenario_validation(spark, sf).where(F.col("scenario") == "Interacción")
 
 
+@register("synthetic_population")
 def q_synthetic_population(spark, sf):
     return synthetic.synthetic_population(fx.segments(spark, sf), fx.templates(spark),
                                           fx.targets(spark, sf))
 
 
+@register("combined_dataset")
 def q_combined_dataset(spark, sf):
     return facts.combine_sources(_fact(spark, sf), q_synthetic_population(spark, sf))
 
@@ -252,106 +259,125 @@ def _plan(spark, sf):
     return design.sampling_plan(fx.segments(spark, sf), fx.templates(spark), fx.targets(spark, sf))
 
 
+@register("sampling_plan")
 def q_sampling_plan(spark, sf):
     return _plan(spark, sf)
 
 
+@register("plan_balance")
 def q_plan_balance(spark, sf):
     return design.plan_balance(_plan(spark, sf))
 
 
+@register("materialize_plan")
 def q_materialize_plan(spark, sf):
     return design.materialize_plan(_plan(spark, sf), fx.templates(spark), fx.segments(spark, sf),
                                    fx.campaigns(spark, sf), limit=12)
 
 
+@register("expand_deliveries")
 def q_expand_deliveries(spark, sf):
     return design.expand_deliveries(fx.campaigns(spark, sf), fx.templates(spark), fx.targets(spark, sf))
 
 
-_BASE2 = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    q = _BASE2()
-    q.update({
-        "score_probabilities": q_score_probabilities,
-        "scenario_cohort": q_scenario_cohort,
-        "scenario_validation": q_scenario_validation,
-        "contrast_signal": q_contrast_signal,
-        "contrast_segment": q_contrast_segment,
-        "did_interaction": q_did_interaction,
-        "synthetic_population": q_synthetic_population,
-        "combined_dataset": q_combined_dataset,
-        "sampling_plan": q_sampling_plan,
-        "plan_balance": q_plan_balance,
-        "materialize_plan": q_materialize_plan,
-        "expand_deliveries": q_expand_deliveries,
-    })
-    return q
-
-
-# ---- evaluation ---------------------------------------------------------------------------------
-from lureline.operators import evaluation  # noqa: E402
-
+# ---- evaluation (E1-E10, W1, W2) ------------------------------------------------------------------
 
 def _ev(spark, sf, score="click_probability"):
     scored = synthetic.score_probabilities(_fact(spark, sf))
     return evaluation.evaluation_frame(scored, score_col=score)
 
 
+@register("confusion_matrix")
 def q_confusion_matrix(spark, sf):
     return evaluation.confusion_matrix(_ev(spark, sf))
 
 
+@register("classification_metrics")
 def q_classification_metrics(spark, sf):
     return evaluation.classification_metrics(_ev(spark, sf))
 
 
+@register("roc_auc")
 def q_roc_auc(spark, sf):
     return evaluation.roc_auc(_ev(spark, sf))
 
 
+@register("brier_score")
 def q_brier_score(spark, sf):
     return evaluation.brier_score(_ev(spark, sf))
 
 
+@register("calibration_curve")
 def q_calibration_curve(spark, sf):
     return evaluation.calibration_curve(_ev(spark, sf))
 
 
+@register("lift_table")
 def q_lift_table(spark, sf):
     return evaluation.lift_table(_ev(spark, sf))
 
 
 def _comparison(spark, sf):
-    scored = synthetic.score_probabilities(_fact(spark, sf)).cache()
+    scored = synthetic.score_probabilities(_fact(spark, sf))
     runs = [evaluation.model_metrics(evaluation.evaluation_frame(scored, score_col=s), name)
             for name, s in (("x8_click", "click_probability"), ("x8_open", "open_probability"))]
     return runs[0].unionByName(runs[1])
 
 
+@register("model_comparison")
 def q_model_comparison(spark, sf):
     return _comparison(spark, sf)
 
 
+@register("metric_winners")
 def q_metric_winners(spark, sf):
     return evaluation.metric_winners(_comparison(spark, sf), "x8_click", "x8_open")
 
 
-_BASE3 = queries
+# ---- dataset preparation (P1, P2, P5, P7, P8, S3) ------------------------------------------------
+
+@register("list_newest")
+def q_list_newest(spark, sf):
+    """Targets newest first (whole listing; the order is the feature)."""
+    return fx.targets(spark, sf).orderBy(F.col("id").desc()).select("id", "segment_id", "recipient", "uid")
+
+
+@register("lookup_uid")
+def q_lookup_uid(spark, sf):
+    """Point lookup of targets by the uids seen in hits (an equi-join, not a loop)."""
+    seen = attribution.parse_hits(fx.hits(spark, sf)).select("uid").distinct()
+    return fx.targets(spark, sf).join(seen, "uid", "left_semi").select("id", "uid", "segment_id")
+
+
+@register("label_normalize")
+def q_label_normalize(spark, sf):
+    """P5 + P10 on ``labels``: text branch for quality (as read from CSV), numeric for toxic."""
+    lab = fx.read_table(spark, sf, "labels").select(
+        "doc_id", F.col("quality").cast("string").alias("quality"), "toxic")
+    out = facts.normalize_labels(lab, "quality")
+    return facts.normalize_labels(out, "toxic")
+
+
+@register("na_tokens")
+def q_na_tokens(spark, sf):
+    """S3: the fact's text columns as ``read_csv`` would see them (NA tokens -> null)."""
+    cols = ("age_bracket", "gender", "education", "template_subject", "template_description", "target_uid")
+    f = _fact(spark, sf)
+    return f.select("campaign_id", "target_id", *[na_to_null(c).alias(c) for c in cols])
+
+
+@register("clean_dataset")
+def q_clean_dataset(spark, sf):
+    """P7 after S3 (the N/A gender becomes 'unknown')."""
+    return facts.clean_dataset(q_na_tokens(spark, sf))
 
 
-def queries() -> dict[str, Query]:  # noqa: F811
-    q = _BASE3()
-    q.update({
-        "confusion_matrix": q_confusion_matrix,
-        "classification_metrics": q_classification_metrics,
-        "roc_auc": q_roc_auc,
-        "brier_score": q_brier_score,
-        "calibration_curve": q_calibration_curve,
-        "lift_table": q_lift_table,
-        "model_comparison": q_model_comparison,
-        "metric_winners": q_metric_winners,
-    })
-    return q
+@register("clean_strict")
+def q_clean_strict(spark, sf):
+    """P8 over the fact's features after S3."""
+    f = _fact(spark, sf)
+    cols = ("signal_urgency", "signal_authority", "signal_reward", "signal_personalization",
+            "age_bracket", "gender", "education")
+    return facts.clean_strict(f.select("campaign_id", "target_id", *[
+        na_to_null(c).alias(c) if c in ("age_bracket", "gender", "education") else F.col(c)
+        for c in cols]))

@@ -70,12 +70,37 @@ TEMPLATE_ROWS = (
 )
 
 
+def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small literal table built JVM-side (``inline`` of an array of structs on a one-row
+    range), so jobs that read it need no Python worker."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+               for row in rows]
+    return spark.range(0, 1, 1, numPartitions=1).select(F.inline(F.array(*structs)))
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATE_ROWS), TEMPLATE_SCHEMA)
+    return literal_table(spark, TEMPLATE_ROWS, TEMPLATE_SCHEMA)
+
+
+_SCANS: dict = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of one input table, memoised per session and path.
+
+    A DataFrame is an immutable plan, so reusing it is safe; it saves the file listing and the
+    footer-based schema inference that every new ``spark.read.parquet`` would repeat.
+    """
+    key = (id(spark), sf_dir, name)
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _SCANS[key] = df
+    return df
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read_table(spark, sf_dir, name)
     return df.select(*cols) if cols else df
 
 
