@@ -643,3 +643,42 @@ def oracle_sql() -> dict[str, str]:
     q.update(_evaluation_sql())
     q.update(_prep_sql())
     return q
+
+
+# ---- model preparation --------------------------------------------------------------------------
+def _split_sql(test_size: float = 0.3, seed: int = 42) -> str:
+    u = keyed_uniform_sql(seed, "source", "campaign_id", "target_id")
+    return f"""comb AS (SELECT * EXCLUDE (gender), {_na_sql('gender')} AS gender FROM (SELECT * FROM fact UNION ALL SELECT * FROM population) z),
+hashed AS (SELECT *, {u} AS h FROM comb),
+split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY clicked_flag ORDER BY h, source, campaign_id, target_id)
+                 <= round_even(CAST({test_size!r} AS DOUBLE) * count(*) OVER (PARTITION BY clicked_flag), 0)
+                 THEN 'test' ELSE 'train' END AS split FROM hashed)"""
+
+
+def _model_prep_sql() -> dict[str, str]:
+    pre = f"{with_views('fact', 'templates')}, {_population_sql()}, {_split_sql()}"
+    q: dict[str, str] = {}
+    q["stratified_split"] = f"{pre} SELECT source, campaign_id, target_id, clicked_flag, split FROM split"
+    q["class_weights"] = (f"{pre}, tr AS (SELECT * FROM split WHERE split = 'train'), "
+                          f"t AS (SELECT count(*) AS n, count_if(clicked_flag = 1) AS pos, count_if(clicked_flag = 0) AS neg FROM tr) "
+                          f"SELECT CAST(clicked_flag AS INTEGER) AS clicked_flag, CAST(count(*) AS BIGINT) AS n_class, "
+                          f"CAST(any_value(t.n) AS DOUBLE) / (2.0 * CAST(count(*) AS DOUBLE)) AS weight, "
+                          f"CASE WHEN any_value(t.pos) > 0 THEN CAST(any_value(t.neg) AS DOUBLE) / CAST(any_value(t.pos) AS DOUBLE) ELSE 1.0 END AS scale_pos_weight "
+                          f"FROM tr, t GROUP BY clicked_flag")
+    modes = []
+    for c in ("age_bracket", "gender", "education"):
+        modes.append(f"(SELECT {c} FROM (SELECT {c}, count(*) AS n FROM split WHERE split = 'train' AND {c} IS NOT NULL "
+                     f"GROUP BY {c}) ORDER BY n DESC, {c} ASC LIMIT 1)")
+    q["impute_mode"] = (f"{pre} SELECT source, campaign_id, target_id, "
+                        f"coalesce(age_bracket, {modes[0]}) AS age_bracket, coalesce(gender, {modes[1]}) AS gender, "
+                        f"coalesce(education, {modes[2]}) AS education FROM split")
+    return q
+
+
+_ORACLE_BASE = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _ORACLE_BASE()
+    q.update(_model_prep_sql())
+    return q

@@ -1,7 +1,94 @@
 """Registered queries for model training, the mixed model, text classification and streaming.
 
-These have no exact SQL oracle (iterative fits, stateful streams); the driver checks rows and
-the tests assert their properties.
+Model fits have no exact SQL oracle (iterative optimisers); the split, class weights and
+imputation do. The tests assert the properties of the rest.
 """
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lureline.constants import TARGET_COLUMN
+from lureline.functions.expressions import na_to_null
+from lureline.operators import evaluation, models
+from lureline.plans.registry import q_combined_dataset, register
+
+SPLIT_KEYS = ("source", "campaign_id", "target_id")
+
+
+def _combined(spark, sf):
+    """The training table: observed fact + synthetic population, NA tokens as the CSV reader sees them."""
+    df = q_combined_dataset(spark, sf)
+    return df.withColumn("gender", na_to_null("gender"))
+
+
+def _split(spark, sf):
+    return models.stratified_split(_combined(spark, sf), keys=SPLIT_KEYS)
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    return _split(spark, sf).select(*SPLIT_KEYS, TARGET_COLUMN, "split")
+
+
+@register("class_weights")
+def q_class_weights(spark, sf):
+    return models.class_weights(_split(spark, sf).where("split = 'train'"))
+
+
+@register("impute_mode")
+def q_impute_mode(spark, sf):
+    split = _split(spark, sf)
+    cols = ("age_bracket", "gender", "education")
+    filled = models.impute_mode(split.where("split = 'train'"), split, cols)
+    return filled.select(*SPLIT_KEYS, *cols)
+
+
+def _train_test(spark, sf):
+    # freeze the prepared table once (reliable checkpoint): every fit pass reads it, not the lineage
+    df = models._prepare(_split(spark, sf)).checkpoint(eager=True)
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    n_train, _ = models.check_trainable(train, min_rows=10)
+    w = models.class_weights(train)
+    return models.with_weights(train, w), models.with_weights(test, w), n_train
+
+
+def _metrics(scored, name):
+    return evaluation.model_metrics(scored.select("y", "p"), name)
+
+
+@register("logreg_metrics")
+def q_logreg_metrics(spark, sf):
+    train, test, n = _train_test(spark, sf)
+    m = models.fit(models.logistic_pipeline(n), train)
+    return _metrics(models.score(m, test), "logistic_regression")
+
+
+@register("ml_comparison")
+def q_ml_comparison(spark, sf):
+    train, test, n = _train_test(spark, sf)
+    lr = models.fit(models.logistic_pipeline(n, scale=True), train)
+    dt = models.fit(models.tree_pipeline(), train)
+    return _metrics(models.score(lr, test), "logistic_regression_scaled").unionByName(
+        _metrics(models.score(dt, test), "decision_tree"))
+
+
+@register("gbt_metrics")
+def q_gbt_metrics(spark, sf):
+    train, test, _ = _train_test(spark, sf)
+    m = models.fit(models.gbt_pipeline(), train)
+    return _metrics(models.score(m, test), "gradient_boosted_trees")
+
+
+@register("model_terms")
+def q_model_terms(spark, sf):
+    train, _, n = _train_test(spark, sf)
+    m = models.fit(models.logistic_pipeline(n), train)
+    return models.model_terms(m, train, top_k=10)
+
+
+@register("scored_rows")
+def q_scored_rows(spark, sf):
+    train, test, n = _train_test(spark, sf)
+    m = models.fit(models.logistic_pipeline(n), train)
+    return models.score(m, test)
