@@ -682,3 +682,19 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _ORACLE_BASE()
     q.update(_model_prep_sql())
     return q
+
+
+def _stream_sql() -> dict[str, str]:
+    q = {"stream_attribution": _extra_sql()["attribute_hits"]}
+    q["stream_totals"] = (f"{with_views('event_log')} SELECT event_type, CAST(count(*) AS BIGINT) AS events "
+                          f"FROM event_log GROUP BY event_type")
+    return q
+
+
+_ORACLE_BASE2 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _ORACLE_BASE2()
+    q.update(_stream_sql())
+    return q

@@ -92,3 +92,20 @@ def q_scored_rows(spark, sf):
     train, test, n = _train_test(spark, sf)
     m = models.fit(models.logistic_pipeline(n), train)
     return models.score(m, test)
+
+
+# ---- streaming (T1, T2) --------------------------------------------------------------------------
+from lureline.operators import attribution  # noqa: E402
+from lureline.sources import fixtures as fx  # noqa: E402
+from lureline.streaming import attribution as stream_attr  # noqa: E402
+
+
+@register("stream_attribution")
+def q_stream_attribution(spark, sf):
+    resolved = attribution.resolve_uids(attribution.parse_hits(fx.hits(spark, sf)), fx.targets(spark, sf))
+    return stream_attr.attribution_via_stream(spark, fx.event_log(spark, sf), resolved)
+
+
+@register("stream_totals")
+def q_stream_totals(spark, sf):
+    return stream_attr.totals_via_stream(spark, fx.event_log(spark, sf))
