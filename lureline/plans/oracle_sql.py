@@ -698,3 +698,25 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _ORACLE_BASE2()
     q.update(_stream_sql())
     return q
+
+
+def _mixed_sql() -> dict[str, str]:
+    pre = f"{with_views('fact', 'templates')}, {_population_sql()}"
+    comb = (f"comb AS (SELECT * EXCLUDE (gender), {_na_sql('gender')} AS gender FROM "
+            f"(SELECT * FROM fact UNION ALL SELECT * FROM population) z)")
+    sig = ", ".join(f"CAST(coalesce({c}, 0) AS INTEGER) AS {c}" for c in SIGNAL_COLUMNS)
+    dem = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'unknown') AS {c}" for c in ("age_bracket", "gender", "education"))
+    keys = ", ".join([*SIGNAL_COLUMNS, "age_bracket", "gender", "education", "grp"])
+    return {"mixed_cells": (
+        f"{pre}, {comb}, cl AS (SELECT {sig}, {dem}, CAST(segment_id AS VARCHAR) AS grp, "
+        f"CAST(coalesce(clicked_flag, 0) AS INTEGER) AS clicked_flag FROM comb WHERE segment_id IS NOT NULL) "
+        f"SELECT {keys}, CAST(count(*) AS BIGINT) AS n, CAST(sum(clicked_flag) AS BIGINT) AS k FROM cl GROUP BY {keys}")}
+
+
+_ORACLE_BASE3 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _ORACLE_BASE3()
+    q.update(_mixed_sql())
+    return q

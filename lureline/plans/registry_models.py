@@ -109,3 +109,45 @@ def q_stream_attribution(spark, sf):
 @register("stream_totals")
 def q_stream_totals(spark, sf):
     return stream_attr.totals_via_stream(spark, fx.event_log(spark, sf))
+
+
+# ---- mixed model (G1-G5, K3) -----------------------------------------------------------------------
+from lureline.operators import mixed  # noqa: E402
+
+_FITS: dict = {}
+
+
+def _cells(spark, sf):
+    return mixed.mixed_cells(_combined(spark, sf), group="segment_id")
+
+
+def _mixed_fit(spark, sf):
+    key = (id(spark), sf)
+    if key not in _FITS:
+        _FITS[key] = mixed.fit_mixed(_cells(spark, sf), component="re_segment_id")
+    return _FITS[key]
+
+
+@register("mixed_cells")
+def q_mixed_cells(spark, sf):
+    return _cells(spark, sf)
+
+
+@register("mixed_fit")
+def q_mixed_fit(spark, sf):
+    return mixed.variance_components(_mixed_fit(spark, sf), spark)
+
+
+@register("mixed_terms")
+def q_mixed_terms(spark, sf):
+    return mixed.fixed_effects(_mixed_fit(spark, sf), spark)
+
+
+@register("mixed_extremes")
+def q_mixed_extremes(spark, sf):
+    return mixed.extreme_terms(mixed.fixed_effects(_mixed_fit(spark, sf), spark))
+
+
+@register("mixed_scores")
+def q_mixed_scores(spark, sf):
+    return mixed.predict_cells(_mixed_fit(spark, sf), _cells(spark, sf))
