@@ -65,3 +65,42 @@ def text_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
 def page_text(pages: DataFrame) -> DataFrame:
     """C2 over raw pages: visible text per page."""
     return pages.select("page_id", html_to_text("html").alias("text"))
+
+
+# ---- N2: text classifier (re-aimed from a single-GPU transformer fine-tune) -------------------
+def text_classifier_pipeline(text_col: str = "text", label_col: str = "label",
+                             num_features: int = 1 << 18, reg: float = 0.0):
+    """Whole-text pipeline: unicode word tokens -> hashed term counts -> IDF -> logistic regression.
+
+    Every stage is a distributed Spark ML transformer/estimator; texts are never truncated.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True)
+    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
+    idf = IDF(inputCol="_tf", outputCol="_tfidf")
+    lr = LogisticRegression(featuresCol="_tfidf", labelCol=label_col, regParam=reg, maxIter=100)
+    return Pipeline(stages=[tok, tf, idf, lr])
+
+
+def train_text_classifier(df: DataFrame, text_col: str, label_col: str, model_name: str,
+                          test_size: float = 0.3, seed: int = 42, keys=("doc_id",),
+                          min_rows: int = 20) -> DataFrame:
+    """Guards (>= min_rows, two classes), keyed stratified split, fit, metrics on the test split."""
+    from lureline.operators import evaluation, models
+
+    data = df.select(*keys, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                     F.col(label_col).cast("int").alias("label")).dropna(subset=["label"])
+    models.check_trainable(data, label="label", min_rows=min_rows)
+    split = models.stratified_split(data, label="label", test_size=test_size, seed=seed, keys=keys)
+    split = split.checkpoint(eager=True)
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    model = text_classifier_pipeline(label_col="label").fit(train)
+    scored = model.transform(test).select(
+        F.col("label").alias("y"), vector_to_array("probability")[1].alias("p"))
+    return evaluation.model_metrics(scored, model_name)
+
+
+from pyspark.ml.functions import vector_to_array  # noqa: E402

@@ -720,3 +720,25 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _ORACLE_BASE3()
     q.update(_mixed_sql())
     return q
+
+
+def _files_sql() -> dict[str, str]:
+    from lureline.sources.files import FACT_SCHEMA
+    cols = []
+    for f in FACT_SCHEMA.fields:
+        if f.name == "source":
+            cols.append("'observed' AS source")
+        elif f.dataType.typeName() == "string":
+            cols.append(f"{_na_sql(f.name)} AS {f.name}")
+        else:
+            cols.append(f.name)
+    return {"source_default": f"{with_views('fact')} SELECT {', '.join(cols)} FROM fact"}
+
+
+_ORACLE_BASE4 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _ORACLE_BASE4()
+    q.update(_files_sql())
+    return q

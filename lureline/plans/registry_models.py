@@ -151,3 +151,43 @@ def q_mixed_extremes(spark, sf):
 @register("mixed_scores")
 def q_mixed_scores(spark, sf):
     return mixed.predict_cells(_mixed_fit(spark, sf), _cells(spark, sf))
+
+
+# ---- text classifier (N2) ------------------------------------------------------------------------
+from lureline.operators import text as text_ops  # noqa: E402
+
+
+@register("text_classifier")
+def q_text_classifier(spark, sf):
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    labels = fx.read_table(spark, sf, "labels").select("doc_id", "toxic", "quality")
+    joined = docs.join(labels, "doc_id", "inner")
+    toxic = text_ops.train_text_classifier(joined, "text", "toxic", "tfidf_logreg_toxic")
+    quality = text_ops.train_text_classifier(joined, "text", "quality", "tfidf_logreg_quality")
+    return toxic.unionByName(quality)
+
+
+@register("text_fact_classifier")
+def q_text_fact_classifier(spark, sf):
+    t = fx.load(spark, sf)
+    tf = text_ops.text_fact(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+    return text_ops.train_text_classifier(tf, "text_input", "clicked_flag", "tfidf_logreg_clicked",
+                                          keys=("campaign_id", "target_id"))
+
+
+# ---- file sources (S2, S3, S4) -------------------------------------------------------------------
+from lureline.operators import facts as facts_ops  # noqa: E402
+from lureline.sources import files  # noqa: E402
+from lureline.streaming.attribution import run_folder  # noqa: E402
+
+
+@register("source_default")
+def q_source_default(spark, sf):
+    """The fact exported as CSV without a ``source`` column, read back: NA tokens -> null and
+    source taken from the file name (an observed export)."""
+    t = fx.load(spark, sf)
+    fact = facts_ops.interaction_fact(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+    run = run_folder(spark, "csv-export")
+    path = f"{run}/{files.artifact_name('analytic_dataset_observed', 'all-campaigns', '20240101_000000')}"
+    files.write_csv(fact.drop("source"), path)
+    return files.read_dataset_csv(spark, path)
