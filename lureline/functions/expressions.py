@@ -93,12 +93,10 @@ HTML_ENTITIES = (
     ("&amp;", "&"),
 )
 
+# One pass: at each '<' the alternatives are tried in order -- comment, script block, style block,
+# declaration, tag -- so comments and script/style bodies go before any tag inside them is seen.
 _HTML_STEPS = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", " "),
-    (r"(?s)<![^>]*>", " "),
-    (r"(?s)</?[A-Za-z][^>]*>", " "),
+    (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<![^>]*>|</?[A-Za-z][^>]*>", " "),
 )
 
 

@@ -92,11 +92,11 @@ def calibration_curve(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "tar
     holds all scores.
     """
     key_cols = [k for k in keys if k in ev.columns]
-    n = ev.count()
+    ranked = with_global_rank(ev.select("p", "y", *key_cols), ["p", *key_cols])
+    n = ranked.count()  # reads the checkpointed ranking, not the input plan again
     if n == 0:
         return ev.sparkSession.createDataFrame(
             [], "bin int, predicted_probability_mean double, observed_positive_rate double")
-    ranked = with_global_rank(ev.select("p", "y", *key_cols), ["p", *key_cols])
     wanted = set()
     plan = []
     for k in range(n_bins + 1):
@@ -129,12 +129,12 @@ def lift_table(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "target_id"
     differ). Ties in the score are broken by the key columns.
     """
     key_cols = [k for k in keys if k in ev.columns]
-    totals = ev.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
+    ranked = with_global_rank(ev.select("p", "y", *key_cols), [F.col("p").desc(), *key_cols])
+    totals = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
     n, total_pos = int(totals["n"]), int(totals["pos"] or 0)
     if n == 0:
         return ev.sparkSession.createDataFrame([], _LIFT_SCHEMA)
     q = min(n_bins, n)
-    ranked = with_global_rank(ev.select("p", "y", *key_cols), [F.col("p").desc(), *key_cols])
     bucket = F.lit(1) if n == 1 else F.expr(f"greatest(1, ((_rank - 1) * {q} + {n - 2}) div {n - 1})")
     per = ranked.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"),

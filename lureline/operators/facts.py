@@ -15,7 +15,7 @@ from lureline.constants import (
     TARGET_COLUMN,
 )
 from lureline.functions.expressions import normalize_label, signal_flag
-from lureline.operators.joins import sized_broadcast
+from lureline.operators.joins import memo_frames, sized_broadcast
 
 FACT_COLUMNS = (
     "source", "campaign_id", "campaign_status", "campaign_channel", "campaign_launched_at",
@@ -41,6 +41,19 @@ def event_counts(event_log: DataFrame) -> DataFrame:
     )
 
 
+@memo_frames
+def counts_by_target(event_log: DataFrame, types=EVENT_TYPES) -> DataFrame:
+    """Pair counts folded to one row per target: ``_counts`` = map campaign_id -> struct(counts).
+
+    The map of a target holds at most one entry per campaign that reached it, and the result is
+    hash-partitioned by ``target_id`` -- ready for a co-partitioned join with targets.
+    """
+    pair = event_counts(event_log)
+    return pair.groupBy("target_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("campaign_id", F.struct(*types)))).alias("_counts"))
+
+
+@memo_frames
 def template_dimension(templates: DataFrame) -> DataFrame:
     """Templates with the four signal flags parsed out of the JSON."""
     return templates.select(
@@ -52,6 +65,7 @@ def template_dimension(templates: DataFrame) -> DataFrame:
     )
 
 
+@memo_frames
 def campaign_dimension(campaigns: DataFrame, templates: DataFrame,
                        segments: DataFrame) -> DataFrame:
     """J1 + J2: campaigns left-joined to template and segment (missing -> nulls, signals 0).
@@ -81,27 +95,38 @@ def campaign_dimension(campaigns: DataFrame, templates: DataFrame,
     )
 
 
+@memo_frames
+def broadcast_dimension(dim: DataFrame) -> DataFrame:
+    """The campaign dimension, broadcast once its bounded count proves it small (checked once
+    per dimension plan)."""
+    return sized_broadcast(dim)
+
+
 def interaction_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
                      targets: DataFrame, event_log: DataFrame,
                      source: str = SOURCE_OBSERVED) -> DataFrame:
     """one row per (campaign, target of the campaign's segment), 27 columns.
 
-    Plan: the campaign dimension (size-checked broadcast) fans out over the targets by
-    ``segment_id`` map-side; the pair counts (A2, pre-aggregated) are joined on
-    (campaign_id, target_id) with a left join, missing pairs -> 0. The N+1 per-pair count
+    Plan: the narrow target rows are hash-partitioned by ``target_id``; the pair counts (A2,
+    pre-aggregated map-side) are folded into one map per target (campaign -> counts; at most
+    one entry per campaign of the target's segment), which leaves them partitioned by
+    ``target_id`` too. The campaign dimension (size-checked broadcast) then fans out over the
+    targets map-side, keeping that partitioning, so the join with the counts is co-partitioned
+    and the wide fan-out rows (targets x campaigns per segment) are never shuffled. Nothing is
+    keyed by segment, so a segment holding most targets causes no skew. The N+1 per-pair count
     queries of the original become one aggregate and one join.
     """
-    dim = sized_broadcast(campaign_dimension(campaigns, templates, segments))
+    dim = broadcast_dimension(campaign_dimension(campaigns, templates, segments))
     tg = targets.select(
         F.col("segment_id").alias("_t_seg"),
         F.col("id").alias("target_id"),
         F.col("recipient").alias("target_recipient"),
         F.col("uid").alias("target_uid"),
-    )
+    ).repartition("target_id")
     pairs = tg.join(dim, tg._t_seg == dim._seg_key, "inner")
-    counts = event_counts(event_log)
-    fact = pairs.join(counts, ["campaign_id", "target_id"], "left")
-    zero = {t: F.coalesce(F.col(t), F.lit(0)).cast("bigint") for t in EVENT_TYPES}
+    fact = pairs.join(counts_by_target(event_log), "target_id", "left")
+    mine = F.element_at(F.col("_counts"), F.col("campaign_id"))
+    zero = {t: F.coalesce(mine[t], F.lit(0)).cast("bigint") for t in EVENT_TYPES}
     return fact.select(
         F.lit(source).alias("source"),
         "campaign_id", "campaign_status", "campaign_channel", "campaign_launched_at",

@@ -9,6 +9,28 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
+def memo_frames(fn):
+    """Memoise a DataFrame-building function on the identity of its DataFrame arguments.
+
+    DataFrames are immutable plans, so the same inputs give the same plan; reusing it saves the
+    Python-side plan construction (and, for size-checked dimensions, the size check job).
+    The inputs are kept referenced so an identity is never reused for a different frame.
+    """
+    cache: dict = {}
+
+    def wrapper(*args, **kwargs):
+        key = tuple(id(a) for a in args) + tuple(sorted(kwargs.items()))
+        hit = cache.get(key)
+        if hit is not None:
+            return hit[1]
+        out = fn(*args, **kwargs)
+        cache[key] = (args, out)
+        return out
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__name__ = fn.__name__
+    return wrapper
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint ``broadcast`` only after a bounded count proves the side small.
 

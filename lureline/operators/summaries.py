@@ -72,9 +72,9 @@ def campaign_summary_from_log(campaigns: DataFrame, templates: DataFrame, segmen
     The fan-out (targets x campaigns per segment) is never built, so the cost grows with
     targets + events, not with targets x campaigns. Equal to ``campaign_summary(fact)``.
     """
-    from lureline.operators.facts import campaign_dimension, event_counts
+    from lureline.operators.facts import broadcast_dimension, campaign_dimension, event_counts
 
-    dim = sized_broadcast(campaign_dimension(campaigns, templates, segments))
+    dim = broadcast_dimension(campaign_dimension(campaigns, templates, segments))
     per_segment = targets.groupBy(F.col("segment_id").alias("_seg_key")).agg(
         F.count(F.lit(1)).cast("bigint").alias("observaciones"))
     pair = event_counts(event_log)
@@ -90,7 +90,8 @@ def campaign_summary_from_log(campaigns: DataFrame, templates: DataFrame, segmen
         F.count_if(F.col("reported") > 0).cast("bigint").alias("reported"),
     )
     base = dim.join(per_segment, "_seg_key", "inner")
-    out = base.join(sums, "campaign_id", "left").select(
+    # ``sums`` has at most one row per campaign of the (size-checked) dimension: bounded, broadcast
+    out = base.join(F.broadcast(sums), "campaign_id", "left").select(
         *CAMPAIGN_KEYS, "observaciones",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in EVENT_TYPES])
     return _with_rates(out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lureline.functions.expressions import html_to_text, join_text
-from lureline.operators.facts import event_counts
+from lureline.operators.facts import counts_by_target
 from lureline.operators.joins import sized_broadcast
 
 
@@ -44,10 +44,11 @@ def text_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
     dim = (dim.join(tpl, F.col("_tk") == F.col("_tid"), "left")
               .join(seg, F.col("_sk") == F.col("_sid"), "left"))
     dim = sized_broadcast(dim)
-    tg = targets.select(F.col("id").alias("target_id"), F.col("segment_id").alias("_tseg"))
+    tg = targets.select(F.col("id").alias("target_id"), F.col("segment_id").alias("_tseg")).repartition("target_id")
     pairs = tg.join(dim, F.col("_tseg") == F.col("_sk"), "inner")
-    clicks = event_counts(event_log).select("campaign_id", "target_id", "clicked")
-    out = pairs.join(clicks, ["campaign_id", "target_id"], "left")
+    # co-partitioned on target_id: the fan-out rows are not shuffled (see facts.interaction_fact)
+    out = pairs.join(counts_by_target(event_log, ("clicked",)), "target_id", "left").withColumn(
+        "clicked", F.element_at(F.col("_counts"), F.col("campaign_id"))["clicked"])
     missing = F.col("_tid").isNull()
     return out.select(
         "campaign_id",

@@ -79,7 +79,12 @@ def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, TEMPLATE_ROWS, TEMPLATE_SCHEMA)
+    key = (id(spark), "templates")
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = literal_table(spark, TEMPLATE_ROWS, TEMPLATE_SCHEMA)
+        _SCANS[key] = df
+    return df
 
 
 _SCANS: dict = {}
@@ -211,13 +216,20 @@ class Fixtures:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return Fixtures(
+    """The operational tables of one input folder (plans memoised per session and folder)."""
+    key = (id(spark), sf_dir, "fixtures")
+    hit = _SCANS.get(key)
+    if hit is not None and hit.targets.sparkSession is spark:
+        return hit
+    out = Fixtures(
         segments=segments(spark, sf_dir),
         templates=templates(spark),
         targets=targets(spark, sf_dir),
         campaigns=campaigns(spark, sf_dir),
         event_log=event_log(spark, sf_dir),
     )
+    _SCANS[key] = out
+    return out
 
 
 # ----------------------------------------------------------------------------------------------
