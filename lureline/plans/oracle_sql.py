@@ -219,6 +219,9 @@ def _base_sql() -> dict[str, str]:
     q["interaction_fact"] = f"{with_views('fact')} SELECT * FROM fact"
     q["campaign_summary"] = f"{with_views('fact')} {_campaign_summary_sql()}"
     q["campaign_summary_fact"] = q["campaign_summary"]
+    sig = ", ".join(f"CAST(coalesce(t.{c}, 0) AS INTEGER) AS {c}" for c in SIGNAL_COLUMNS)
+    q["signal_flags"] = (f"{with_views('campaigns', 'tpl_dim')} SELECT c.id AS campaign_id, t.template_id, "
+                         f"{sig} FROM campaigns c LEFT JOIN tpl_dim t ON c.template_id = t.template_id")
     q["segment_summary"] = f"{with_views('fact')} {_segment_summary_sql()}"
     q["template_summary"] = f"{with_views('fact')} {_template_summary_sql()}"
     q["signal_summary"] = f"{with_views('fact')} {_signal_table_sql()}"

@@ -63,6 +63,14 @@ def q_campaign_summary_fact(spark, sf):
     return summaries.campaign_summary(_fact(spark, sf))
 
 
+@register("signal_flags")
+def q_signal_flags(spark, sf):
+    """The four signal flags of each campaign's template (JSON truthiness rule)."""
+    t = fx.load(spark, sf)
+    dim = facts.campaign_dimension(t.campaigns, t.templates, t.segments)
+    return dim.select("campaign_id", "template_id", *facts.SIGNAL_COLUMNS)
+
+
 @register("segment_summary")
 def q_segment_summary(spark, sf):
     return summaries.segment_summary(_fact(spark, sf))
