@@ -4,23 +4,21 @@ A tracker hit carries only a ``uid``. It is credited to the target's latest deli
 time of the hit; a hit with no earlier delivery is dropped, and a ``uid`` that names no target is
 quarantined (the tracker answered 404).
 
-The as-of step is written for skew: a single target may own a large share of all hits, so a
-window partitioned by target alone would funnel that share into one task. Instead time is cut
-into buckets and the work is split in two windows:
-
-1. per (target, bucket) the last delivery inside the bucket (a partial aggregate), then a window
-   over *buckets* per target carries the last delivery forward. Its rows per target are bounded
-   by the number of active buckets (time span / bucket width), not by the number of events;
-2. a row window partitioned by (target, bucket) over that bucket's deliveries and hits, seeded
-   with the carried-in delivery, resolves each hit. A hot target is spread over its buckets.
+The as-of step is written for skew: a single target may own a large share of all hits (even
+within one hour), so a window partitioned by target would funnel that share into one task.
+Deliveries and hits are unioned and handed to ``ranking.carry_forward_last``: a global range
+sort on (target, time, kind, id) splits a hot target over partitions, and the latest delivery is
+carried across partition boundaries through a table with one row per partition. Every window
+then runs inside one range partition, whose size is bounded whatever the key distribution.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lureline.constants import HIT_ROUTES
+from lureline.operators.ranking import carry_forward_last
 
 
 def parse_hits(hits: DataFrame, url_col: str = "url") -> DataFrame:
@@ -48,8 +46,7 @@ def unknown_uid_hits(parsed_hits: DataFrame, targets: DataFrame) -> DataFrame:
     return parsed_hits.join(t, "uid", "left_anti")
 
 
-def attribute_hits(resolved_hits: DataFrame, event_log: DataFrame,
-                   bucket: str = "hour") -> DataFrame:
+def attribute_hits(resolved_hits: DataFrame, event_log: DataFrame) -> DataFrame:
     """Credit each resolved hit to the target's latest delivery at or before the hit.
 
     Order inside a target: (time, kind, id) with deliveries before hits at equal time, and the
@@ -58,42 +55,19 @@ def attribute_hits(resolved_hits: DataFrame, event_log: DataFrame,
     deliveries = event_log.where(F.col("event_type") == "delivered").select(
         "target_id",
         F.col("occurred_at").alias("ts"),
+        F.lit(0).alias("_kind"),
         F.col("id").alias("_id"),
         F.struct(F.col("occurred_at").alias("ts"), F.col("id").alias("id"),
                  "campaign_id", "template_id").alias("dlv"),
-    ).withColumn("_b", F.date_trunc(bucket, "ts"))
+        F.lit(None).cast("string").alias("event_type"),
+        F.lit(None).cast("string").alias("uid"),
+    )
     hits = resolved_hits.select(
-        "target_id", "ts", F.col("hit_id").alias("_id"), "event_type", "uid",
-    ).withColumn("_b", F.date_trunc(bucket, "ts"))
-
-    # 1. last delivery per (target, bucket) and the carry into each bucket that has hits
-    last_in_bucket = deliveries.groupBy("target_id", "_b").agg(
-        F.max_by("dlv", F.struct("ts", "_id")).alias("last_dlv"))
-    hit_buckets = hits.select("target_id", "_b").distinct()
-    buckets = last_in_bucket.join(hit_buckets.withColumn("_has_hits", F.lit(True)),
-                                  ["target_id", "_b"], "full_outer")
-    prior = Window.partitionBy("target_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (buckets.withColumn("carry", F.last("last_dlv", ignorenulls=True).over(prior))
-             .where(F.col("_has_hits") & F.col("carry").isNotNull())
-             .select("target_id", "_b", F.col("carry.ts").alias("ts"),
-                     F.lit(-1).alias("_kind"), F.col("carry.id").alias("_id"),
-                     F.col("carry").alias("dlv")))
-
-    # 2. row window per (target, bucket): carried delivery, the bucket's deliveries, its hits
-    rows = (
-        carry.select("target_id", "_b", "ts", "_kind", "_id", "dlv",
-                     F.lit(None).cast("string").alias("event_type"),
-                     F.lit(None).cast("string").alias("uid"))
-        .unionByName(deliveries.join(hit_buckets, ["target_id", "_b"], "left_semi").select(
-            "target_id", "_b", "ts", F.lit(0).alias("_kind"), "_id", "dlv",
-            F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("uid")))
-        .unionByName(hits.select(
-            "target_id", "_b", "ts", F.lit(1).alias("_kind"), "_id",
-            F.lit(None).cast(deliveries.schema["dlv"].dataType).alias("dlv"), "event_type", "uid"))
+        "target_id", "ts", F.lit(1).alias("_kind"), F.col("hit_id").alias("_id"),
+        F.lit(None).cast(deliveries.schema["dlv"].dataType).alias("dlv"), "event_type", "uid",
     )
-    running = (Window.partitionBy("target_id", "_b").orderBy("ts", "_kind", "_id")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    resolved = rows.withColumn("latest", F.last("dlv", ignorenulls=True).over(running))
+    rows = deliveries.unionByName(hits)
+    resolved = carry_forward_last(rows, "target_id", ("ts", "_kind", "_id"), "dlv", "latest")
     return resolved.where((F.col("_kind") == 1) & F.col("latest").isNotNull()).select(
         F.col("_id").alias("hit_id"),
         F.col("latest.campaign_id").alias("campaign_id"),

@@ -1,5 +1,6 @@
 """As-of attribution, ranking and evaluation properties on hand-made frames."""
 
+import contextlib
 import datetime as dt
 
 import pytest
@@ -12,22 +13,54 @@ from lureline.operators.ranking import with_global_rank
 EV = "id long, campaign_id long, target_id long, template_id long, event_type string, occurred_at timestamp_ntz, meta string"
 
 
+@contextlib.contextmanager
+def _many_partitions(spark, n):
+    """Keep ``n`` range partitions (AQE would merge them at this size), so carries and offsets
+    really cross partition boundaries."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    prev = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], str(n))
+    spark.conf.set(keys[1], "false")
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, prev):
+            spark.conf.set(k, v)
+
+
 def _t(minutes):
     return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
 
 
-@pytest.mark.parametrize("bucket", ["minute", "hour", "day"])
-def test_asof_latest_delivery(spark, bucket):
+def test_asof_latest_delivery(spark):
     log = spark.createDataFrame([(1, 1, 7, 1, "delivered", _t(60), None),
                                  (2, 2, 7, 2, "delivered", _t(300), None)], EV)
     hits = spark.createDataFrame([(10, "opened", "u", 7, _t(0)), (11, "clicked", "u", 7, _t(60)),
                                   (12, "clicked", "u", 7, _t(180)), (13, "reported", "u", 7, _t(420))],
                                  "hit_id long, event_type string, uid string, target_id long, ts timestamp_ntz")
-    got = {r.hit_id: r.campaign_id for r in attribution.attribute_hits(hits, log, bucket=bucket).collect()}
+    got = {r.hit_id: r.campaign_id for r in attribution.attribute_hits(hits, log).collect()}
     # t=0 before any delivery -> dropped; t=60 ties with delivery 1 -> credited; later -> latest
     assert got == {11: 1, 12: 1, 13: 2}
 
 
+def test_asof_hot_target_spans_partitions(spark):
+    """One target owns most rows (all within one hour): the carry crosses range partitions and
+    the result equals a brute-force as-of over the same rows."""
+    dlv = [(i, 100 + i % 5, 7 if i % 4 else 8, 1, "delivered", _t((i * 7) % 50), None)
+           for i in range(1, 400)]
+    hit = [(10_000 + i, "clicked", "u", 7 if i % 3 else 9, _t((i * 11) % 55)) for i in range(1, 3000)]
+    log = spark.createDataFrame(dlv, EV)
+    hits = spark.createDataFrame(hit, "hit_id long, event_type string, uid string, target_id long, ts timestamp_ntz")
+    with _many_partitions(spark, 23):
+        got = {r.hit_id: r.delivery_id for r in attribution.attribute_hits(hits, log).collect()}
+    want = {}
+    for hid, _, _, tgt, ts in hit:
+        cands = [(d[5], d[0]) for d in dlv if d[2] == tgt and d[5] <= ts]
+        if cands:
+            want[hid] = max(cands)[1]
+    assert got == want
+
+
 def test_unknown_uid_quarantine(spark):
     hits = spark.createDataFrame([(1, "http://t.example/r?uid=abc", _t(1)),
                                   (2, "http://t.example/open.gif?uid=zzz", _t(2))],
@@ -42,7 +75,8 @@ def test_unknown_uid_quarantine(spark):
 
 def test_global_rank_matches_sort(spark):
     df = spark.range(0, 5000).select((F.col("id") % 7).alias("p"), F.col("id").alias("k"), F.lit(1).alias("one"))
-    ranked = with_global_rank(df.repartition(13), ["p", "k"], sum_cols=["one"]).collect()
+    with _many_partitions(spark, 13):
+        ranked = with_global_rank(df.repartition(13), ["p", "k"], sum_cols=["one"]).collect()
     expected = sorted((r.p, r.k) for r in ranked)
     got = sorted(ranked, key=lambda r: r._rank)
     assert [(r.p, r.k) for r in got] == expected
