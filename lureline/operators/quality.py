@@ -65,17 +65,35 @@ def null_violations(checks: list[tuple[str, DataFrame, list[str]]]) -> DataFrame
 
 
 def fk_violations(checks: list[tuple[str, DataFrame, str, str, DataFrame, str]]) -> DataFrame:
-    """Child rows whose foreign key names no parent (``left_anti`` per key).
+    """Child rows whose foreign key names no parent.
 
-    Each check: (relation, child, child_id_col, fk_col, parent, parent_key_col).
+    Each check: (relation, child, child_id_col, fk_col, parent, parent_key_col). Checks on the
+    same child are answered in one pass over it: each parent's distinct keys are left-joined as
+    an existence flag (distinct, so no child row is duplicated; its hash partitioning is reused
+    by the join), then one row per violated key is exploded. A large child such as the event log
+    is scanned once, not once per foreign key.
     """
+    groups: dict[tuple[int, str], list] = {}
+    for check in checks:
+        groups.setdefault((id(check[1]), check[2]), []).append(check)
     parts = []
-    for rel, child, id_col, fk, parent, pk in checks:
-        keys = parent.select(F.col(pk).alias("_pk"))
-        bad = child.where(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("_pk"), "left_anti")
-        parts.append(bad.select(F.lit(rel).alias("relation"),
-                                F.col(id_col).cast("bigint").alias("child_id"),
-                                F.col(fk).cast("bigint").alias("missing_key")))
+    for (_, id_col), group in groups.items():
+        child = group[0][1]
+        rows = child.select(F.col(id_col).cast("bigint").alias("_child_id"),
+                            *[F.col(fk).alias(f"_fk{i}") for i, (_, _, _, fk, _, _) in enumerate(group)])
+        violations = []
+        for i, (rel, _, _, _, parent, pk) in enumerate(group):
+            keys = parent.select(F.col(pk).alias(f"_pk{i}")).distinct().withColumn(f"_ok{i}", F.lit(True))
+            rows = rows.join(keys, F.col(f"_fk{i}") == F.col(f"_pk{i}"), "left")
+            violations.append(F.when(F.col(f"_fk{i}").isNotNull() & F.col(f"_ok{i}").isNull(),
+                                     F.struct(F.lit(rel).alias("relation"),
+                                              F.col("_child_id").alias("child_id"),
+                                              F.col(f"_fk{i}").cast("bigint").alias("missing_key"))))
+        any_bad = reduce(lambda x, y: x | y, [F.col(f"_fk{i}").isNotNull() & F.col(f"_ok{i}").isNull()
+                                              for i in range(len(group))])
+        parts.append(rows.where(any_bad)
+                     .select(F.explode(F.array_compact(F.array(*violations))).alias("_v"))
+                     .select("_v.*"))
     return reduce(DataFrame.unionByName, parts)
 
 

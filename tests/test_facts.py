@@ -84,3 +84,19 @@ def test_clean_and_required_columns(spark):
         raise AssertionError("expected ValueError")
     except ValueError as e:
         assert "['alpha', 'zeta']" in str(e)
+
+
+def test_fk_violations_one_pass_per_child(spark):
+    from lureline.operators import quality
+    parents = spark.createDataFrame([(1,), (1,), (2,)], "id long")   # duplicate key: no duplicated rows
+    others = spark.createDataFrame([(7,)], "id long")
+    child = spark.createDataFrame([(100, 1, 7), (101, 3, 7), (102, None, 8), (103, 4, None),
+                                   (103, 4, None)], "id long, a long, b long")
+    other_child = spark.createDataFrame([(5, 9)], "id long, a long")
+    got = sorted(tuple(r) for r in quality.fk_violations([
+        ("child.a", child, "id", "a", parents, "id"),
+        ("child.b", child, "id", "b", others, "id"),
+        ("other.a", other_child, "id", "a", parents, "id"),
+    ]).collect())
+    assert got == [("child.a", 101, 3), ("child.a", 103, 4), ("child.a", 103, 4),
+                   ("child.b", 102, 8), ("other.a", 5, 9)]
