@@ -40,3 +40,16 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread_if_undersplit(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores only when its scan has fewer splits.
+
+    For CPU-heavy per-row work (regex over whole HTML pages, tokenising long documents) a table
+    stored as one large row group arrives as a single task. The split count is read from the
+    physical plan (no job). On a large input the scan already has more splits than cores and
+    the plan is returned unchanged, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -15,6 +15,7 @@ from lureline.functions.expressions import na_to_null, sanitize_name
 from lureline.operators import (
     attribution, design, evaluation, facts, quality, summaries, synthetic, text,
 )
+from lureline.operators.joins import spread_if_undersplit
 from lureline.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,7 +203,7 @@ def q_sanitize_name(spark, sf):
 
 @register("html_to_text")
 def q_html_to_text(spark, sf):
-    return text.page_text(fx.read_table(spark, sf, "pages").select("page_id", "html"))
+    return text.page_text(spread_if_undersplit(fx.read_table(spark, sf, "pages").select("page_id", "html")))
 
 
 @register("text_fact")

@@ -155,11 +155,12 @@ def q_mixed_scores(spark, sf):
 
 # ---- text classifier (N2) ------------------------------------------------------------------------
 from lureline.operators import text as text_ops  # noqa: E402
+from lureline.operators.joins import spread_if_undersplit  # noqa: E402
 
 
 @register("text_classifier")
 def q_text_classifier(spark, sf):
-    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_if_undersplit(fx.read_table(spark, sf, "documents").select("doc_id", "text"))
     labels = fx.read_table(spark, sf, "labels").select("doc_id", "toxic", "quality")
     joined = docs.join(labels, "doc_id", "inner")
     toxic = text_ops.train_text_classifier(joined, "text", "toxic", "tfidf_logreg_toxic")
