@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureline.constants import (
@@ -60,9 +60,10 @@ def campaign_summary(fact: DataFrame) -> DataFrame:
     return _with_rates(g)
 
 
-def campaign_summary_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
-                              targets: DataFrame, event_log: DataFrame) -> DataFrame:
-    """A6 straight from the operational tables, without materialising the fact.
+def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                    targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """Per campaign of the fact: its keys, ``_seg_key``, targets in the segment and the four
+    fact sums, computed without materialising the fact.
 
     The fact has one row per (campaign, target of its segment); its campaign sums only need
     (a) the number of targets per segment and (b) the pair counts of targets that belong to the
@@ -70,7 +71,8 @@ def campaign_summary_from_log(campaigns: DataFrame, templates: DataFrame, segmen
     pair counts (A2) joined to the target's segment on ``target_id`` (one shuffle of narrow
     rows, no fan-out) and kept where it equals the campaign's segment; then summed per campaign.
     The fan-out (targets x campaigns per segment) is never built, so the cost grows with
-    targets + events, not with targets x campaigns. Equal to ``campaign_summary(fact)``.
+    targets + events, not with targets x campaigns. One row per campaign of the size-checked
+    dimension that has targets.
     """
     from lureline.operators.facts import broadcast_dimension, campaign_dimension, event_counts
 
@@ -91,10 +93,60 @@ def campaign_summary_from_log(campaigns: DataFrame, templates: DataFrame, segmen
     )
     base = dim.join(per_segment, "_seg_key", "inner")
     # ``sums`` has at most one row per campaign of the (size-checked) dimension: bounded, broadcast
-    out = base.join(F.broadcast(sums), "campaign_id", "left").select(
-        *CAMPAIGN_KEYS, "observaciones",
+    return base.join(F.broadcast(sums), "campaign_id", "left").select(
+        *CAMPAIGN_KEYS, "_seg_key", "observaciones",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in EVENT_TYPES])
-    return _with_rates(out)
+
+
+def campaign_summary_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                              targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """A6 straight from the operational tables (see :func:`campaign_rollup`); equal to
+    ``campaign_summary(interaction_fact(...))``."""
+    rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
+    return _with_rates(rollup.drop("_seg_key"))
+
+
+def _rollup_totals(rollup: DataFrame, with_reported: bool) -> DataFrame:
+    """The one-row totals of A4/A5 from the per-campaign rollup (bounded by the campaign
+    dimension, so its window and global aggregate are small).
+
+    fact rows = sum of targets per campaign; distinct targets = targets of each distinct
+    segment key (each target has one segment, campaigns of one key share the count).
+    """
+    first_of_key = Window.partitionBy("_seg_key").orderBy("campaign_id")
+    r = rollup.withColumn("_key_first", F.row_number().over(first_of_key) == 1)
+    aggs = [
+        _lsum("observaciones").alias("_v0"),
+        F.countDistinct("campaign_id").alias("_v1"),
+        _lsum(F.when(F.col("_key_first"), F.col("observaciones"))).alias("_v2"),
+        F.countDistinct("segment_id").alias("_v3"),
+        F.countDistinct("template_id").alias("_v4"),
+        _lsum("delivered").alias("_v5"),
+        _lsum("opened").alias("_v6"),
+        _lsum("clicked").alias("_v7"),
+    ]
+    if with_reported:
+        aggs.append(_lsum("reported").alias("_v8"))
+    return r.agg(*aggs)
+
+
+def global_summary_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                            targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """A4 of the observed fact without building it; equal to ``global_summary(fact)``."""
+    rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
+    row = _rollup_totals(rollup, with_reported=False).select(
+        "*", safe_rate("_v6", "_v5").alias("_v8"), safe_rate("_v7", "_v5").alias("_v9"))
+    return _long_form(row, GLOBAL_INDICATORS, "indicator", "value")
+
+
+def general_table_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                           targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """A5 of the observed fact without building it; equal to ``general_table(fact)``."""
+    rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
+    row = _rollup_totals(rollup, with_reported=True).select(
+        "*", safe_rate("_v6", "_v5").alias("_v9"), safe_rate("_v7", "_v5").alias("_v10"),
+        safe_rate("_v8", "_v5").alias("_v11"))
+    return _long_form(row, GENERAL_INDICATORS, "indicador", "valor")
 
 
 SEGMENT_KEYS = ("segment_id", "age_bracket", "gender", "education")

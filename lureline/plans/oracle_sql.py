@@ -227,6 +227,8 @@ def _base_sql() -> dict[str, str]:
     q["signal_summary"] = f"{with_views('fact')} {_signal_table_sql()}"
     q["global_summary"] = _global_summary_sql()
     q["general_table"] = _general_table_sql()
+    q["global_summary_fact"] = q["global_summary"]
+    q["general_table_fact"] = q["general_table"]
     q["operational_totals"] = _operational_totals_sql()
     q["source_distribution"] = (f"{with_views('fact')} SELECT source, CAST(count(*) AS BIGINT) AS count "
                                 f"FROM fact GROUP BY source")

@@ -89,11 +89,27 @@ def q_signal_summary(spark, sf):
 
 @register("global_summary")
 def q_global_summary(spark, sf):
-    return summaries.global_summary(_fact(spark, sf))
+    """A4 of the observed fact from the per-campaign rollup (no fan-out rows are built)."""
+    t = fx.load(spark, sf)
+    return summaries.global_summary_from_log(t.campaigns, t.templates, t.segments, t.targets,
+                                             t.event_log)
 
 
 @register("general_table")
 def q_general_table(spark, sf):
+    """A5 of the observed fact from the per-campaign rollup (no fan-out rows are built)."""
+    t = fx.load(spark, sf)
+    return summaries.general_table_from_log(t.campaigns, t.templates, t.segments, t.targets,
+                                            t.event_log)
+
+
+@register("global_summary_fact")
+def q_global_summary_fact(spark, sf):
+    return summaries.global_summary(_fact(spark, sf))
+
+
+@register("general_table_fact")
+def q_general_table_fact(spark, sf):
     return summaries.general_table(_fact(spark, sf))
 
 
