@@ -86,38 +86,36 @@ def _make_update(lateness_us: int, ttl_us: int):
         if state.hasTimedOut:
             state.remove()
             return
-        d_ts, d_id, d_camp, d_tpl = ([], [], [], []) if not state.exists else [list(x) for x in state.get]
         pdf = pd.concat(list(batches), ignore_index=True)
-        pdf["t_us"] = _to_us(pdf["ts"])
-        pdf = pdf.sort_values(["t_us", "kind", "id"], kind="mergesort")
-        out = []
-        for row in pdf.itertuples(index=False):
-            if row.kind == 0:
-                d_ts.append(int(row.t_us)); d_id.append(int(row.id))
-                d_camp.append(int(row.campaign_id)); d_tpl.append(int(row.template_id))
-                continue
-            best = -1
-            for i in range(len(d_ts)):  # latest delivery at or before the hit, by (ts, id)
-                if d_ts[i] <= row.t_us and (best < 0 or (d_ts[i], d_id[i]) > (d_ts[best], d_id[best])):
-                    best = i
-            if best >= 0:
-                out.append((int(row.id), d_camp[best], int(target_id), d_tpl[best], row.event_type,
-                            row.ts, d_id[best], row.uid))
+        t_us = _to_us(pdf["ts"])
+        is_dlv = (pdf["kind"] == 0).to_numpy()
+        kept = [np.asarray(x, dtype=np.int64) for x in state.get] if state.exists else \
+            [np.empty(0, dtype=np.int64)] * 4
+        new = [t_us[is_dlv]] + [pdf[c].to_numpy()[is_dlv].astype(np.int64)
+                                for c in ("id", "campaign_id", "template_id")]
+        d_ts, d_id, d_camp, d_tpl = (np.concatenate([k, n]) for k, n in zip(kept, new))
+        order = np.lexsort((d_id, d_ts))            # by (ts, id)
+        d_ts, d_id, d_camp, d_tpl = d_ts[order], d_id[order], d_camp[order], d_tpl[order]
+        # each hit: the latest delivery at or before it (deliveries first at equal time, the
+        # larger id winning a time tie) -- one binary search per hit, no per-row loop
+        hits = pdf[~is_dlv]
+        if len(hits) and len(d_ts):
+            at = np.searchsorted(d_ts, t_us[~is_dlv], side="right") - 1
+            found = at >= 0
+            at = at[found]
+            hits = hits[found]
+            yield pd.DataFrame({
+                "hit_id": hits["id"].to_numpy(), "campaign_id": d_camp[at],
+                "target_id": np.full(len(at), target_id, dtype=np.int64),
+                "template_id": d_tpl[at], "event_type": hits["event_type"].to_numpy(),
+                "occurred_at": hits["ts"].to_numpy(), "delivery_id": d_id[at],
+                "uid": hits["uid"].to_numpy()})
         # prune: keep deliveries inside the lateness window and the latest one before it
-        if d_ts:
-            order = sorted(range(len(d_ts)), key=lambda i: (d_ts[i], d_id[i]))
-            newest = d_ts[order[-1]]
-            horizon = newest - lateness_us
-            keep = [i for i in order if d_ts[i] >= horizon]
-            older = [i for i in order if d_ts[i] < horizon]
-            if older:
-                keep = [older[-1]] + keep
-            d_ts, d_id = [d_ts[i] for i in keep], [d_id[i] for i in keep]
-            d_camp, d_tpl = [d_camp[i] for i in keep], [d_tpl[i] for i in keep]
-            state.update((d_ts, d_id, d_camp, d_tpl))
+        if len(d_ts):
+            newest = int(d_ts[-1])
+            start = max(int(np.searchsorted(d_ts, newest - lateness_us, side="left")) - 1, 0)
+            state.update(tuple(a[start:].tolist() for a in (d_ts, d_id, d_camp, d_tpl)))
             state.setTimeoutTimestamp((newest + ttl_us) // 1000)
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
     return update
 
 

@@ -125,3 +125,40 @@ def test_stream_equals_batch(spark):
     batch = sorted(tuple(r) for r in attribution.attribute_hits(resolved, log).collect())
     stream = sorted(tuple(r) for r in stream_attr.attribution_via_stream(spark, log, resolved).collect())
     assert batch == stream and len(batch) > 0
+
+
+def test_stream_state_carries_across_micro_batches(spark):
+    """Five time-ordered files, one per trigger: hits are credited from deliveries kept in the
+    per-target state of earlier micro-batches, including one older than the lateness window
+    (the newest older delivery is kept)."""
+    import datetime as dt
+    import time
+
+    t0 = dt.datetime(2024, 1, 1)
+
+    def m(minutes):
+        return t0 + dt.timedelta(minutes=minutes)
+
+    def d(target, minute, eid, camp):
+        return (target, 0, m(minute), eid, camp, camp * 10, None, None)
+
+    def h(target, minute, hid):
+        return (target, 1, m(minute), hid, None, None, "clicked", f"u{target}")
+
+    files = [
+        [d(7, 0, 1, 1)],
+        [h(7, 1, 101), d(7, 3, 2, 2)],
+        [h(7, 3, 102), h(7, 2, 103)],
+        [h(7, 30, 104), h(8, 30, 105), d(8, 31, 3, 3), h(8, 32, 106), d(7, 100, 4, 4)],
+        [h(7, 95, 107)],
+    ]
+    run = stream_attr.run_folder(spark, "stream-multibatch")
+    for rows in files:
+        spark.createDataFrame(rows, stream_attr.STREAM_SCHEMA).coalesce(1).write.mode("append").parquet(f"{run}/in")
+        time.sleep(1.1)  # distinct modification times keep the file order
+    q = stream_attr.start_attribution(spark, f"{run}/in", f"{run}/out", f"{run}/chk",
+                                      max_files_per_trigger=1)
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == len(files)
+    got = {r.hit_id: r.delivery_id for r in spark.read.parquet(f"{run}/out").collect()}
+    assert got == {101: 1, 102: 2, 103: 1, 104: 2, 106: 3, 107: 2}
