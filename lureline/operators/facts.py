@@ -15,7 +15,7 @@ from lureline.constants import (
     TARGET_COLUMN,
 )
 from lureline.functions.expressions import normalize_label, signal_flag
-from lureline.operators.joins import memo_frames, sized_broadcast
+from lureline.operators.joins import memo_frames, sized_broadcast, spread_if_undersplit
 
 FACT_COLUMNS = (
     "source", "campaign_id", "campaign_status", "campaign_channel", "campaign_launched_at",
@@ -102,6 +102,35 @@ def broadcast_dimension(dim: DataFrame) -> DataFrame:
     return sized_broadcast(dim)
 
 
+def _fan_out(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+             targets: DataFrame, co_partition: bool) -> DataFrame:
+    """(campaign, target of the campaign's segment) rows: the size-checked campaign dimension is
+    broadcast and fanned out over the narrow target rows map-side. ``co_partition`` first
+    hash-partitions the targets by ``target_id`` (for a following join on it).
+    """
+    dim = broadcast_dimension(campaign_dimension(campaigns, templates, segments))
+    tg = targets.select(
+        F.col("segment_id").alias("_t_seg"),
+        F.col("id").alias("target_id"),
+        F.col("recipient").alias("target_recipient"),
+        F.col("uid").alias("target_uid"),
+    )
+    # without a following join, spread the targets only if their scan has fewer splits than cores
+    tg = tg.repartition("target_id") if co_partition else spread_if_undersplit(tg)
+    return tg.join(dim, tg._t_seg == dim._seg_key, "inner")
+
+
+def fact_rows(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+              targets: DataFrame, source: str = SOURCE_OBSERVED) -> DataFrame:
+    """The grain and dimension columns of F1 without its event counts, for consumers that
+    replace the counts (scenario cohorts). No shuffle at all: the fan-out is map-side."""
+    pairs = _fan_out(campaigns, templates, segments, targets, co_partition=False)
+    return pairs.select(
+        F.lit(source).alias("source"),
+        *[c for c in FACT_COLUMNS[1:] if c not in (
+            *EVENT_TYPES, "opened_flag", "clicked_flag", "reported_flag")])
+
+
 def interaction_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
                      targets: DataFrame, event_log: DataFrame,
                      source: str = SOURCE_OBSERVED) -> DataFrame:
@@ -116,14 +145,7 @@ def interaction_fact(campaigns: DataFrame, templates: DataFrame, segments: DataF
     keyed by segment, so a segment holding most targets causes no skew. The N+1 per-pair count
     queries of the original become one aggregate and one join.
     """
-    dim = broadcast_dimension(campaign_dimension(campaigns, templates, segments))
-    tg = targets.select(
-        F.col("segment_id").alias("_t_seg"),
-        F.col("id").alias("target_id"),
-        F.col("recipient").alias("target_recipient"),
-        F.col("uid").alias("target_uid"),
-    ).repartition("target_id")
-    pairs = tg.join(dim, tg._t_seg == dim._seg_key, "inner")
+    pairs = _fan_out(campaigns, templates, segments, targets, co_partition=True)
     fact = pairs.join(counts_by_target(event_log), "target_id", "left")
     mine = F.element_at(F.col("_counts"), F.col("campaign_id"))
     zero = {t: F.coalesce(mine[t], F.lit(0)).cast("bigint") for t in EVENT_TYPES}

@@ -39,6 +39,12 @@ def _fact(spark: SparkSession, sf: str) -> DataFrame:
     return facts.interaction_fact(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
 
 
+def _fact_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """F1's rows and dimension columns without the event counts (no shuffle)."""
+    t = fx.load(spark, sf)
+    return facts.fact_rows(t.campaigns, t.templates, t.segments, t.targets)
+
+
 # ---- facts and summaries (A2-A17, F1) ---------------------------------------------------------
 
 @register("event_counts")
@@ -246,12 +252,12 @@ def q_score_probabilities(spark, sf):
 
 @register("scenario_cohort")
 def q_scenario_cohort(spark, sf):
-    return synthetic.scenario_cohort(_fact(spark, sf)).select(*COHORT_COLUMNS)
+    return synthetic.scenario_cohort(_fact_rows(spark, sf)).select(*COHORT_COLUMNS)
 
 
 @register("scenario_validation")
 def q_scenario_validation(spark, sf):
-    return synthetic.scenario_validation(synthetic.scenario_cohort(_fact(spark, sf)))
+    return synthetic.scenario_validation(synthetic.scenario_cohort(_fact_rows(spark, sf)))
 
 
 @register("contrast_signal")
