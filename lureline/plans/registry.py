@@ -247,7 +247,7 @@ COHORT_COLUMNS = ("source", "scenario", "scenario_seed", "campaign_id", "target_
 
 @register("score_probabilities")
 def q_score_probabilities(spark, sf):
-    return synthetic.score_probabilities(_fact(spark, sf)).select(*SCORE_COLUMNS)
+    return synthetic.score_probabilities(_fact_rows(spark, sf)).select(*SCORE_COLUMNS)
 
 
 @register("scenario_cohort")
