@@ -326,3 +326,13 @@ def top_findings(fact: DataFrame) -> DataFrame:
     sig_best = best(sig, "signal", F.col("senal"), F.col("_ord"),
                     ("tasa_apertura_con_senal_pct", "tasa_clic_con_senal_pct", "tasa_reporte_con_senal_pct"))
     return reduce(DataFrame.unionByName, [glob, camp, seg, sig_best])
+
+
+def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """K5: the first ``n`` rows of a result table in a stated order (the rows a report shows).
+
+    ``orderBy(...).limit(n)`` plans as a top-k (``TakeOrderedAndProject``): each partition keeps
+    its own n best rows and only those are merged, so no task sorts the whole table. Add a unique
+    tie-breaker to ``order`` for a deterministic head.
+    """
+    return df.orderBy(*order).limit(n)

@@ -119,3 +119,10 @@ def test_totals_from_rollup_equal_fact_totals(spark):
     for from_log, on_fact in ((summaries.global_summary_from_log, summaries.global_summary),
                               (summaries.general_table_from_log, summaries.general_table)):
         assert sorted(from_log(*tables).collect()) == sorted(on_fact(fact).collect())
+
+
+def test_first_rows_is_a_top_k(spark):
+    df = spark.range(0, 1000).select((F.col("id") % 10).alias("g"), F.col("id")).repartition(7)
+    head = summaries.first_rows(df, 15, F.col("g").desc(), "id")
+    assert [(r.g, r.id) for r in head.collect()] == [(9, 9 + 10 * i) for i in range(15)]
+    assert "TakeOrderedAndProject" in head._jdf.queryExecution().executedPlan().toString()
