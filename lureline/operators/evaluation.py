@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureline.operators.ranking import with_global_rank
+from lureline.session import ensure_checkpoint_dir
 
 MEAN_DECIMALS = 10
 NAN = float("nan")
@@ -161,8 +162,17 @@ _LIFT_SCHEMA = ("bucket int, rows bigint, positives bigint, min_score double, ma
                 "cumulative_positives bigint, cumulative_positive_capture_rate double")
 
 
-def model_metrics(ev: DataFrame, model: str, threshold: float = 0.5) -> DataFrame:
-    """One metrics row per model run (the content of a metrics artifact)."""
+def model_metrics(ev: DataFrame, model: str, threshold: float = 0.5,
+                  materialize: bool = False) -> DataFrame:
+    """One metrics row per model run (the content of a metrics artifact).
+
+    The metrics read ``ev`` in three branches. ``materialize=True`` freezes the narrow (y, p)
+    rows once with a reliable checkpoint, for scores that come from a fitted model, so the
+    model's transform (tokenising, feature assembly, prediction) runs once, not per metric.
+    """
+    if materialize:
+        ensure_checkpoint_dir(ev.sparkSession)
+        ev = ev.select("y", "p").checkpoint(eager=True)
     m = classification_metrics(ev, threshold)
     auc = roc_auc(ev)
     brier = brier_score(ev)

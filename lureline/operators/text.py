@@ -101,7 +101,7 @@ def train_text_classifier(df: DataFrame, text_col: str, label_col: str, model_na
     model = text_classifier_pipeline(label_col="label").fit(train)
     scored = model.transform(test).select(
         F.col("label").alias("y"), vector_to_array("probability")[1].alias("p"))
-    return evaluation.model_metrics(scored, model_name)
+    return evaluation.model_metrics(scored, model_name, materialize=True)
 
 
 from pyspark.ml.functions import vector_to_array  # noqa: E402

@@ -54,7 +54,7 @@ def _train_test(spark, sf):
 
 
 def _metrics(scored, name):
-    return evaluation.model_metrics(scored.select("y", "p"), name)
+    return evaluation.model_metrics(scored.select("y", "p"), name, materialize=True)
 
 
 @register("logreg_metrics")
