@@ -31,13 +31,15 @@ def memo_frames(fn):
     return wrapper
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Hint ``broadcast`` only after a bounded count proves the side small.
 
     ``limit(max_rows + 1).count()`` stops reading once the bound is passed, so the check costs
     at most ``max_rows`` rows. Larger sides are returned unhinted: Catalyst then picks a
     shuffle join and AQE may still convert it at run time from the real shuffle sizes.
     """
+    if max_rows is None:
+        max_rows = BROADCAST_MAX_ROWS
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

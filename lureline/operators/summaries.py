@@ -76,7 +76,9 @@ def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFr
     """
     from lureline.operators.facts import broadcast_dimension, campaign_dimension, event_counts
 
-    dim = broadcast_dimension(campaign_dimension(campaigns, templates, segments))
+    raw_dim = campaign_dimension(campaigns, templates, segments)
+    dim = broadcast_dimension(raw_dim)
+    dim_is_small = dim is not raw_dim      # the bounded count proved it small and hinted it
     per_segment = targets.groupBy(F.col("segment_id").alias("_seg_key")).agg(
         F.count(F.lit(1)).cast("bigint").alias("observaciones"))
     pair = event_counts(event_log)
@@ -92,8 +94,11 @@ def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFr
         F.count_if(F.col("reported") > 0).cast("bigint").alias("reported"),
     )
     base = dim.join(per_segment, "_seg_key", "inner")
-    # ``sums`` has at most one row per campaign of the (size-checked) dimension: bounded, broadcast
-    return base.join(F.broadcast(sums), "campaign_id", "left").select(
+    # ``sums`` has at most one row per campaign of the dimension: broadcast only when the
+    # dimension was proven small; otherwise Catalyst / AQE pick the join from real sizes
+    if dim_is_small:
+        sums = F.broadcast(sums)
+    return base.join(sums, "campaign_id", "left").select(
         *CAMPAIGN_KEYS, "_seg_key", "observaciones",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in EVENT_TYPES])
 

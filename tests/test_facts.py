@@ -126,3 +126,19 @@ def test_first_rows_is_a_top_k(spark):
     head = summaries.first_rows(df, 15, F.col("g").desc(), "id")
     assert [(r.g, r.id) for r in head.collect()] == [(9, 9 + 10 * i) for i in range(15)]
     assert "TakeOrderedAndProject" in head._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_dimension_is_not_broadcast(spark, monkeypatch):
+    """When the campaign dimension fails the size check, neither it nor the per-campaign sums
+    are hinted, and the results are unchanged."""
+    from lureline.operators import joins
+    segments, templates, targets, campaigns, events = _tables(spark)
+    tables = (campaigns, templates, segments, targets, events)
+    small = sorted(summaries.campaign_summary_from_log(*tables).collect())
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
+    campaigns2 = campaigns.select("*")          # a new plan: the memoised size check is redone
+    tables2 = (campaigns2, templates, segments, targets, events)
+    rollup = summaries.campaign_summary_from_log(*tables2)
+    assert "ResolvedHint (strategy=broadcast)" not in rollup._jdf.queryExecution().analyzed().toString()
+    assert sorted(rollup.collect()) == small
+    assert small == sorted(summaries.campaign_summary(facts.interaction_fact(*tables2)).collect())
