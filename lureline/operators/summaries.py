@@ -48,6 +48,9 @@ def _fact_measures(fact: DataFrame):
 
 
 CAMPAIGN_KEYS = ("campaign_id", "campaign_status", "campaign_channel", "segment_id", "template_id")
+# campaign attributes the rollup carries for the segment / template / signal summaries
+ROLLUP_ATTRIBUTES = ("template_name", "template_subject", "template_description", *SIGNAL_COLUMNS,
+                     "age_bracket", "gender", "education")
 
 
 def campaign_summary(fact: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFr
     if dim_is_small:
         sums = F.broadcast(sums)
     return base.join(sums, "campaign_id", "left").select(
-        *CAMPAIGN_KEYS, "_seg_key", "observaciones",
+        *CAMPAIGN_KEYS, *ROLLUP_ATTRIBUTES, "_seg_key", "observaciones",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in EVENT_TYPES])
 
 
@@ -108,7 +111,7 @@ def campaign_summary_from_log(campaigns: DataFrame, templates: DataFrame, segmen
     """A6 straight from the operational tables (see :func:`campaign_rollup`); equal to
     ``campaign_summary(interaction_fact(...))``."""
     rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
-    return _with_rates(rollup.drop("_seg_key"))
+    return _with_rates(rollup.select(*CAMPAIGN_KEYS, "observaciones", *EVENT_TYPES))
 
 
 def _rollup_totals(rollup: DataFrame, with_reported: bool) -> DataFrame:
@@ -118,8 +121,7 @@ def _rollup_totals(rollup: DataFrame, with_reported: bool) -> DataFrame:
     fact rows = sum of targets per campaign; distinct targets = targets of each distinct
     segment key (each target has one segment, campaigns of one key share the count).
     """
-    first_of_key = Window.partitionBy("_seg_key").orderBy("campaign_id")
-    r = rollup.withColumn("_key_first", F.row_number().over(first_of_key) == 1)
+    r = rollup.withColumn("_key_first", _first_of_key(rollup))
     aggs = [
         _lsum("observaciones").alias("_v0"),
         F.countDistinct("campaign_id").alias("_v1"),
@@ -164,10 +166,46 @@ def segment_summary(fact: DataFrame) -> DataFrame:
     return _with_rates(g)
 
 
+def _first_of_key(rollup: DataFrame) -> F.Column:
+    """True on one campaign per segment key (the rollup is bounded by the campaign dimension)."""
+    return F.row_number().over(Window.partitionBy("_seg_key").orderBy("campaign_id")) == 1
+
+
+def segment_summary_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                             targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """A7 of the observed fact from the per-campaign rollup; equal to ``segment_summary(fact)``.
+
+    Each target has one segment key and each key one segment group, so the distinct targets of a
+    group are the target counts of its distinct keys; the other measures add up per campaign.
+    """
+    rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
+    r = rollup.withColumn("_key_first", _first_of_key(rollup))
+    g = r.groupBy(*SEGMENT_KEYS).agg(
+        _lsum(F.when(F.col("_key_first"), F.col("observaciones"))).alias("targets"),
+        *[_lsum(c).alias(c) for c in EVENT_TYPES])
+    return _with_rates(g)
+
+
 TEMPLATE_KEYS = ("template_id", "template_name", "template_subject", "template_description",
                  *SIGNAL_COLUMNS)
 
 
+def template_summary_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                              targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """A8 of the observed fact from the per-campaign rollup; equal to ``template_summary(fact)``."""
+    rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
+    return _with_rates(rollup.groupBy(*TEMPLATE_KEYS).agg(*[_lsum(c).alias(c) for c in EVENT_TYPES]))
+
+
+def signal_summary_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                            targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """A9 of the observed fact from the per-campaign rollup; equal to ``signal_summary(fact)``
+    (signals are campaign attributes, so every measure adds up per campaign)."""
+    rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
+    return _signal_table(rollup, "observaciones", {
+        "delivered": "delivered", "opened": "opened", "clicked": "clicked", "reported": "reported"})
+
+
 def template_summary(fact: DataFrame) -> DataFrame:
     """Per template with its text and signals."""
     return _with_rates(fact.groupBy(*TEMPLATE_KEYS).agg(*_fact_measures(fact)))
@@ -180,23 +218,27 @@ def signal_summary(fact: DataFrame) -> DataFrame:
     the original ran eight filtered passes.
     """
     reported = "reported_flag" if "reported_flag" in fact.columns else None
-    measures = {
-        "observaciones": None, "delivered": "delivered", "opened": "opened_flag",
-        "clicked": "clicked_flag", "reported": reported,
-    }
+    return _signal_table(fact, None, {
+        "delivered": "delivered", "opened": "opened_flag", "clicked": "clicked_flag",
+        "reported": reported})
+
+
+def _signal_table(df: DataFrame, rows_col: str | None, sources: dict) -> DataFrame:
+    """A9 core: ``rows_col`` None counts rows (fact), else sums that column (rollup)."""
+    measures = {"observaciones": rows_col, **sources}
     aggs = []
     for s in SIGNAL_COLUMNS:
         for side, val in (("con", 1), ("sin", 0)):
             cond = F.col(s) == val
             for m, src in measures.items():
-                if m == "observaciones":
+                if m == "observaciones" and rows_col is None:
                     e = F.count_if(cond)
                 elif src is None:
                     e = F.lit(0)
                 else:
                     e = F.sum(F.when(cond, F.col(src)))
                 aggs.append(F.coalesce(e, F.lit(0)).cast("bigint").alias(f"{s}__{m}_{side}"))
-    wide = fact.agg(*aggs)
+    wide = df.agg(*aggs)
     rows = []
     for i, s in enumerate(SIGNAL_COLUMNS):
         cols = [F.lit(i).alias("_order"), F.lit(SIGNAL_LABELS[s]).alias("senal")]

@@ -228,6 +228,9 @@ def _base_sql() -> dict[str, str]:
     q["global_summary"] = _global_summary_sql()
     q["general_table"] = _general_table_sql()
     q["global_summary_fact"] = q["global_summary"]
+    q["segment_summary_fact"] = q["segment_summary"]
+    q["template_summary_fact"] = q["template_summary"]
+    q["signal_summary_fact"] = q["signal_summary"]
     q["general_table_fact"] = q["general_table"]
     q["operational_totals"] = _operational_totals_sql()
     q["source_distribution"] = (f"{with_views('fact')} SELECT source, CAST(count(*) AS BIGINT) AS count "

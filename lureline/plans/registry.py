@@ -80,16 +80,37 @@ def q_signal_flags(spark, sf):
 
 @register("segment_summary")
 def q_segment_summary(spark, sf):
+    """From the per-campaign rollup (no fan-out rows are built)."""
+    t = fx.load(spark, sf)
+    return summaries.segment_summary_from_log(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+
+
+@register("segment_summary_fact")
+def q_segment_summary_fact(spark, sf):
     return summaries.segment_summary(_fact(spark, sf))
 
 
 @register("template_summary")
 def q_template_summary(spark, sf):
+    """From the per-campaign rollup (no fan-out rows are built)."""
+    t = fx.load(spark, sf)
+    return summaries.template_summary_from_log(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+
+
+@register("template_summary_fact")
+def q_template_summary_fact(spark, sf):
     return summaries.template_summary(_fact(spark, sf))
 
 
 @register("signal_summary")
 def q_signal_summary(spark, sf):
+    """From the per-campaign rollup (no fan-out rows are built)."""
+    t = fx.load(spark, sf)
+    return summaries.signal_summary_from_log(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+
+
+@register("signal_summary_fact")
+def q_signal_summary_fact(spark, sf):
     return summaries.signal_summary(_fact(spark, sf))
 
 
