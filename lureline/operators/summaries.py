@@ -352,7 +352,22 @@ def top_findings(fact: DataFrame) -> DataFrame:
     Ties go to the lowest id (signals: the first in the fixed order); the original's sort was
     not stable, so any tie-break is a choice and this one is stated.
     """
-    g = general_table(fact).groupBy().pivot("indicador", list(GENERAL_INDICATORS[-3:])).agg(F.first("valor"))
+    return _findings(general_table(fact), campaign_summary(fact), segment_summary(fact),
+                     signal_summary(fact))
+
+
+def top_findings_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+                          targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """A17 of the observed fact from the rollup-based summaries; equal to ``top_findings(fact)``."""
+    args = (campaigns, templates, segments, targets, event_log)
+    return _findings(general_table_from_log(*args), campaign_summary_from_log(*args),
+                     segment_summary_from_log(*args), signal_summary_from_log(*args))
+
+
+def _findings(general: DataFrame, by_campaign: DataFrame, by_segment: DataFrame,
+              by_signal: DataFrame) -> DataFrame:
+    """A17 picks from the four summary tables (each small: one row per campaign at most)."""
+    g = general.groupBy().pivot("indicador", list(GENERAL_INDICATORS[-3:])).agg(F.first("valor"))
     glob = g.select(F.lit("global").alias("finding"), F.lit(None).cast("string").alias("item"),
                     F.col(GENERAL_INDICATORS[-3]).alias("open_rate_pct"),
                     F.col(GENERAL_INDICATORS[-2]).alias("click_rate_pct"),
@@ -366,9 +381,9 @@ def top_findings(fact: DataFrame) -> DataFrame:
                            F.col("b.o").alias("open_rate_pct"), F.col("b.c").alias("click_rate_pct"),
                            F.col("b.r").alias("report_rate_pct"))
 
-    camp = best(campaign_summary(fact), "campaign", F.col("campaign_id"), F.col("campaign_id"), RATE_NAMES)
-    seg = best(segment_summary(fact), "segment", F.col("segment_id"), F.col("segment_id"), RATE_NAMES)
-    sig = signal_summary(fact).withColumn(
+    camp = best(by_campaign, "campaign", F.col("campaign_id"), F.col("campaign_id"), RATE_NAMES)
+    seg = best(by_segment, "segment", F.col("segment_id"), F.col("segment_id"), RATE_NAMES)
+    sig = by_signal.withColumn(
         "_ord", F.array_position(F.array(*[F.lit(SIGNAL_LABELS[s]) for s in SIGNAL_COLUMNS]), F.col("senal")))
     sig_best = best(sig, "signal", F.col("senal"), F.col("_ord"),
                     ("tasa_apertura_con_senal_pct", "tasa_clic_con_senal_pct", "tasa_reporte_con_senal_pct"))

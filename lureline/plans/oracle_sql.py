@@ -246,6 +246,7 @@ def _base_sql() -> dict[str, str]:
         f"AS campaign_context, CAST(n AS BIGINT) AS campaigns FROM (SELECT min(campaign_id) AS lo, "
         f"max(campaign_id) AS hi, count(DISTINCT campaign_id) AS n FROM fact) x")
     q["top_findings"] = _top_findings_sql()
+    q["top_findings_fact"] = q["top_findings"]
     return q
 
 

@@ -163,11 +163,22 @@ def q_targets_per_segment(spark, sf):
 
 @register("campaign_context")
 def q_campaign_context(spark, sf):
-    return summaries.campaign_context(_fact(spark, sf))
+    """A13 over the campaigns of the fact (the per-campaign rollup holds exactly those)."""
+    t = fx.load(spark, sf)
+    return summaries.campaign_context(
+        summaries.campaign_rollup(t.campaigns, t.templates, t.segments, t.targets, t.event_log))
 
 
 @register("top_findings")
 def q_top_findings(spark, sf):
+    """A17 from the rollup-based summaries (no fan-out rows are built)."""
+    t = fx.load(spark, sf)
+    return summaries.top_findings_from_log(t.campaigns, t.templates, t.segments, t.targets,
+                                           t.event_log)
+
+
+@register("top_findings_fact")
+def q_top_findings_fact(spark, sf):
     return summaries.top_findings(_fact(spark, sf))
 
 

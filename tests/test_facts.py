@@ -120,7 +120,8 @@ def test_totals_from_rollup_equal_fact_totals(spark):
                               (summaries.general_table_from_log, summaries.general_table),
                               (summaries.segment_summary_from_log, summaries.segment_summary),
                               (summaries.template_summary_from_log, summaries.template_summary),
-                              (summaries.signal_summary_from_log, summaries.signal_summary)):
+                              (summaries.signal_summary_from_log, summaries.signal_summary),
+                              (summaries.top_findings_from_log, summaries.top_findings)):
         assert sorted(from_log(*tables).collect(), key=repr) == sorted(on_fact(fact).collect(), key=repr)
 
 
