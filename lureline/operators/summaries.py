@@ -19,7 +19,7 @@ from lureline.constants import (
     SIGNAL_LABELS,
 )
 from lureline.functions.expressions import safe_rate
-from lureline.operators.joins import sized_broadcast
+from lureline.operators.joins import memo_frames, sized_broadcast
 
 RATE_NAMES = ("tasa_apertura_pct", "tasa_clic_pct", "tasa_reporte_pct")
 
@@ -63,6 +63,7 @@ def campaign_summary(fact: DataFrame) -> DataFrame:
     return _with_rates(g)
 
 
+@memo_frames
 def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
                     targets: DataFrame, event_log: DataFrame) -> DataFrame:
     """Per campaign of the fact: its keys, ``_seg_key``, targets in the segment and the four
