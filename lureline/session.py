@@ -27,6 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("LURELINE_DRIVER_MEMORY", "8g"),
     }
     if shuffle_partitions:
@@ -40,15 +41,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """The shared folder for checkpoints and written intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only when it
-    is unset (local tests) a scratch folder is created, so no job writes to a machine-local
-    folder on a cluster.
+    A folder already given to the session (``setCheckpointDir``, or ``spark.checkpoint.dir``
+    which names the cluster's shared folder) is used as is. Where none is named, a local master
+    gets a scratch folder of its own (driver and tasks share the machine); any other master is
+    an error, so no job ever writes intermediate data to a machine-local folder of a cluster.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
-        current = tempfile.mkdtemp(prefix="lureline-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        current = "file://" + tempfile.mkdtemp(prefix="lureline-ckpt-")
+    sc.setCheckpointDir(current)
+    return sc.getCheckpointDir()
