@@ -117,3 +117,21 @@ def with_component(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame
 
 def within(*cols: str) -> Window:
     return Window.partitionBy(*cols)
+
+
+def add_columns(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:
+    """``df`` plus columns computed per Arrow batch; ``make(batch)`` returns the new arrays.
+
+    Input columns that clash with a new name are replaced.
+    """
+    import pyarrow as pa
+    names = [f.name for f in fields]
+    kept = [f for f in df.schema.fields if f.name not in names]
+    kept_names = [f.name for f in kept]
+
+    def run(batches):
+        for batch in batches:
+            arrays = [batch.column(c) for c in kept_names] + list(make(batch))
+            yield pa.RecordBatch.from_arrays(arrays, names=kept_names + names)
+
+    return df.mapInArrow(run, T.StructType(kept + fields))

@@ -43,3 +43,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_REGISTRY["op3_decontaminate"] = f"""
+WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+pat AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS p
+  FROM iw, unnest(range(1, greatest(2, len(w) - 8))) AS r(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT k FROM pat),
+win AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS p
+  FROM dw, sizes, unnest(range(1, len(w) - k + 2)) AS r(i)),
+hit AS (SELECT doc_id, i, win.k, item_id FROM win JOIN pat ON win.k = pat.k AND win.p = pat.p),
+words AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM hit, unnest(range(0, k)) AS q(o) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""

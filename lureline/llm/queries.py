@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import chat_format
+from lureline.llm import chat_format, decontaminate, url_filter
 from lureline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,26 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(said).alias("text"))
     return chat_format.conversation_digest(
         chat_format.format_conversations(given.unionByName(planted)))
+
+
+#: The contract's rules: host, path, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+@register
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then boosted trees learned from the urls that a rule decides, over all ``pages``."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+@register
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all ``benchmark`` windows of ten words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
