@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import chat_format, decontaminate, url_filter
-from lureline.llm.common import table
+from lureline.llm import chat_format, decontaminate, toxicity, url_filter
+from lureline.llm.common import crc_mod5, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -57,3 +57,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@register
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; learned from the labelled rows with crc32 remainder 1 to 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_mod5() != 0)
+    scored = toxicity.fit(docs, labels).score(docs)
+    return scored.select("doc_id", (crc_mod5() == 0).alias("held_out"), "score", "predicted", "lexicon_hits")
