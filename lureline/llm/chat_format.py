@@ -13,7 +13,8 @@ character, and backslashes are doubled, so a text can never end its block and :f
 restores it. In a role, ``% \\n < [`` are percent-encoded.
 
 Cases: a null text is an empty text, a null role an empty role; turns sort by (turn, role, text),
-nulls first; repeated rows are turns of their own; rows with a null conversation id form one
+nulls first
+(role and text as escaped); repeated rows are turns of their own; rows with a null conversation id form one
 conversation with a null id; an empty table gives no rows; other columns are ignored.
 An example holds all its context, so one conversation costs the square of its turns: that is what
 the format asks for, and a conversation is the unit that one task must be able to hold.
@@ -21,6 +22,8 @@ the format asks for, and a conversation is the unit that one task must be able t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +35,13 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 _ROLE_CODES = (("%", "%25"), ("\n", "%0A"), ("<", "%3C"), ("[", "%5B"))
 
 
+#: A backslash, or the first character of a control string (look-ahead, so overlaps count too).
+_BREAK = r"\\|[<\[](?=" + "|".join(re.escape(w[1:]) for w in CONTROL) + ")"
+
+
 def escape(text: Column) -> Column:
-    """Text without control strings, reversible."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for word in CONTROL:
-        out = F.replace(out, F.lit(word), F.lit(word[0] + "\\" + word[1:]))
-    return out
+    """Text without control strings, reversible; one pass over the text."""
+    return F.regexp_replace(text, _BREAK, r"$0\\")
 
 
 def unescape(text: Column) -> Column:
@@ -65,19 +69,18 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     ``loss_start``/``loss_end`` are code point offsets into ``formatted`` of the trainable reply
     (equal where nothing is trainable); ``complete`` marks the example that holds every turn.
     """
+    role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turns = rows.select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(F.col(turn_col).alias("turn"),
-                 F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-                 F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
-    parts = grouped.select(
-        "conv_id",
-        F.transform("turns", lambda t: F.concat(head(t), escape(t["text"]), F.lit(END))).alias("blocks"),
-        F.transform("turns", lambda t: F.struct(
-            (t["role"] == trainable_role).alias("train"), F.length(head(t)).alias("head"),
-            F.length(escape(t["text"])).alias("size"))).alias("meta"))
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
+        escape_role(role).alias("role"), escape(text).alias("body")).select(
+        "conv_id", F.struct(
+            "turn", "role", "body", (F.col("role") == escape_role(F.lit(trainable_role))).alias("train"),
+            F.length("body").alias("size")).alias("t"))
+    parts = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select(
+        "conv_id", F.transform("turns", lambda t: F.struct(t["train"], t["size"])).alias("meta"),
+        F.transform("turns", lambda t: F.concat(
+            F.lit(START), t["role"], F.lit("\n"), t["body"], F.lit(END))).alias("blocks"))
     n = F.size("blocks")
     targets = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("meta", i.cast("int"))["train"])
     last_open = ~F.element_at("meta", -1)["train"]
@@ -94,15 +97,16 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
                       stop.alias("loss_end"), "complete")
 
 
+_BLOCK = r"(?s)\A<\|im_start\|>([^\n]*)\n(.*)"
+
+
 def parse_turns(formatted: Column) -> Column:
     """Read a formatted example back: array of ``(role, text)``."""
     blocks = F.split(formatted, r"<\|im_end\|>\n", -1)
     blocks = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
-    body = lambda b: F.substring(b, F.lit(len(START) + 1), F.length(b))
     return F.transform(blocks, lambda b: F.struct(
-        unescape_role(F.substring_index(body(b), "\n", 1)).alias("role"),
-        unescape(F.substring(body(b), F.length(F.substring_index(body(b), "\n", 1)) + 2,
-                             F.length(b))).alias("text")))
+        unescape_role(F.regexp_extract(b, _BLOCK, 1)).alias("role"),
+        unescape(F.regexp_extract(b, _BLOCK, 2)).alias("text")))
 
 
 def conversation_digest(examples: DataFrame) -> DataFrame:
