@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import chat_format, decontaminate, toxicity, url_filter
+from lureline.llm import chat_format, decontaminate, mixing, toxicity, url_filter
 from lureline.llm.common import crc_mod5, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(crc_mod5() != 0)
     scored = toxicity.fit(docs, labels).score(docs)
     return scored.select("doc_id", (crc_mod5() == 0).alias("held_out"), "score", "predicted", "lexicon_hits")
+
+
+@register
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` mixed to the weights 3, 1, 2 over the sources, 150 % of all words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
