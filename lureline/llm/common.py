@@ -55,17 +55,21 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Unique ids serve as they are. Where ids repeat or are null (one narrow aggregate tells),
     rows get their position in the order (id, text) instead, from a distributed sort; so every
-    row of a repeated id is a document of its own.
+    row of a repeated id is a document of its own. ``ids_serve`` on the result tells which.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias(text_col))
     whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType))
     odd = rows.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
     if whole and odd.isEmpty():
-        return rows.withColumn("_rid", F.col(id_col).cast("long"))
+        out = rows.withColumn("_rid", F.col(id_col).cast("long"))
+        out.ids_serve = True
+        return out
     from lureline.operators.ranking import with_global_rank
     ranked = with_global_rank(rows, [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()],
                               rank_col="_rid")
-    return scratch(ranked.select(id_col, text_col, "_rid"), "rows")
+    out = scratch(ranked.select(id_col, text_col, "_rid"), "rows")
+    out.ids_serve = False
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

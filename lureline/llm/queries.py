@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import chat_format, decontaminate, mixing, toxicity, url_filter
+from lureline.llm import chat_format, decontaminate, minhash_dedup, mixing, toxicity, url_filter
 from lureline.llm.common import crc_mod5, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed to the weights 3, 1, 2 over the sources, 150 % of all words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all ``documents`` (five words, 0.75)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
