@@ -50,14 +50,18 @@ def lower_az(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               rest: bool = False) -> DataFrame:
     """``_rid, <id>, <text>``: a unique long per row whose order follows the id (nulls first).
 
     Unique ids serve as they are. Where ids repeat or are null (one narrow aggregate tells),
     rows get their position in the order (id, text) instead, from a distributed sort; so every
     row of a repeated id is a document of its own. ``ids_serve`` on the result tells which.
+    ``rest`` adds the other columns as the struct ``_rest`` (no name can clash).
     """
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    other = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    packed = [F.struct(*other).alias("_rest")] if rest and other else []
+    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias(text_col), *packed)
     whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType))
     odd = rows.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
     if whole and odd.isEmpty():
@@ -67,7 +71,7 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from lureline.operators.ranking import with_global_rank
     ranked = with_global_rank(rows, [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()],
                               rank_col="_rid")
-    out = scratch(ranked.select(id_col, text_col, "_rid"), "rows")
+    out = scratch(ranked.select(*rows.columns, "_rid"), "rows")
     out.ids_serve = False
     return out
 

@@ -159,3 +159,39 @@ def word_bounds(data: np.ndarray, row_offsets: np.ndarray):
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z; every other byte stays."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def blocks_at_space(data: np.ndarray, size: int = 1 << 20):
+    """Cut a byte range into blocks of about ``size`` that end before a blank (never in a word)."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + size, len(data))
+        while hi < len(data):
+            gap = np.flatnonzero(_SPACE[data[hi:hi + 4096]])
+            if len(gap):
+                hi += int(gap[0])
+                break
+            hi = min(hi + 4096, len(data))
+        yield lo, hi
+        lo = hi
+
+
+def word_hashes(data: np.ndarray, row_offsets: np.ndarray):
+    """64-bit hash of every word of concatenated rows, and the first word of each row."""
+    if len(row_offsets) == 2 and len(data) > 1 << 21:  # one very long text: block by block
+        parts = [word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in blocks_at_space(data)]
+        values = np.concatenate(parts)
+        return values, np.array([0, len(values)])
+    starts, ends, rows = word_bounds(data, row_offsets)
+    return mix(range_hash(prefix_hash(byte_values()[data]), starts, ends)), rows
+
+
+def pieces(start: int, end: int, window: int, size: int = 1 << 21):
+    """Cover ``start:end`` by ranges that overlap so that every window lies in exactly one."""
+    lo = start
+    while lo < end:
+        hi = min(lo + size + window - 1, end)
+        yield lo, hi
+        if hi == end:
+            break
+        lo += size

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import chat_format, decontaminate, minhash_dedup, mixing, toxicity, url_filter
+from lureline.llm import chat_format, decontaminate, minhash_dedup, mixing, suffix_dedup, toxicity, url_filter
 from lureline.llm.common import crc_mod5, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,12 @@ def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all ``documents`` (five words, 0.75)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register
+def op8_suffix_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all ``documents`` covered by a 200-byte string that also starts elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = suffix_dedup.remove_repeats(docs, with_text=False)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       "kept_sha256")
