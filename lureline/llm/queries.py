@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import chat_format, decontaminate, minhash_dedup, mixing, suffix_dedup, toxicity, url_filter
+from lureline.llm import chat_format, decontaminate, minhash_dedup, mixing, substring_dedup, suffix_dedup, toxicity, url_filter
 from lureline.llm.common import crc_mod5, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,11 @@ def op8_suffix_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(docs, with_text=False)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                        "kept_sha256")
+
+
+@register
+def op6_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all ``documents`` covered by a window of 20 words that also starts earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_earlier(docs, with_text=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
