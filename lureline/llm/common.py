@@ -51,7 +51,7 @@ def lower_az(col):
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               rest: bool = False) -> DataFrame:
+               rest: bool = False, cast: str | None = "string") -> DataFrame:
     """``_rid, <id>, <text>``: a unique long per row whose order follows the id (nulls first).
 
     Unique ids serve as they are. Where ids repeat or are null (one narrow aggregate tells),
@@ -61,7 +61,8 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     other = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
     packed = [F.struct(*other).alias("_rest")] if rest and other else []
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias(text_col), *packed)
+    value = F.col(text_col).cast(cast) if cast else F.col(text_col)
+    rows = docs.select(F.col(id_col).alias(id_col), value.alias(text_col), *packed)
     whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType))
     odd = rows.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
     if whole and odd.isEmpty():

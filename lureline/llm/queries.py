@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import chat_format, decontaminate, minhash_dedup, mixing, substring_dedup, suffix_dedup, toxicity, url_filter
+from lureline.llm import (
+    chat_format, decontaminate, embed_dedup, minhash_dedup, mixing, substring_dedup, suffix_dedup,
+    toxicity, url_filter,
+)
 from lureline.llm.common import crc_mod5, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +100,10 @@ def op6_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_earlier(docs, with_text=False).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register
+def op2_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links (cosine of at least 0.93, equal labels) and components of all ``embeddings``."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embed_dedup.near_vectors(vectors)
