@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lureline.llm import (
-    chat_format, decontaminate, embed_dedup, minhash_dedup, mixing, substring_dedup, suffix_dedup,
+    brown_lm, chat_format, decontaminate, embed_dedup, minhash_dedup, mixing, substring_dedup, suffix_dedup,
     toxicity, url_filter,
 )
 from lureline.llm.common import crc_mod5, table
@@ -107,3 +107,13 @@ def op2_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links (cosine of at least 0.93, equal labels) and components of all ``embeddings``."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return embed_dedup.near_vectors(vectors)
+
+
+@register
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text; learned from the texts that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = brown_lm.fit(docs.filter(~brown_lm.held_out()))
+    return model.score(docs).select(
+        "doc_id", brown_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
