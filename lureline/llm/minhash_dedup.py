@@ -210,3 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.join(names, "_rid").join(
         names.select(F.col("_rid").alias("_root"), F.col(id_col).alias("component_id")), "_root") \
         .select(id_col, "n_shingles", "component_id", "kept", "_rid")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that another of their component stands for."""
+    rows = keyed_rows(docs, id_col, text_col, rest=True)
+    classes = near_duplicates(rows.select(F.col("_rid").alias(id_col), text_col), id_col, text_col, **options)
+    kept = classes.filter("kept").select(F.col(id_col).alias("_rid"))
+    return rows.join(kept, "_rid", "left_semi").select(
+        *[(F.col(c) if c in (id_col, text_col) else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
