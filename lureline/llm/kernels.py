@@ -72,6 +72,24 @@ def gram_hash(prefix: np.ndarray, k: int) -> np.ndarray:
     return mix((prefix[k:] - prefix[:n]) * inverse[:n])
 
 
+def _order_hash(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Cheaper hash of every run of ``k`` values whose high bits order the runs at random."""
+    n = len(prefix) - k
+    if n <= 0:
+        return np.empty(0, U64)
+    _, inverse = _powers(len(prefix))
+    out = prefix[k:] - prefix[:n]
+    out *= inverse[:n]
+    out ^= out >> U64(32)
+    out *= U64(0xD6E8FEB86659FD93)
+    return out
+
+
+def gram_key(prefix: np.ndarray, k: int) -> np.ndarray:
+    """The segment key that each run of ``k`` values gives as a minimal gram."""
+    return mix(_order_hash(prefix, k))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every ``w`` consecutive values (block prefix and suffix minima)."""
     n = len(x)
@@ -101,7 +119,7 @@ def window_segments(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray,
         return np.empty(0, U64), empty, empty, empty
     if n >= 1 << 24:
         raise ValueError("hash at most 2**24 values at a time")
-    hashes = gram_hash(prefix, gram)
+    hashes = _order_hash(prefix, gram)
     packed = (hashes & ~U64((1 << 24) - 1)) | np.arange(len(hashes), dtype=U64)
     least = sliding_min(packed, window - gram + 1)  # by window start
     valid = np.zeros(n + 2, np.int32)
@@ -112,7 +130,7 @@ def window_segments(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
     begin, end = at[first], at[last] + window
-    key = hashes[(chosen[first] & U64((1 << 24) - 1)).astype(np.int64)]
+    key = mix(hashes[(chosen[first] & U64((1 << 24) - 1)).astype(np.int64)])
     item = np.searchsorted(starts, begin, side="right") - 1
     return key, begin, end, item
 

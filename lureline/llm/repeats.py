@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lureline.llm import kernels as K
-from lureline.llm.common import scratch
+from lureline.llm.common import drop_scratch, scratch
 
 CHUNK = 1 << 19
 SIZE_BITS = 12  # a position packs (first unit, number of units) of a segment
@@ -76,10 +76,12 @@ def _segments(unit: str, window: int, gram: int):
 
 def candidates(rows: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     """``key, seg, _rid, pos`` of every segment whose key occurs more than once (steps 1, 2)."""
-    found = rows.select("_rid", "text").mapInArrow(
-        _segments(unit, window, gram), "key long, seg long, _rid long, pos long")
+    found = scratch(rows.select("_rid", "text").mapInArrow(
+        _segments(unit, window, gram), "key long, seg long, _rid long, pos long"), "cut")
     often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return scratch(found.join(often, "key", "left_semi"), "segments")
+    out = scratch(found.join(often, "key", "left_semi"), "segments")
+    drop_scratch(found)
+    return out
 
 
 def distinct_segments(occurrences: DataFrame) -> DataFrame:
@@ -141,7 +143,7 @@ def _halve(unit: str, window: int, gram: int):
             out = []
             for r in batch.to_pylist():
                 prefix, parts = hashed(r["content"]), _units(r["content"], unit)
-                grams = K.gram_hash(prefix, gram).astype(np.int64)
+                grams = K.gram_key(prefix, gram).astype(np.int64)
                 size = len(parts)
                 least = max(0, size - window)  # every window holds the gram
                 anchor = r["anchor"]

@@ -32,51 +32,75 @@ from pyspark.sql import types as T
 from lureline.llm import repeats
 from lureline.llm.common import add_columns, keyed_rows
 
-_PACK = 7  # symbols of 9 bits in the first sort key
-
-
 def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     """First position of every suffix's group in the order by the first ``depth`` symbols or more.
 
-    Symbol 0 is a separator, each one different from all others (by position).
+    Symbol 0 is a separator, each one different from all others (by position). The first key packs
+    as many symbols as 63 bits hold; every further round triples the sorted depth by joining the
+    ranks of three neighbouring pieces. Only groups of more than one suffix are sorted again.
     """
     n = len(text)
-    key = np.zeros(n, np.int64)
-    alive = np.ones(n, bool)
-    padded = np.concatenate([text, np.zeros(_PACK, text.dtype)]).astype(np.int64)
-    for k in range(_PACK):
-        symbol = padded[k:k + n]
-        key = (key << 9) | np.where(alive, symbol, 0)
+    if n >= 1 << 21:
+        raise ValueError("a shard has at most 2**21 - 1 symbols")
+    used = np.zeros(int(text.max(initial=0)) + 1, bool)
+    used[text] = True
+    used[0] = True
+    code = (np.cumsum(used) - 1).astype(np.int64)  # dense, in symbol order
+    bits = max(1, int(code[-1]).bit_length())
+    h = min(63 // bits, depth)
+    dense = np.concatenate([code[text], np.zeros(h, np.int64)])
+    key = dense[:n].copy()
+    alive = dense[:n] != 0
+    for k in range(1, h):
+        symbol = dense[k:k + n] * alive
+        key <<= bits
+        key |= symbol
         alive &= symbol != 0
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    order = np.argsort(key, kind="stable") if n < 64 else _stable(key)
+    ordered = key[order]
     new = np.ones(n, bool)
-    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | ~alive[order[1:]]
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    alone = new & np.concatenate([new[1:], [True]])
+    new[1:] = (ordered[1:] != ordered[:-1]) | ~alive[order[1:]]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    alone = new.copy()
+    alone[:-1] &= new[1:]
     active = order[~alone]
-    h = _PACK
     while h < depth and len(active):
-        combined = (rank[active] << 32) | rank[active + h]
-        by = np.argsort(combined)
-        active, combined = active[by], combined[by]
-        old = combined >> 32
+        key = rank[active].astype(np.int64)
+        key <<= 21
+        key |= rank[active + h]
+        key <<= 21
+        key |= rank[np.minimum(active + 2 * h, n - 1)]
+        by = np.argsort(key)
+        active, key = active[by], key[by]
         new = np.ones(len(active), bool)
-        new[1:] = combined[1:] != combined[:-1]
+        new[1:] = key[1:] != key[:-1]
+        old = key >> 42
         first = np.ones(len(active), bool)
         first[1:] = old[1:] != old[:-1]
         i = np.arange(len(active))
-        head = np.maximum.accumulate(np.where(first, i, 0))
         start = np.maximum.accumulate(np.where(new, i, 0))
-        rank[active] = old + (start - head)
-        alone = new & np.concatenate([new[1:], [True]])
+        start -= np.maximum.accumulate(np.where(first, i, 0))
+        rank[active] = old + start
+        alone = new.copy()
+        alone[:-1] &= new[1:]
         active = active[~alone]
-        h *= 2
+        h *= 3
     return rank
 
 
+def _stable(key: np.ndarray) -> np.ndarray:
+    """Stable argsort: a fast sort, then ties put in the order of their positions."""
+    order = np.argsort(key)
+    tie = np.zeros(len(key) + 1, bool)
+    tie[1:-1] = key[order[1:]] == key[order[:-1]]
+    group = np.cumsum(~tie[:-1])
+    inside = tie[:-1] | tie[1:]
+    part = order[inside]
+    order[inside] = np.sort((group[inside] << 32) | part) & ((1 << 32) - 1)
+    return order
+
+
 def repeated_starts(contents: list[bytes], counts, window: int) -> list[np.ndarray]:
     """Per content, one flag per window start: does the window occur more than once?"""
     sizes = np.array([len(c) for c in contents], np.int64)
@@ -89,24 +113,25 @@ def repeated_starts(contents: list[bytes], counts, window: int) -> list[np.ndarr
     n = len(text)
 
     rank = suffix_ranks(text, window)
-    suffix = np.sort((rank << 32) | np.arange(n)) & ((1 << 32) - 1)
+    suffix = np.sort((rank.astype(np.int64) << 32) | np.arange(n)).astype(np.int32)  # low half: position
     bwt = text[suffix - 1]  # the symbol before each suffix (the first suffix follows a separator)
     back = rank[suffix - 1]  # LF: group of the suffix extended by that symbol
-    order = np.argsort(bwt, kind="stable")
-    same = np.zeros(n, bool)
-    same[1:] = bwt[order[1:]] == bwt[order[:-1]]
-    before = np.full(n, -1, np.int64)  # previous suffix with the same symbol before it
-    before[order[1:]] = np.where(same[1:], order[:-1], -1)
+    order = np.argsort(bwt, kind="stable").astype(np.int32)
+    ordered = bwt[order]
+    before = np.full(n, -1, np.int32)  # previous suffix with the same symbol before it
+    before[order[1:]] = np.where(ordered[1:] == ordered[:-1], order[:-1], -1)
     can = (bwt != 0) & (before >= 0)
-    near = can & (before == np.arange(n) - 1)
-    far = np.flatnonzero(can & ~near)
+    near = before == np.arange(-1, n - 1, dtype=np.int32)
+    near &= can
+    far = np.flatnonzero(can & ~near).astype(np.int32)
+    far_before = before[far]
 
     known = np.zeros(n, bool)
     head = text[suffix]
     edge = np.ones(n, bool)
     edge[1:] = (head[1:] != head[:-1]) | (head[1:] == 0)
     known[edge] = True
-    frontier = np.flatnonzero(edge)  # boundaries with a common prefix of length 0
+    frontier = np.flatnonzero(edge).astype(np.int32)  # boundaries with a common prefix of length 0
     for _ in range(window - 1):
         if not len(frontier):
             break
@@ -115,15 +140,17 @@ def repeated_starts(contents: list[bytes], counts, window: int) -> list[np.ndarr
             if len(far) > n // 16:
                 seen = np.zeros(n + 1, np.int32)
                 seen[frontier + 1] = 1
-                seen = np.cumsum(seen)
-                spans = seen[far + 1] > seen[before[far] + 1]
+                seen = np.cumsum(seen, dtype=np.int32)
+                spans = seen[far + 1] > seen[far_before + 1]
             else:
                 spans = np.searchsorted(frontier, far, side="right") > \
-                    np.searchsorted(frontier, before[far], side="right")
+                    np.searchsorted(frontier, far_before, side="right")
             reached.append(back[far[spans]])
-            far = far[~spans]
+            far, far_before = far[~spans], far_before[~spans]
         found = np.concatenate(reached)
-        found = np.unique(found[~known[found]])
+        found = np.sort(found[~known[found]])
+        if len(found):  # ties of suffixes beyond the threshold may name a boundary twice
+            found = found[np.concatenate([[True], found[1:] != found[:-1]])]
         known[found] = True
         frontier = found
     interval = np.cumsum(known) - 1  # boundaries left unknown share at least ``window`` symbols
