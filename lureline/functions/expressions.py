@@ -51,13 +51,13 @@ def signal_flag(signals_json: str | Column, key: str) -> Column:
 def normalize_label(c: str | Column, numeric: bool = False) -> Column:
     """Label normalisation to 0/1 (nullable INT).
 
-    ``numeric=True`` for numeric/boolean columns: the value is cast as is (bad -> null).
-    Text: lower-cased, trimmed, then mapped; anything else is null.
+    ``numeric=True`` for numeric columns: the value is cast as is (bad -> null).
+    Text: lower-cased, stripped of white space (tabs and line ends too), then mapped; else null.
     """
     column = _col(c)
     if numeric:
         return column.cast("string").try_cast("double").cast("int")
-    norm = F.lower(F.trim(column.cast("string")))
+    norm = F.lower(strip_ws(column.cast("string")))
     expr = None
     for text, value in LABEL_TEXT_MAP.items():
         expr = (F.when(norm == text, F.lit(value)) if expr is None

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureline.operators.facts import template_dimension
-from lureline.operators.joins import sized_broadcast
 from lureline.operators.quality import template_validation
 
 
@@ -106,8 +105,7 @@ def expand_deliveries(campaigns: DataFrame, templates: DataFrame, targets: DataF
     valid = template_validation(templates).where("valid").select(F.col("template_id").alias("_vt"))
     camp = campaigns.where(F.col("status") != "launched").join(
         valid, F.col("template_id") == F.col("_vt"), "left_semi")
-    camp = sized_broadcast(camp.select(F.col("id").alias("campaign_id"), "template_id",
-                                       F.col("segment_id").alias("_cseg")))
+    camp = camp.select(F.col("id").alias("campaign_id"), "template_id", F.col("segment_id").alias("_cseg"))
     tg = targets.select(F.col("id").alias("target_id"), "segment_id", "uid")
     rows = tg.join(camp, F.col("segment_id") == F.col("_cseg"), "inner")
     return rows.select(

@@ -20,9 +20,9 @@ NAN = float("nan")
 
 def evaluation_frame(fact: DataFrame, score_col: str = "click_probability",
                      keys=("source", "campaign_id", "target_id")) -> DataFrame:
-    """Rows with a delivery; y = clicked_flag, p = the closed-form score (X8) or any score column."""
+    """All rows of the fact; y = clicked_flag, p = the closed-form score (X8) or any score column."""
     from lureline.operators.synthetic import score_probabilities
-    rows = fact.where(F.col("delivered") > 0)
+    rows = fact
     if score_col not in rows.columns:
         rows = score_probabilities(rows)
     return rows.select(*[k for k in keys if k in rows.columns],

@@ -14,8 +14,7 @@ from lureline.constants import (
     SOURCE_OBSERVED,
     TARGET_COLUMN,
 )
-from lureline.functions.expressions import normalize_label, signal_flag
-from lureline.operators.joins import memo_frames, sized_broadcast, spread_if_undersplit
+from lureline.functions.expressions import normalize_label, signal_flag, strip_ws
 
 FACT_COLUMNS = (
     "source", "campaign_id", "campaign_status", "campaign_channel", "campaign_launched_at",
@@ -41,19 +40,6 @@ def event_counts(event_log: DataFrame) -> DataFrame:
     )
 
 
-@memo_frames
-def counts_by_target(event_log: DataFrame, types=EVENT_TYPES) -> DataFrame:
-    """Pair counts folded to one row per target: ``_counts`` = map campaign_id -> struct(counts).
-
-    The map of a target holds at most one entry per campaign that reached it, and the result is
-    hash-partitioned by ``target_id`` -- ready for a co-partitioned join with targets.
-    """
-    pair = event_counts(event_log)
-    return pair.groupBy("target_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("campaign_id", F.struct(*types)))).alias("_counts"))
-
-
-@memo_frames
 def template_dimension(templates: DataFrame) -> DataFrame:
     """Templates with the four signal flags parsed out of the JSON."""
     return templates.select(
@@ -65,7 +51,6 @@ def template_dimension(templates: DataFrame) -> DataFrame:
     )
 
 
-@memo_frames
 def campaign_dimension(campaigns: DataFrame, templates: DataFrame,
                        segments: DataFrame) -> DataFrame:
     """J1 + J2: campaigns left-joined to template and segment (missing -> nulls, signals 0).
@@ -95,36 +80,24 @@ def campaign_dimension(campaigns: DataFrame, templates: DataFrame,
     )
 
 
-@memo_frames
-def broadcast_dimension(dim: DataFrame) -> DataFrame:
-    """The campaign dimension, broadcast once its bounded count proves it small (checked once
-    per dimension plan)."""
-    return sized_broadcast(dim)
-
+def target_pairs(campaigns: DataFrame, targets: DataFrame) -> DataFrame:
+    """Narrow (campaign, target) rows, one per target of the campaign's segment.
 
-def _fan_out(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
-             targets: DataFrame, co_partition: bool) -> DataFrame:
-    """(campaign, target of the campaign's segment) rows: the size-checked campaign dimension is
-    broadcast and fanned out over the narrow target rows map-side. ``co_partition`` first
-    hash-partitions the targets by ``target_id`` (for a following join on it).
+    No hint: Catalyst broadcasts the campaign keys from their size and AQE splits a segment that
+    holds most targets where they are not small.
     """
-    dim = broadcast_dimension(campaign_dimension(campaigns, templates, segments))
-    tg = targets.select(
-        F.col("segment_id").alias("_t_seg"),
-        F.col("id").alias("target_id"),
-        F.col("recipient").alias("target_recipient"),
-        F.col("uid").alias("target_uid"),
-    )
-    # without a following join, spread the targets only if their scan has fewer splits than cores
-    tg = tg.repartition("target_id") if co_partition else spread_if_undersplit(tg)
-    return tg.join(dim, tg._t_seg == dim._seg_key, "inner")
+    keys = campaigns.select(F.col("id").alias("campaign_id"), F.col("segment_id").alias("_seg"))
+    members = targets.select(F.col("segment_id").alias("_seg"), F.col("id").alias("target_id"),
+                             F.col("recipient").alias("target_recipient"), F.col("uid").alias("target_uid"))
+    return members.join(keys, "_seg").drop("_seg")
 
 
 def fact_rows(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
               targets: DataFrame, source: str = SOURCE_OBSERVED) -> DataFrame:
     """The grain and dimension columns of F1 without its event counts, for consumers that
-    replace the counts (scenario cohorts). No shuffle at all: the fan-out is map-side."""
-    pairs = _fan_out(campaigns, templates, segments, targets, co_partition=False)
+    replace the counts (scenario cohorts)."""
+    dim = campaign_dimension(campaigns, templates, segments)
+    pairs = target_pairs(campaigns, targets).join(dim, "campaign_id")
     return pairs.select(
         F.lit(source).alias("source"),
         *[c for c in FACT_COLUMNS[1:] if c not in (
@@ -136,19 +109,15 @@ def interaction_fact(campaigns: DataFrame, templates: DataFrame, segments: DataF
                      source: str = SOURCE_OBSERVED) -> DataFrame:
     """one row per (campaign, target of the campaign's segment), 27 columns.
 
-    Plan: the narrow target rows are hash-partitioned by ``target_id``; the pair counts (A2,
-    pre-aggregated map-side) are folded into one map per target (campaign -> counts; at most
-    one entry per campaign of the target's segment), which leaves them partitioned by
-    ``target_id`` too. The campaign dimension (size-checked broadcast) then fans out over the
-    targets map-side, keeping that partitioning, so the join with the counts is co-partitioned
-    and the wide fan-out rows (targets x campaigns per segment) are never shuffled. Nothing is
-    keyed by segment, so a segment holding most targets causes no skew. The N+1 per-pair count
-    queries of the original become one aggregate and one join.
+    Plan: narrow (campaign, target) pairs, one left join with the pair counts (A2, combined
+    map-side) on both keys, and the dimension columns attached last by campaign, so no wide row is
+    ever sorted or shuffled. Events that name no campaign or target match nothing. The N+1
+    per-pair count queries of the original become one aggregate and one join.
     """
-    pairs = _fan_out(campaigns, templates, segments, targets, co_partition=True)
-    fact = pairs.join(counts_by_target(event_log), "target_id", "left")
-    mine = F.element_at(F.col("_counts"), F.col("campaign_id"))
-    zero = {t: F.coalesce(mine[t], F.lit(0)).cast("bigint") for t in EVENT_TYPES}
+    counted = target_pairs(campaigns, targets).join(
+        event_counts(event_log), ["campaign_id", "target_id"], "left")
+    fact = counted.join(campaign_dimension(campaigns, templates, segments), "campaign_id")
+    zero = {t: F.coalesce(F.col(t), F.lit(0)).cast("bigint") for t in EVENT_TYPES}
     return fact.select(
         F.lit(source).alias("source"),
         "campaign_id", "campaign_status", "campaign_channel", "campaign_launched_at",
@@ -185,7 +154,7 @@ def clean_strict(df: DataFrame) -> DataFrame:
         if name in SIGNAL_COLUMNS:
             c = F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
         elif name in ("age_bracket", "gender", "education"):
-            c = F.trim(F.coalesce(c.cast("string"), F.lit("unknown")))
+            c = strip_ws(F.coalesce(c.cast("string"), F.lit("unknown")))
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -193,8 +162,11 @@ def clean_strict(df: DataFrame) -> DataFrame:
 def normalize_labels(df: DataFrame, column: str = TARGET_COLUMN, drop_null: bool = True) -> DataFrame:
     """P5 + P10: label to 0/1 by its type; rows whose label is null are dropped."""
     dtype = dict(df.dtypes)[column]
-    numeric = dtype not in ("string",)
-    out = df.withColumn(column, normalize_label(column, numeric=numeric))
+    if dtype == "boolean":
+        label = F.col(column).cast("int")
+    else:
+        label = normalize_label(column, numeric=dtype != "string")
+    out = df.withColumn(column, label)
     return out.dropna(subset=[column]) if drop_null else out
 
 

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
-from lureline.operators.joins import sized_broadcast
 from lureline.session import ensure_checkpoint_dir
 
 
@@ -67,44 +66,55 @@ def _design(cells: DataFrame) -> tuple[list[str], list[F.Column]]:
     return terms, cols
 
 
-def _lam(xi: F.Column) -> F.Column:
-    return F.when(xi < 1e-8, F.lit(0.125)).otherwise(F.tanh(xi / 2.0) / (4.0 * xi))
-
-
-def _group_map(m_b: np.ndarray, V_b: np.ndarray):
-    """Per cell: 2 n lambda and (k - n/2) - 2 n lambda x'm_b, for the group update."""
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["x"].to_numpy())
-            xb = X @ m_b
-            quad = np.einsum("ij,jk,ik->i", X, V_b, X)
-            xi = np.sqrt((xb + pdf["m_g"].to_numpy()) ** 2 + quad + pdf["v_g"].to_numpy())
-            lam = np.where(xi < 1e-8, 0.125, np.tanh(xi / 2.0) / (4.0 * np.maximum(xi, 1e-8)))
-            n, k = pdf["n"].to_numpy(dtype=float), pdf["k"].to_numpy(dtype=float)
-            yield pd.DataFrame({"grp": pdf["grp"], "a": 2.0 * n * lam,
-                                "b": (k - n / 2.0) - 2.0 * n * lam * xb})
-    return fn
+def _lambda(xi: np.ndarray) -> np.ndarray:
+    return np.where(xi < 1e-8, 0.125, np.tanh(xi / 2.0) / (4.0 * np.maximum(xi, 1e-8)))
+
+
+def _whole_groups(batches):
+    """Rows sorted by group -> frames that hold whole groups (the last group is carried on)."""
+    rest = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        last = int(np.searchsorted(pdf["grp"].to_numpy(), pdf["grp"].iloc[-1]))
+        if last:
+            yield pdf.iloc[:last]
+        rest = pdf.iloc[last:]
+    if rest is not None:
+        yield rest
+
+
+def _group_effects(pdf: pd.DataFrame, m_b: np.ndarray, V_b: np.ndarray, e_inv_var: float):
+    """Group means and variances at their optimum for the given fixed effects."""
+    X = np.stack(pdf["x"].to_numpy())
+    n, k = pdf["n"].to_numpy(dtype=float), pdf["k"].to_numpy(dtype=float)
+    xb = X @ m_b
+    quad = np.einsum("ij,jk,ik->i", X, V_b, X)
+    starts = np.flatnonzero(np.concatenate([[True], pdf["grp"].to_numpy()[1:] != pdf["grp"].to_numpy()[:-1]]))
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+    m, v = np.zeros(len(starts)), np.full(len(starts), 1.0 / e_inv_var)
+    for _ in range(200):
+        lam = _lambda(np.sqrt((xb + m[of]) ** 2 + quad + v[of]))
+        a = e_inv_var + np.add.reduceat(2.0 * n * lam, starts)
+        new = np.add.reduceat((k - n / 2.0) - 2.0 * n * lam * xb, starts) / a
+        done = np.max(np.abs(new - m)) < 1e-10
+        m, v = new, 1.0 / a
+        if done:
+            break
+    return X, n, k, xb, quad, starts, of, m, v
 
 
-def _fixed_map(m_b: np.ndarray, V_b: np.ndarray, p: int):
-    """Per batch of cells: partial sum of n lambda x x' (flattened) and of x (k - n/2 - 2 n lambda m_g)."""
+def _sums(m_b: np.ndarray, V_b: np.ndarray, e_inv_var: float):
+    """Per frame of groups one row: the sums that the fixed effects and the variance need."""
     def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["x"].to_numpy())
-            xb = X @ m_b
-            quad = np.einsum("ij,jk,ik->i", X, V_b, X)
-            mg = pdf["m_g"].to_numpy()
-            xi = np.sqrt((xb + mg) ** 2 + quad + pdf["v_g"].to_numpy())
-            lam = np.where(xi < 1e-8, 0.125, np.tanh(xi / 2.0) / (4.0 * np.maximum(xi, 1e-8)))
-            n, k = pdf["n"].to_numpy(dtype=float), pdf["k"].to_numpy(dtype=float)
-            w = n * lam
+        for pdf in _whole_groups(batches):
+            X, n, k, xb, quad, _, of, m, v = _group_effects(pdf, m_b, V_b, e_inv_var)
+            w = n * _lambda(np.sqrt((xb + m[of]) ** 2 + quad + v[of]))
             P = (X * w[:, None]).T @ X
-            r = X.T @ ((k - n / 2.0) - 2.0 * w * mg)
-            yield pd.DataFrame({"P": [P.reshape(-1).tolist()], "r": [r.tolist()]})
+            r = X.T @ ((k - n / 2.0) - 2.0 * w * m[of])
+            tail = [float(len(m)), m.sum(), (m * m + v).sum()]
+            yield pd.DataFrame({"v": [np.concatenate([P.reshape(-1), r, tail]).tolist()]})
     return fn
 
 
@@ -112,51 +122,44 @@ def fit_mixed(cells: DataFrame, component: str = "re_segment_id", fe_sd: float =
               vc_sd: float = 1.0, max_iter: int = 200, tol: float = 1e-5) -> MixedFit:
     """Variational fit on the cell table (see module doc).
 
-    Per iteration: (1) group update = ``mapInPandas`` over the cells joined to the group table,
-    then a built-in ``groupBy(grp)`` sum; (2) fixed-effect update = ``mapInPandas`` partial sums,
-    one small row per batch, added on the driver (p x p, p ~ 14); (3) log-sd update from two
-    scalars. The intercept absorbs the mean group effect after each sweep (centering), which
-    removes the slow ridge between the intercept and the group effects.
+    The cells are dealt out by group and sorted once (a group has at most one cell per covariate
+    combination), so each iteration is one job: every group's effect is brought to its optimum for
+    the current fixed effects, and the p x p sums of all groups are added up by Spark; p^2 + p + 3
+    numbers reach the driver. The intercept absorbs the mean group effect after each sweep
+    (centering), which removes the slow ridge between the intercept and the group effects.
     """
     spark = cells.sparkSession
     ensure_checkpoint_dir(spark)
     terms, xcols = _design(cells)
     p = len(terms)
-    base = cells.select("grp", "n", "k", F.array(*xcols).alias("x")).checkpoint(eager=True)
-    groups = base.select("grp").distinct().select("grp", F.lit(0.0).alias("m_g"), F.lit(1.0).alias("v_g"))
+    base = cells.select("grp", "n", "k", F.array(*xcols).alias("x")) \
+        .repartition("grp").sortWithinPartitions("grp").checkpoint(eager=True)
     m_b, V_b = np.zeros(p), np.eye(p) * fe_sd ** 2
     m_s, v_s = 0.0, 1.0
-    prior_prec = 1.0 / fe_sd ** 2
-    # the group table keeps its size across iterations: check it once, then hint accordingly
-    small_groups = sized_broadcast(groups) is not groups
-    hint = F.broadcast if small_groups else (lambda d: d)
-    it = 0
+    it, e_inv_var = 0, 1.0
     for it in range(1, max_iter + 1):
         e_inv_var = math.exp(-2.0 * m_s + 2.0 * v_s)
-        joined = base.join(hint(groups), "grp")
-        parts = joined.mapInPandas(_group_map(m_b, V_b), "grp string, a double, b double")
-        upd = parts.groupBy("grp").agg((F.lit(e_inv_var) + F.sum("a")).alias("_a"), F.sum("b").alias("_b"))
-        groups = upd.select("grp", (F.col("_b") / F.col("_a")).alias("m_g"),
-                            (1.0 / F.col("_a")).alias("v_g")).checkpoint(eager=True)
-        joined = base.join(hint(groups), "grp")
-        partial = joined.mapInPandas(_fixed_map(m_b, V_b, p), "P array<double>, r array<double>").collect()
-        P = np.eye(p) * prior_prec + 2.0 * np.sum([np.array(x["P"]) for x in partial], axis=0).reshape(p, p)
-        r = np.sum([np.array(x["r"]) for x in partial], axis=0)
-        V_new = np.linalg.inv(P)
-        m_new = V_new @ r
-        g = groups.agg(F.count(F.lit(1)).alias("G"), F.sum("m_g").alias("S1"),
-                       F.sum(F.col("m_g") ** 2 + F.col("v_g")).alias("S2")).first()
-        G, S1, S2 = float(g["G"]), float(g["S1"]), float(g["S2"])
-        shift = S1 / G
+        parts = base.mapInPandas(_sums(m_b, V_b, e_inv_var), "v array<double>")
+        rows = parts.select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
+        total = np.zeros(p * p + p + 3)
+        total[[x["pos"] for x in rows]] = [x["s"] for x in rows]
+        V_new = np.linalg.inv(np.eye(p) / fe_sd ** 2 + 2.0 * total[:p * p].reshape(p, p))
+        m_new = V_new @ total[p * p:p * p + p]
+        G, S1, S2 = total[-3:]
+        shift = S1 / G if G else 0.0
         m_new[0] += shift                       # centering: intercept takes the mean group effect
-        S2c = S2 - 2.0 * shift * S1 + G * shift * shift
-        groups = groups.select("grp", (F.col("m_g") - shift).alias("m_g"), "v_g")
-        m_s, v_s = _update_log_sd(G, S2c, m_s, v_s, vc_sd)
+        m_s, v_s = _update_log_sd(G, S2 - 2.0 * shift * S1 + G * shift * shift, m_s, v_s, vc_sd)
         delta = float(np.max(np.abs(m_new - m_b)))
         m_b, V_b = m_new, V_new
         if delta < tol:
             break
-    groups = groups.checkpoint(eager=True)
+
+    def effects(batches):
+        for pdf in _whole_groups(batches):
+            _, _, _, _, _, starts, _, m, v = _group_effects(pdf, m_b, V_b, e_inv_var)
+            yield pd.DataFrame({"grp": pdf["grp"].to_numpy()[starts], "m_g": m, "v_g": v})
+
+    groups = base.mapInPandas(effects, "grp string, m_g double, v_g double")
     return MixedFit(terms, m_b, V_b, m_s, v_s, groups, component, it)
 
 
@@ -205,7 +208,7 @@ def predict_cells(fit: MixedFit, cells: DataFrame, threshold: float = 0.5) -> Da
     """p = sigmoid(x'm_b + m_g) per cell (unseen group -> m_g = 0), class at p >= threshold."""
     _, xcols = _design_from_terms(fit.terms)
     eta = sum(c * float(fit.mean[i]) for i, c in enumerate(xcols))
-    out = cells.join(sized_broadcast(fit.groups), "grp", "left").withColumn(
+    out = cells.join(fit.groups, "grp", "left").withColumn(
         "_eta", eta + F.coalesce(F.col("m_g"), F.lit(0.0)))
     prob = 1.0 / (1.0 + F.exp(-F.col("_eta")))
     return out.select(*SIGNAL_COLUMNS, *DEMOGRAPHIC_COLUMNS, "grp", "n", "k",

@@ -83,28 +83,23 @@ def with_weights(df: DataFrame, weights: DataFrame, label: str = TARGET_COLUMN)
 
 def impute_mode(train: DataFrame, df: DataFrame, columns) -> DataFrame:
     """M4: fill nulls with the most frequent training value (ties: smallest value)."""
-    fills = {}
-    for c in columns:
-        top = (train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-               .orderBy(F.col("_n").desc(), F.col(c).asc()).first())
-        if top is not None:
-            fills[c] = top[c]
-    return df.fillna(fills)
+    modes = train.agg(*[F.mode(c, deterministic=True).alias(c) for c in columns]).first()
+    return df.fillna({c: modes[c] for c in columns if modes[c] is not None})
 
 
 def feature_stages(scale: bool = False, prefix: str = "") -> tuple[list, str, list[str]]:
     """M3 (+M5): one-hot demographics with unseen -> all-zero vector; optional scaled signals.
 
     ``StringIndexer(handleInvalid='keep', stringOrderType='alphabetAsc')`` puts unseen values in
-    the last index and ``OneHotEncoder(dropLast=True)`` drops that slot, so every seen level keeps
-    its column and an unseen one encodes as zeros.
+    the last index; the encoder treats that index as its last category, which ``dropLast`` drops,
+    so every seen level keeps its column and an unseen one is the zero vector.
     """
     stages, names = [], []
     idx = [f"{prefix}{c}_idx" for c in DEMOGRAPHIC_COLUMNS]
     ohe = [f"{prefix}{c}_ohe" for c in DEMOGRAPHIC_COLUMNS]
     stages.append(StringIndexer(inputCols=list(DEMOGRAPHIC_COLUMNS), outputCols=idx,
                                 handleInvalid="keep", stringOrderType="alphabetAsc"))
-    stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+    stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
     sig_vec = f"{prefix}signals_vec"
     stages.append(VectorAssembler(inputCols=list(SIGNAL_COLUMNS), outputCol=sig_vec))
     signal_out = sig_vec

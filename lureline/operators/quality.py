@@ -101,13 +101,15 @@ def cascade_delete(segments: DataFrame, targets: DataFrame, campaigns: DataFrame
                    event_log: DataFrame, erase_segments: DataFrame) -> dict[str, DataFrame]:
     """Q6: erase segments and everything that hangs from them (targets, campaigns, events).
 
-    Chained ``left_anti`` joins give the surviving snapshot of each table.
+    ``left_anti`` joins on the erased keys give the surviving snapshot of each table: an event
+    goes only if its campaign or target is erased, so orphans that hang from nothing erased stay.
     """
     gone_seg = erase_segments.select(F.col("id").alias("_sid")).distinct()
     seg_left = segments.join(gone_seg, segments.id == gone_seg._sid, "left_anti")
     tgt_left = targets.join(gone_seg, targets.segment_id == gone_seg._sid, "left_anti")
     camp_left = campaigns.join(gone_seg, campaigns.segment_id == gone_seg._sid, "left_anti")
-    ev_left = (event_log
-               .join(camp_left.select(F.col("id").alias("campaign_id")), "campaign_id", "left_semi")
-               .join(tgt_left.select(F.col("id").alias("target_id")), "target_id", "left_semi"))
+    erased = lambda table, key: table.join(
+        gone_seg, table.segment_id == gone_seg._sid, "left_semi").select(F.col("id").alias(key))
+    ev_left = (event_log.join(erased(campaigns, "campaign_id"), "campaign_id", "left_anti")
+               .join(erased(targets, "target_id"), "target_id", "left_anti"))
     return {"segments": seg_left, "targets": tgt_left, "campaigns": camp_left, "event_log": ev_left}

@@ -19,7 +19,6 @@ from lureline.constants import (
     SIGNAL_LABELS,
 )
 from lureline.functions.expressions import safe_rate
-from lureline.operators.joins import memo_frames, sized_broadcast
 
 RATE_NAMES = ("tasa_apertura_pct", "tasa_clic_pct", "tasa_reporte_pct")
 
@@ -63,7 +62,6 @@ def campaign_summary(fact: DataFrame) -> DataFrame:
     return _with_rates(g)
 
 
-@memo_frames
 def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
                     targets: DataFrame, event_log: DataFrame) -> DataFrame:
     """Per campaign of the fact: its keys, ``_seg_key``, targets in the segment and the four
@@ -75,14 +73,11 @@ def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFr
     pair counts (A2) joined to the target's segment on ``target_id`` (one shuffle of narrow
     rows, no fan-out) and kept where it equals the campaign's segment; then summed per campaign.
     The fan-out (targets x campaigns per segment) is never built, so the cost grows with
-    targets + events, not with targets x campaigns. One row per campaign of the size-checked
-    dimension that has targets.
+    targets + events, not with targets x campaigns. One row per campaign that has targets.
     """
-    from lureline.operators.facts import broadcast_dimension, campaign_dimension, event_counts
+    from lureline.operators.facts import campaign_dimension, event_counts
 
-    raw_dim = campaign_dimension(campaigns, templates, segments)
-    dim = broadcast_dimension(raw_dim)
-    dim_is_small = dim is not raw_dim      # the bounded count proved it small and hinted it
+    dim = campaign_dimension(campaigns, templates, segments)
     per_segment = targets.groupBy(F.col("segment_id").alias("_seg_key")).agg(
         F.count(F.lit(1)).cast("bigint").alias("observaciones"))
     pair = event_counts(event_log)
@@ -98,10 +93,6 @@ def campaign_rollup(campaigns: DataFrame, templates: DataFrame, segments: DataFr
         F.count_if(F.col("reported") > 0).cast("bigint").alias("reported"),
     )
     base = dim.join(per_segment, "_seg_key", "inner")
-    # ``sums`` has at most one row per campaign of the dimension: broadcast only when the
-    # dimension was proven small; otherwise Catalyst / AQE pick the join from real sizes
-    if dim_is_small:
-        sums = F.broadcast(sums)
     return base.join(sums, "campaign_id", "left").select(
         *CAMPAIGN_KEYS, *ROLLUP_ATTRIBUTES, "_seg_key", "observaciones",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in EVENT_TYPES])

@@ -168,10 +168,9 @@ def synthetic_population(segments: DataFrame, templates: DataFrame, targets: Dat
     the real targets of the chosen segment, with X8 probabilities and X5 draws.
 
     The segment pick joins a small ranked segment dimension; the fan-out over targets is an
-    equi-join on segment_id with the (size-checked) campaign side broadcast.
+    equi-join on segment_id without a hint.
     """
     from lureline.operators.facts import template_dimension
-    from lureline.operators.joins import sized_broadcast
 
     n_seg = segments.count()
     if n_seg == 0:
@@ -187,7 +186,6 @@ def synthetic_population(segments: DataFrame, templates: DataFrame, targets: Dat
         (F.floor(keyed_uniform(seed, F.lit("segment"), "template_id", "repetition") * n_seg) + 1)
         .cast("int").alias("_rank"),
     ).join(seg_rank, "_rank", "inner")
-    camp = sized_broadcast(camp)
     tg = targets.select(F.col("id").alias("target_id"), F.col("segment_id").alias("_tseg"),
                         F.col("recipient").alias("target_recipient"), F.col("uid").alias("target_uid"))
     rows = score_probabilities(tg.join(camp, F.col("_tseg") == F.col("segment_id"), "inner"))

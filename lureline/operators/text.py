@@ -5,13 +5,13 @@ from __future__ import annotations
 import html as _html
 
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lureline.functions.expressions import html_to_text, join_text
-from lureline.operators.facts import counts_by_target
-from lureline.operators.joins import sized_broadcast
+from lureline.operators.facts import event_counts, target_pairs
 
 
 @F.pandas_udf(T.StringType())
@@ -24,13 +24,8 @@ def unescape_entities(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else _html.unescape(x))
 
 
-def text_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
-              targets: DataFrame, event_log: DataFrame) -> DataFrame:
-    """Campaign x target with subject, description, visible HTML text, joined text, click flag.
-
-    The HTML is cleaned once per template on the (size-checked, broadcast) dimension, before
-    the fan-out over targets, not once per fact row.
-    """
+def campaign_texts(campaigns: DataFrame, templates: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per campaign: its template's texts (cleaned once per template) and existing ids."""
     tpl = templates.select(
         F.col("id").alias("_tid"),
         F.col("subject").alias("template_subject"),
@@ -39,16 +34,23 @@ def text_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
     ).withColumn("text_input", join_text("template_subject", "template_description",
                                          "template_html_text"))
     seg = segments.select(F.col("id").alias("_sid"))
-    dim = campaigns.select(F.col("id").alias("campaign_id"), F.col("template_id").alias("_tk"),
-                           F.col("segment_id").alias("_sk"))
-    dim = (dim.join(tpl, F.col("_tk") == F.col("_tid"), "left")
-              .join(seg, F.col("_sk") == F.col("_sid"), "left"))
-    dim = sized_broadcast(dim)
-    tg = targets.select(F.col("id").alias("target_id"), F.col("segment_id").alias("_tseg")).repartition("target_id")
-    pairs = tg.join(dim, F.col("_tseg") == F.col("_sk"), "inner")
-    # co-partitioned on target_id: the fan-out rows are not shuffled (see facts.interaction_fact)
-    out = pairs.join(counts_by_target(event_log, ("clicked",)), "target_id", "left").withColumn(
-        "clicked", F.element_at(F.col("_counts"), F.col("campaign_id"))["clicked"])
+    keys = campaigns.select(F.col("id").alias("campaign_id"), F.col("template_id").alias("_tk"),
+                            F.col("segment_id").alias("_sk"))
+    return (keys.join(tpl, F.col("_tk") == F.col("_tid"), "left")
+                .join(seg, F.col("_sk") == F.col("_sid"), "left"))
+
+
+def text_fact(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
+              targets: DataFrame, event_log: DataFrame) -> DataFrame:
+    """Campaign x target with subject, description, visible HTML text, joined text, click flag.
+
+    Narrow pairs are joined with the click counts first; the HTML is cleaned once per template and
+    the texts are attached last, so no text column is sorted or shuffled with the fan-out.
+    """
+    dim = campaign_texts(campaigns, templates, segments)
+    out = target_pairs(campaigns, targets).join(
+        event_counts(event_log).select("campaign_id", "target_id", "clicked"),
+        ["campaign_id", "target_id"], "left").join(dim, "campaign_id")
     missing = F.col("_tid").isNull()
     return out.select(
         "campaign_id",
@@ -95,13 +97,11 @@ def train_text_classifier(df: DataFrame, text_col: str, label_col: str, model_na
     data = df.select(*keys, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                      F.col(label_col).cast("int").alias("label")).dropna(subset=["label"])
     models.check_trainable(data, label="label", min_rows=min_rows)
-    split = models.stratified_split(data, label="label", test_size=test_size, seed=seed, keys=keys)
-    split = split.checkpoint(eager=True)
+    # a keyed hash per row: no text is sorted, shuffled or written
+    split = models.stratified_split(data, label="label", test_size=test_size, seed=seed, keys=keys, exact=False)
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     model = text_classifier_pipeline(label_col="label").fit(train)
     scored = model.transform(test).select(
         F.col("label").alias("y"), vector_to_array("probability")[1].alias("p"))
     return evaluation.model_metrics(scored, model_name, materialize=True)
 
-
-from pyspark.ml.functions import vector_to_array  # noqa: E402

@@ -531,7 +531,7 @@ def _synthetic_sql() -> dict[str, str]:
 def _ev_sql(prob: str = "click_probability") -> str:
     return (f"scored AS (SELECT *, {PROBS_SQL} FROM fact), "
             f"ev AS (SELECT source, campaign_id, target_id, CAST(clicked_flag AS INTEGER) AS y, "
-            f"CAST({prob} AS DOUBLE) AS p FROM scored WHERE delivered > 0)")
+            f"CAST({prob} AS DOUBLE) AS p FROM scored)")
 
 
 def _metrics_select(ev: str = "ev") -> str:
@@ -591,7 +591,7 @@ FROM per, tot"""
     for name, prob in (("x8_click", "click_probability"), ("x8_open", "open_probability")):
         ev = f"ev_{name}"
         runs.append((name, ev, f"{ev} AS (SELECT CAST(clicked_flag AS INTEGER) AS y, CAST({prob} AS DOUBLE) AS p "
-                               f"FROM scored WHERE delivered > 0)"))
+                               f"FROM scored)"))
     comp_pre = (f"{with_views('fact')}, scored AS (SELECT *, {PROBS_SQL} FROM fact), "
                 + ", ".join(r[2] for r in runs))
     comp = " UNION ALL ".join(

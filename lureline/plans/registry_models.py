@@ -8,6 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lureline.operators import attribution
+from lureline.operators import facts as facts_ops
+from lureline.operators import mixed
+from lureline.operators import text as text_ops
+from lureline.sources import files
+from lureline.sources import fixtures as fx
+from lureline.streaming import attribution as stream_attr
+from lureline.streaming.attribution import run_folder
 from lureline.constants import TARGET_COLUMN
 from lureline.functions.expressions import na_to_null
 from lureline.operators import evaluation, models
@@ -95,9 +103,6 @@ def q_scored_rows(spark, sf):
 
 
 # ---- streaming (T1, T2) --------------------------------------------------------------------------
-from lureline.operators import attribution  # noqa: E402
-from lureline.sources import fixtures as fx  # noqa: E402
-from lureline.streaming import attribution as stream_attr  # noqa: E402
 
 
 @register("stream_attribution")
@@ -112,9 +117,6 @@ def q_stream_totals(spark, sf):
 
 
 # ---- mixed model (G1-G5, K3) -----------------------------------------------------------------------
-from lureline.operators import mixed  # noqa: E402
-
-_FITS: dict = {}
 
 
 def _cells(spark, sf):
@@ -122,10 +124,7 @@ def _cells(spark, sf):
 
 
 def _mixed_fit(spark, sf):
-    key = (id(spark), sf)
-    if key not in _FITS:
-        _FITS[key] = mixed.fit_mixed(_cells(spark, sf), component="re_segment_id")
-    return _FITS[key]
+    return mixed.fit_mixed(_cells(spark, sf), component="re_segment_id")
 
 
 @register("mixed_cells")
@@ -154,13 +153,11 @@ def q_mixed_scores(spark, sf):
 
 
 # ---- text classifier (N2) ------------------------------------------------------------------------
-from lureline.operators import text as text_ops  # noqa: E402
-from lureline.operators.joins import spread_if_undersplit  # noqa: E402
 
 
 @register("text_classifier")
 def q_text_classifier(spark, sf):
-    docs = spread_if_undersplit(fx.read_table(spark, sf, "documents").select("doc_id", "text"))
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
     labels = fx.read_table(spark, sf, "labels").select("doc_id", "toxic", "quality")
     joined = docs.join(labels, "doc_id", "inner")
     toxic = text_ops.train_text_classifier(joined, "text", "toxic", "tfidf_logreg_toxic")
@@ -177,9 +174,6 @@ def q_text_fact_classifier(spark, sf):
 
 
 # ---- file sources (S2, S3, S4) -------------------------------------------------------------------
-from lureline.operators import facts as facts_ops  # noqa: E402
-from lureline.sources import files  # noqa: E402
-from lureline.streaming.attribution import run_folder  # noqa: E402
 
 
 @register("source_default")
@@ -189,6 +183,6 @@ def q_source_default(spark, sf):
     t = fx.load(spark, sf)
     fact = facts_ops.interaction_fact(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
     run = run_folder(spark, "csv-export")
-    path = f"{run}/{files.artifact_name('analytic_dataset_observed', 'all-campaigns', '20240101_000000')}"
+    path = f"{run}/analytic_dataset_observed.csv"
     files.write_csv(fact.drop("source"), path)
     return files.read_dataset_csv(spark, path)

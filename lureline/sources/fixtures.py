@@ -79,29 +79,12 @@ def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    key = (id(spark), "templates")
-    df = _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = literal_table(spark, TEMPLATE_ROWS, TEMPLATE_SCHEMA)
-        _SCANS[key] = df
-    return df
-
-
-_SCANS: dict = {}
+    return literal_table(spark, TEMPLATE_ROWS, TEMPLATE_SCHEMA)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one input table, memoised per session and path.
-
-    A DataFrame is an immutable plan, so reusing it is safe; it saves the file listing and the
-    footer-based schema inference that every new ``spark.read.parquet`` would repeat.
-    """
-    key = (id(spark), sf_dir, name)
-    df = _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        _SCANS[key] = df
-    return df
+    """Parquet scan of one input table (listed anew each time, so later files are seen)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -216,20 +199,14 @@ class Fixtures:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Fixtures:
-    """The operational tables of one input folder (plans memoised per session and folder)."""
-    key = (id(spark), sf_dir, "fixtures")
-    hit = _SCANS.get(key)
-    if hit is not None and hit.targets.sparkSession is spark:
-        return hit
-    out = Fixtures(
+    """The operational tables of one input folder."""
+    return Fixtures(
         segments=segments(spark, sf_dir),
         templates=templates(spark),
         targets=targets(spark, sf_dir),
         campaigns=campaigns(spark, sf_dir),
         event_log=event_log(spark, sf_dir),
     )
-    _SCANS[key] = out
-    return out
 
 
 # ----------------------------------------------------------------------------------------------

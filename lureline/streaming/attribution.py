@@ -13,6 +13,7 @@ folder); the checkpoint makes the query restartable after a driver or executor l
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -80,7 +81,7 @@ def _to_us(s: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def _make_update(lateness_us: int, ttl_us: int):
+def _make_update(lateness_us: int, ttl_us: int | None):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (target_id,) = key
         if state.hasTimedOut:
@@ -115,34 +116,56 @@ def _make_update(lateness_us: int, ttl_us: int):
             newest = int(d_ts[-1])
             start = max(int(np.searchsorted(d_ts, newest - lateness_us, side="left")) - 1, 0)
             state.update(tuple(a[start:].tolist() for a in (d_ts, d_id, d_camp, d_tpl)))
-            state.setTimeoutTimestamp((newest + ttl_us) // 1000)
+            if ttl_us is not None:  # a timeout must lie after the watermark
+                state.setTimeoutTimestamp(max((newest + ttl_us) // 1000, state.getCurrentWatermarkMs() + 1))
     return update
 
 
 def start_attribution(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                      lateness: str = "10 minutes", ttl_days: int = 30,
+                      lateness: str = "10 minutes", ttl_days: int | None = None,
                       max_files_per_trigger: int | None = None, available_now: bool = True):
-    """Start T1: file source -> watermark -> per-target state -> parquet sink (append)."""
+    """Start T1: file source -> watermark -> per-target state -> parquet sink (append).
+
+    ``lateness`` is any interval Spark can read. Without ``ttl_days`` a target's latest delivery
+    stays in state for ever (one small row per target), as the batch form credits any later hit;
+    with it, hits that come later than that after the newest delivery are not credited.
+    """
     reader = spark.readStream.schema(STREAM_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = reader.parquet(source_dir).withWatermark("ts", lateness)
-    minutes = int(lateness.split()[0]) if lateness.split()[1].startswith("minute") else 10
-    fn = _make_update(minutes * 60 * US, ttl_days * 86400 * US)
+    base = F.timestamp_seconds(F.lit(0))
+    late = spark.range(1).select(F.unix_micros(base + F.expr(f"INTERVAL {lateness}"))).first()[0]
+    fn = _make_update(late, None if ttl_days is None else ttl_days * 86400 * US)
     attributed = rows.groupBy("target_id").applyInPandasWithState(
-        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout if ttl_days is None else GroupStateTimeout.EventTimeTimeout)
     writer = (attributed.writeStream.format("parquet").option("path", sink_dir)
               .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def _stamp_in_order(spark: SparkSession, folder: str) -> None:
+    """Give the files (one per time range) modification times in their order: the file source
+    reads the oldest file first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    first = int(time.time() * 1000) - 2000 * len(files)
+    for i, file in enumerate(files):
+        fs.setTimes(file, first + 2000 * i, -1)
+
+
 def attribution_via_stream(spark: SparkSession, deliveries: DataFrame, resolved_hits: DataFrame,
                            files: int = 8) -> DataFrame:
-    """Stage the input as files, run T1 to completion (``availableNow``) and read the sink."""
+    """Stage the input as files in event-time order, run T1 over several micro-batches to
+    completion (``availableNow``) and read the sink."""
     run = run_folder(spark, "stream-attribution")
-    stream_rows(deliveries, resolved_hits).repartition(files).write.parquet(f"{run}/in")
-    q = start_attribution(spark, f"{run}/in", f"{run}/out", f"{run}/chk")
+    stream_rows(deliveries, resolved_hits).repartitionByRange(files, "ts").write.parquet(f"{run}/in")
+    _stamp_in_order(spark, f"{run}/in")
+    q = start_attribution(spark, f"{run}/in", f"{run}/out", f"{run}/chk", max_files_per_trigger=2)
     q.awaitTermination()
     out = spark.read.schema(OUTPUT_SCHEMA).parquet(f"{run}/out")
     return out.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))

@@ -132,17 +132,50 @@ def test_first_rows_is_a_top_k(spark):
     assert "TakeOrderedAndProject" in head._jdf.queryExecution().executedPlan().toString()
 
 
-def test_large_dimension_is_not_broadcast(spark, monkeypatch):
-    """When the campaign dimension fails the size check, neither it nor the per-campaign sums
-    are hinted, and the results are unchanged."""
-    from lureline.operators import joins
+def test_summary_plans_carry_no_size_hint(spark):
+    """Joins are left to Catalyst and AQE; the summary equals the one over the fact."""
     segments, templates, targets, campaigns, events = _tables(spark)
     tables = (campaigns, templates, segments, targets, events)
-    small = sorted(summaries.campaign_summary_from_log(*tables).collect())
-    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
-    campaigns2 = campaigns.select("*")          # a new plan: the memoised size check is redone
-    tables2 = (campaigns2, templates, segments, targets, events)
-    rollup = summaries.campaign_summary_from_log(*tables2)
-    assert "ResolvedHint (strategy=broadcast)" not in rollup._jdf.queryExecution().analyzed().toString()
-    assert sorted(rollup.collect()) == small
-    assert small == sorted(summaries.campaign_summary(facts.interaction_fact(*tables2)).collect())
+    rollup = summaries.campaign_summary_from_log(*tables)
+    assert "ResolvedHint" not in rollup._jdf.queryExecution().analyzed().toString()
+    assert sorted(rollup.collect()) == sorted(summaries.campaign_summary(facts.interaction_fact(*tables)).collect())
+
+
+def test_events_without_campaign_do_not_stop_the_fact(spark):
+    segments, templates, targets, campaigns, events = _tables(spark)
+    odd = spark.createDataFrame([(None, None), (None, 1)], "campaign_id long, target_id long")
+    odd = odd.selectExpr("-1L as id", "campaign_id", "target_id", "1L as template_id", "'clicked' as event_type")
+    more = events.unionByName(odd, allowMissingColumns=True)
+    want = sorted(facts.interaction_fact(campaigns, templates, segments, targets, events).collect(), key=str)
+    got = sorted(facts.interaction_fact(campaigns, templates, segments, targets, more).collect(), key=str)
+    assert got == want
+
+
+def test_labels_of_every_type(spark):
+    bools = spark.createDataFrame([(True,), (False,), (None,)], "clicked_flag boolean")
+    assert sorted(r[0] for r in facts.normalize_labels(bools).collect()) == [0, 1]
+    texts = spark.createDataFrame([("yes\t",), ("no\n",), (" True ",), ("maybe",)], "clicked_flag string")
+    got = sorted(r[0] for r in facts.normalize_labels(texts).collect())
+    plain = spark.createDataFrame([("yes",), ("no",), ("true",), ("maybe",)], "clicked_flag string")
+    assert got == sorted(r[0] for r in facts.normalize_labels(plain).collect()) and len(got) >= 2
+
+
+def test_scan_sees_files_added_later(spark, tmp_path):
+    from lureline.sources.fixtures import read_table
+    path = f"{tmp_path}/region.parquet"
+    spark.range(10).write.parquet(path)
+    assert read_table(spark, str(tmp_path), "region").count() == 10
+    spark.range(10).write.mode("append").parquet(path)
+    assert read_table(spark, str(tmp_path), "region").count() == 20
+
+
+def test_cascade_keeps_orphans_of_nothing_erased(spark):
+    from lureline.operators.quality import cascade_delete
+    segments, templates, targets, campaigns, events = _tables(spark)
+    orphan = spark.createDataFrame([(-5, 10**9, 10**9)], "id long, campaign_id long, target_id long")
+    log = events.unionByName(orphan, allowMissingColumns=True)
+    none = spark.createDataFrame([(-1,)], "id long")
+    assert cascade_delete(segments, targets, campaigns, log, none)["event_log"].count() == log.count()
+    first = segments.limit(1).select("id")
+    left = cascade_delete(segments, targets, campaigns, log, first)["event_log"]
+    assert left.filter("id = -5").count() == 1 and left.count() <= log.count()

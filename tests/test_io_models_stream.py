@@ -14,10 +14,63 @@ from lureline.streaming import attribution as stream_attr
 from tests.conftest import SF_SMALL
 
 
-def test_artifact_names():
-    assert files.artifact_name("Analytic Dataset", "campaigns 1..12", "20260902_231124") == \
-        "analytic-dataset_campaigns-1-12_20260902_231124.csv"
-    assert files.artifact_name("metrics", None, "20260101_000000", ".json") == "metrics_20260101_000000.json"
+def test_whole_numbers_written_as_decimals(spark):
+    base = tempfile.mkdtemp(prefix="lureline-csv-")
+    rows = [("1.0", "2", "x"), ("0.0", "3.5", "N/A"), ("", "4", None)]
+    files.write_csv(spark.createDataFrame(rows, "clicked_flag string, campaign_id string, gender string"), f"{base}/a")
+    back = files.read_dataset_csv(spark, f"{base}/a").select("clicked_flag", "campaign_id").collect()
+    assert sorted((r.clicked_flag is None, r.clicked_flag or 0, r.campaign_id or 0) for r in back) == \
+        [(False, 0, 0), (False, 1, 2), (True, 0, 4)]
+
+
+def test_parquet_sink_and_append(spark):
+    base = tempfile.mkdtemp(prefix="lureline-pq-")
+    files.write_parquet(spark.range(5).selectExpr("id", "id % 2 as campaign_id"), f"{base}/d", partition_by=["campaign_id"])
+    assert spark.read.parquet(f"{base}/d").filter("campaign_id = 1").count() == 2
+    files.write_parquet(spark.range(3).selectExpr("id", "0L as campaign_id"), f"{base}/d", mode="append",
+                        partition_by=["campaign_id"])
+    assert spark.read.parquet(f"{base}/d").count() == 8
+
+
+def _stream(spark, rows, lateness, ttl_days=None):
+    """Each row list is one file, read as one micro-batch."""
+    base = tempfile.mkdtemp(prefix="lureline-st-")
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, stream_attr.STREAM_SCHEMA).coalesce(1).write.parquet(f"{base}/in{i}")
+        src = [f for f in os.listdir(f"{base}/in{i}") if f.startswith("part-")][0]
+        os.makedirs(f"{base}/in", exist_ok=True)
+        os.link(f"{base}/in{i}/{src}", f"{base}/in/part-{i:05d}.parquet")
+        os.utime(f"{base}/in/part-{i:05d}.parquet", (1e9 + i, 1e9 + i))
+    q = stream_attr.start_attribution(spark, f"{base}/in", f"{base}/out", f"{base}/chk", lateness=lateness,
+                                      ttl_days=ttl_days, max_files_per_trigger=1)
+    q.awaitTermination()
+    return sorted((r.hit_id, r.delivery_id) for r in
+                  spark.read.schema(stream_attr.OUTPUT_SCHEMA).parquet(f"{base}/out").collect())
+
+
+def _at(minutes):
+    from datetime import datetime, timedelta
+    return datetime(2024, 1, 1) + timedelta(minutes=minutes)
+
+
+def _dlv(target, minute, i):
+    return (target, 0, _at(minute), i, 1, 1, None, None)
+
+
+def _hit(target, minute, i):
+    return (target, 1, _at(minute), i, None, None, "clicked", "u")
+
+
+def test_stream_keeps_late_hits_inside_the_lateness(spark):
+    rows = [[_dlv(1, 0, 10)], [_dlv(1, 100, 11)], [_hit(1, 12, 20)], [_hit(1, 101, 21)]]
+    assert _stream(spark, rows, "2 hours") == [(20, 10), (21, 11)]
+
+
+def test_stream_credits_a_hit_long_after_its_delivery(spark):
+    day = 24 * 60
+    rows = [[_dlv(1, 0, 10)], [_dlv(2, 40 * day, 11)], [_dlv(2, 40 * day + 60, 12)], [_hit(1, 41 * day, 20)]]
+    assert _stream(spark, rows, "10 minutes") == [(20, 10)]
+    assert _stream(spark, rows, "10 minutes", ttl_days=30) == []
 
 
 def test_versioned_write_and_latest(spark):
