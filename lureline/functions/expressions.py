@@ -1,11 +1,15 @@
-"""Column expressions. All of them are built-in Spark expressions (JVM side, whole-stage codegen)."""
+"""Column expressions: built-in Spark expressions (JVM side), but for HTML character references,
+which are decoded by one Arrow-batched function."""
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lureline.constants import LABEL_TEXT_MAP, NA_TOKENS, TRUTHY_STRINGS
 
@@ -80,46 +84,41 @@ def sanitize_name(c: str | Column) -> Column:
 # Whitespace as Python's unicode ``\s`` sees it (written out, so Java and RE2 agree).
 _WS_CLASS = "[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
-# fixed values: named entities decoded by the expression path (the rest go through html.unescape)
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
-
 # One pass: at each '<' the alternatives are tried in order -- comment, script block, style block,
-# declaration, tag -- so comments and script/style bodies go before any tag inside them is seen.
-_HTML_STEPS = (
-    (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<![^>]*>|</?[A-Za-z][^>]*>", " "),
-)
+# declaration, tag -- so comments and script/style bodies go before any tag inside them is seen. A
+# quoted attribute value may hold '>'.
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_MARKUP = (r"(?is)<!--.*?-->|<script\b%s>.*?</script\s*>|<style\b%s>.*?</style\s*>|<![^>]*>|</?[a-z]%s>"
+           % (_ATTRIBUTES, _ATTRIBUTES, _ATTRIBUTES))
+# the same for Java, with possessive repeats (no backtracking, no deep stack on long tags)
+_MARKUP_JAVA = _MARKUP.replace(_ATTRIBUTES, r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+
+
+@F.pandas_udf(T.StringType())
+def decode_entities(texts: pd.Series) -> pd.Series:
+    """Named and numeric character references, as HTML defines them (a batch at a time)."""
+    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
 
 def html_to_text(c: str | Column) -> Column:
-    """HTML -> visible text: comments, script/style blocks and tags out (tags become a space),
-    common entities decoded, whitespace collapsed, trimmed; null -> ''."""
-    text = F.coalesce(_col(c).cast("string"), F.lit(""))
-    for pattern, repl in _HTML_STEPS:
-        text = F.regexp_replace(text, pattern, repl)
-    for entity, char in HTML_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, _WS_CLASS, " ")
-    return strip_ws(text)
+    """HTML -> visible text: comments, script/style blocks and tags out (tags become a space), all
+    character references decoded, white space collapsed, trimmed; null -> ''."""
+    text = F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), _MARKUP_JAVA, " ")
+    return strip_ws(F.regexp_replace(decode_entities(text), _WS_CLASS, " "))
+
+
+#: Character references that the given pages use, for the SQL below (DuckDB cannot decode all).
+SQL_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"),
+                ("&middot;", "·"), ("&amp;", "&"))
 
 
 def html_to_text_sql(column_sql: str) -> str:
     """The same cleanup as :func:`html_to_text`, as DuckDB SQL text (for oracles)."""
     expr = f"coalesce(CAST({column_sql} AS VARCHAR), '')"
-    for pattern, repl in _HTML_STEPS:
-        expr = f"regexp_replace({expr}, '{pattern}', '{repl}', 'g')"
-    for entity, char in HTML_ENTITIES:
-        esc = char.replace("'", "''")
-        expr = f"replace({expr}, '{entity}', '{esc}')"
+    pattern = _MARKUP.replace("'", "''")
+    expr = f"regexp_replace({expr}, '{pattern}', ' ', 'g')"
+    for entity, char in SQL_ENTITIES:
+        expr = f"replace({expr}, '{entity}', '{char}')"
     expr = f"regexp_replace({expr}, '{_WS_CLASS}', ' ', 'g')"
     return strip_ws_sql(expr)
 

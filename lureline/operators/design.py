@@ -73,7 +73,8 @@ def plan_balance(plan: DataFrame) -> DataFrame:
 
 def materialize_plan(plan: DataFrame, templates: DataFrame, segments: DataFrame,
                      campaigns: DataFrame, limit: int | None = None) -> DataFrame:
-    """Plan -> new draft campaigns; returns the map assignment -> campaign.
+    """Plan -> new draft campaigns; returns the map assignment -> campaign
+    (:func:`draft_campaigns` gives the campaign rows).
 
     K4 (first ``limit`` rows by execution order) is the feature here, then J8 keeps rows whose
     template and segment exist (two semi-joins), and new ids continue after the current max.
@@ -95,6 +96,20 @@ def materialize_plan(plan: DataFrame, templates: DataFrame, segments: DataFrame,
     )
 
 
+def draft_campaigns(created: DataFrame) -> DataFrame:
+    """The campaign rows of a materialised plan, in the shape of the campaigns table."""
+    return created.select(
+        F.col("campaign_id").alias("id"), F.lit("email").alias("channel"),
+        F.lit(None).cast("timestamp_ntz").alias("launched_at"), F.lit("draft").alias("status"),
+        "template_id", "segment_id")
+
+
+def assigned_uids(targets: DataFrame) -> DataFrame:
+    """The targets with a uid where it was null or empty (repeatable: md5 of the id)."""
+    fresh = F.md5(F.concat(F.lit("uid|"), F.col("id").cast("string")))
+    return targets.withColumn("uid", F.when(F.coalesce("uid", F.lit("")) == "", fresh).otherwise(F.col("uid")))
+
+
 def expand_deliveries(campaigns: DataFrame, templates: DataFrame, targets: DataFrame) -> DataFrame:
     """One ``delivered`` event row per target of each launchable campaign.
 
@@ -106,10 +121,10 @@ def expand_deliveries(campaigns: DataFrame, templates: DataFrame, targets: DataF
     camp = campaigns.where(F.col("status") != "launched").join(
         valid, F.col("template_id") == F.col("_vt"), "left_semi")
     camp = camp.select(F.col("id").alias("campaign_id"), "template_id", F.col("segment_id").alias("_cseg"))
-    tg = targets.select(F.col("id").alias("target_id"), "segment_id", "uid")
+    tg = assigned_uids(targets).select(F.col("id").alias("target_id"), "segment_id", "uid")
     rows = tg.join(camp, F.col("segment_id") == F.col("_cseg"), "inner")
     return rows.select(
         "campaign_id", "target_id", F.col("template_id").cast("bigint").alias("template_id"),
         F.lit("delivered").alias("event_type"),
-        F.coalesce(F.col("uid"), F.md5(F.concat(F.lit("uid|"), F.col("target_id").cast("string")))).alias("uid"),
+        "uid",
     )

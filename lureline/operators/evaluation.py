@@ -122,7 +122,7 @@ def calibration_curve(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "tar
     )
 
 
-def lift_table(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "target_id")) -> DataFrame:
+def lift_table(ev: DataFrame, n_bins: int = 10, keys=("source", "campaign_id", "target_id")) -> DataFrame:
     """E6 + W1 + W2: gains / lift by quantile bucket of the descending score rank.
 
     Bucket of rank r among n rows with q = min(n_bins, n): max(1, ceil((r-1) q / (n-1))) -- the
@@ -186,6 +186,44 @@ def _one_row(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "_k", "inner"), keyed).drop("_k")
 
 
+def stack_scores(rows: DataFrame, scores: dict[str, str], label: str = "clicked_flag",
+                 keys=("source", "campaign_id", "target_id")) -> DataFrame:
+    """The predictions of several models on the same rows, stacked: ``model, keys, y, p``."""
+    each = F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).cast("double").alias("p"))
+                     for name, c in scores.items()])
+    kept = [k for k in keys if k in rows.columns]
+    return rows.select(*kept, F.col(label).cast("int").alias("y"), F.explode(each).alias("m")) \
+        .select("m.model", *kept, "y", "m.p")
+
+
+def compare_scores(rows: DataFrame, scores: dict[str, str], threshold: float = 0.5) -> DataFrame:
+    """One metrics row per model. The stacked predictions are aggregated once to counts per
+    (model, score, label); every metric follows from these."""
+    ev = stack_scores(rows, scores, keys=())
+    per = ev.groupBy("model", "p").agg(F.count_if(F.col("y") == 1).cast("bigint").alias("pos"),
+                                       F.count_if(F.col("y") == 0).cast("bigint").alias("neg"))
+    ranked = with_global_rank(per, ["model", "p"], sum_cols=["neg"])
+    pred = F.col("p") >= threshold
+    d = lambda c: F.col(c).cast("double")
+    first = F.min(F.struct("_rank", (F.col("_cum_neg") - F.col("neg")).alias("below")))["below"]
+    agg = ranked.groupBy("model").agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+        F.sum(F.when(pred, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(pred, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(d("pos") * (d("_cum_neg") - d("neg")) + 0.5 * d("pos") * d("neg")).alias("s"),
+        first.alias("before"),
+        F.sum(d("pos") * (F.col("p") - 1) ** 2 + d("neg") * F.col("p") ** 2).alias("sq"))
+    n, tp, fp = F.col("P") + F.col("N"), F.col("tp"), F.col("fp")
+    fn, tn = F.col("P") - tp, F.col("N") - fp
+    area = (F.col("s") - d("P") * d("before")) / (d("P") * d("N"))  # negatives of earlier models off
+    return agg.select(
+        "model", n.alias("n_rows"), F.col("P").alias("positives"), _div(tp + tn, n).alias("accuracy"),
+        _div(tp, tp + fp).alias("precision"), _div(tp, tp + fn).alias("recall"),
+        _div(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.bround(area, 12)).alias("roc_auc"),
+        F.bround(F.col("sq") / n, MEAN_DECIMALS).alias("brier_score"))
+
+
 METRIC_DIRECTIONS = {"accuracy": True, "precision": True, "recall": True, "f1": True,
                      "roc_auc": True, "brier_score": False}
 

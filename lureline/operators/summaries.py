@@ -351,9 +351,44 @@ def top_findings(fact: DataFrame) -> DataFrame:
 def top_findings_from_log(campaigns: DataFrame, templates: DataFrame, segments: DataFrame,
                           targets: DataFrame, event_log: DataFrame) -> DataFrame:
     """A17 of the observed fact from the rollup-based summaries; equal to ``top_findings(fact)``."""
-    args = (campaigns, templates, segments, targets, event_log)
-    return _findings(general_table_from_log(*args), campaign_summary_from_log(*args),
-                     segment_summary_from_log(*args), signal_summary_from_log(*args))
+    rollup = campaign_rollup(campaigns, templates, segments, targets, event_log)
+    name = lambda finding, item, order: F.struct(
+        F.lit(finding).alias("finding"), item.cast("string").alias("item"), order.cast("bigint").alias("order"))
+    groups = [name("global", F.lit(None), F.lit(0)), name("campaign", F.col("campaign_id"), F.col("campaign_id")),
+              name("segment", F.col("segment_id"), F.col("segment_id")),
+              *[F.when(F.col(s) == 1, name("signal", F.lit(SIGNAL_LABELS[s]), F.lit(i)))
+                for i, s in enumerate(SIGNAL_COLUMNS)]]
+    sums = rollup.select(F.explode(F.array_compact(F.array(*groups))).alias("g"), *EVENT_TYPES) \
+        .groupBy("g").agg(*[_lsum(c).alias(c) for c in EVENT_TYPES])
+    rates = sums.select("g.*", *[safe_rate(c, "delivered").alias(n) for c, n in zip(
+        ("opened", "clicked", "reported"), ("open_rate_pct", "click_rate_pct", "report_rate_pct"))])
+    pick = F.max_by(F.struct("item", "open_rate_pct", "click_rate_pct", "report_rate_pct"),
+                    F.struct(F.col("click_rate_pct"), -F.col("order"))).alias("b")
+    return rates.groupBy("finding").agg(pick).select("finding", "b.*")
+
+
+def observed_contrasts(fact: DataFrame, segment: int = 1) -> DataFrame:
+    """A14-A16 on given rows, by one aggregate: per signal the open rate with and without it, the
+    click rate in and outside ``segment``, and per signal the difference in differences of the
+    open rate. Rates in percent of the group's rows (0.0 for an empty one), unrounded until the
+    difference is taken."""
+    def rate(cond, flag):
+        n = F.count_if(cond)
+        hit = F.coalesce(F.sum(F.when(cond, F.col(flag))), F.lit(0)).cast("double")
+        return F.when(n == 0, F.lit(0.0)).otherwise(hit / n.cast("double") * 100.0)
+
+    inside = F.coalesce(F.col("segment_id") == segment, F.lit(False))
+    rows = [("segment", "segment", rate(inside, "clicked_flag"), rate(~inside, "clicked_flag"))]
+    for s in SIGNAL_COLUMNS:
+        on, off = F.col(s) == 1, F.col(s) == 0
+        rows.append(("signal", s, rate(on, "opened_flag"), rate(off, "opened_flag")))
+        rows.append(("interaction", s,
+                     rate(inside & on, "opened_flag") - rate(inside & off, "opened_flag"),
+                     rate(~inside & on, "opened_flag") - rate(~inside & off, "opened_flag")))
+    structs = [F.struct(F.lit(kind).alias("contrast"), F.lit(item).alias("item"),
+                        F.bround(a, 2).alias("group_a_rate_pct"), F.bround(b, 2).alias("group_b_rate_pct"),
+                        F.bround(a - b, 2).alias("difference_pp")) for kind, item, a, b in rows]
+    return fact.agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
 
 def _findings(general: DataFrame, by_campaign: DataFrame, by_segment: DataFrame,
@@ -382,6 +417,19 @@ def _findings(general: DataFrame, by_campaign: DataFrame, by_segment: DataFrame,
     return reduce(DataFrame.unionByName, [glob, camp, seg, sig_best])
 
 
+def signal_odds(fact: DataFrame, label: str = "clicked_flag") -> DataFrame:
+    """Per signal the log odds ratio of the label with and without it (half a row added to
+    each of the four counts), its absolute value and the odds ratio; one aggregate."""
+    rows = []
+    for s in SIGNAL_COLUMNS:
+        count = lambda v, y: (F.count_if((F.col(s) == v) & (F.col(label) == y)) + 0.5)  # noqa: E731, B023
+        odds = F.log(count(1, 1) * count(0, 0) / (count(1, 0) * count(0, 1)))
+        rows.append(F.struct(F.lit(s).alias("term"), F.bround(odds, 8).alias("log_odds")))
+    out = fact.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return out.select("term", "log_odds", F.abs("log_odds").alias("abs_log_odds"),
+                      F.bround(F.exp("log_odds"), 8).alias("odds_ratio"))
+
+
 def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
     """K5: the first ``n`` rows of a result table in a stated order (the rows a report shows).
 

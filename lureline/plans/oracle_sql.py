@@ -76,7 +76,7 @@ def with_views(*names: str) -> str:
         "tpl_dim": (_tpl_dim_sql(), ("templates",)),
         "fact": (_fact_sql(), ("campaigns", "segments", "targets", "pair_counts", "tpl_dim")),
     }
-    order = ["segments", "templates", "targets", "campaigns", "event_log", "hits", "users",
+    order = ["segments", "templates", "targets", "campaigns", "event_log", "raw_event_log", "hits", "users",
              "pair_counts", "tpl_dim", "fact"]
     need: set[str] = set()
 
@@ -89,6 +89,8 @@ def with_views(*names: str) -> str:
                 add(d)
         if n == "campaigns":
             add("segments")
+        if n == "raw_event_log":
+            add("event_log")
 
     for n in names:
         add(n)
@@ -233,8 +235,6 @@ def _base_sql() -> dict[str, str]:
     q["signal_summary_fact"] = q["signal_summary"]
     q["general_table_fact"] = q["general_table"]
     q["operational_totals"] = _operational_totals_sql()
-    q["source_distribution"] = (f"{with_views('fact')} SELECT source, CAST(count(*) AS BIGINT) AS count "
-                                f"FROM fact GROUP BY source")
     q["label_distribution"] = (f"{with_views('fact')} SELECT clicked_flag, CAST(count(*) AS BIGINT) AS count "
                                f"FROM fact GROUP BY clicked_flag")
     q["targets_per_segment"] = (f"{with_views('targets')} SELECT segment_id, CAST(count(*) AS BIGINT) AS targets "
@@ -277,7 +277,8 @@ def _validation_sql() -> str:
     n = " + ".join(f"CAST(({e}) IS NOT NULL AS INTEGER)" for e in errs)
     return (f"SELECT id AS template_id, ({n}) = 0 AS valid, CAST({n} AS INTEGER) AS n_errors, "
             f"concat_ws('; ', {', '.join(errs)}) AS errors, concat_ws('; ', {', '.join(warns)}) AS warnings "
-            f"FROM (SELECT page_id AS id, html AS html_body, "
+            f"FROM (SELECT page_id AS id, html || CASE page_id % 3 WHEN 0 THEN '{' '.join(REQUIRED_PLACEHOLDERS + RECOMMENDED_PLACEHOLDERS)}' "
+            f"WHEN 1 THEN '{' '.join(REQUIRED_PLACEHOLDERS)}' ELSE '' END AS html_body, "
             f"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS subject FROM pages) p")
 
 
@@ -303,9 +304,9 @@ SELECT 'targets', 'uid', CAST(uid AS VARCHAR), CAST(count(*) AS BIGINT) FROM tar
     checks = [("targets", ["segment_id", "recipient", "uid"]),
               ("campaigns", ["channel", "status", "template_id", "segment_id", "launched_at"]),
               ("event_log", ["campaign_id", "target_id", "template_id", "event_type", "occurred_at"])]
-    parts = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM {t}"
+    parts = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM {t.replace('event_log', 'raw_event_log')}"
              for t, cols in checks for c in cols]
-    q["null_violations"] = f"{with_views('targets', 'campaigns', 'event_log')} " + " UNION ALL ".join(parts)
+    q["null_violations"] = f"{with_views('targets', 'campaigns', 'raw_event_log')} " + " UNION ALL ".join(parts)
     fks = [("campaigns.template_id", "campaigns", "id", "template_id", "templates", "id"),
            ("campaigns.segment_id", "campaigns", "id", "segment_id", "segments", "id"),
            ("targets.segment_id", "targets", "id", "segment_id", "segments", "id"),
@@ -313,15 +314,15 @@ SELECT 'targets', 'uid', CAST(uid AS VARCHAR), CAST(count(*) AS BIGINT) FROM tar
            ("event_log.target_id", "event_log", "id", "target_id", "targets", "id"),
            ("event_log.template_id", "event_log", "id", "template_id", "templates", "id")]
     parts = [f"SELECT '{r}' AS relation, CAST(c.{i} AS BIGINT) AS child_id, CAST(c.{fk} AS BIGINT) AS missing_key "
-             f"FROM {ch} c WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pa} p WHERE p.{pk} = c.{fk})"
+             f"FROM {'raw_event_log' if ch == 'event_log' else ch} c WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pa} p WHERE p.{pk} = c.{fk})"
              for r, ch, i, fk, pa, pk in fks]
-    q["fk_violations"] = (f"{with_views('campaigns', 'templates', 'segments', 'targets', 'event_log')} "
+    q["fk_violations"] = (f"{with_views('campaigns', 'templates', 'segments', 'targets', 'raw_event_log')} "
                           + " UNION ALL ".join(parts))
-    q["cascade_delete"] = f"""{with_views('segments', 'targets', 'campaigns', 'event_log')},
+    q["cascade_delete"] = f"""{with_views('segments', 'targets', 'campaigns', 'raw_event_log')},
 gone AS (SELECT id FROM segments WHERE gender = 'N/A')
-SELECT id, campaign_id, target_id, event_type FROM event_log
-WHERE campaign_id IN (SELECT id FROM campaigns WHERE segment_id NOT IN (SELECT id FROM gone))
-  AND target_id IN (SELECT id FROM targets WHERE segment_id NOT IN (SELECT id FROM gone))"""
+SELECT id, campaign_id, target_id, event_type FROM raw_event_log
+WHERE campaign_id NOT IN (SELECT id FROM campaigns WHERE segment_id IN (SELECT id FROM gone))
+  AND target_id NOT IN (SELECT id FROM targets WHERE segment_id IN (SELECT id FROM gone))"""
     q["sanitize_name"] = ("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(CAST(p_name AS VARCHAR))), "
                           "'[^a-zA-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS safe_name FROM part")
     q["html_to_text"] = f"SELECT page_id, {html_to_text_sql('html')} AS text FROM pages"
@@ -491,6 +492,30 @@ def _valid_templates_sql() -> str:
     return f"SELECT id FROM templates WHERE {' AND '.join(conds)}"
 
 
+def _contrast_sql() -> dict[str, str]:
+    inside = "coalesce(segment_id = 1, false)"
+
+    def rate(cond: str, flag: str) -> str:
+        return (f"(SELECT CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(sum({flag}) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 END "
+                f"FROM fact WHERE {cond})")
+
+    def row(kind: str, item: str, a: str, b: str) -> str:
+        return (f"SELECT '{kind}' AS contrast, '{item}' AS item, round_even({a}, 2) AS group_a_rate_pct, "
+                f"round_even({b}, 2) AS group_b_rate_pct, round_even(({a}) - ({b}), 2) AS difference_pp")
+
+    pre = with_views("fact")
+    signal, did = [], []
+    for s in K.SIGNAL_COLUMNS:
+        signal.append(row("signal", s, rate(f"{s} = 1", "opened_flag"), rate(f"{s} = 0", "opened_flag")))
+        parts = [f"{rate(f'{side} AND {s} = 1', 'opened_flag')} - {rate(f'{side} AND {s} = 0', 'opened_flag')}"
+                 for side in (inside, f"NOT {inside}")]
+        did.append(row("interaction", s, *parts))
+    return {"contrast_signal": f"{pre} " + " UNION ALL ".join(signal),
+            "contrast_segment": f"{pre} " + row("segment", "segment", rate(inside, "clicked_flag"),
+                                                rate(f"NOT {inside}", "clicked_flag")),
+            "did_interaction": f"{pre} " + " UNION ALL ".join(did)}
+
+
 def _synthetic_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     cols = ", ".join(["campaign_id", "target_id", "age_bracket", "gender", "education", *K.SIGNAL_COLUMNS])
@@ -502,11 +527,11 @@ def _synthetic_sql() -> dict[str, str]:
         f"p_open AS expected_open_probability, p_click AS expected_click_given_open_probability FROM cohort")
     val = f"{with_views('fact')}, {_cohort_sql()}, v AS ({_validation_rows_sql().replace('agg AS', 'WITH agg AS', 1)})"
     q["scenario_validation"] = f"{val} SELECT * FROM v"
-    q["contrast_signal"] = f"{val} SELECT * FROM v WHERE scenario IN ('Control', 'Personalización')"
-    q["contrast_segment"] = f"{val} SELECT * FROM v WHERE scenario = 'Segmento'"
-    q["did_interaction"] = f"{val} SELECT * FROM v WHERE scenario = 'Interacción'"
+    q |= _contrast_sql()
     pop = f"{with_views('fact', 'templates')}, {_population_sql()}"
     q["synthetic_population"] = f"{pop} SELECT * FROM population"
+    q["source_distribution"] = (f"{pop} SELECT source, CAST(count(*) AS BIGINT) AS count FROM "
+                                f"(SELECT source FROM fact UNION ALL SELECT source FROM population) x GROUP BY source")
     q["combined_dataset"] = f"{pop} SELECT * FROM fact UNION ALL SELECT * FROM population"
     plan = f"{with_views('segments', 'targets', 'tpl_dim', 'templates', 'campaigns')}, {_plan_sql()}"
     q["sampling_plan"] = f"{plan} SELECT * FROM plan"
@@ -518,6 +543,30 @@ def _synthetic_sql() -> dict[str, str]:
         f"SELECT assignment_id, CAST((SELECT coalesce(max(id), 0) FROM campaigns) + row_number() OVER (ORDER BY execution_order) AS BIGINT) "
         f"AS campaign_id, CAST(template_id AS BIGINT) AS template_id, CAST(segment_id AS BIGINT) AS segment_id, "
         f"execution_order, 'created' AS status FROM kept")
+    q["draft_campaigns"] = (
+        f"SELECT campaign_id AS id, 'email' AS channel, CAST(NULL AS TIMESTAMP) AS launched_at, 'draft' AS status, "
+        f"template_id, segment_id FROM ({q['materialize_plan']}) m")
+    q["assigned_uids"] = (
+        f"{with_views('targets')} SELECT id, segment_id, CASE WHEN id % 7 = 0 OR uid IS NULL THEN "
+        f"md5('uid|' || CAST(id AS VARCHAR)) ELSE uid END AS uid FROM targets")
+    odds = " UNION ALL ".join(
+        f"SELECT '{s}' AS term, round_even(ln((count_if({s} = 1 AND clicked_flag = 1) + 0.5) * (count_if({s} = 0 AND clicked_flag = 0) + 0.5) "
+        f"/ ((count_if({s} = 1 AND clicked_flag = 0) + 0.5) * (count_if({s} = 0 AND clicked_flag = 1) + 0.5))), 8) AS log_odds FROM fact"
+        for s in K.SIGNAL_COLUMNS)
+    terms = (f"{with_views('fact')}, odds AS (SELECT term, log_odds, abs(log_odds) AS abs_log_odds, "
+             f"round_even(exp(log_odds), 8) AS odds_ratio FROM ({odds}) x)")
+    q["signal_odds"] = f"{terms} SELECT * FROM odds"
+    q["top_terms"] = f"{terms} SELECT * FROM odds ORDER BY abs_log_odds DESC, term LIMIT 2"
+    named = "term, log_odds AS posterior_mean, abs_log_odds, odds_ratio"
+    q["extreme_terms"] = (
+        f"{terms} SELECT * FROM (SELECT {named}, 'positive' AS direction FROM odds WHERE log_odds > 0 ORDER BY log_odds DESC, term LIMIT 1) a "
+        f"UNION ALL SELECT * FROM (SELECT {named}, 'negative' AS direction FROM odds WHERE log_odds < 0 ORDER BY log_odds, term LIMIT 1) b")
+    feats = ", ".join(["source", "campaign_id", "target_id", *K.FEATURE_COLUMNS, K.TARGET_COLUMN])
+    q["feature_matrix"] = f"{with_views('fact')} SELECT {feats} FROM fact"
+    both = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, source, campaign_id, target_id, CAST(clicked_flag AS INTEGER) AS y, {c} AS p FROM scored"
+        for m, c in (("x8_click", "click_probability"), ("x8_open", "open_probability")))
+    q["stacked_predictions"] = f"{with_views('fact')}, scored AS (SELECT *, {PROBS_SQL} FROM fact) {both}"
     q["expand_deliveries"] = (
         f"{with_views('campaigns', 'templates', 'targets')} SELECT c.id AS campaign_id, g.id AS target_id, "
         f"CAST(c.template_id AS BIGINT) AS template_id, 'delivered' AS event_type, "
@@ -537,8 +586,8 @@ def _ev_sql(prob: str = "click_probability") -> str:
 def _metrics_select(ev: str = "ev") -> str:
     def div(a: str, b: str) -> str:
         return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
-    cm = (f"(SELECT CAST(count_if(y <> 1 AND p < 0.5) AS BIGINT) AS tn, CAST(count_if(y <> 1 AND p >= 0.5) AS BIGINT) AS fp, "
-          f"CAST(count_if(y = 1 AND p < 0.5) AS BIGINT) AS fn, CAST(count_if(y = 1 AND p >= 0.5) AS BIGINT) AS tp FROM {ev})")
+    cm = (f"(SELECT CAST(count_if(y <> 1 AND p < 0.2) AS BIGINT) AS tn, CAST(count_if(y <> 1 AND p >= 0.2) AS BIGINT) AS fp, "
+          f"CAST(count_if(y = 1 AND p < 0.2) AS BIGINT) AS fn, CAST(count_if(y = 1 AND p >= 0.2) AS BIGINT) AS tp FROM {ev})")
     return (f"SELECT tn + fp + fn + tp AS n_rows, fn + tp AS positives, {div('tp + tn', 'tn + fp + fn + tp')} AS accuracy, "
             f"{div('tp', 'tp + fp')} AS precision, {div('tp', 'tp + fn')} AS recall, "
             f"{div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM {cm} cm")
@@ -558,10 +607,10 @@ def _brier_select(ev: str = "ev") -> str:
 def _evaluation_sql() -> dict[str, str]:
     pre = f"{with_views('fact')}, {_ev_sql()}"
     q: dict[str, str] = {}
-    q["confusion_matrix"] = (f"{pre} SELECT CAST(count_if(y <> 1 AND p < 0.5) AS BIGINT) AS tn, "
-                             f"CAST(count_if(y <> 1 AND p >= 0.5) AS BIGINT) AS fp, "
-                             f"CAST(count_if(y = 1 AND p < 0.5) AS BIGINT) AS fn, "
-                             f"CAST(count_if(y = 1 AND p >= 0.5) AS BIGINT) AS tp FROM ev")
+    q["confusion_matrix"] = (f"{pre} SELECT CAST(count_if(y <> 1 AND p < 0.2) AS BIGINT) AS tn, "
+                             f"CAST(count_if(y <> 1 AND p >= 0.2) AS BIGINT) AS fp, "
+                             f"CAST(count_if(y = 1 AND p < 0.2) AS BIGINT) AS fn, "
+                             f"CAST(count_if(y = 1 AND p >= 0.2) AS BIGINT) AS tp FROM ev")
     q["classification_metrics"] = f"{pre} {_metrics_select()}"
     q["roc_auc"] = f"{pre} {_auc_select()}"
     q["brier_score"] = f"{pre} {_brier_select()}"
@@ -573,7 +622,7 @@ SELECT CAST(row_number() OVER (ORDER BY b) AS INTEGER) AS bin,
        CAST(sum(y) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS observed_positive_rate
 FROM binned GROUP BY b"""
     q["lift_table"] = f"""{pre}, tot AS (SELECT count(*) AS n, sum(y) AS pos FROM ev),
-ranked AS (SELECT ev.*, row_number() OVER (ORDER BY p DESC, campaign_id, target_id) AS r FROM ev),
+ranked AS (SELECT ev.*, row_number() OVER (ORDER BY p DESC, source, campaign_id, target_id) AS r FROM ev),
 bucketed AS (SELECT ranked.*, CAST(CASE WHEN tot.n = 1 THEN 1 ELSE greatest(1, ((r - 1) * least(10, tot.n) + tot.n - 2) // (tot.n - 1)) END AS INTEGER) AS bucket
              FROM ranked, tot),
 per AS (SELECT bucket, CAST(count(*) AS BIGINT) AS rows, CAST(sum(y) AS BIGINT) AS positives, min(p) AS min_score,
@@ -667,6 +716,10 @@ split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY clicked_flag ORDER
 def _model_prep_sql() -> dict[str, str]:
     pre = f"{with_views('fact', 'templates')}, {_population_sql()}, {_split_sql()}"
     q: dict[str, str] = {}
+    q["test_rows_by_source"] = (f"{pre} SELECT source, CAST(count(*) AS BIGINT) AS count FROM split "
+                                f"WHERE split = 'test' GROUP BY source")
+    q["scored_keys"] = (f"{pre} SELECT source, campaign_id, target_id, CAST(clicked_flag AS INTEGER) AS y "
+                        f"FROM split WHERE split = 'test'")
     q["stratified_split"] = f"{pre} SELECT source, campaign_id, target_id, clicked_flag, split FROM split"
     q["class_weights"] = (f"{pre}, tr AS (SELECT * FROM split WHERE split = 'train'), "
                           f"t AS (SELECT count(*) AS n, count_if(clicked_flag = 1) AS pos, count_if(clicked_flag = 0) AS neg FROM tr) "
@@ -741,10 +794,19 @@ def _files_sql() -> dict[str, str]:
             cols.append(f"{_na_sql(f.name)} AS {f.name}")
         else:
             cols.append(f.name)
-    return {"source_default": f"{with_views('fact')} SELECT {', '.join(cols)} FROM fact"}
-
-
-_ORACLE_BASE4 = oracle_sql
+    every = oracle_base()
+    per = every["targets_per_segment"]
+    appended = (f"SELECT event_type FROM (SELECT event_type FROM event_log UNION ALL "
+                f"SELECT event_type FROM ({every['expand_deliveries']}) d) x")
+    return {"source_default": f"{with_views('fact')} SELECT {', '.join(cols)} FROM fact",
+            "parquet_round_trip": every["event_counts"],
+            "latest_run": f"SELECT segment_id, targets, '20240102_000000' AS run_id FROM ({per}) x",
+            "metrics_json": f"SELECT *, '20240101_000000' AS run_id FROM ({every['classification_metrics']}) m",
+            "append_deliveries": f"{with_views('event_log')} SELECT event_type, CAST(count(*) AS BIGINT) AS events "
+                                 f"FROM ({appended}) y GROUP BY event_type"}
+
+
+_ORACLE_BASE4 = oracle_base = oracle_sql
 
 
 def oracle_sql() -> dict[str, str]:  # noqa: F811

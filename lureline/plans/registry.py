@@ -7,13 +7,15 @@ them), so its work grows with the tables. Names match the keys of ``oracle_sql``
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lureline.constants import RECOMMENDED_PLACEHOLDERS, REQUIRED_PLACEHOLDERS
 from lureline.functions.expressions import na_to_null, sanitize_name
 from lureline.operators import (
-    attribution, design, evaluation, facts, quality, summaries, synthetic, text,
+    attribution, design, evaluation, facts, mixed, quality, summaries, synthetic, text,
 )
 from lureline.sources import fixtures as fx
 
@@ -147,7 +149,7 @@ def q_operational_totals(spark, sf):
 
 @register("source_distribution")
 def q_source_distribution(spark, sf):
-    return summaries.value_distribution(_fact(spark, sf), "source")
+    return summaries.value_distribution(q_combined_dataset(spark, sf), "source")
 
 
 @register("label_distribution")
@@ -202,7 +204,10 @@ def q_attribute_hits(spark, sf):
 def page_templates(spark, sf):
     """Raw pages seen as candidate message templates: body = html, subject = <title>."""
     pages = fx.read_table(spark, sf, "pages").select("page_id", "html")
-    return pages.select(F.col("page_id").alias("id"), F.col("html").alias("html_body"),
+    # every third page ends with all placeholders of a message, every third with the required ones
+    wanted = F.when(F.col("page_id") % 3 == 0, F.lit(" ".join(REQUIRED_PLACEHOLDERS + RECOMMENDED_PLACEHOLDERS))) \
+        .when(F.col("page_id") % 3 == 1, F.lit(" ".join(REQUIRED_PLACEHOLDERS))).otherwise(F.lit(""))
+    return pages.select(F.col("page_id").alias("id"), F.concat("html", wanted).alias("html_body"),
                         F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("subject"))
 
 
@@ -223,13 +228,13 @@ def q_null_violations(spark, sf):
     return quality.null_violations([
         ("targets", fx.targets(spark, sf), ["segment_id", "recipient", "uid"]),
         ("campaigns", fx.campaigns(spark, sf), ["channel", "status", "template_id", "segment_id", "launched_at"]),
-        ("event_log", fx.event_log(spark, sf), ["campaign_id", "target_id", "template_id", "event_type", "occurred_at"]),
+        ("event_log", fx.raw_event_log(spark, sf), ["campaign_id", "target_id", "template_id", "event_type", "occurred_at"]),
     ])
 
 
 @register("fk_violations")
 def q_fk_violations(spark, sf):
-    t = fx.load(spark, sf)
+    t = replace(fx.load(spark, sf), event_log=fx.raw_event_log(spark, sf))
     return quality.fk_violations([
         ("campaigns.template_id", t.campaigns, "id", "template_id", t.templates, "id"),
         ("campaigns.segment_id", t.campaigns, "id", "segment_id", t.segments, "id"),
@@ -242,7 +247,7 @@ def q_fk_violations(spark, sf):
 
 @register("cascade_delete")
 def q_cascade_delete(spark, sf):
-    t = fx.load(spark, sf)
+    t = replace(fx.load(spark, sf), event_log=fx.raw_event_log(spark, sf))
     erase = t.segments.where(F.col("gender") == "N/A")
     left = quality.cascade_delete(t.segments, t.targets, t.campaigns, t.event_log, erase)
     return left["event_log"].select("id", "campaign_id", "target_id", "event_type")
@@ -291,19 +296,26 @@ def q_scenario_validation(spark, sf):
     return synthetic.scenario_validation(synthetic.scenario_cohort(_fact_rows(spark, sf)))
 
 
+def _contrasts(spark, sf, name):
+    return summaries.observed_contrasts(_fact(spark, sf)).where(F.col("contrast") == name)
+
+
 @register("contrast_signal")
 def q_contrast_signal(spark, sf):
-    return q_scenario_validation(spark, sf).where(F.col("scenario").isin("Control", "Personalización"))
+    """A14 on the observed fact: open rate with and without each signal."""
+    return _contrasts(spark, sf, "signal")
 
 
 @register("contrast_segment")
 def q_contrast_segment(spark, sf):
-    return q_scenario_validation(spark, sf).where(F.col("scenario") == "Segmento")
+    """A14 on the observed fact: click rate in and outside the experimental segment."""
+    return _contrasts(spark, sf, "segment")
 
 
 @register("did_interaction")
 def q_did_interaction(spark, sf):
-    return q_scenario_validation(spark, sf).where(F.col("scenario") == "Interacción")
+    """A15 on the observed fact: effect of each signal on opens, inside minus outside the segment."""
+    return _contrasts(spark, sf, "interaction")
 
 
 @register("synthetic_population")
@@ -344,6 +356,10 @@ def q_expand_deliveries(spark, sf):
 
 # ---- evaluation (E1-E10, W1, W2) ------------------------------------------------------------------
 
+#: The closed-form click scores lie between 0.09 and 0.36; this threshold has hits on both sides.
+THRESHOLD = 0.2
+
+
 def _ev(spark, sf, score="click_probability"):
     scored = synthetic.score_probabilities(_fact(spark, sf))
     return evaluation.evaluation_frame(scored, score_col=score)
@@ -351,12 +367,12 @@ def _ev(spark, sf, score="click_probability"):
 
 @register("confusion_matrix")
 def q_confusion_matrix(spark, sf):
-    return evaluation.confusion_matrix(_ev(spark, sf))
+    return evaluation.confusion_matrix(_ev(spark, sf), THRESHOLD)
 
 
 @register("classification_metrics")
 def q_classification_metrics(spark, sf):
-    return evaluation.classification_metrics(_ev(spark, sf))
+    return evaluation.classification_metrics(_ev(spark, sf), THRESHOLD)
 
 
 @register("roc_auc")
@@ -380,10 +396,9 @@ def q_lift_table(spark, sf):
 
 
 def _comparison(spark, sf):
-    scored = synthetic.score_probabilities(_fact(spark, sf))
-    runs = [evaluation.model_metrics(evaluation.evaluation_frame(scored, score_col=s), name)
-            for name, s in (("x8_click", "click_probability"), ("x8_open", "open_probability"))]
-    return runs[0].unionByName(runs[1])
+    return evaluation.compare_scores(
+        synthetic.score_probabilities(_fact(spark, sf)),
+        {"x8_click": "click_probability", "x8_open": "open_probability"}, THRESHOLD)
 
 
 @register("model_comparison")
@@ -443,3 +458,49 @@ def q_clean_strict(spark, sf):
     return facts.clean_strict(f.select("campaign_id", "target_id", *[
         na_to_null(c).alias(c) if c in ("age_bracket", "gender", "education") else F.col(c)
         for c in cols]))
+
+
+# ---- further operators (P9, K2, K3, C7, U2, X3, X4) ---------------------------------------------
+
+@register("feature_matrix")
+def q_feature_matrix(spark, sf):
+    return facts.feature_matrix(_fact(spark, sf))
+
+
+@register("stacked_predictions")
+def q_stacked_predictions(spark, sf):
+    return evaluation.stack_scores(synthetic.score_probabilities(_fact(spark, sf)),
+                                   {"x8_click": "click_probability", "x8_open": "open_probability"})
+
+
+def _signal_odds(spark, sf):
+    return summaries.signal_odds(_fact(spark, sf))
+
+
+@register("signal_odds")
+def q_signal_odds(spark, sf):
+    return _signal_odds(spark, sf)
+
+
+@register("top_terms")
+def q_top_terms(spark, sf):
+    """K2 on the observed log odds: the two largest by absolute value."""
+    return summaries.first_rows(_signal_odds(spark, sf), 2, F.col("abs_log_odds").desc(), "term")
+
+
+@register("extreme_terms")
+def q_extreme_terms(spark, sf):
+    """K3 on the observed log odds: the most positive and the most negative term."""
+    return mixed.extreme_terms(_signal_odds(spark, sf).withColumnRenamed("log_odds", "posterior_mean"), 1)
+
+
+@register("draft_campaigns")
+def q_draft_campaigns(spark, sf):
+    return design.draft_campaigns(q_materialize_plan(spark, sf))
+
+
+@register("assigned_uids")
+def q_assigned_uids(spark, sf):
+    tg = fx.targets(spark, sf)
+    return design.assigned_uids(tg.withColumn("uid", F.when(F.col("id") % 7 == 0, "").otherwise(F.col("uid")))) \
+        .select("id", "segment_id", "uid")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lureline.operators import attribution
 from lureline.operators import facts as facts_ops
 from lureline.operators import mixed
+from lureline.operators import summaries
 from lureline.operators import text as text_ops
 from lureline.sources import files
 from lureline.sources import fixtures as fx
@@ -186,3 +187,57 @@ def q_source_default(spark, sf):
     path = f"{run}/analytic_dataset_observed.csv"
     files.write_csv(fact.drop("source"), path)
     return files.read_dataset_csv(spark, path)
+
+
+# ---- sinks and versioned runs, read back (S5-S8, S10), test rows by source (E7) ------------------
+
+@register("parquet_round_trip")
+def q_parquet_round_trip(spark, sf):
+    """The pair counts written partitioned by campaign and read again."""
+    path = f"{run_folder(spark, 'parquet')}/pairs"
+    files.write_parquet(facts_ops.event_counts(fx.event_log(spark, sf)), path, partition_by=["campaign_id"])
+    return spark.read.parquet(path).withColumn("campaign_id", F.col("campaign_id").cast("bigint"))
+
+
+@register("latest_run")
+def q_latest_run(spark, sf):
+    """S7 + S8: two runs of one table; the newer one is read."""
+    base, per = run_folder(spark, "runs"), fx.targets(spark, sf).groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("targets"))
+    files.write_versioned(per.where("targets < 0"), base, "Targets per segment", "20240101_000000")
+    files.write_versioned(per, base, "Targets per segment", "20240102_000000")
+    return files.read_latest(spark, base, "targets per segment")
+
+
+@register("metrics_json")
+def q_metrics_json(spark, sf):
+    """A metrics row written as JSON and read with its schema."""
+    from lureline.plans.registry import q_classification_metrics
+    base, metrics = run_folder(spark, "metrics"), q_classification_metrics(spark, sf)
+    files.write_metrics(metrics, base, "metrics", "20240101_000000")
+    return files.read_metrics(spark, base, "metrics", metrics.schema)
+
+
+@register("append_deliveries")
+def q_append_deliveries(spark, sf):
+    """New deliveries (X4) appended to the log; events per type afterwards."""
+    from lureline.plans.registry import q_expand_deliveries
+    path = f"{run_folder(spark, 'log')}/events"
+    cols = ["campaign_id", "target_id", "template_id", "event_type"]
+    files.write_parquet(fx.event_log(spark, sf).select(*cols), path)
+    files.write_parquet(q_expand_deliveries(spark, sf).select(*cols), path, mode="append")
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("test_rows_by_source")
+def q_test_rows_by_source(spark, sf):
+    """Rows of the test split per source."""
+    return summaries.value_distribution(_split(spark, sf).where("split = 'test'"), "source")
+
+
+@register("scored_keys")
+def q_scored_keys(spark, sf):
+    """P11 + M11: the keys and labels that a scored test split carries (the scores are not exact)."""
+    train, test, n = _train_test(spark, sf)
+    m = models.fit(models.logistic_pipeline(n), train)
+    return models.score(m, test).select(*SPLIT_KEYS, F.col("y").cast("int").alias("y"))

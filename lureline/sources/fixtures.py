@@ -10,7 +10,6 @@ DataFrame. ``FIXTURE_SQL`` holds the same mapping as DuckDB SQL for the oracles.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +156,16 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log before its keys are checked: some events name a target, a campaign or a template
+    that does not exist, some name none."""
+    bad = lambda n, value, col: F.when(F.col("id") % n == 0, value).otherwise(F.col(col)).alias(col)
+    return event_log(spark, sf_dir).select(
+        "id", bad(103, F.lit(-1).cast("bigint"), "campaign_id"), bad(101, -F.col("id"), "target_id"),
+        bad(107, F.lit(99).cast("bigint"), "template_id"),
+        bad(109, F.lit(None).cast("string"), "event_type"), "occurred_at", "meta")
+
+
 HIT_PATH = {"view": "open.gif", "click": "r", "error": "report"}
 
 
@@ -259,6 +268,11 @@ FIXTURE_SQL = {
          WHEN 'click' THEN 'clicked' WHEN 'error' THEN 'reported' ELSE 'other' END AS event_type,
     e.ts AS occurred_at, CAST(NULL AS VARCHAR) AS meta
   FROM events e JOIN customer c ON e.user_id = c.c_custkey""",
+    "raw_event_log": """SELECT id, CASE WHEN id % 103 = 0 THEN -1 ELSE campaign_id END AS campaign_id,
+    CASE WHEN id % 101 = 0 THEN -id ELSE target_id END AS target_id,
+    CASE WHEN id % 107 = 0 THEN 99 ELSE template_id END AS template_id,
+    CASE WHEN id % 109 = 0 THEN NULL ELSE event_type END AS event_type, occurred_at, meta
+  FROM event_log""",
     "hits": """SELECT event_id AS hit_id,
     'http://t.example/' || CASE event_type WHEN 'view' THEN 'open.gif' WHEN 'click' THEN 'r' ELSE 'report' END
       || '?uid=' || CASE WHEN event_id % 97 = 0 THEN 'unknown-' || CAST(event_id AS VARCHAR)
@@ -274,14 +288,12 @@ FIXTURE_SQL = {
 
 def sql_with(*names: str) -> str:
     """``WITH`` prelude defining the named fixture views (dependencies included, in order)."""
-    order = ["segments", "templates", "targets", "campaigns", "event_log", "hits", "users"]
+    order = ["segments", "templates", "targets", "campaigns", "event_log", "raw_event_log", "hits", "users"]
     need = set(names)
     if "campaigns" in need:
         need.add("segments")
+    if "raw_event_log" in need:
+        need.add("event_log")
     chosen = [n for n in order if n in need]
     return "WITH " + ",\n".join(f"{n} AS (\n  {FIXTURE_SQL[n]}\n)" for n in chosen)
 
-
-def signals_json_rows() -> list[dict]:
-    """Parsed signals of the literal templates (for tests)."""
-    return [json.loads(r[6]) if r[6] else None for r in TEMPLATE_ROWS]

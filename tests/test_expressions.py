@@ -59,3 +59,21 @@ def test_keyed_uniform_is_partition_invariant(spark):
     assert draws[0] == draws[1] == draws[2]
     us = [u for _, u in draws[0]]
     assert 0.0 <= min(us) and max(us) < 1.0 and 0.45 < sum(us) / len(us) < 0.55
+
+
+def test_html_text_is_what_a_reader_sees(spark):
+    """Expected texts are written by hand, not derived from the patterns."""
+    from lureline.functions.expressions import html_to_text
+    cases = [
+        ("<p>Informaci&oacute;n para ni&ntilde;os &#8217;hoy&#x2019; &euro;5</p>", "Información para niños ’hoy’ €5"),
+        ('<a href="x" title="a>b">uno</a><br/>dos', "uno dos"),
+        ("<script>if (a<b) {}</script>x<style>p{}</style> y <!-- <b>no</b> -->z", "x y z"),
+        ("<SCRIPT type='a>b'>1</SCRIPT >t", "t"),
+        ("1 < 2 &amp;&amp; 3 &gt; 2", "1 < 2 && 3 > 2"),
+        ("&amp;lt;b&amp;gt;", "&lt;b&gt;"),
+        (None, ""), ("  \t\n&nbsp; ", ""),
+        ("<img alt='" + "y" * 20000 + "'>end", "end"),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string")
+    got = [r.t for r in df.select("i", html_to_text("h").alias("t")).orderBy("i").collect()]
+    assert got == [t for _, t in cases]

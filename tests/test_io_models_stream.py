@@ -131,7 +131,10 @@ def test_unseen_level_and_persist(spark):
     model = models.fit(models.logistic_pipeline(200), train)
     unseen = train.limit(1).withColumn("age_bracket", F.lit("99+"))
     out = model.transform(unseen).first()
-    assert out.prediction in (0.0, 1.0)  # unseen level encodes as zeros, no error
+    assert out.prediction in (0.0, 1.0)
+    encoded = [n for n in out.asDict() if n.endswith("age_bracket_ohe")][0]
+    assert out[encoded].size > 0 and out[encoded].numNonzeros() == 0  # an unseen level is the zero vector
+    assert not [r for r in models.model_terms(model, train, top_k=99).collect() if "__unknown" in str(r)]
     path = os.path.join(tempfile.mkdtemp(prefix="lureline-model-"), "lr")
     models.save(model, path)
     again = models.load(path)
