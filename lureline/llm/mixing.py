@@ -84,7 +84,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: float,
             taken[i] += more
             rest -= more * float(sizes[i])
     # bounded knapsack: bits of ``reach`` are the sums within range, counts split into powers of two
-    top = int(rest) + int(sizes[sizes > 0].min())
+    top = int(rest) + int(sizes.max())  # the nearest sum above lies within one document
     limit = (1 << (top + 1)) - 1
     reach, goal = 1, int(round(rest))
     parent = np.full(top + 1, -1, np.int32)

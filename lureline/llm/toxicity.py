@@ -134,14 +134,26 @@ def measures(n_words: int, found: dict[int, float]) -> tuple[float, float, float
     return max(found.values(), default=0.0), total ** 0.5, total / (n_words + 20.0) ** 0.5
 
 
-def learn_lexicon(sample: DataFrame, min_support: int = 4, min_weight: float = 2.0,
-                  max_lexicon: int = 5000) -> dict[str, float]:
-    """``sample(text, toxic)`` -> entry -> weight (log-odds of a document being toxic)."""
+def _outside(words: list[str], phrases: set[str]) -> list[str]:
+    """The words that stand in none of the phrases."""
+    if not phrases:
+        return words
+    sizes = {p.count(" ") + 1 for p in phrases}
+    inside = {k for n in sizes for i in range(len(words) - n + 1)
+              if " ".join(words[i:i + n]) in phrases for k in range(i, i + n)}
+    return [w for i, w in enumerate(words) if i not in inside]
+
+
+def learn_lexicon(sample: DataFrame, exceptions: frozenset = frozenset(), min_support: int = 4,
+                  min_weight: float = 2.0, max_lexicon: int = 5000) -> dict[str, float]:
+    """``sample(text, toxic)`` -> entry -> weight (log-odds of a document being toxic); words inside
+    the given exception phrases do not count."""
     def count(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, y in zip(batch.column("text"), batch.column("toxic")):
-                seen[y.as_py()].update(_features(fold(text.as_py() or "").split()))
+                seen[y.as_py()].update(_features(_outside(
+                        fold(text.as_py() or "").split(), exceptions)))
                 if len(seen[0]) + len(seen[1]) > 400_000:
                     yield from flush(seen)
         yield from flush(seen)
@@ -252,10 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                      .select("text", "toxic", (F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(2)) == 0)
                              .alias("first")), "toxic")
     learn, fit_on = sample.filter("first"), sample.filter("not first")
-    lexicon = learn_lexicon(learn, **lexicon_options)
-    phrases = learn_exceptions(fit_on, lexicon) | {" ".join(fold(p).split()) for p in exceptions}
+    given = frozenset(" ".join(fold(p).split()) for p in exceptions) - {""}
+    lexicon = learn_lexicon(learn, given, **lexicon_options)
+    phrases = learn_exceptions(fit_on, lexicon) | given
     total, bad = fit_on.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    model = Model(lexicon, phrases - {""}, (0.0, 0.0, 0.0), 0.0)
+    model = Model(lexicon, phrases, (0.0, 0.0, 0.0), 0.0)
     share = (bad + 0.5) / (total + 1.0)
     if not lexicon or bad in (0, total):
         model.bias = math.log(share / (1 - share))
@@ -265,6 +278,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model.measure(fit_on, "text").withColumn("label", F.col("toxic").cast("double")))
     fitted = LogisticRegression(regParam=1e-3, maxIter=50).fit(train)
     model.weights, model.bias = tuple(map(float, fitted.coefficients)), float(fitted.intercept)
-    model.lexicon = learn_lexicon(sample, **lexicon_options)
+    model.lexicon = learn_lexicon(sample, given, **lexicon_options)
     return model
 

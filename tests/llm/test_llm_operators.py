@@ -226,7 +226,7 @@ def test_fit_counts_is_the_nearest_subset_sum():
         sizes = np.array(sorted(rng.sample(range(1, 30), rng.randint(1, 5))))
         counts = np.array([rng.randint(1, 3) for _ in sizes])
         budget = rng.uniform(0, float((sizes * counts).sum()))
-        start = np.floor(counts * budget / (sizes * counts).sum()).astype(int)
+        start = np.floor(counts * (budget / int((sizes * counts).sum()))).astype(int)
         sums = {0}
         for s, c in zip(sizes, counts - start):
             sums = {x + k * s for x in sums for k in range(c + 1)}
