@@ -116,7 +116,6 @@ CLICK_CLAMP = (0.01, 0.85)
 
 # synthetic population design: five ages x two genders x four educations = 40 segments
 AGE_BRACKETS = ("18-24", "25-34", "35-44", "45-54", "55+")
-GENDERS = ("F", "M")
 EDUCATIONS = ("Secundaria", "Tecnica", "Universitaria", "Posgrado")
 
 # --- fixed values: scenario probabilities (p_open, p_click_given_open) ------------------------

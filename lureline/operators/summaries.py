@@ -27,6 +27,12 @@ def _lsum(c) -> F.Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
 
 
+def in_report_order(summary: DataFrame) -> DataFrame:
+    """K1: a summary table sorted by its leading key, as reports show it (few rows)."""
+    key = next(c for c in ("campaign_id", "segment_id", "template_id") if c in summary.columns)
+    return summary.orderBy(F.col(key).asc_nulls_last())
+
+
 def _with_rates(df: DataFrame) -> DataFrame:
     return df.select(
         "*",

@@ -211,7 +211,3 @@ def _by_id():
     from pyspark.sql import Window
     # Ranking the segment dimension (bounded: one row per segment).
     return Window.orderBy("id")
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

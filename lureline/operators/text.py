@@ -1,29 +1,15 @@
-"""Text fact and HTML cleanup (C1-C3, N1). The text classifier (N2) lives in ``models``."""
+"""Text fact and HTML cleanup (C1-C3, N1). and the text classifier."""
 
 from __future__ import annotations
 
-import html as _html
-
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lureline.functions.expressions import html_to_text, join_text
 from lureline.operators.facts import event_counts, target_pairs
 
 
-@F.pandas_udf(T.StringType())
-def unescape_entities(s: pd.Series) -> pd.Series:
-    """Full HTML entity decoding (every named and numeric entity), Arrow-batched.
-
-    The expression path decodes a fixed list of common entities; use this after
-    ``html_to_text`` when arbitrary entities must be decoded.
-    """
-    return s.map(lambda x: None if x is None else _html.unescape(x))
-
-
 def campaign_texts(campaigns: DataFrame, templates: DataFrame, segments: DataFrame) -> DataFrame:
     """Per campaign: its template's texts (cleaned once per template) and existing ids."""
     tpl = templates.select(

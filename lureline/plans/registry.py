@@ -62,8 +62,8 @@ def q_interaction_fact(spark, sf):
 def q_campaign_summary(spark, sf):
     """Flagship: A6 straight from the event log (no fan-out fact materialised)."""
     t = fx.load(spark, sf)
-    return summaries.campaign_summary_from_log(t.campaigns, t.templates, t.segments, t.targets,
-                                               t.event_log)
+    return summaries.in_report_order(summaries.campaign_summary_from_log(
+        t.campaigns, t.templates, t.segments, t.targets, t.event_log))
 
 
 @register("campaign_summary_fact")
@@ -83,7 +83,8 @@ def q_signal_flags(spark, sf):
 def q_segment_summary(spark, sf):
     """From the per-campaign rollup (no fan-out rows are built)."""
     t = fx.load(spark, sf)
-    return summaries.segment_summary_from_log(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+    return summaries.in_report_order(summaries.segment_summary_from_log(
+        t.campaigns, t.templates, t.segments, t.targets, t.event_log))
 
 
 @register("segment_summary_fact")
@@ -95,7 +96,8 @@ def q_segment_summary_fact(spark, sf):
 def q_template_summary(spark, sf):
     """From the per-campaign rollup (no fan-out rows are built)."""
     t = fx.load(spark, sf)
-    return summaries.template_summary_from_log(t.campaigns, t.templates, t.segments, t.targets, t.event_log)
+    return summaries.in_report_order(summaries.template_summary_from_log(
+        t.campaigns, t.templates, t.segments, t.targets, t.event_log))
 
 
 @register("template_summary_fact")

@@ -179,3 +179,11 @@ def test_cascade_keeps_orphans_of_nothing_erased(spark):
     first = segments.limit(1).select("id")
     left = cascade_delete(segments, targets, campaigns, log, first)["event_log"]
     assert left.filter("id = -5").count() == 1 and left.count() <= log.count()
+
+
+def test_summaries_in_report_order(spark):
+    segments, templates, targets, campaigns, events = _tables(spark)
+    rows = summaries.in_report_order(summaries.campaign_summary_from_log(
+        campaigns, templates, segments, targets, events)).collect()
+    ids = [r.campaign_id for r in rows]
+    assert ids == sorted(ids) and ids
