@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,55 +77,62 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``(src, dst)``: one row ``(id, component)`` per node with an edge.
+def _jump(parents: DataFrame) -> DataFrame:
+    """``(id, up)`` of a forest (``up < id``) -> the root of every id, by pointer doubling.
 
-    Alternating large-star and small-star steps: every step is one aggregate (minimum neighbour,
-    combined map-side) and one join that AQE may split, so a hub that holds a third of all edges
-    is not one task. The edge set never grows, and each round is written to the shared folder.
+    Each round is one self-join: a root that most ids point to is a hot key on its left side only,
+    which AQE splits. The number of rounds is the logarithm of the longest path.
     """
-    both = lambda e: e.select("src", "dst").unionByName(
-        e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    current = scratch(edges.filter("src <> dst").select(
-        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
-    state = _fingerprint(current)
+    current = scratch(parents, "forest")
     while True:
-        # large star: every larger neighbour points to the least of the neighbourhood
-        pairs = both(current)
-        least = pairs.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = pairs.join(least, "src").filter("dst > src").select(
-            F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        # small star: every node and its smaller neighbours point to the least one
-        down = large.filter("src <> dst").select(F.greatest("src", "dst").alias("src"),
-                                                 F.least("src", "dst").alias("dst"))
-        least = down.groupBy("src").agg(F.min("dst").alias("m"))
-        small = down.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")) \
-            .unionByName(least.select("src", F.col("m").alias("dst"))) \
-            .filter("src <> dst").distinct()
-        after = scratch(small, "edges")
-        now = _fingerprint(after)
+        seen = Observation()
+        above = current.select(F.col("id").alias("up"), F.col("up").alias("_top"))
+        after = current.join(above, "up", "left").observe(seen, F.count("_top").alias("moved")) \
+            .select("id", F.coalesce("_top", "up").alias("up"))
+        after = scratch(after, "forest")
         drop_scratch(current)
         current = after
-        if now == state:
-            break
-        state = now
-    roots = current.select(F.col("src").alias("id"), F.col("dst").alias("component"))
-    return roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
+        if not seen.get["moved"]:
+            return current
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
-
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``(src, dst)``: one row ``(id, component)`` per node with an edge;
+    the component is its smallest node.
 
-def with_component(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """``nodes`` plus ``component`` (its own id where no edge touches it)."""
-    comp = components(edges).withColumnRenamed("id", id_col)
-    return nodes.join(comp, id_col, "left").withColumn(
-        "component", F.coalesce("component", F.col(id_col)))
+    Rounds of hooking and contraction: every node hooks onto its smallest smaller neighbour (an
+    aggregate, combined map-side), the trees that arise are collapsed by pointer doubling, and the
+    edges between different trees are kept between their roots for the next round. Nothing is
+    collected per node, so a hub that holds a third of all edges is never one group.
+    """
+    left = scratch(edges.filter("src <> dst").select(
+        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    labels = None
+    while True:
+        roots = _jump(left.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("up")))
+        if labels is None:
+            labels = roots
+        else:  # labels found before now point to the new roots; the roots themselves join them
+            moved = roots.select(F.col("id").alias("up"), F.col("up").alias("_top"))
+            labels = scratch(labels.join(moved, "up", "left").select("id", F.coalesce("_top", "up").alias("up"))
+                             .unionByName(roots), "labels")
+        root = lambda side: roots.select(F.col("id").alias(side), F.col("up").alias(f"_{side}"))
+        between = left.join(root("src"), "src").join(root("dst"), "dst", "left") \
+            .select(F.col("_src").alias("a"), F.coalesce("_dst", "dst").alias("b")).filter("a <> b")
+        after = scratch(between.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
+                        .distinct(), "edges")
+        drop_scratch(left)
+        left = after
+        if left.isEmpty():
+            break
+    found = labels.select("id", F.col("up").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
 
 
-def within(*cols: str) -> Window:
-    return Window.partitionBy(*cols)
+def then(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels(id, component)`` followed by ``more`` (components of the components)."""
+    onto = more.select(F.col("id").alias("component"), F.col("component").alias("_next"))
+    return labels.join(onto, "component", "left").select("id", F.coalesce("_next", "component").alias("component"))
 
 
 def add_columns(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:

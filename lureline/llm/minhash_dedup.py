@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lureline.llm import kernels as K
-from lureline.llm.common import components, drop_scratch, keyed_rows, scratch
+from lureline.llm.common import components, keyed_rows, scratch, then
 
 CHUNK = 1 << 19
 
@@ -191,14 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = pairs.groupBy("dst").agg(F.max(F.struct("common", "src")).alias("b")) \
         .select(F.col("b.src").alias("src"), "dst")
     links = scratch(confirmed(best, rows, words, threshold_pct), "links")
-    comp = scratch(components(links), "comp")
-    tag = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
+    first = scratch(components(links), "comp")
+    tag = lambda side: first.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
     open_pairs = pairs.join(best, ["src", "dst"], "left_anti") \
         .join(tag("src"), "src", "left").join(tag("dst"), "dst", "left") \
-        .filter(F.coalesce("_src", "src") != F.coalesce("_dst", "dst")).select("src", "dst")
-    more = scratch(confirmed(open_pairs, rows, words, threshold_pct), "links")
-    final = components(links.unionByName(more))
-    drop_scratch(comp)
+        .withColumns({"_src": F.coalesce("_src", "src"), "_dst": F.coalesce("_dst", "dst")}).filter("_src <> _dst")
+    open_pairs = scratch(open_pairs.select("src", "dst", "_src", "_dst"), "open")
+    more = confirmed(open_pairs, rows, words, threshold_pct).join(open_pairs, ["src", "dst"])
+    second = scratch(components(more.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))), "comp")
+    known = first.unionByName(second.select("id", F.col("id").alias("component")).join(
+        first.select("id"), "id", "left_anti"))
+    final = then(known, second)
     member = sketch.select("_rid", "n_shingles", "ha", "hb").join(
         sets.select("ha", "hb", "n_shingles", "rep"), ["ha", "hb", "n_shingles"], "left")
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
