@@ -120,10 +120,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """One row per document: ``<id>, <keep...>, source, size, source_size, target, copies, taken``."""
     clash = {"source", "size", "source_size", "target", "copies", "taken"}
     extra = [c for c in keep if c not in clash and c != id_col]
-    rows = scratch(docs.select(
-        F.col(id_col), *extra, F.col(source_col).cast("string").alias("source"),
+    sized = scratch(docs.select(
+        F.col(id_col), *extra, F.monotonically_increasing_id().alias("_k"), F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
         (F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("_u")), "sized")
+    rows = sized.select("_k", id_col, "source", "size", "_u")  # the kept columns are joined last
     histogram = scratch(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = scratch(source_targets(per_source, weights, share), "targets")
@@ -168,5 +169,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         "_more", (F.row_number().over(order) <= F.col("quota")).cast("long"))
     out = clear.unionByName(split).withColumn(
         "copies", F.when(F.col("size") > 0, F.col("base") + F.col("_more")).otherwise(F.lit(0)).cast("long"))
-    return out.select(id_col, *extra, "source", "size", "source_size", "target", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"))
+    out = out.select("_k", id_col, "source", "size", "source_size", "target", "copies",
+                     (F.col("copies") * F.col("size")).alias("taken"))
+    if extra:
+        out = out.join(sized.select("_k", *extra), "_k")
+    return out.select(id_col, *extra, "source", "size", "source_size", "target", "copies", "taken")
