@@ -8,8 +8,6 @@ Spark derives from the input tables (the interaction fact, the targets), so they
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
