@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lureline.llm.chat_format import CONTROL, END, START
+from lureline.llm.chat_format import CONTROL, START
 
 _REGISTRY: dict[str, str] = {}
 

@@ -78,9 +78,10 @@ def candidates(rows: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     """``key, seg, _rid, pos`` of every segment whose key occurs more than once (steps 1, 2)."""
     found = scratch(rows.select("_rid", "text").mapInArrow(
         _segments(unit, window, gram), "key long, seg long, _rid long, pos long"), "cut")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # written first: a join of two plain exchanges is one whose hot keys AQE can split
+    often = scratch(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "often")
     out = scratch(found.join(often, "key", "left_semi"), "segments")
-    drop_scratch(found)
+    drop_scratch(found, often)
     return out
 
 
@@ -222,8 +223,9 @@ def repeated_runs(rows: DataFrame, unit: str, window: int, gram: int, decide, ke
                   shard_units: int, heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Steps 1 to 5: ``(occurrences, distinct segments, runs)``.
 
-    ``decide(contents, counts, firsts)`` gets one shard (lists, ordered by first occurrence) and
-    returns, per segment, an array of flags, one per window start.
+    ``decide(contents, counts)`` gets whole groups of about ``shard_units`` units (at most one group
+    more, of ``heavy`` segments), each in the order of first occurrence, and returns per segment an
+    array of flags, one per window start.
     """
     occurrences = candidates(rows, unit, window, gram)
     distinct = distinct_segments(occurrences)
@@ -239,22 +241,26 @@ def repeated_runs(rows: DataFrame, unit: str, window: int, gram: int, decide, ke
     shards = max(1, -(-int(total) // shard_units))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_rid", "ascending"), ("pos", "ascending"), ("skip", "ascending")])
-        skip = table.column("skip").to_numpy()
-        flags = decide(table.column("content").to_pylist(), table.column("n").to_numpy())
+        """Equal windows share a group, so a shard is decided a few whole groups at a time."""
+        table = table.sort_by([(c, "ascending") for c in ("group", "_rid", "pos", "skip")])
+        group, skip = table.column("group").to_numpy(), table.column("skip").to_numpy()
+        content, counts = table.column("content").to_pylist(), table.column("n").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         row, a, b = [], [], []
-        for i, own in enumerate(flags):
-            edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
-            starts = np.flatnonzero(edge == 1)
-            row.append(np.full(len(starts), i))
-            a.append(starts + skip[i])
-            b.append(np.flatnonzero(edge == -1) - 1 + window + skip[i])
+        lo, held = 0, 0
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            size = sum(len(_units(c, unit)) for c in content[first:last])
+            if held and held + size > shard_units:
+                _decided(decide, content, counts, skip, window, lo, first, row, a, b)
+                lo, held = first, 0
+            held += size
+        _decided(decide, content, counts, skip, window, lo, len(content), row, a, b)
         join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
         chosen = table.select(["key", "seg", "n", "_rid", "pos"]).take(pa.array(join(row).astype(np.int64)))
         return chosen.append_column("a", pa.array(join(a).astype(np.int64))) \
             .append_column("b", pa.array(join(b).astype(np.int64)))
 
-    dealt = segments.select("key", "seg", "n", "_rid", "pos", "skip", "content",
+    dealt = segments.select("key", "seg", "n", "_rid", "pos", "skip", "content", "group",
                             F.pmod(F.xxhash64("group"), F.lit(shards)).alias("shard"))
     runs = dealt.groupBy("shard").applyInArrow(run, _RUNS)
     if same is not None:
@@ -262,6 +268,16 @@ def repeated_runs(rows: DataFrame, unit: str, window: int, gram: int, decide, ke
     return occurrences, distinct, scratch(runs, "runs")
 
 
+def _decided(decide, content, counts, skip, window, lo, hi, row, a, b) -> None:
+    """Decide the segments lo:hi and append their runs of flagged windows."""
+    for i, own in enumerate(decide(content[lo:hi], counts[lo:hi]), lo):
+        edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
+        starts = np.flatnonzero(edge == 1)
+        row.append(np.full(len(starts), i))
+        a.append(starts + skip[i])
+        b.append(np.flatnonzero(edge == -1) - 1 + window + skip[i])
+
+
 def unit_spans(runs: DataFrame) -> DataFrame:
     """Runs at their segment's first occurrence as ``_rid, start, end`` in units."""
     at = F.shiftright("pos", SIZE_BITS)

@@ -115,7 +115,7 @@ def _remove(with_text: bool):
 
 
 def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
-                   gram: int = 8, shard_words: int = 50_000, heavy: int = 2000,
+                   gram: int = 8, shard_words: int = 50_000, heavy: int = 8000,
                    with_text: bool = True) -> DataFrame:
     """One row per document: ``<id>, text, n_words, n_removed, spans (of words), kept_sha256,
     kept_text``."""

@@ -37,11 +37,11 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
 
     Symbol 0 is a separator, each one different from all others (by position). The first key packs
     as many symbols as 63 bits hold; every further round triples the sorted depth by joining the
-    ranks of three neighbouring pieces. Only groups of more than one suffix are sorted again.
+    ranks of three neighbouring pieces (doubles it where ranks need more than 21 bits). Only groups
+    of more than one suffix are sorted again.
     """
     n = len(text)
-    if n >= 1 << 21:
-        raise ValueError("a shard has at most 2**21 - 1 symbols")
+    joined, width = (3, 21) if n < 1 << 21 else (2, 31)
     used = np.zeros(int(text.max(initial=0)) + 1, bool)
     used[text] = True
     used[0] = True
@@ -67,15 +67,14 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     active = order[~alone]
     while h < depth and len(active):
         key = rank[active].astype(np.int64)
-        key <<= 21
-        key |= rank[active + h]
-        key <<= 21
-        key |= rank[np.minimum(active + 2 * h, n - 1)]
+        for k in range(1, joined):
+            key <<= width
+            key |= rank[np.minimum(active + k * h, n - 1)]
         by = np.argsort(key)
         active, key = active[by], key[by]
         new = np.ones(len(active), bool)
         new[1:] = key[1:] != key[:-1]
-        old = key >> 42
+        old = key >> (width * (joined - 1))
         first = np.ones(len(active), bool)
         first[1:] = old[1:] != old[:-1]
         i = np.arange(len(active))
@@ -85,7 +84,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         alone = new.copy()
         alone[:-1] &= new[1:]
         active = active[~alone]
-        h *= 3
+        h *= joined
     return rank
 
 
@@ -188,7 +187,7 @@ def _remove(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200,
-                   gram: int = 64, shard_bytes: int = 1 << 20, heavy: int = 4000,
+                   gram: int = 64, shard_bytes: int = 1 << 18, heavy: int = 8000,
                    with_text: bool = True, rest: bool = False) -> DataFrame:
     """One row per document: ``<id>, text, n_bytes, n_removed, spans, kept_sha256, kept_text``.
 
