@@ -8,11 +8,14 @@
    prefixes; a row is compared with those of its ``neighbours`` predecessors that share at least
    ``min_prefix`` minima. Where a region is sparse that is everything sharing the short prefix;
    where it is dense only the deepest prefixes stay next to each other: the depth adapts by region.
+   Pairs whose sizes exclude the threshold, or of whose minima too few agree in their last bits (a
+   pair at the threshold has fewer with probability 0.000005), are dropped there.
    Neighbours across a partition's edge are compared from the first and last rows of partitions.
-3. Candidate pairs are confirmed on the full shingle sets, rebuilt from the texts: first every
-   document's best partner; then every other candidate whose two documents are not yet connected
-   (a confirmed link inside a component cannot change it).
-4. Connected components by star contraction; the smallest document of each stays.
+3. Candidate pairs are confirmed on the full shingle sets, rebuilt from the texts: first the
+   best partners among the four nearest rows; then, from the whole neighbourhood, the four best
+   partners left, and at last every candidate left. Pairs whose two documents are connected by then
+   are not made again (a link inside a component cannot change it).
+4. Connected components by hooking and contraction; the smallest document of each stays.
 
 A pair at the threshold 0.75 shares two minima in at least one of twelve trees with probability
 1 - (1 - 0.75^2)^12 = 0.99995.
@@ -27,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureline.llm import kernels as K
@@ -75,22 +78,32 @@ def _sketches(trees: int, depth: int, words: int, seed: int):
                 sums[part, 1] = np.add.reduceat(K.mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
                 for t in range(trees * depth):
                     sig[part, t] = np.minimum.reduceat((flat ^ salts[t]) * mults[t], at) >> np.uint64(32)
+            bits = ((sig[:, ::2] & 15) << 4 | sig[:, 1::2] & 15).astype(np.uint8)
             raw = sig.tobytes()
             width = 4 * trees * depth
             yield pa.RecordBatch.from_pydict({
                 "_rid": ids, "n_shingles": pa.array(sizes),
                 "ha": pa.array(sums[:, 0].astype(np.int64)), "hb": pa.array(sums[:, 1].astype(np.int64)),
-                "sig": pa.array([raw[i * width:(i + 1) * width] for i in range(len(sets))], pa.binary())})
+                "sig": pa.array([raw[i * width:(i + 1) * width] for i in range(len(sets))], pa.binary()),
+                "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
 
     return run
 
 
-def _neighbours(depth: int, min_prefix: int, lag: int, edges: bool):
-    """Sorted stream of (key, _rid) -> candidate pairs; with ``edges`` also the stream's ends."""
-    width = 1 + 4 * depth
+def _least_alike(minima: int, threshold_pct: int) -> int:
+    """Minima whose last four bits agree, which a pair at the threshold misses with probability
+    0.000005 (a pair of similarity s agrees in one with probability s + (1 - s) / 16)."""
+    agree = threshold_pct / 100 + (1 - threshold_pct / 100) / 16
+    return int(np.floor(minima * agree - 4.5 * np.sqrt(minima * agree * (1 - agree))))
 
-    def pairs_of(keys: np.ndarray, ids: np.ndarray, fresh: int):
-        """Rows from ``fresh`` on against up to ``lag`` rows before each."""
+
+def _neighbours(depth: int, min_prefix: int, lag: int, edges: bool, minima_all: int, threshold_pct: int):
+    """Sorted stream of (key, _rid, n, bits) -> candidate pairs; with ``edges`` also its ends."""
+    width, least = 1 + 4 * depth, _least_alike(minima_all, threshold_pct)
+
+    def pairs_of(keys, ids, n, known, bits, fresh: int):
+        """Rows from ``fresh`` on against up to ``lag`` rows before each; pairs that their sizes or
+        the last bits of all their minima rule out, or that are known to be connected, go at once. The score is the number that agree."""
         found = []
         tree, minima = keys[:, 0], np.ascontiguousarray(keys[:, 1:]).view(">u4").reshape(len(keys), depth)
         for step in range(1, lag + 1):
@@ -102,56 +115,70 @@ def _neighbours(depth: int, min_prefix: int, lag: int, edges: bool):
             hit = common >= min_prefix
             if not hit.any():
                 break
-            found.append((ids[a[hit]], ids[b[hit]], common[hit]))
+            a, b, common = a[hit], b[hit], common[hit]
+            like = 100 * np.minimum(n[a], n[b]) >= threshold_pct * np.maximum(n[a], n[b])
+            like &= known[a] != known[b]
+            differ = bits[a] ^ bits[b]
+            alike = ((differ & 15) == 0).sum(axis=1) + ((differ & 240) == 0).sum(axis=1)
+            like &= alike >= least
+            found.append((ids[a[like]], ids[b[like]], alike[like]))
         return found
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        tail_keys, tail_ids = np.empty((0, width), np.uint8), np.empty(0, np.int64)
+        size = minima_all // 2
+        none = np.empty(0, np.int64)
+        held = (np.empty((0, width), np.uint8), none, none, none, np.empty((0, size), np.uint8))
         first = None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            rows = batch.num_rows
+            if not rows:
                 continue
-            raw = b"".join(batch.column("key").to_pylist())
-            keys = np.concatenate([tail_keys, np.frombuffer(raw, np.uint8).reshape(n, width)])
-            ids = np.concatenate([tail_ids, batch.column("_rid").to_numpy(zero_copy_only=False)])
+            raw = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(rows, -1)
+                   for c in ("key", "bits")]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_rid", "n", "known")]
+            state = tuple(np.concatenate(x) for x in zip(held, (raw[0], *own, raw[1])))
             if edges and first is None:
-                first = (keys[:lag], ids[:lag])
-            for a, b, common in pairs_of(keys, ids, len(tail_ids)):
+                first = tuple(x[:lag] for x in state)
+            for src, dst, common in pairs_of(*state, len(held[1])):
+                k = len(src)
                 yield pa.RecordBatch.from_pydict({
-                    "src": pa.array(np.minimum(a, b)), "dst": pa.array(np.maximum(a, b)),
-                    "common": pa.array(common.astype(np.int64)),
-                    "key": pa.nulls(len(a), pa.binary())})
-            tail_keys, tail_ids = keys[-lag:], ids[-lag:]
+                    "src": pa.array(np.minimum(src, dst)), "dst": pa.array(np.maximum(src, dst)),
+                    "common": pa.array(common.astype(np.int64)), "key": pa.nulls(k, pa.binary()),
+                    "n": pa.nulls(k, pa.int64()), "known": pa.nulls(k, pa.int64()), "bits": pa.nulls(k, pa.binary())})
+            held = tuple(x[-lag:] for x in state)
         if edges and first is not None:
-            keys, ids = np.concatenate([first[0], tail_keys]), np.concatenate([first[1], tail_ids])
+            keys, ids, n, known, bits = (np.concatenate(x) for x in zip(first, held))
             yield pa.RecordBatch.from_pydict({
                 "src": pa.array(ids), "dst": pa.array(ids),
                 "common": pa.array(np.full(len(ids), -1 - part, np.int64)),
-                "key": pa.array([bytes(k) for k in keys], pa.binary())})
+                "key": pa.array([bytes(k) for k in keys], pa.binary()), "n": pa.array(n),
+                "known": pa.array(known),
+                "bits": pa.array([bytes(k) for k in bits], pa.binary())})
 
     return run
 
 
-_PAIR = "src long, dst long, common long, key binary"
+_PAIR = "src long, dst long, common long, key binary, n long, known long, bits binary"
 
 
 def candidate_pairs(signatures: DataFrame, trees: int, depth: int, min_prefix: int,
-                    neighbours: int) -> DataFrame:
-    """``signatures(_rid, sig)`` -> distinct ``(src, dst, common)``: summed common prefix."""
+                    neighbours: int, threshold_pct: int) -> DataFrame:
+    """``signatures(_rid, n, known, sig, bits)`` -> distinct ``(src, dst, common)``: minima that
+    agree; pairs of one known component are left out."""
     step = 4 * depth
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    rows = signatures.select("_rid", "sig", tree.alias("tree")).select(
-        "_rid", F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")),
+    rows = signatures.select("_rid", "n", "known", "bits", "sig", tree.alias("tree")).select(
+        "_rid", "n", "known", "bits", F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")),
                          F.substring(F.col("sig"), F.col("tree") * step + 1, F.lit(step))).alias("key"))
     ordered = rows.repartitionByRange("key", "_rid").sortWithinPartitions("key", "_rid")
-    found = scratch(ordered.mapInArrow(_neighbours(depth, min_prefix, neighbours, True), _PAIR), "pairs")
-    ends = found.filter("common < 0").select(F.col("src").alias("_rid"), "key").distinct() \
+    scan = lambda edges: _neighbours(depth, min_prefix, neighbours, edges, trees * depth, threshold_pct)
+    found = scratch(ordered.mapInArrow(scan(True), _PAIR), "pairs")
+    ends = found.filter("common < 0").select(F.col("src").alias("_rid"), "n", "known", "bits", "key").distinct() \
         .repartition(1).sortWithinPartitions("key", "_rid")  # a few rows per partition
-    across = ends.mapInArrow(_neighbours(depth, min_prefix, neighbours, False), _PAIR)
+    across = ends.mapInArrow(scan(False), _PAIR)
     return found.filter("common >= 0").unionByName(across).filter("src <> dst") \
-        .groupBy("src", "dst").agg(F.sum("common").alias("common"))
+        .groupBy("src", "dst").agg(F.max("common").alias("common"))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, words: int, threshold_pct: int) -> DataFrame:
@@ -177,31 +204,45 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, threshold_pct: int)
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     threshold_pct: int = 75, trees: int = 12, depth: int = 8, min_prefix: int = 2,
-                    neighbours: int = 8, seed: int = 9) -> DataFrame:
+                    neighbours: int = 24, seed: int = 9) -> DataFrame:
     """One row per document: ``<id>, n_shingles, component_id, kept`` (and ``_rid``)."""
     keyed = keyed_rows(docs, id_col, text_col)
     rows = keyed.withColumnRenamed(text_col, "text")
     sketch = scratch(rows.select("_rid", "text").mapInArrow(
         _sketches(trees, depth, words, seed),
-        "_rid long, n_shingles long, ha long, hb long, sig binary"), "sketch")
+        "_rid long, n_shingles long, ha long, hb long, sig binary, bits binary"), "sketch")
     sets = scratch(sketch.filter("n_shingles > 0").groupBy("ha", "hb", "n_shingles").agg(
-        F.min("_rid").alias("rep"), F.first("sig").alias("sig")), "sets")
-    pairs = scratch(candidate_pairs(sets.select(F.col("rep").alias("_rid"), "sig"), trees, depth,
-                                    min_prefix, neighbours), "candidates")
-    best = pairs.groupBy("dst").agg(F.max(F.struct("common", "src")).alias("b")) \
-        .select(F.col("b.src").alias("src"), "dst")
-    links = scratch(confirmed(best, rows, words, threshold_pct), "links")
-    first = scratch(components(links), "comp")
-    tag = lambda side: first.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
-    open_pairs = pairs.join(best, ["src", "dst"], "left_anti") \
-        .join(tag("src"), "src", "left").join(tag("dst"), "dst", "left") \
-        .withColumns({"_src": F.coalesce("_src", "src"), "_dst": F.coalesce("_dst", "dst")}).filter("_src <> _dst")
-    open_pairs = scratch(open_pairs.select("src", "dst", "_src", "_dst"), "open")
-    more = confirmed(open_pairs, rows, words, threshold_pct).join(open_pairs, ["src", "dst"])
-    second = scratch(components(more.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))), "comp")
-    known = first.unionByName(second.select("id", F.col("id").alias("component")).join(
-        first.select("id"), "id", "left_anti"))
-    final = then(known, second)
+        F.min("_rid").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "sets")
+    signed = sets.select(F.col("rep").alias("_rid"), F.col("n_shingles").alias("n"), "sig", "bits")
+    labels = None  # id -> component of the documents linked so far
+    for lag, best in ((4, 1), (neighbours, 4), (None, None)):
+        if labels is None:
+            tag = lambda rows, side, out: rows.withColumn(out, F.col(side))
+        else:
+            tag = lambda rows, side, out: rows.join(
+                labels.select(F.col("id").alias(side), F.col("component").alias(out)), side, "left") \
+                .withColumn(out, F.coalesce(out, side))  # noqa: B023
+        if lag:
+            left = scratch(candidate_pairs(tag(signed, "_rid", "known"), trees, depth, min_prefix, lag,
+                                           threshold_pct), "candidates")
+        open_pairs = scratch(tag(tag(left, "src", "_src"), "dst", "_dst").filter("_src <> _dst"), "open")
+        now = open_pairs
+        if best:
+            rank = lambda side: F.row_number().over(
+                Window.partitionBy(side).orderBy(F.col("common").desc(), "src", "dst"))
+            now = open_pairs.withColumns({"_a": rank("src"), "_b": rank("dst")}).filter(
+                (F.col("_a") <= best) | (F.col("_b") <= best))
+        now = scratch(now.select("src", "dst", "_src", "_dst"), "now")
+        links = confirmed(now, rows, words, threshold_pct).join(now, ["src", "dst"])
+        found = scratch(components(links.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))), "comp")
+        if labels is None:
+            labels = found
+        else:
+            known = labels.unionByName(found.select("id", F.col("id").alias("component")).join(
+                labels.select("id"), "id", "left_anti"))
+            labels = scratch(then(known, found), "comp")
+        left = open_pairs.select("src", "dst", "common").join(now.select("src", "dst"), ["src", "dst"], "left_anti")
+    final = labels
     member = sketch.select("_rid", "n_shingles", "ha", "hb").join(
         sets.select("ha", "hb", "n_shingles", "rep"), ["ha", "hb", "n_shingles"], "left")
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
