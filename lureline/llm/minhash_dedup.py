@@ -225,7 +225,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if lag:
             left = scratch(candidate_pairs(tag(signed, "_rid", "known"), trees, depth, min_prefix, lag,
                                            threshold_pct), "candidates")
-        open_pairs = scratch(tag(tag(left, "src", "_src"), "dst", "_dst").filter("_src <> _dst"), "open")
+            left = tag(tag(left, "src", "_src"), "dst", "_dst")
+        else:  # the components of the last round, on the components before it
+            for side in ("_src", "_dst"):
+                onto = found.select(F.col("id").alias(side), F.col("component").alias("_to"))
+                left = left.join(onto, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        open_pairs = scratch(left.filter("_src <> _dst"), "open")
         now = open_pairs
         if best:
             rank = lambda side: F.row_number().over(
@@ -241,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = labels.unionByName(found.select("id", F.col("id").alias("component")).join(
                 labels.select("id"), "id", "left_anti"))
             labels = scratch(then(known, found), "comp")
-        left = open_pairs.select("src", "dst", "common").join(now.select("src", "dst"), ["src", "dst"], "left_anti")
+        left = open_pairs.join(now.select("src", "dst"), ["src", "dst"], "left_anti")
     final = labels
     member = sketch.select("_rid", "n_shingles", "ha", "hb").join(
         sets.select("ha", "hb", "n_shingles", "rep"), ["ha", "hb", "n_shingles"], "left")
