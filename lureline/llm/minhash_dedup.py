@@ -15,7 +15,10 @@
    best partners among the four nearest rows; then, from the whole neighbourhood, the four best
    partners left, and at last every candidate left. Pairs whose two documents are connected by then
    are not made again (a link inside a component cannot change it).
-4. Connected components by hooking and contraction; the smallest document of each stays.
+4. Where more rows share ``min_prefix`` minima than the window holds and are not connected by then
+   (documents with a long template in common), the window may have left pairs out. All documents of
+   such runs are joined by prefix filtering on their rarest shingles, which leaves out no pair.
+5. Connected components by hooking and contraction; the smallest document of each stays.
 
 A pair at the threshold 0.75 shares two minima in at least one of twelve trees with probability
 1 - (1 - 0.75^2)^12 = 0.99995.
@@ -202,6 +205,66 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, threshold_pct: int)
     return both.select("src", "dst", "ta", "tb").mapInArrow(check, "src long, dst long")
 
 
+def _shingle_rows(words: int):
+    """(_rid, known, n, text) -> one row per distinct shingle."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):  # bounded work arrays
+                part = batch.slice(lo, 64)
+                sets = list(shingle_sets(part.column("text"), words))
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c).take(at) for c in ("_rid", "known", "n")]
+                    + [pa.array(np.concatenate(sets).astype(np.int64))], names=["_rid", "known", "n", "shingle"])
+
+    return run
+
+
+def crowded(signatures: DataFrame, trees: int, depth: int, min_prefix: int, neighbours: int) -> DataFrame:
+    """``_rid, known, n`` of the rows that, in some tree, share ``min_prefix`` minima with more rows
+    than the window holds, not all of one known component: both rows of any pair that the window
+    left out are among them."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    runs = signatures.select("_rid", "known", "n", "sig", tree.alias("tree")).select(
+        "_rid", "known", "n", "tree",
+        F.substring(F.col("sig"), F.col("tree") * 4 * depth + 1, F.lit(4 * min_prefix)).alias("prefix"))
+    full = runs.groupBy("tree", "prefix").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("known").alias("_low"), F.max("known").alias("_high")) \
+        .filter((F.col("_rows") > neighbours + 1) & (F.col("_low") < F.col("_high")))
+    return runs.join(full.select("tree", "prefix"), ["tree", "prefix"], "left_semi") \
+        .select("_rid", "known", "n").distinct()
+
+
+def prefix_pairs(dense: DataFrame, rows: DataFrame, words: int, threshold_pct: int) -> DataFrame:
+    """Distinct ``(src, dst)`` of ``dense(_rid, known, n)`` by prefix filtering, which is exact: with
+    the shingles of every set ordered by rising frequency, a pair at the threshold shares one among
+    the first n - ceil(2t / (1 + t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of the
+    larger set. Shingles of a template are the last of a set, so rows that share no more than a
+    template do not meet. Pairs of one known component are never made: components that share a
+    shingle are paired first, then their rows."""
+    pct = threshold_pct
+    each = scratch(dense.join(rows.select("_rid", "text"), "_rid").select("_rid", "known", "n", "text").mapInArrow(
+        _shingle_rows(words), "_rid long, known long, n long, shingle long"), "shingles")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df"))
+    place = F.row_number().over(Window.partitionBy("_rid").orderBy("_df", "shingle"))
+    need = lambda top, low: F.expr(f"n - (({top}) * n + ({low}) - 1) div ({low}) + 1")
+    first = each.join(often, "shingle").withColumn("_at", place).filter(F.col("_at") <= need(pct, 100)) \
+        .withColumn("small", F.col("_at") <= need(2 * pct, 100 + pct)).filter("_df > 1") \
+        .select("_rid", "known", "n", "shingle", "small")
+    first = scratch(first, "prefixes")
+    groups = first.groupBy("shingle", "known").agg(F.max("small").alias("small"))
+    mixed = groups.groupBy("shingle").agg(F.min("known").alias("_low"), F.max("known").alias("_high")) \
+        .filter("_low < _high").select("shingle")
+    groups = scratch(groups.join(mixed, "shingle", "left_semi"), "groups")
+    meet = groups.filter("small").select("shingle", F.col("known").alias("ka")).join(
+        groups.select("shingle", F.col("known").alias("kb")), "shingle").filter("ka <> kb")
+    a = first.filter("small").select("shingle", F.col("known").alias("ka"), F.col("_rid").alias("a"), F.col("n").alias("na"))
+    b = first.select("shingle", F.col("known").alias("kb"), F.col("_rid").alias("b"), F.col("n").alias("nb"))
+    return meet.join(a, ["shingle", "ka"]).join(b, ["shingle", "kb"]) \
+        .filter((F.col("na") <= F.col("nb")) & (100 * F.col("na") >= pct * F.col("nb"))) \
+        .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     threshold_pct: int = 75, trees: int = 12, depth: int = 8, min_prefix: int = 2,
                     neighbours: int = 24, seed: int = 9) -> DataFrame:
@@ -215,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("_rid").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "sets")
     signed = sets.select(F.col("rep").alias("_rid"), F.col("n_shingles").alias("n"), "sig", "bits")
     labels = None  # id -> component of the documents linked so far
-    for lag, best in ((4, 1), (neighbours, 4), (None, None)):
+    for lag, best in ((4, 1), (neighbours, 4), (None, None), (0, None)):
         if labels is None:
             tag = lambda rows, side, out: rows.withColumn(out, F.col(side))
         else:
@@ -226,6 +289,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left = scratch(candidate_pairs(tag(signed, "_rid", "known"), trees, depth, min_prefix, lag,
                                            threshold_pct), "candidates")
             left = tag(tag(left, "src", "_src"), "dst", "_dst")
+        elif lag == 0:  # pairs that a full window left out
+            dense = scratch(crowded(tag(signed, "_rid", "known"), trees, depth, min_prefix, neighbours), "crowded")
+            if dense.isEmpty():
+                break
+            left = scratch(prefix_pairs(dense, rows, words, threshold_pct), "candidates")
+            left = tag(tag(left, "src", "_src"), "dst", "_dst")
         else:  # the components of the last round, on the components before it
             for side in ("_src", "_dst"):
                 onto = found.select(F.col("id").alias(side), F.col("component").alias("_to"))

@@ -291,6 +291,22 @@ def test_forest_equals_brute_force(spark, corpus):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("own", [24, 30])  # pairwise Jaccard about 0.70 and 0.62, below the threshold
+def test_forest_finds_pairs_among_documents_that_share_a_template(spark, own):
+    rng = random.Random(own)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    template = [word() for _ in range(120)]
+    rows = [(i, " ".join([word() for _ in range(own)] + template)) for i in range(400)]
+    for k in range(20):  # copies that change a few of the own words
+        words = rows[7 * k][1].split()
+        words[:own // 3] = [word() for _ in range(own // 3)]
+        rows.append((1000 + k, " ".join(words)))
+    want = brute_components(rows)
+    assert sum(i != c for i, (_, c) in want.items()) == 20
+    got = minhash_dedup.near_duplicates(frame(spark, rows), trees=4, depth=2, neighbours=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_forest_repeated_ids_and_filter(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d E f"), (None, "q"), (3, None), (3, "")]
     kept = minhash_dedup.deduplicate(spark.createDataFrame([r + ("x",) for r in rows],
