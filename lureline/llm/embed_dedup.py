@@ -3,15 +3,19 @@
 Each pass hashes every vector to the signs of its projections on random directions; the signs,
 concatenated, order the vectors of a label lexicographically, so near vectors tend to stand close
 together. Vectors are compared within bounded windows of that order (a block of :data:`BLOCK`
-neighbours and the next block), exactly, by cosine in double precision. Where links still reach
-the far end of a window, that window widens block by block until none does, so a large group of
-near copies loses no link to the window's bound. Pairs found in any pass are united.
+neighbours and the next block), exactly, by cosine in double precision. Windows widen block by
+block, over whole buckets (vectors that agree on the ``m`` leading signs the bound below needs) and
+for as long as links still reach their far end, so neither a label whose vectors share a direction
+nor a large group of near copies loses a link to the window's bound. A label whose buckets would
+cost more than comparing all of its vectors once is compared whole. Pairs found in any pass are
+united.
 
 All passes are one distributed sort of narrow rows (pass, label, key, id); a hot label is split by
 its keys. The number of passes follows from the largest label so that a pair at the threshold is
-missed with probability ``miss`` whatever the size: a pair that agrees on ``m`` leading signs
-stays within a window when ``2^m`` windows cover the label, and one sign agrees with probability
-``1 - acos(threshold) / pi``.
+missed with probability ``miss`` whatever the size and however the vectors lie: a pair that agrees
+on ``m`` leading signs is compared, and one sign agrees with probability
+``1 - acos(threshold) / pi``. ``2^m`` buckets of half a block would cover an evenly spread label; the
+measured buckets decide how far windows widen.
 
 Equal vectors of a label collapse to one before (a hot vector is one row) and count as linked with
 each other.
@@ -47,6 +51,11 @@ def passes_needed(largest: int, threshold: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log1p(-together)))
 
 
+def signs_needed(largest: int) -> int:
+    """Leading signs that :func:`passes_needed` lets a pair agree on (rounded down: no fewer pairs)."""
+    return 0 if largest <= BLOCK else min(SIGNS, int(math.log2(2 * largest / BLOCK)))
+
+
 def _vectors(column: pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(v, kind).astype(np.float64) for v in column.to_pylist()]
 
@@ -115,22 +124,48 @@ def _compare(threshold: float, kind: str, inner: bool):
 _LINKS = "src long, dst long, far boolean, pair long"
 
 
-def linked_pairs(classes: DataFrame, threshold: float, passes: int, seed: int, kind: str) -> DataFrame:
+def _wide_pairs(placed: DataFrame, signs: int) -> DataFrame:
+    """``(pair, step)``: blocks two or more apart that hold rows of one bucket; for labels where that
+    is more than all pairs of their blocks, these, once."""
+    span = scratch(placed.groupBy("pass", "label", "dim", "block").agg(
+        F.min(F.shiftright("key", SIGNS - signs)).alias("low"),
+        F.max(F.shiftright("key", SIGNS - signs)).alias("high")), "spans")
+    group = ["label", "dim"]
+    on = ["pass", *group]
+    mine = span.select(*on, F.col("block").alias("pair"), F.col("high").alias("bucket"))
+    apart = F.col("block") > F.col("pair") + 1
+    wide = scratch(mine.join(span.withColumnRenamed("low", "bucket"), [*on, "bucket"]).filter(apart)
+                   .select(*group, "pair", (F.col("block") - F.col("pair")).alias("step")), "wide")
+    blocks = span.filter(F.col("pass") == 0).groupBy(*group).agg(F.count(F.lit(1)).alias("blocks"))
+    whole = wide.groupBy(*group).count().join(blocks, group) \
+        .filter("2 * count > blocks * (blocks - 1)").select(*group)
+    every = mine.filter(F.col("pass") == 0).join(span, on).filter(apart).join(whole, group, "left_semi") \
+        .select("pair", (F.col("block") - F.col("pair")).alias("step"))
+    return scratch(wide.join(whole, group, "left_anti").select("pair", "step").unionByName(every).distinct(), "wide")
+
+
+def linked_pairs(classes: DataFrame, threshold: float, passes: int, seed: int, kind: str,
+                 signs: int = 0) -> DataFrame:
     """``classes(rep, label, vec)`` -> distinct linked pairs ``(src, dst)``, src < dst."""
     keys = classes.select("rep", "label", "vec").mapInArrow(
         _keys(passes, seed, kind), "rep long, label long, pass int, dim int, key long")
     ranked = with_global_rank(keys, ["pass", "label", "dim", "key", "rep"], rank_col="_rank")
-    placed = scratch(ranked.select("rep", "label", "pass", "dim", "_rank",
-                                   F.floor((F.col("_rank") - 1) / BLOCK).alias("block"))
+    ranked = ranked.withColumn("block", F.floor((F.col("_rank") - 1) / BLOCK))
+    wide = _wide_pairs(ranked, signs)
+    farthest = wide.agg(F.max("step")).first()[0] or 0
+    placed = scratch(ranked.select("rep", "label", "pass", "dim", "_rank", "block")
                      .join(classes.select("rep", "vec"), "rep"), "placed")
     left = placed.withColumns({"pair": F.col("block"), "left": F.lit(True)})
     right = placed.withColumns({"pair": F.col("block") - 1, "left": F.lit(False)}).filter("pair >= 0")
     found = scratch(left.unionByName(right).groupBy("pair").applyInArrow(
         _compare(threshold, kind, True), _LINKS), "links")
     links, step = [found.select("src", "dst")], 2
-    while True:  # widen the windows whose far end still links
-        reach = found.filter("far").select("pair").distinct()
-        if reach.isEmpty():
+    while True:  # widen the windows whose far end still links, and those that end inside a bucket
+        reach = found.filter("far").select("pair")
+        if step <= farthest:
+            reach = reach.unionByName(wide.filter(F.col("step") == step).select("pair"))
+        reach = reach.distinct()
+        if step > farthest and reach.isEmpty():
             break
         left = placed.join(reach, placed.block == reach.pair).withColumn("left", F.lit(True))
         right = placed.join(reach, placed.block == reach.pair + step).withColumn("left", F.lit(False))
@@ -174,7 +209,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     packed = scratch(classes.mapInArrow(pack, "rep long, label long, n long, vec binary"), "classes")
     largest = packed.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    pairs = linked_pairs(packed, threshold, passes_needed(largest, threshold, miss), seed, kind)
+    pairs = linked_pairs(packed, threshold, passes_needed(largest, threshold, miss), seed, kind,
+                         signs_needed(largest))
     weight = packed.select("rep", "n")
     both = pairs.select(F.col("src").alias("rep"), F.col("dst").alias("other")).unionByName(
         pairs.select(F.col("dst").alias("rep"), F.col("src").alias("other")))

@@ -115,6 +115,34 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
         assert (r.n_links, r.component_id, r.kept) == (len(links[i]), root[i], root[i] == vec_id)
 
 
+@pytest.mark.parametrize("shared", [0.87])  # mean cosine of the label
+def test_vectors_that_share_a_direction_lose_no_pair(spark, monkeypatch, shared):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v)
+    mean = unit(rng.standard_normal(64))
+
+    def around(own):  # the shared direction and a part of its own at a right angle
+        own = unit(own - (own @ mean) * mean)
+        return math.sqrt(shared) * mean + math.sqrt(1 - shared) * own
+
+    rows = [(i, around(rng.standard_normal(64)).tolist(), 1) for i in range(900)]
+    for k in range(60):  # lone partners at a cosine of 0.935
+        a = np.array(rows[8 * k][1])
+        other = rng.standard_normal(64)
+        other -= (other @ mean) * mean
+        own = unit(a - (a @ mean) * mean)
+        other = unit(other - (other @ own) * own)
+        near = 1 - 0.065 / (1 - shared)
+        rows.append((900 + k, (math.sqrt(shared) * mean + math.sqrt(1 - shared) * (
+            near * own + math.sqrt(1 - near * near) * other)).tolist(), 1))
+    links = brute_links(rows)
+    assert all(900 + k in links[8 * k] for k in range(60))
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"),
+                                   miss=0.01)
+    assert {r.vec_id: r.n_links for r in got.collect()} == {i: len(x) for i, x in links.items()}
+
+
 def test_vectors_repeated_ids_and_empty(spark):
     schema = "vec_id long, embedding array<double>, label int"
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [0.0, 1.0], 1)]
@@ -193,7 +221,7 @@ def test_mix_meets_the_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 4)  # groups of equal sizes are split
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([1, 2, 3, 3, 3, 17, 40]))),
-             rng.choice(["a", "b", "b", "b", "c", None])) for i in range(500)]
+             rng.choice(["a", "b", "b", "b", "c", None])) for i in range(900)]
     rows += [(600, None, "a"), (601, "", None), (602, "x y", "a"), (602, "x y", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix(df).collect()
