@@ -197,9 +197,10 @@ def blocks_at_space(data: np.ndarray, size: int = 1 << 20):
 def word_hashes(data: np.ndarray, row_offsets: np.ndarray):
     """64-bit hash of every word of concatenated rows, and the first word of each row."""
     if len(row_offsets) == 2 and len(data) > 1 << 21:  # one very long text: block by block
-        parts = [word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in blocks_at_space(data)]
-        values = np.concatenate(parts)
-        return values, np.array([0, len(values)])
+        blocks = list(blocks_at_space(data))
+        if len(blocks) > 1:  # a single word of that length cannot be cut
+            values = np.concatenate([word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in blocks])
+            return values, np.array([0, len(values)])
     starts, ends, rows = word_bounds(data, row_offsets)
     return mix(range_hash(prefix_hash(byte_values()[data]), starts, ends)), rows
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lureline.llm import (
-    brown_lm, chat_format, decontaminate, embed_dedup, minhash_dedup, mixing, substring_dedup, suffix_dedup,
-    toxicity, url_filter,
+    brown_lm, chat_format, decontaminate, embed_dedup, minhash_dedup, mixing, periodic_runs, secret_scan,
+    substring_dedup, suffix_dedup, token_alignment, toxicity, url_filter,
 )
 from lureline.llm.common import crc_mod5, table
 
@@ -117,3 +117,31 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select(
         "doc_id", brown_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score")
+
+
+@register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 12 words in all ``documents`` (a tenth of them with planted periods)."""
+    docs = periodic_runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.digest(periodic_runs.collapse_runs(docs, with_text=False))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+                        "collapsed_sha256")
+
+
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both public vocabularies aligned over all ``documents``, with the counts of the linked ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_documents(docs).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@register
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``: the rules' matches, and what the character models add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.fit_by_rules(docs).find(docs)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.said(base=True), 256).alias("base_sha256"), secret_scan.said().alias("spans"))

@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_has_one_query():
     names = sorted(int(n[2:].split("_")[0]) for n in queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries()) | {"pipeline"} <= set(entry_mod.queries())
 
 
