@@ -28,12 +28,15 @@ by one task; its tokens are taken cut by cut.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ from lureline.llm.common import drop_scratch, keyed_rows, scratch
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _CUT = re.compile(r"(?:\A\s*|[ \n])\S+(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?|\s+")
 _tools: dict = {}
 
@@ -55,6 +59,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+#: Fixed value: the pattern that splits text before byte-level merges.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranked(a_path: str, tokens: list[bytes]):
+    """The byte-level vocabulary as ranks, where its merges stand in the order of their ids (several
+    times faster); None where they do not."""
+    import tiktoken
+    with open(a_path, encoding="utf-8") as file:
+        given = json.load(file)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    model, before = given["model"], given["pre_tokenizer"] or {}
+    special = {t["id"] for t in given["added_tokens"]}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    in_order = [model["vocab"].get(m) for m in merged] == list(range(256, 256 + len(merged)))
+    if model["type"] != "BPE" or given["normalizer"] or not in_order or \
+            any(before.get(k) != v for k, v in plain.items()):
+        return None
+    return tiktoken.Encoding("given", pat_str=_SPLIT, special_tokens={},
+                             mergeable_ranks={t: i for i, t in enumerate(tokens) if i not in special})
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of every id."""
 
@@ -71,91 +97,146 @@ class Tokenizers:
         pieces = self.b.id_to_piece(list(range(self.b_size)))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_lengths = np.array(list(map(len, self.a_bytes)), np.int64)
+        self.b_lengths = np.array(list(map(len, self.b_bytes)), np.int64)
+        self.digits = pa.array([str(i) for i in range(max(self.a_size, self.b_size))], pa.string())
         self.blank = self.b.piece_to_id("▁")
+        self.fast = ranked(a_path, self.a_bytes)
         # no piece holds a blank behind another character, or a line feed: texts may be cut there
         self.cuts = not any(re.search("[^▁]▁|\n", p) for p in pieces)
 
-    def encode(self, cuts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for cuts that begin with the blank that B puts itself, or with a line feed."""
-        a = [e.ids for e in self.a.encode_batch(cuts, add_special_tokens=False)]
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in cuts], num_threads=1)
-        return a, [ids if c[0] == " " else ids[1:] if ids[:1] == [self.blank] else [] for c, ids in zip(cuts, b)]
-
     def cut(self, text: str) -> list[str]:
+        """Cuts of blank + text; a cut that does not begin with white space has a blank before it."""
+        if not self.cuts:
+            return [" " + text]
+        pairs = ("  ", " \n", "\n ", "\n\n")
+        if not (any(p in text for p in pairs) or text[0].isspace() or text[-1].isspace()
+                or any(c in text for c in _OTHER_SPACE)):  # nothing but single blanks and line feeds
+            return text.replace("\n", " \n").split(" ")
         whole = " " + text
-        cuts = _CUT.findall(whole) if self.cuts else [whole]
-        return cuts if sum(map(len, cuts)) == len(whole) else [whole]
-
-
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]):
-    """Links (pairs of positions) and groups of two token lists over the same bytes."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append((i, j))
-        if end_a == end_b:
-            groups.append((a[first_a:i + 1], b[first_b:j + 1]))
-            first_a, first_b = i + 1, j + 1
-            if first_a == len(a):
-                return links, groups
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a:
-            i += 1
-            end_a += len(a_bytes[a[i]])
-        if step_b:
-            j += 1
-            end_b += len(b_bytes[b[j]])
+        cuts = _CUT.findall(whole)
+        if sum(map(len, cuts)) != len(whole):
+            return [whole]
+        return [c[1:] if c[0] == " " and not c[1:2].isspace() and len(c) > 1 else c for c in cuts]
+
+    def encode_a(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all cuts one after the other, and how many each cut has."""
+        whole = [c if c[0].isspace() else " " + c for c in cuts]
+        if self.fast is None:
+            ids = [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.int64), np.array(list(map(len, ids)), np.int64)
+        # cuts that begin with one white space and end in another character may follow each other
+        plain = [len(c) > 1 and not c[1].isspace() and not c[-1].isspace() for c in whole]
+        line = "".join([c for c, p in zip(whole, plain) if p])
+        joined = np.array(self.fast.encode_ordinary(line), np.int64)
+        ends = np.cumsum([len(c.encode("utf-8", "replace")) for c, p in zip(whole, plain) if p]).astype(np.int64)
+        upto = np.searchsorted(np.cumsum(self.a_lengths[joined]), ends, side="right")
+        if all(plain):
+            return joined, np.diff(upto, prepend=0)
+        own = iter(np.split(joined, upto[:-1]))
+        ids = [next(own) if p else self.fast.encode_ordinary(c) for c, p in zip(whole, plain)]
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.array(list(map(len, ids)), np.int64)
+
+    def encode_b(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for B, which puts the leading blank itself (in front of a line feed it goes again)."""
+        ids = self.b.encode([c[1:] if c[0] == " " else c for c in cuts], num_threads=1)
+        for i, c in enumerate(cuts):
+            if c[0] == "\n":
+                ids[i] = ids[i][1:] if ids[i][:1] == [self.blank] else []
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.array(list(map(len, ids)), np.int64)
+
+
+def _same_bytes(raw: list[bytes], ids: np.ndarray, counts: np.ndarray, table: list[bytes]) -> np.ndarray:
+    """Whether the tokens of every cut give back its bytes."""
+    parts = list(map(table.__getitem__, ids.tolist()))
+    ends = np.cumsum(counts)
+    sizes = np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+    if np.array_equal(sizes[ends], np.cumsum(list(map(len, raw)))) and b"".join(parts) == b"".join(raw):
+        return np.ones(len(raw), bool)
+    return np.array([b"".join(parts[e - n:e]) == r for r, n, e in zip(raw, counts.tolist(), ends.tolist())], bool)
 
 
 class Cuts:
     """Alignments of the distinct cuts that a task has met."""
 
-    def __init__(self, tools: Tokenizers, look_up=None):
-        self.tools, self.look_up = tools, look_up
+    def __init__(self, tools: Tokenizers, look_up=None, with_said: bool = False):
+        self.tools, self.look_up, self.with_said = tools, look_up, with_said
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.said: list[bytes] = []
+        self.said: list[str] = []
         self.size = 0
         self.pairs, self.starts = np.empty(0, np.int64), np.zeros(1, np.int64)
         self.sums = np.empty((0, 7), np.int64)  # n_a, n_b, n_groups, n_links, bad, n_best, count_sum
 
     def add(self, cuts: list[str]) -> None:
-        tools, pairs, starts, sums = self.tools, [], [], []
-        for cut, a, b in zip(cuts, *tools.encode(cuts)):
-            raw = cut.encode("utf-8", "replace")
-            ok = b"".join([tools.a_bytes[t] for t in a]) == raw == b"".join([tools.b_bytes[t] for t in b])
-            links, groups = align(a, b, tools.a_bytes, tools.b_bytes) if ok else ((), ())
-            pairs.extend([a[i] * tools.b_size + b[j] for i, j in links])
-            starts.append(len(pairs))
-            sums.append((len(a), len(b), len(groups), len(links), not ok, 0, 0))
-            self.said.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]).encode())
-            self.index[cut] = len(self.index)
-            self.size += len(raw)
-        new, ends, table = np.array(pairs, np.int64), np.array(starts, np.int64), np.array(sums, np.int64)
+        """Align cuts, all of them at once: the ends of all tokens as byte offsets of one line."""
+        tools = self.tools
+        a, n_a = tools.encode_a(cuts)
+        b, n_b = tools.encode_b(cuts)
+        raw = [(c if c[0].isspace() else " " + c).encode("utf-8", "replace") for c in cuts]
+        ok = _same_bytes(raw, a, n_a, tools.a_bytes) & _same_bytes(raw, b, n_b, tools.b_bytes)
+        a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
+        end_a, end_b = np.cumsum(tools.a_lengths[a]), np.cumsum(tools.b_lengths[b])
+        sizes = np.array(list(map(len, raw)), np.int64)
+        end = np.cumsum(np.where(ok, sizes, 0))
+        # between two neighbouring ends lies one overlap of one token of A and one of B: a link
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        both = ends[1:] == ends[:-1]
+        groups, links = ends[1:][both], ends[np.concatenate([[True], ~both])] if len(ends) else ends
+        new = a[np.searchsorted(end_a, links)] * tools.b_size + b[np.searchsorted(end_b, links)]
+        upto = np.searchsorted(links, end, side="right")
+        table = np.zeros((len(cuts), 7), np.int64)
+        table[:, 0], table[:, 1] = n_a, n_b
+        table[:, 2] = np.diff(np.searchsorted(groups, end, side="right"), prepend=0)
+        table[:, 3] = np.diff(upto, prepend=0)
+        table[:, 4] = ~ok
         if self.look_up is not None and len(new):
-            best, count = self.look_up(new)
-            at = np.concatenate([[0], ends])
-            for k, values in ((5, best), (6, count)):
+            for k, values in zip((5, 6), self.look_up(new)):
                 total = np.concatenate([[0], np.cumsum(values)])
-                table[:, k] = total[at[1:]] - total[at[:-1]]
-        self.starts = np.concatenate([self.starts, len(self.pairs) + ends])
+                table[:, k] = np.diff(total[upto], prepend=0)
+        if self.with_said:
+            self.said.extend(self._said(a, b, end_a, end_b, groups, end))
+        self.index.update(zip(cuts, range(len(self.index), len(self.index) + len(cuts))))
+        self.size += int(sizes.sum())
+        self.starts = np.concatenate([self.starts, len(self.pairs) + upto])
         self.pairs = np.concatenate([self.pairs, new])
         self.sums = np.concatenate([self.sums, table])
 
+    def _said(self, a, b, end_a, end_b, groups, end) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of every cut: tokens by group, then side, each with what follows it."""
+        place = np.concatenate([2 * np.searchsorted(groups, end_a), 2 * np.searchsorted(groups, end_b) + 1])
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        last = np.ones(len(place), bool)
+        last[:-1] = place[1:] != place[:-1]
+        closes = last & (place % 2 == 1)
+        closed = groups[place[closes] // 2]
+        mark = np.where(last, 1, 0)
+        mark[closes] = np.where(np.isin(closed, end), 3, 2)
+        tokens = pc.binary_join_element_wise(self.tools.digits.take(pa.array(np.concatenate([a, b])[order])),
+                                             pa.array([",", "|", ";", ""]).take(pa.array(mark)), "")
+        behind = np.concatenate([[0], np.flatnonzero(closes) + 1])[np.searchsorted(groups, end, side="right")]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], behind]), pa.int64()), tokens)
+        return pc.binary_join(lists, "").to_pylist()
+
     def numbers(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The numbers of every text's cuts (null and empty: none)."""
-        cuts = [self.tools.cut(t) if t else None for t in texts]
-        unknown = set().union(*filter(None, cuts)).difference(self.index) if cuts else set()
+        cuts = [self.tools.cut(t) if t else [] for t in texts]
+        known = [np.fromiter(map(self.index.get, c, repeat(-1)), np.int64, len(c)) for c in cuts]
+        gaps = [np.flatnonzero(k < 0).tolist() for k in known]
+        unknown = {c[i] for c, gap in zip(cuts, gaps) for i in gap}
         if unknown:
             self.add(sorted(unknown))
-        return [c and np.fromiter(map(self.index.__getitem__, c), np.int64, len(c)) for c in cuts]
+        for c, own, gap in zip(cuts, known, gaps):
+            if gap:
+                own[gap] = [self.index[c[i]] for i in gap]
+        return [own if len(own) else None for own in known]
 
     @property
     def full(self) -> bool:
-        return len(self.index) > 150_000 or self.size > 1 << 25
+        return len(self.index) > 400_000 or self.size > 1 << 25
 
 
 def _loaded(key, make):
@@ -190,19 +271,16 @@ def count_pairs(rows: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
         def flush():
             pairs, at = np.unique(cuts.pairs, return_inverse=True)
-            weights = np.repeat(np.pad(seen, (0, len(cuts.index) - len(seen))), np.diff(cuts.starts))
+            weights = np.repeat(seen, np.diff(cuts.starts))
             n = np.zeros(len(pairs), np.int64)
             np.add.at(n, at, weights)
             return pa.RecordBatch.from_pydict({"pair": pa.array(pairs[n > 0]), "n": pa.array(n[n > 0])})
 
         for batch in batches:
             for _, texts in _blocks(batch):
-                for own in cuts.numbers(texts):
-                    if own is not None and not cuts.sums[own, 4].any():
-                        got = np.bincount(own)
-                        if len(got) > len(seen):
-                            seen = np.pad(seen, (0, max(len(cuts.index), len(got)) - len(seen)))
-                        seen[:len(got)] += got
+                own = [o for o in cuts.numbers(texts) if o is not None and not cuts.sums[o, 4].any()]
+                seen = np.pad(seen, (0, len(cuts.index) - len(seen)))
+                seen += np.bincount(np.concatenate([*own, np.empty(0, np.int64)]), minlength=len(seen))
                 if cuts.full:
                     yield flush()
                     cuts.clear()
@@ -334,17 +412,17 @@ class Alignment:
             return look_up
 
         def run(batches):
-            cuts = Cuts(_tokenizers(paths), _loaded(("counts", key), load))
+            cuts = Cuts(_tokenizers(paths), _loaded(("counts", key), load), with_said=first)
             for batch in batches:
                 for lo, texts in _blocks(batch):
                     sums, shas, said = np.zeros((len(texts), 7), np.int64), [], []
                     for i, own in enumerate(cuts.numbers(texts)):
                         ok = own is not None and not cuts.sums[own, 4].any()
-                        groups = b";".join([cuts.said[k] for k in own]) if ok and first else b""
+                        groups = ";".join([cuts.said[k] for k in own.tolist()]) if ok and first else ""
                         if ok:
                             sums[i] = cuts.sums[own].sum(axis=0) if first else cuts.sums[own].sum(axis=0) * [0, 0, 0, 0, 0, 1, 1]
-                        shas.append(hashlib.sha256(groups).hexdigest() if ok and first else "")
-                        said.append(groups.decode())
+                        shas.append(hashlib.sha256(groups.encode()).hexdigest() if ok and first else "")
+                        said.append(groups)
                     ids = batch.slice(lo, len(texts))
                     columns = {"_rid": ids.column("_rid"), "_id": ids.column("_id")}
                     names = ("n_a", "n_b", "n_groups", "n_links", None, "n_best", "count_sum")

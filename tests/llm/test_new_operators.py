@@ -1,5 +1,6 @@
 """Operators 11 to 13 against brute force."""
 
+import functools
 import hashlib
 import math
 import random
@@ -23,6 +24,11 @@ split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 # ---- operator 11 --------------------------------------------------------------------------------
 
+@functools.lru_cache(None)
+def runs_of(text):
+    return brute_runs(split(text))
+
+
 def brute_runs(words, least=12):
     """All runs by comparing every word with the one q words on, for every q."""
     out, n = [], len(words)
@@ -32,8 +38,8 @@ def brute_runs(words, least=12):
         for a, i in edge.reshape(-1, 2).tolist():
             length = i - a + q
             root = words[a:a + q]
-            power = any(q % d == 0 and root == root[:d] * (q // d) for d in range(1, q))
-            if length >= max(least, 2 * q) and not power:
+            if length >= max(least, 2 * q) and not any(
+                    q % d == 0 and root == root[:d] * (q // d) for d in range(1, q)):
                 out.append((a, length, q))
     return sorted(out, key=lambda r: (r[0], r[2]))
 
@@ -70,8 +76,7 @@ def test_runs_equal_brute_force(spark):
         got = periodic_runs.collapse_runs(docs, with_text=with_text)
         want = Counter()
         for i, t, _ in rows:
-            w = split(t)
-            runs = brute_runs(w)
+            w, runs = split(t), runs_of(t)
             want[(i, len(w), tuple(runs), sha(collapsed(w, runs)))] += 1
         assert Counter((r.doc_id, r.n_words, tuple((x.start, x.length, x.period) for x in r.runs), r.collapsed_sha256)
                        for r in got.collect()) == want
@@ -194,6 +199,14 @@ def test_alignment_equals_brute_force(spark, corpus, tools):
         assert all(sha(r.groups) == r.groups_sha256 for r in got if r.n_a)
 
 
+def test_both_ways_to_encode_agree(tools, corpus):
+    cuts = sorted({c for _, t in [*corpus[:60], *enumerate(odd_texts())] if t for c in tools.cut(t)})
+    fast = tools.encode_a(cuts)
+    tools.fast, held = None, tools.fast
+    assert held is not None and all(map(np.array_equal, fast, tools.encode_a(cuts)))
+    tools.fast = held
+
+
 def test_alignment_in_several_slices(spark, corpus, tools, monkeypatch):
     monkeypatch.setattr(perfect_hash, "SHARD_KEYS", 50)
     rows = [(i, t) for i, t in corpus if i < 60]
