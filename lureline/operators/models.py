@@ -12,12 +12,11 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression,
 )
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
-from lureline.functions.expressions import keyed_uniform
+from lureline.functions.expressions import keyed_uniform, sigmoid
 from lureline.operators.ranking import with_global_rank
 
 KEYS = ("source", "campaign_id", "target_id")
@@ -148,14 +147,64 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     return pipeline.fit(train)
 
 
+def feature_slots(model: PipelineModel) -> list[Column]:
+    """The assembled feature vector of :func:`feature_stages` as plain columns, slot by slot."""
+    by_kind = {type(stage).__name__: stage for stage in model.stages}
+    signals = [F.col(c).cast("double") for c in SIGNAL_COLUMNS]
+    scaler = by_kind.get("StandardScalerModel")
+    if scaler is not None:
+        signals = [(x - float(m)) / float(s) if s else F.lit(0.0)
+                   for x, m, s in zip(signals, scaler.mean.toArray(), scaler.std.toArray())]
+    indexer = by_kind["StringIndexerModel"]
+    levels = [F.when(F.col(c) == level, 1.0).otherwise(0.0)
+              for c, labels in zip(indexer.getInputCols(), indexer.labelsArray) for level in labels]
+    return [*signals, *levels]
+
+
+def _tree_value(node, slots: list[Column], leaf) -> Column:
+    """A fitted tree as nested CASE expressions."""
+    kind = node.getClass().getSimpleName()
+    if kind == "LeafNode":
+        return F.lit(float(leaf(node)))
+    split, x = node.split(), slots[node.split().featureIndex()]
+    if split.getClass().getSimpleName() == "ContinuousSplit":
+        goes_left = x <= float(split.threshold())
+    else:
+        goes_left = x.isin([float(v) for v in split.leftCategories()])
+    return F.when(goes_left, _tree_value(node.leftChild(), slots, leaf)).otherwise(
+        _tree_value(node.rightChild(), slots, leaf))
+
+
+def probability(model: PipelineModel) -> Column:
+    """P(label = 1) of a fitted pipeline as one expression of built-in functions."""
+    last, slots = model.stages[-1], feature_slots(model)
+    if hasattr(last, "coefficients"):
+        z = F.lit(float(last.intercept))
+        for coefficient, x in zip(last.coefficients.toArray(), slots):
+            z = z + float(coefficient) * x
+        return sigmoid(z)
+    if hasattr(last, "treeWeights"):  # boosted trees: the margin is twice the sum
+        z = F.lit(0.0)
+        for weight, tree in zip(last.treeWeights, last.trees):
+            z = z + float(weight) * _tree_value(tree._java_obj.rootNode(), slots, lambda n: n.prediction())
+        return sigmoid(2.0 * z)
+
+    def share(node):
+        stats = list(node.impurityStats().stats())
+        return stats[1] / sum(stats[:2]) if sum(stats[:2]) else 0.0
+    return _tree_value(last._java_obj.rootNode(), slots, share)
+
+
 def score(model: PipelineModel, df: DataFrame, context=("source", "campaign_id", "target_id", "template_id",
                                                         "segment_id")) -> DataFrame:
-    """M11 + P12: class and positive-class probability per row, with the context columns present."""
-    out = model.transform(df)
+    """M11 + P12: class and positive-class probability per row, with the context columns present.
+
+    The fitted pipeline becomes one expression over the raw columns: no vectors, no object
+    functions, so the scan, the scoring and what follows are one generated stage.
+    """
     ctx = [c for c in context if c in df.columns]
-    return out.select(*ctx, F.col(TARGET_COLUMN).cast("int").alias("y"),
-                      F.col("prediction").cast("int").alias("predicted_class"),
-                      vector_to_array("probability")[1].alias("p"))
+    out = df.select(*ctx, F.col(TARGET_COLUMN).cast("int").alias("y"), probability(model).alias("p"))
+    return out.select(*ctx, "y", (F.col("p") > 0.5).cast("int").alias("predicted_class"), "p")
 
 
 def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:

@@ -8,6 +8,7 @@ Each SQL returns the same column names and types as its Spark query.
 from __future__ import annotations
 
 from lureline.constants import (
+    DEMOGRAPHIC_COLUMNS,
     EVENT_TYPES,
     GENERAL_INDICATORS,
     GLOBAL_INDICATORS,
@@ -704,18 +705,54 @@ def oracle_sql() -> dict[str, str]:
 
 
 # ---- model preparation --------------------------------------------------------------------------
+OBSERVED_SOURCES = ("SELECT * REPLACE (CASE WHEN campaign_id % 2 = 0 THEN 'observed_a' ELSE 'observed_b' END AS source) "
+                    "FROM fact")
+
+
+def _comb_sql() -> str:
+    return f"comb AS (SELECT * EXCLUDE (gender), {_na_sql('gender')} AS gender FROM ({OBSERVED_SOURCES}) z)"
+
+
 def _split_sql(test_size: float = 0.3, seed: int = 42) -> str:
     u = keyed_uniform_sql(seed, "source", "campaign_id", "target_id")
-    return f"""comb AS (SELECT * EXCLUDE (gender), {_na_sql('gender')} AS gender FROM (SELECT * FROM fact UNION ALL SELECT * FROM population) z),
+    return f"""{_comb_sql()},
 hashed AS (SELECT *, {u} AS h FROM comb),
 split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY clicked_flag ORDER BY h, source, campaign_id, target_id)
                  <= round_even(CAST({test_size!r} AS DOUBLE) * count(*) OVER (PARTITION BY clicked_flag), 0)
                  THEN 'test' ELSE 'train' END AS split FROM hashed)"""
 
 
+def _boost_sql(pre: str) -> dict[str, str]:
+    """The first tree's root: sampled rows, a bin per signal and per level, sums at margin 0."""
+    tr = f"""tr AS (SELECT {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in SIGNAL_COLUMNS)},
+  {', '.join(f"coalesce({_na_sql(c)}, 'unknown') AS {c}" for c in DEMOGRAPHIC_COLUMNS)}, clicked_flag,
+  {keyed_uniform_sql('42-rows-0', 'source', 'campaign_id', 'target_id')} < 0.8 AS chosen
+  FROM split WHERE split = 'train'),
+spw AS (SELECT CAST(count_if(clicked_flag = 0) AS DOUBLE) / CAST(count_if(clicked_flag = 1) AS DOUBLE) AS w FROM tr)"""
+    parts = [f"SELECT '{c}' AS feature, {c} AS bin, clicked_flag AS y FROM tr WHERE chosen" for c in SIGNAL_COLUMNS]
+    parts += [f"SELECT '{c}=' || l.v AS feature, CAST(tr.{c} = l.v AS INTEGER) AS bin, clicked_flag AS y "
+              f"FROM tr, (SELECT DISTINCT {c} AS v FROM tr) l WHERE chosen" for c in DEMOGRAPHIC_COLUMNS]
+    hist = f"""hist AS (SELECT feature, bin, CAST(count(*) AS BIGINT) AS n,
+  round(sum(CASE WHEN y = 1 THEN -0.5 * w ELSE 0.5 END), 6) AS gradient,
+  round(sum(CASE WHEN y = 1 THEN 0.25 * w ELSE 0.25 END), 6) AS hessian
+  FROM ({' UNION ALL '.join(parts)}) z, spw GROUP BY feature, bin)"""
+    power = lambda g, h: f"(power(greatest(abs({g}) - 0.5, 0.0), 2) / ({h} + 2.0))"
+    splits = f"""sums AS (SELECT feature, bin, sum(gradient) OVER (PARTITION BY feature ORDER BY bin) AS gl,
+  sum(hessian) OVER (PARTITION BY feature ORDER BY bin) AS hl, sum(gradient) OVER (PARTITION BY feature) AS g,
+  sum(hessian) OVER (PARTITION BY feature) AS h FROM hist)
+SELECT feature, bin, round({power('gl', 'hl')} + {power('(g - gl)', '(h - hl)')} - {power('g', 'h')}, 4) AS gain
+FROM sums WHERE hl >= 2.0 AND h - hl >= 2.0"""
+    return {"boost_histogram": f"{pre}, {tr}, {hist} SELECT * FROM hist",
+            "boost_root_splits": f"{pre}, {tr}, {hist}, {splits}"}
+
+
 def _model_prep_sql() -> dict[str, str]:
-    pre = f"{with_views('fact', 'templates')}, {_population_sql()}, {_split_sql()}"
+    pre = f"{with_views('fact', 'templates')}, {_split_sql()}"
     q: dict[str, str] = {}
+    q["combined_observed"] = f"{with_views('fact')} {OBSERVED_SOURCES}"
+    q["observed_source_distribution"] = (f"{with_views('fact')} SELECT source, CAST(count(*) AS BIGINT) AS count "
+                                         f"FROM ({OBSERVED_SOURCES}) x GROUP BY source")
+    q.update(_boost_sql(pre))
     q["test_rows_by_source"] = (f"{pre} SELECT source, CAST(count(*) AS BIGINT) AS count FROM split "
                                 f"WHERE split = 'test' GROUP BY source")
     q["scored_keys"] = (f"{pre} SELECT source, campaign_id, target_id, CAST(clicked_flag AS INTEGER) AS y "
@@ -763,9 +800,7 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
 
 
 def _mixed_sql() -> dict[str, str]:
-    pre = f"{with_views('fact', 'templates')}, {_population_sql()}"
-    comb = (f"comb AS (SELECT * EXCLUDE (gender), {_na_sql('gender')} AS gender FROM "
-            f"(SELECT * FROM fact UNION ALL SELECT * FROM population) z)")
+    pre, comb = with_views('fact', 'templates'), _comb_sql()
     sig = ", ".join(f"CAST(coalesce({c}, 0) AS INTEGER) AS {c}" for c in SIGNAL_COLUMNS)
     dem = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'unknown') AS {c}" for c in ("age_bracket", "gender", "education"))
     keys = ", ".join([*SIGNAL_COLUMNS, "age_bracket", "gender", "education", "grp"])

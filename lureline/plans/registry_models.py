@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lureline.operators import attribution
+from lureline.operators import boosting
 from lureline.operators import facts as facts_ops
 from lureline.operators import mixed
 from lureline.operators import summaries
@@ -17,18 +18,36 @@ from lureline.sources import files
 from lureline.sources import fixtures as fx
 from lureline.streaming import attribution as stream_attr
 from lureline.streaming.attribution import run_folder
-from lureline.constants import TARGET_COLUMN
+from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
 from lureline.functions.expressions import na_to_null
 from lureline.operators import evaluation, models
-from lureline.plans.registry import q_combined_dataset, register
+from lureline.plans.registry import _fact, register
 
 SPLIT_KEYS = ("source", "campaign_id", "target_id")
 
 
+def observed_sources(fact):
+    """Two given subsets of the observed fact as the two sources of a training table (U1): campaigns
+    with an even and with an odd id."""
+    part = lambda rest, name: fact.where(F.col("campaign_id") % 2 == rest).withColumn("source", F.lit(name))
+    return facts_ops.combine_sources(part(0, "observed_a"), part(1, "observed_b"))
+
+
 def _combined(spark, sf):
-    """The training table: observed fact + synthetic population, NA tokens as the CSV reader sees them."""
-    df = q_combined_dataset(spark, sf)
-    return df.withColumn("gender", na_to_null("gender"))
+    """The training table: two sources of observed rows, NA tokens as the CSV reader sees them."""
+    return observed_sources(_fact(spark, sf)).withColumn("gender", na_to_null("gender"))
+
+
+@register("combined_observed")
+def q_combined_observed(spark, sf):
+    """U1 on given rows."""
+    return observed_sources(_fact(spark, sf))
+
+
+@register("observed_source_distribution")
+def q_observed_source_distribution(spark, sf):
+    """A10 on given rows."""
+    return summaries.value_distribution(q_combined_observed(spark, sf), "source")
 
 
 def _split(spark, sf):
@@ -89,6 +108,47 @@ def q_gbt_metrics(spark, sf):
     return _metrics(models.score(m, test), "gradient_boosted_trees")
 
 
+#: Rounds of the registered boosted fit (the library's default is 500).
+BOOST = boosting.BoostParams(rounds=40)
+
+
+def _boost_train(spark, sf):
+    return facts_ops.clean_dataset(_split(spark, sf)).where("split = 'train'")
+
+
+def _boost(spark, sf):
+    """M9 on the observed rows: ``(model, test rows)``."""
+    data = facts_ops.clean_dataset(_split(spark, sf)).checkpoint(eager=True)
+    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    models.check_trainable(train, min_rows=10)
+    return boosting.fit(train, SIGNAL_COLUMNS, DEMOGRAPHIC_COLUMNS, params=BOOST), test
+
+
+@register("boosted_metrics")
+def q_boosted_metrics(spark, sf):
+    """M9: held-out metrics of the regularised boosted trees."""
+    model, test = _boost(spark, sf)
+    return _metrics(model.score(test), "regularised_boosted_trees")
+
+
+@register("boosted_terms")
+def q_boosted_terms(spark, sf):
+    """Gain per feature, greatest first."""
+    return _boost(spark, sf)[0].importances(spark)
+
+
+@register("boost_histogram")
+def q_boost_histogram(spark, sf):
+    """M9: gradient and hessian histogram of the first tree's root."""
+    return boosting.root_histogram(_boost_train(spark, sf), SIGNAL_COLUMNS, DEMOGRAPHIC_COLUMNS, params=BOOST)
+
+
+@register("boost_root_splits")
+def q_boost_root_splits(spark, sf):
+    """M9: gain of every admissible split of that root."""
+    return boosting.root_splits(q_boost_histogram(spark, sf), BOOST)
+
+
 @register("model_terms")
 def q_model_terms(spark, sf):
     train, _, n = _train_test(spark, sf)
