@@ -784,7 +784,8 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
 
 
 def _stream_sql() -> dict[str, str]:
-    q = {"stream_attribution": _extra_sql()["attribute_hits"]}
+    q = {"stream_attribution": _extra_sql()["attribute_hits"], "stream_raw_hits": _extra_sql()["attribute_hits"],
+         "stream_quarantine": _extra_sql()["unknown_uid_hits"]}
     q["stream_totals"] = (f"{with_views('event_log')} SELECT event_type, CAST(count(*) AS BIGINT) AS events "
                           f"FROM event_log GROUP BY event_type")
     return q
@@ -837,6 +838,8 @@ def _files_sql() -> dict[str, str]:
             "parquet_round_trip": every["event_counts"],
             "latest_run": f"SELECT segment_id, targets, '20240102_000000' AS run_id FROM ({per}) x",
             "metrics_json": f"SELECT *, '20240101_000000' AS run_id FROM ({every['classification_metrics']}) m",
+            "append_once": f"{with_views('event_log')} SELECT event_type, CAST(count(*) AS BIGINT) AS events "
+                           f"FROM ({appended}) y GROUP BY event_type",
             "append_deliveries": f"{with_views('event_log')} SELECT event_type, CAST(count(*) AS BIGINT) AS events "
                                  f"FROM ({appended}) y GROUP BY event_type"}
 

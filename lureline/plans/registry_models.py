@@ -15,9 +15,11 @@ from lureline.operators import mixed
 from lureline.operators import summaries
 from lureline.operators import text as text_ops
 from lureline.sources import files
+from lureline.sources.commits import CommitLog
 from lureline.sources import fixtures as fx
 from lureline.streaming import attribution as stream_attr
-from lureline.streaming.attribution import run_folder
+from lureline.streaming import tracker
+from lureline.streaming.attribution import OUTPUT_SCHEMA, run_folder
 from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
 from lureline.functions.expressions import na_to_null
 from lureline.operators import evaluation, models
@@ -174,7 +176,24 @@ def q_stream_attribution(spark, sf):
 
 @register("stream_totals")
 def q_stream_totals(spark, sf):
-    return stream_attr.totals_via_stream(spark, fx.event_log(spark, sf))
+    return tracker.totals(spark, fx.event_log(spark, sf), run_folder(spark, "stream-totals"))
+
+
+def _tracked(spark, sf):
+    return tracker.track(spark, fx.event_log(spark, sf), fx.hits(spark, sf), fx.targets(spark, sf),
+                         run_folder(spark, "tracker"))
+
+
+@register("stream_raw_hits")
+def q_stream_raw_hits(spark, sf):
+    """T1 from raw URLs: the attributed hits."""
+    return tracker.local_time(_tracked(spark, sf).read("attributed", OUTPUT_SCHEMA), "occurred_at")
+
+
+@register("stream_quarantine")
+def q_stream_quarantine(spark, sf):
+    """T1 from raw URLs: the hits whose uid names no target."""
+    return tracker.local_time(_tracked(spark, sf).read("quarantine", tracker.QUARANTINE), "ts")
 
 
 # ---- mixed model (G1-G5, K3) -----------------------------------------------------------------------
@@ -289,6 +308,21 @@ def q_append_deliveries(spark, sf):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+@register("append_once")
+def q_append_once(spark, sf):
+    """S10, exactly once: the log and the new deliveries as two batches, the second one written
+    again, and a third one killed before it was published."""
+    from lureline.plans.registry import q_expand_deliveries
+    log, cols = CommitLog(spark, run_folder(spark, "log")), ["campaign_id", "target_id", "template_id", "event_type"]
+    new = q_expand_deliveries(spark, sf).select(*cols)
+    log.append(0, fx.event_log(spark, sf).select(*cols), "events")
+    log.append(1, new, "events")
+    log.append(1, new, "events")
+    log.stage(new, "events")
+    events = log.read("events", "campaign_id long, target_id long, template_id long, event_type string")
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
 @register("test_rows_by_source")
 def q_test_rows_by_source(spark, sf):
     """Rows of the test split per source."""

@@ -1,4 +1,4 @@
-"""Structured Streaming attribution (T1) and running counters.
+"""Structured Streaming attribution (T1) of resolved hits.
 
 T1 re-aims the tracker: deliveries and resolved hits arrive as one stream keyed by target.
 ``applyInPandasWithState`` keeps, per target, the deliveries still inside the lateness window
@@ -13,7 +13,6 @@ folder); the checkpoint makes the query restartable after a driver or executor l
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -146,44 +145,13 @@ def start_attribution(spark: SparkSession, source_dir: str, sink_dir: str, check
     return writer.start()
 
 
-def _stamp_in_order(spark: SparkSession, folder: str) -> None:
-    """Give the files (one per time range) modification times in their order: the file source
-    reads the oldest file first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")),
-                   key=lambda p: p.getName())
-    first = int(time.time() * 1000) - 2000 * len(files)
-    for i, file in enumerate(files):
-        fs.setTimes(file, first + 2000 * i, -1)
-
-
 def attribution_via_stream(spark: SparkSession, deliveries: DataFrame, resolved_hits: DataFrame,
-                           files: int = 8) -> DataFrame:
-    """Stage the input as files in event-time order, run T1 over several micro-batches to
-    completion (``availableNow``) and read the sink."""
+                           ranges: int = 4) -> DataFrame:
+    """Add the input one time range after the other, let T1 finish each (``availableNow``, from its
+    checkpoint) and read the sink."""
+    from lureline.streaming.tracker import feed
     run = run_folder(spark, "stream-attribution")
-    stream_rows(deliveries, resolved_hits).repartitionByRange(files, "ts").write.parquet(f"{run}/in")
-    _stamp_in_order(spark, f"{run}/in")
-    q = start_attribution(spark, f"{run}/in", f"{run}/out", f"{run}/chk", max_files_per_trigger=2)
-    q.awaitTermination()
+    feed(spark, stream_rows(deliveries, resolved_hits), f"{run}/in",
+         lambda: start_attribution(spark, f"{run}/in", f"{run}/out", f"{run}/chk"), ranges)
     out = spark.read.schema(OUTPUT_SCHEMA).parquet(f"{run}/out")
     return out.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
-
-
-def totals_via_stream(spark: SparkSession, event_log: DataFrame, files: int = 8) -> DataFrame:
-    """Running counts per event type (complete mode), each micro-batch replacing the table."""
-    run = run_folder(spark, "stream-totals")
-    event_log.select("id", "event_type", F.col("occurred_at").cast("timestamp").alias("ts")) \
-        .repartition(files).write.parquet(f"{run}/in")
-    schema = "id long, event_type string, ts timestamp"
-    counts = (spark.readStream.schema(schema).parquet(f"{run}/in")
-              .groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("events")))
-
-    def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{run}/out")
-
-    q = (counts.writeStream.outputMode("complete").foreachBatch(publish)
-         .option("checkpointLocation", f"{run}/chk").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{run}/out")
