@@ -113,3 +113,63 @@ def cascade_delete(segments: DataFrame, targets: DataFrame, campaigns: DataFrame
     ev_left = (event_log.join(erased(campaigns, "campaign_id"), "campaign_id", "left_anti")
                .join(erased(targets, "target_id"), "target_id", "left_anti"))
     return {"segments": seg_left, "targets": tgt_left, "campaigns": camp_left, "event_log": ev_left}
+
+
+#: The declared foreign keys of the operational tables: child, its column, parent (by ``id``).
+FOREIGN_KEYS = (
+    ("targets", "segment_id", "segments"), ("campaigns", "template_id", "templates"),
+    ("campaigns", "segment_id", "segments"), ("event_log", "campaign_id", "campaigns"),
+    ("event_log", "target_id", "targets"), ("event_log", "template_id", "templates"),
+)
+
+
+def parents_first(tables, foreign_keys=FOREIGN_KEYS) -> list[str]:
+    """The tables so that every parent stands before its children; a cycle is an error."""
+    left, order = list(tables), []
+    while left:
+        free = [t for t in left if not any(c == t and p in left and p != t for c, _, p in foreign_keys)]
+        if not free:
+            raise ValueError(f"foreign keys of {left} form a cycle")
+        order += free
+        left = [t for t in left if t not in free]
+    return order
+
+
+def erase(tables: dict[str, DataFrame], erased: dict[str, DataFrame], foreign_keys=FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """Q6 for any parent: the surviving rows of every table after the rows named in ``erased``
+    (table -> DataFrame with ``id``) and all that hangs from them are gone.
+
+    One walk over the foreign-key graph, parents first. A table that loses nothing is returned as it
+    is; any other is rewritten once, by one anti-join per foreign key whose parent lost rows. The ids
+    that a table loses are collected by semi-joins only if it has children of its own. Null keys and
+    keys that name no erased parent (orphans) stay.
+    """
+    unknown = set(erased) - set(tables)
+    if unknown:
+        raise ValueError(f"no such table: {sorted(unknown)}")
+    gone: dict[str, DataFrame] = {}
+    out = {}
+    for name in parents_first(tables, foreign_keys):
+        table, lost = tables[name], []
+        if name in erased:
+            lost.append(("id", erased[name].select(F.col("id").alias("_gone")).where("_gone is not null").distinct()))
+        lost += [(fk, gone[p]) for c, fk, p in foreign_keys if c == name and p in gone and p != name]
+        left = table
+        for column, keys in lost:
+            left = left.join(keys, F.col(column) == F.col("_gone"), "left_anti")
+        out[name] = left
+        if lost and any(p == name for _, _, p in foreign_keys):
+            ids = [table.join(keys, F.col(column) == F.col("_gone"), "left_semi").select(F.col("id").alias("_gone"))
+                   for column, keys in lost]
+            gone[name] = reduce(DataFrame.unionByName, ids).where("_gone is not null").distinct()
+    return out
+
+
+def erase_and_publish(log, batch_id: int, tables: dict[str, DataFrame], erased: dict[str, DataFrame],
+                      foreign_keys=FOREIGN_KEYS) -> bool:
+    """Write the surviving snapshots and publish all of them together (``CommitLog``), so no reader
+    sees a child whose parent is gone; False where the batch had been published before."""
+    if log.has(batch_id):
+        return False
+    left = erase(tables, erased, foreign_keys)
+    return log.publish(batch_id, {name: log.stage(df, name) for name, df in left.items()})

@@ -820,6 +820,44 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     return q
 
 
+def _runs_sql(comparison: str) -> dict[str, str]:
+    size = lambda k: f"n_rows, n_rows - n_rows % {k} AS train_rows, n_rows % {k} AS test_rows"
+    none = "CAST(NULL AS VARCHAR) AS dataset_path"
+    table = f"""SELECT model, '20240103_000000' AS run_id, accuracy, precision, recall, f1, roc_auc, brier_score, {size(7)},
+  positives AS positive_cases_total, {none}, CAST(NULL AS VARCHAR) AS mode FROM ({comparison}) x WHERE model = 'x8_click'
+UNION ALL
+SELECT model, '20240102_000000', accuracy, precision, recall, f1, roc_auc, CAST(NULL AS DOUBLE), {size(11)},
+  CAST(NULL AS BIGINT), {none}, 'held-out' FROM ({comparison}) y WHERE model = 'x8_open'"""
+    win = []
+    for metric, op in (*[(m, ">") for m in ("accuracy", "precision", "recall", "f1", "roc_auc")], ("brier_score", "<")):
+        win.append(f"SELECT '{metric}' AS metric, a.{metric} AS value_a, b.{metric} AS value_b, "
+                   f"CASE WHEN a.{metric} {op} b.{metric} THEN 'x8_click' WHEN b.{metric} {op} a.{metric} THEN 'x8_open' "
+                   f"WHEN a.{metric} = b.{metric} THEN 'tie' END AS winner, "
+                   f"a.n_rows = b.n_rows AS same_n_rows, a.train_rows = b.train_rows AS same_train_rows, "
+                   f"a.test_rows = b.test_rows AS same_test_rows, a.n_rows = b.n_rows AND a.train_rows = b.train_rows "
+                   f"AND a.test_rows = b.test_rows AS comparable FROM t a, t b WHERE a.model = 'x8_click' AND b.model = 'x8_open'")
+    return {"stored_run_table": table, "stored_run_winners": f"WITH t AS ({table}) " + " UNION ALL ".join(win)}
+
+
+def _erase_sql() -> dict[str, str]:
+    """The closure by hand: what goes from each table when rows of one parent go."""
+    pre = with_views('segments', 'templates', 'targets', 'campaigns', 'raw_event_log')
+    q = {}
+    for name, table, condition in (("erase_segment", "segments", "gender = 'N/A'"), ("erase_template", "templates", "id = 3"),
+                                   ("erase_campaign", "campaigns", "id % 5 = 0"), ("erase_target", "targets", "id % 4 = 1")):
+        own = lambda t: condition if t == table else "false"
+        gone = f"""gs AS (SELECT id FROM segments WHERE {own('segments')}), gp AS (SELECT id FROM templates WHERE {own('templates')}),
+gt AS (SELECT id FROM targets WHERE {own('targets')} OR segment_id IN (SELECT id FROM gs)),
+gc AS (SELECT id FROM campaigns WHERE {own('campaigns')} OR segment_id IN (SELECT id FROM gs) OR template_id IN (SELECT id FROM gp)),
+ge AS (SELECT id FROM raw_event_log WHERE campaign_id IN (SELECT id FROM gc) OR target_id IN (SELECT id FROM gt)
+       OR template_id IN (SELECT id FROM gp))"""
+        parts = [f"SELECT '{t}' AS table_name, CAST(id AS BIGINT) AS id FROM {view} WHERE id NOT IN (SELECT id FROM {g})"
+                 for t, view, g in (("segments", "segments", "gs"), ("templates", "templates", "gp"), ("targets", "targets", "gt"),
+                                    ("campaigns", "campaigns", "gc"), ("event_log", "raw_event_log", "ge"))]
+        q[name] = f"{pre}, {gone} " + " UNION ALL ".join(parts)
+    return q
+
+
 def _files_sql() -> dict[str, str]:
     from lureline.sources.files import FACT_SCHEMA
     cols = []
@@ -838,6 +876,7 @@ def _files_sql() -> dict[str, str]:
             "parquet_round_trip": every["event_counts"],
             "latest_run": f"SELECT segment_id, targets, '20240102_000000' AS run_id FROM ({per}) x",
             "metrics_json": f"SELECT *, '20240101_000000' AS run_id FROM ({every['classification_metrics']}) m",
+            **_runs_sql(every["model_comparison"]), **_erase_sql(),
             "append_once": f"{with_views('event_log')} SELECT event_type, CAST(count(*) AS BIGINT) AS events "
                            f"FROM ({appended}) y GROUP BY event_type",
             "append_deliveries": f"{with_views('event_log')} SELECT event_type, CAST(count(*) AS BIGINT) AS events "

@@ -6,12 +6,17 @@ imputation do. The tests assert the properties of the rest.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lureline.operators import attribution
 from lureline.operators import boosting
 from lureline.operators import facts as facts_ops
 from lureline.operators import mixed
+from lureline.operators import quality
+from lureline.operators import runs
 from lureline.operators import summaries
 from lureline.operators import text as text_ops
 from lureline.sources import files
@@ -308,6 +313,68 @@ def q_append_deliveries(spark, sf):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+def _stored_runs(spark, sf):
+    """E8's given runs: the metrics of both closed-form scores as stored documents. An older run of
+    the first model is superseded; the second one has its metrics nested, no Brier score, a test
+    size of its own and a field that the first one lacks."""
+    from lureline.plans.registry import q_model_comparison
+    base = run_folder(spark, "model-runs")
+    comparison = q_model_comparison(spark, sf).checkpoint(eager=True)
+    first, second = comparison.where("model = 'x8_click'"), comparison.where("model = 'x8_open'")
+    metrics = ["accuracy", "precision", "recall", "f1", "roc_auc", "brier_score"]
+    sizes = lambda share: [F.col("n_rows"), (F.col("n_rows") - F.col("n_rows") % share).alias("train_rows"),
+                           (F.col("n_rows") % share).alias("test_rows")]
+    runs.store_run(first.select(F.lit(0.25).alias("accuracy")), base, "x8_click", "20240101_000000")
+    runs.store_run(first.select(*metrics, *sizes(7), F.col("positives").alias("positive_cases_total"),
+                                F.array(F.lit("a"), F.lit("b")).alias("features")), base, "x8_click", "20240103_000000")
+    runs.store_run(second.select(F.struct(*metrics[:-1], F.lit("none").alias("brier_score")).alias("metrics"), *sizes(11),
+                                 F.lit("held-out").alias("mode")), base, "x8_open", "20240102_000000")
+    return runs.newest_runs(runs.scan_runs(spark, base))
+
+
+@register("stored_run_table")
+def q_stored_run_table(spark, sf):
+    """E8 from stored runs: the newest run per model, absent metrics null."""
+    return runs.run_table(_stored_runs(spark, sf))
+
+
+@register("stored_run_winners")
+def q_stored_run_winners(spark, sf):
+    """E9, E10 from stored runs."""
+    return runs.run_winners(runs.run_table(_stored_runs(spark, sf)), "x8_click", "x8_open")
+
+
+def _erased(spark, sf, table, keep):
+    """Q6: keys of the surviving rows of all tables after some rows of ``table`` are erased."""
+    t = replace(fx.load(spark, sf), event_log=fx.raw_event_log(spark, sf))
+    tables = {n: getattr(t, n) for n in ("segments", "templates", "targets", "campaigns", "event_log")}
+    log = CommitLog(spark, run_folder(spark, "erase"))
+    quality.erase_and_publish(log, 0, tables, {table: tables[table].where(keep).select("id")})
+    left = [log.latest(n, df.schema).select(F.lit(n).alias("table_name"), F.col("id").cast("bigint").alias("id"))
+            for n, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), left)
+
+
+@register("erase_segment")
+def q_erase_segment(spark, sf):
+    return _erased(spark, sf, "segments", "gender = 'N/A'")
+
+
+@register("erase_template")
+def q_erase_template(spark, sf):
+    return _erased(spark, sf, "templates", "id = 3")
+
+
+@register("erase_campaign")
+def q_erase_campaign(spark, sf):
+    return _erased(spark, sf, "campaigns", "id % 5 = 0")
+
+
+@register("erase_target")
+def q_erase_target(spark, sf):
+    return _erased(spark, sf, "targets", "id % 4 = 1")
+
+
 @register("append_once")
 def q_append_once(spark, sf):
     """S10, exactly once: the log and the new deliveries as two batches, the second one written

@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lureline.constants import SOURCE_COMBINED, SOURCE_OBSERVED, SOURCE_SYNTHETIC
-from lureline.functions.expressions import na_to_null
+from lureline.functions.expressions import na_to_null, sanitize_name
 
 FACT_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
@@ -88,7 +87,7 @@ def read_dataset_csv(spark: SparkSession, path: str, schema: T.StructType = FACT
             cols.append(_typed(c, f.dataType).alias(f.name))
         elif f.name == "source":
             # a folder written by Spark is one dataset named by the folder; a file by its name
-            name = F.lit(path.rstrip("/")) if _is_dir(spark, path) else F.col("_metadata.file_path")
+            name = F.lit(path.rstrip("/")) if is_folder(spark, path) else F.col("_metadata.file_path")
             cols.append(source_from_path(name).alias("source"))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
@@ -115,26 +114,27 @@ def run_timestamp() -> str:
     return datetime.now().strftime("%Y%m%d_%H%M%S")
 
 
-def _folder(name: str) -> str:
-    """C1 on the driver, for the folder of an artifact."""
-    parts = re.split("[^a-z0-9_-]+", str(name).strip().lower())
-    return "-".join(p for p in parts if p).strip("-")
+def safe_folder(spark: SparkSession, name: str) -> str:
+    """A folder name made of any name, by the one rule for names (C1); a constant, so no job runs."""
+    return spark.sql("SELECT 1").select(sanitize_name(F.lit(name))).first()[0]
 
 
 def write_versioned(df: DataFrame, base: str, name: str, run_id: str, fmt: str = "parquet") -> str:
     """Write one run under ``<base>/<name>/run_id=<run_id>``; an existing run is an error."""
-    path = f"{base.rstrip('/')}/{_folder(name)}/run_id={run_id}"
+    path = f"{base.rstrip('/')}/{safe_folder(df.sparkSession, name)}/run_id={run_id}"
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "json":
         writer.json(path)
+    elif fmt == "text":
+        writer.text(path)
     else:
         writer.parquet(path)
     return path
 
 
-def _is_dir(spark: SparkSession, path: str) -> bool:
+def is_folder(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -150,7 +150,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def newest_run(spark: SparkSession, base: str, name: str) -> str | None:
     """Folder of the newest run (largest ``run_id``), from one listing of the run folders."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{_folder(name)}")
+    root = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{safe_folder(spark, name)}")
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return None
