@@ -230,11 +230,11 @@ def _base_sql() -> dict[str, str]:
     q["signal_summary"] = f"{with_views('fact')} {_signal_table_sql()}"
     q["global_summary"] = _global_summary_sql()
     q["general_table"] = _general_table_sql()
-    q["global_summary_fact"] = q["global_summary"]
+    q["global_summary_fact"] = q["global_summary_bitmap"] = q["global_summary"]
     q["segment_summary_fact"] = q["segment_summary"]
     q["template_summary_fact"] = q["template_summary"]
     q["signal_summary_fact"] = q["signal_summary"]
-    q["general_table_fact"] = q["general_table"]
+    q["general_table_fact"] = q["general_table_bitmap"] = q["general_table"]
     q["operational_totals"] = _operational_totals_sql()
     q["label_distribution"] = (f"{with_views('fact')} SELECT clicked_flag, CAST(count(*) AS BIGINT) AS count "
                                f"FROM fact GROUP BY clicked_flag")
@@ -805,7 +805,14 @@ def _mixed_sql() -> dict[str, str]:
     sig = ", ".join(f"CAST(coalesce({c}, 0) AS INTEGER) AS {c}" for c in SIGNAL_COLUMNS)
     dem = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'unknown') AS {c}" for c in ("age_bracket", "gender", "education"))
     keys = ", ".join([*SIGNAL_COLUMNS, "age_bracket", "gender", "education", "grp"])
-    return {"mixed_cells": (
+    levels = " UNION ALL ".join(
+        f"SELECT 'C({c})[T.' || v || ']' FROM (SELECT DISTINCT {c} AS v FROM cl) l WHERE v <> (SELECT min({c}) FROM cl)"
+        for c in ("age_bracket", "gender", "education"))
+    fixed = " UNION ALL ".join(f"SELECT '{t}' AS term" for t in ("Intercept", *SIGNAL_COLUMNS))
+    return {"mixed_map_gradient": (
+        f"{pre}, {comb}, cl AS (SELECT {sig}, {dem}, CAST(segment_id AS VARCHAR) AS grp FROM comb WHERE segment_id IS NOT NULL) "
+        f"SELECT term, CAST(0 AS DOUBLE) AS gradient FROM ({fixed} UNION ALL {levels}) t"),
+        "mixed_cells": (
         f"{pre}, {comb}, cl AS (SELECT {sig}, {dem}, CAST(segment_id AS VARCHAR) AS grp, "
         f"CAST(coalesce(clicked_flag, 0) AS INTEGER) AS clicked_flag FROM comb WHERE segment_id IS NOT NULL) "
         f"SELECT {keys}, CAST(count(*) AS BIGINT) AS n, CAST(sum(clicked_flag) AS BIGINT) AS k FROM cl GROUP BY {keys}")}

@@ -143,6 +143,18 @@ def q_general_table_fact(spark, sf):
     return summaries.general_table(_fact(spark, sf))
 
 
+@register("global_summary_bitmap")
+def q_global_summary_bitmap(spark, sf):
+    """A4 over the fact, exact distinct counts from bitmaps."""
+    return summaries.bitmap_global_summary(_fact(spark, sf))
+
+
+@register("general_table_bitmap")
+def q_general_table_bitmap(spark, sf):
+    """A5 over the fact, exact distinct counts from bitmaps."""
+    return summaries.bitmap_general_table(_fact(spark, sf))
+
+
 @register("operational_totals")
 def q_operational_totals(spark, sf):
     t = fx.load(spark, sf)

@@ -232,6 +232,22 @@ def q_mixed_extremes(spark, sf):
     return mixed.extreme_terms(mixed.fixed_effects(_mixed_fit(spark, sf), spark))
 
 
+def _mixed_map(spark, sf):
+    return mixed.fit_mixed_map(_cells(spark, sf), component="re_segment_id")
+
+
+@register("mixed_map_terms")
+def q_mixed_map_terms(spark, sf):
+    """G2 (map), G3."""
+    return mixed.fixed_effects(_mixed_map(spark, sf), spark)
+
+
+@register("mixed_map_gradient")
+def q_mixed_map_gradient(spark, sf):
+    """G2 (map): the gradient at the optimum, which is zero."""
+    return mixed.map_gradient(_mixed_map(spark, sf), spark)
+
+
 @register("mixed_scores")
 def q_mixed_scores(spark, sf):
     return mixed.predict_cells(_mixed_fit(spark, sf), _cells(spark, sf))
