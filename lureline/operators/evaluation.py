@@ -1,7 +1,8 @@
 """Model evaluation as DataFrame aggregates.
 
 Inputs are frames with a label ``y`` (0/1), a score ``p`` and key columns. Every metric is a
-distributed aggregate; orderings use ``with_global_rank`` (no single-partition window over rows).
+distributed aggregate; ranks come from bracketing (``quantiles``), running sums over distinct scores
+from ``with_global_rank`` (no single-partition window over rows).
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lureline.operators.quantiles import after, order_statistics, rows_at_ranks
 from lureline.operators.ranking import with_global_rank
 from lureline.session import ensure_checkpoint_dir
 
@@ -84,34 +87,28 @@ def brier_score(ev: DataFrame) -> DataFrame:
     return ev.agg(F.bround(F.avg((F.col("p") - F.col("y")) ** 2), MEAN_DECIMALS).alias("brier_score"))
 
 
-def calibration_curve(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "target_id")) -> DataFrame:
+def calibration_curve(ev: DataFrame, n_bins: int = 10) -> DataFrame:
     """E5: quantile-binned calibration: edges at the 0..100 percentiles (linear interpolation
     between order statistics), bin = number of interior edges below p, empty bins dropped
     and the rest numbered 1..k.
 
-    The order statistics come from the global rank (at most 2 per edge are fetched), so no task
-    holds all scores.
+    The order statistics come from a sketch and an exact counting pass (``quantiles``): no row is
+    sorted. ``ev`` is read a few times, so it should be a stored table of predictions.
     """
-    key_cols = [k for k in keys if k in ev.columns]
-    ranked = with_global_rank(ev.select("p", "y", *key_cols), ["p", *key_cols])
-    n = ranked.count()  # reads the checkpointed ranking, not the input plan again
+    rows = ev.select(F.col("p").cast("double").alias("p"), "y").where("p is not null")
+    n = rows.count()
     if n == 0:
         return ev.sparkSession.createDataFrame(
             [], "bin int, predicted_probability_mean double, observed_positive_rate double")
-    wanted = set()
     plan = []
-    for k in range(n_bins + 1):
+    for k in range(1, n_bins):
         h = (n - 1) * (k / n_bins)
-        lo = int(h // 1)
-        plan.append((lo, h - lo))
-        wanted.update({lo + 1, min(lo + 2, n)})
-    stats = {r["_rank"]: r["p"] for r in ranked.where(F.col("_rank").isin(sorted(wanted))).select("_rank", "p").collect()}
-    edges = []
-    for lo, frac in plan:
-        a, b = stats[lo + 1], stats[min(lo + 2, n)]
-        edges.append(a + (b - a) * frac)
-    interior = F.array(*[F.lit(float(e)) for e in edges[1:-1]])
-    binned = ranked.withColumn("_bin", F.size(F.filter(interior, lambda e: e < F.col("p"))))
+        plan.append((int(h // 1) + 1, h - int(h // 1)))
+    ranks = sorted({r for lo, _ in plan for r in (lo, min(lo + 1, n))})
+    at = {r: v for (_, r), (v, _, _) in order_statistics(rows, "p", {0: {"n": n, "ranks": ranks}}).items()}
+    edges = [at[lo] + (at[min(lo + 1, n)] - at[lo]) * part for lo, part in plan]
+    interior = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+    binned = rows.withColumn("_bin", F.size(F.filter(interior, lambda e: e < F.col("p"))))
     per = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("p").alias("_sp"),
                                      F.sum("y").alias("_sy"))
     order = Window.orderBy("_bin")  # at most n_bins rows
@@ -122,26 +119,60 @@ def calibration_curve(ev: DataFrame, n_bins: int = 10, keys=("campaign_id", "tar
     )
 
 
+def _least(name: str, kind: T.DataType) -> F.Column:
+    """A key with nulls as the least value of its type, so that keys compare."""
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return F.coalesce(F.col(name).cast("long"), F.lit(-2 ** 63))
+    if isinstance(kind, T.FractionalType):
+        return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def lift_table(ev: DataFrame, n_bins: int = 10, keys=("source", "campaign_id", "target_id")) -> DataFrame:
     """E6 + W1 + W2: gains / lift by quantile bucket of the descending score rank.
 
     Bucket of rank r among n rows with q = min(n_bins, n): max(1, ceil((r-1) q / (n-1))) -- the
     quantile cut of ranks 1..n, computed exactly in integers (not ``ntile``, whose bucket sizes
     differ). Ties in the score are broken by the key columns.
+
+    No row is sorted: the last row of each bucket is found by bracketing its rank in the order of
+    (score, keys) (``quantiles.rows_at_ranks``), and a row's bucket is one plus the number of those
+    rows that it stands after.
     """
     key_cols = [k for k in keys if k in ev.columns]
-    ranked = with_global_rank(ev.select("p", "y", *key_cols), [F.col("p").desc(), *key_cols])
-    totals = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
+    rows = ev.select((-F.col("p").cast("double")).alias("_down"), F.col("p").cast("double").alias("p"),
+                     F.coalesce(F.col("y").cast("int"), F.lit(0)).alias("y"),
+                     *[_least(k, ev.schema[k].dataType).alias(f"_k{i}") for i, k in enumerate(key_cols)]).where("p is not null")
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
     n, total_pos = int(totals["n"]), int(totals["pos"] or 0)
     if n == 0:
         return ev.sparkSession.createDataFrame([], _LIFT_SCHEMA)
     q = min(n_bins, n)
-    bucket = F.lit(1) if n == 1 else F.expr(f"greatest(1, ((_rank - 1) * {q} + {n - 2}) div {n - 1})")
-    per = ranked.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(
-        F.count(F.lit(1)).cast("bigint").alias("rows"),
-        F.sum("y").cast("bigint").alias("positives"),
-        F.min("p").alias("min_score"), F.max("p").alias("max_score"),
-        F.bround(F.avg("p"), MEAN_DECIMALS).alias("avg_score"))
+    order = ["_down", *[f"_k{i}" for i in range(len(key_cols))], "y"]
+    last = sorted({b * (n - 1) // q + 1 for b in range(1, q)})  # last rank of each bucket but the lowest
+    ends = rows_at_ranks(rows, order, last, n)
+    bucket, parted, alike, extra = F.lit(1), F.lit(True), set(), []
+    for r in last:
+        values, before, equal = ends[r]
+        bucket = bucket + after(order, values).cast("int")
+        if before + equal > r:  # rows alike in score, keys and label on both sides: parted by number
+            parted = parted & ~reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in zip(order, values)])
+            alike.add(ends[r])
+    for values, before, equal in alike:
+        edges = [0, *last, n]
+        for b in range(1, len(edges)):
+            held = min(edges[b], before + equal) - max(edges[b - 1], before)
+            if held > 0:
+                extra.append((b, held, held * int(values[-1]), -values[0], -values[0], -values[0] * held))
+    sums = rows.where(parted).select("p", "y", bucket.alias("bucket")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.sum("p").alias("sp"))
+    if extra:
+        sums = sums.unionByName(ev.sparkSession.createDataFrame(
+            extra, "bucket int, n long, pos long, lo double, hi double, sp double"))
+    per = sums.groupBy("bucket").agg(
+        F.sum("n").cast("bigint").alias("rows"), F.sum("pos").cast("bigint").alias("positives"),
+        F.min("lo").alias("min_score"), F.max("hi").alias("max_score"),
+        F.bround(F.sum("sp") / F.sum("n"), MEAN_DECIMALS).alias("avg_score"))
     overall = total_pos / n
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # <= n_bins rows
     rate = F.col("positives").cast("double") / F.col("rows").cast("double")

@@ -399,14 +399,22 @@ def q_brier_score(spark, sf):
     return evaluation.brier_score(_ev(spark, sf))
 
 
+def _predictions(spark, sf):
+    """The scored rows as a stored table of predictions (narrow), which these reports read."""
+    from lureline.streaming.attribution import run_folder
+    path = f"{run_folder(spark, 'predictions')}/scores"
+    _ev(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register("calibration_curve")
 def q_calibration_curve(spark, sf):
-    return evaluation.calibration_curve(_ev(spark, sf))
+    return evaluation.calibration_curve(_predictions(spark, sf))
 
 
 @register("lift_table")
 def q_lift_table(spark, sf):
-    return evaluation.lift_table(_ev(spark, sf))
+    return evaluation.lift_table(_predictions(spark, sf))
 
 
 def _comparison(spark, sf):
