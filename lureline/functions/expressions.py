@@ -95,9 +95,30 @@ _MARKUP_JAVA = _MARKUP.replace(_ATTRIBUTES, r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+
 
 
 @F.pandas_udf(T.StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
-    """Named and numeric character references, as HTML defines them (a batch at a time)."""
-    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(t) if t else t)
+
+
+#: Character references that are replaced by built-in functions (``&amp;`` last: its result is text).
+COMMON_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\xa0"),
+                     ("&copy;", "\xa9"), ("&reg;", "\xae"), ("&middot;", "\xb7"), ("&laquo;", "\xab"), ("&raquo;", "\xbb"),
+                     ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"),
+                     ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&bull;", "\u2022"),
+                     ("&euro;", "\u20ac"), ("&amp;", "&"))
+_OTHER_REFERENCE = "&(?!(?:%s))[#A-Za-z]" % "|".join(name[1:] for name, _ in COMMON_REFERENCES)
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references, as HTML defines them.
+
+    A text whose references are all common ones is decoded in the JVM; only texts with any other
+    reference travel to Python (whole, so nothing is decoded twice).
+    """
+    plain = text
+    for reference, char in COMMON_REFERENCES:
+        plain = F.replace(plain, F.lit(reference), F.lit(char))
+    other = text.rlike(_OTHER_REFERENCE)
+    return F.coalesce(_unescape(F.when(other, text)), plain)
 
 
 def html_to_text(c: str | Column) -> Column:

@@ -11,9 +11,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lureline.operators.quantiles import after, order_statistics, rows_at_ranks
+from lureline.operators.quantiles import after, key_order, order_statistics, rows_at_ranks
 from lureline.operators.ranking import with_global_rank
 from lureline.session import ensure_checkpoint_dir
 
@@ -119,15 +118,6 @@ def calibration_curve(ev: DataFrame, n_bins: int = 10) -> DataFrame:
     )
 
 
-def _least(name: str, kind: T.DataType) -> F.Column:
-    """A key with nulls as the least value of its type, so that keys compare."""
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.coalesce(F.col(name).cast("long"), F.lit(-2 ** 63))
-    if isinstance(kind, T.FractionalType):
-        return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def lift_table(ev: DataFrame, n_bins: int = 10, keys=("source", "campaign_id", "target_id")) -> DataFrame:
     """E6 + W1 + W2: gains / lift by quantile bucket of the descending score rank.
 
@@ -142,7 +132,7 @@ def lift_table(ev: DataFrame, n_bins: int = 10, keys=("source", "campaign_id", "
     key_cols = [k for k in keys if k in ev.columns]
     rows = ev.select((-F.col("p").cast("double")).alias("_down"), F.col("p").cast("double").alias("p"),
                      F.coalesce(F.col("y").cast("int"), F.lit(0)).alias("y"),
-                     *[_least(k, ev.schema[k].dataType).alias(f"_k{i}") for i, k in enumerate(key_cols)]).where("p is not null")
+                     *[key_order(k, ev.schema[k].dataType).alias(f"_k{i}") for i, k in enumerate(key_cols)]).where("p is not null")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
     n, total_pos = int(totals["n"]), int(totals["pos"] or 0)
     if n == 0:

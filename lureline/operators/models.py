@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
 from lureline.functions.expressions import keyed_uniform, sigmoid
-from lureline.operators.ranking import with_global_rank
+from lureline.operators.quantiles import after, key_order, order_statistics, rows_at_ranks
 
 KEYS = ("source", "campaign_id", "target_id")
 
@@ -37,26 +37,40 @@ def stratified_split(df: DataFrame, label: str = TARGET_COLUMN, test_size: float
     """M2: adds ``split`` = 'train' / 'test'.
 
     exact=True: per class, rows ordered by a keyed hash; the first round(test_size * n_class)
-    are test (the class shares of the original split). The order comes from the distributed
-    global rank over (label, hash, keys), so the large class is not one window partition.
-    exact=False: per-row hash u < test_size -- no shuffle at all, for very large inputs.
+    are test (the class shares of the original split). The last test row of each class is found by
+    bracketing its rank (``quantiles``) over the narrow columns (label, hash, keys): no row is
+    sorted, shuffled or written, and a class may hold nearly all rows. Rows without a label are a
+    class of their own; rows equal in hash and all keys fall on the same side.
+    exact=False: per-row hash u < test_size -- one pass, for shares that need not be exact.
     """
     key_cols = [k for k in keys if k in df.columns]
     h = keyed_uniform(seed, *key_cols)
     if not exact:
         return df.withColumn("split", F.when(h < test_size, "test").otherwise("train"))
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sorted(counts)
-    before, offset = {}, 0
-    for c in classes:
-        before[c] = offset
-        offset += counts[c]
-    quota = {c: _round_half_even(test_size * counts[c]) for c in classes}
-    ranked = with_global_rank(df.withColumn("_h", h), [label, "_h", *key_cols])
-    start = F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(before[c]))]), F.col(label))
-    limit = F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(quota[c]))]), F.col(label))
-    in_class = F.col("_rank") - start
-    return ranked.withColumn("split", F.when(in_class <= limit, "test").otherwise("train")).drop("_h", "_rank")
+    narrow = df.select(F.col(label).alias("_label"), h.alias("_h"), *[F.col(k) for k in key_cols])
+    counts = [(r["_label"], r["n"]) for r in narrow.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()]
+    quota = {i: _round_half_even(test_size * n) for i, (_, n) in enumerate(counts)}
+    of_class = [F.col("_label").eqNullSafe(F.lit(c)) for c, _ in counts]
+    number = F.lit(None).cast("int")
+    for i, match in enumerate(of_class):
+        number = F.when(match, i).otherwise(number)
+    found = order_statistics(narrow.select(number.alias("_class"), "_h"), "_h",
+                             {i: {"n": counts[i][1], "ranks": [q] if q else []} for i, q in quota.items()}, "_class")
+    test = F.lit(False)
+    for i, (c, n) in enumerate(counts):
+        mine = F.col(label).eqNullSafe(F.lit(c))
+        if not quota[i]:
+            continue
+        value, less, equal = found[i, quota[i]]
+        behind = F.col("_h") > F.lit(value)
+        if less + equal > quota[i]:  # rows of equal hash on both sides: the keys decide
+            order = ["_h", *[f"_k{j}" for j in range(len(key_cols))]]
+            rows = narrow.where(of_class[i]).select("_h", *[
+                key_order(k, df.schema[k].dataType).alias(f"_k{j}") for j, k in enumerate(key_cols)])
+            values = rows_at_ranks(rows, order, [quota[i]], n)[quota[i]][0]
+            behind = after([F.col("_h"), *[key_order(k, df.schema[k].dataType) for k in key_cols]], values)
+        test = test | (mine & ~behind)
+    return df.withColumn("_h", h).withColumn("split", F.when(test, "test").otherwise("train")).drop("_h")
 
 
 def _round_half_even(x: float) -> int:

@@ -150,10 +150,21 @@ def _distinct_statistics(rows: DataFrame, name: str, wanted: dict) -> dict:
     return out
 
 
-def after(order: list[str], values: tuple) -> Column:
-    """Whether a row stands after the row that :func:`rows_at_ranks` describes."""
+def after(order: list, values: tuple) -> Column:
+    """Whether a row stands after the row that :func:`rows_at_ranks` describes (``order``: the same
+    columns, by name or as expressions)."""
     cond, equal = F.lit(False), F.lit(True)
-    for name, v in zip(order, values):
-        cond = cond | (equal & (F.col(name) > F.lit(v)))
-        equal = equal & (F.col(name) == F.lit(v))
+    for column, v in zip(order, values):
+        c = F.col(column) if isinstance(column, str) else column
+        cond = cond | (equal & (c > F.lit(v)))
+        equal = equal & (c == F.lit(v))
     return cond
+
+
+def key_order(name: str, kind: T.DataType) -> Column:
+    """A key column with nulls as the least value of its type, so that keys compare."""
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return F.coalesce(F.col(name).cast("long"), F.lit(-2 ** 63))
+    if isinstance(kind, T.FractionalType):
+        return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))

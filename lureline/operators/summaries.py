@@ -15,6 +15,7 @@ from lureline.constants import (
     EVENT_TYPES,
     GENERAL_INDICATORS,
     GLOBAL_INDICATORS,
+    OPEN_SIGNAL_WEIGHTS,
     SIGNAL_COLUMNS,
     SIGNAL_LABELS,
 )
@@ -442,6 +443,31 @@ def observed_contrasts(fact: DataFrame, segment: int = 1) -> DataFrame:
     return fact.agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
 
+def observed_validation(fact: DataFrame, segment: int = 1) -> DataFrame:
+    """A16 on given rows: every observed contrast with the pattern that the effect sizes let expect
+    and whether the rows show it. A signal that raises the open score should raise the open rate; a
+    signal's effect is the same in and outside a segment, so an interaction should be none (less than
+    ``NO_EFFECT_PP`` points); for a segment no pattern is given (null)."""
+    expected = lookup_text("item", {s: "higher with the signal" if w > 0 else "lower with the signal"
+                                    for s, w in OPEN_SIGNAL_WEIGHTS.items()})
+    d = F.col("difference_pp")
+    pattern = F.when(F.col("contrast") == "signal", expected).when(F.col("contrast") == "interaction", F.lit("none"))
+    shown = F.when(F.col("contrast") == "signal", F.when(expected == "higher with the signal", d > 0).otherwise(d < 0)) \
+        .when(F.col("contrast") == "interaction", F.abs(d) < NO_EFFECT_PP)
+    return observed_contrasts(fact, segment).select("*", pattern.alias("expected_pattern"), shown.alias("as_expected"))
+
+
+#: Percentage points below which a difference in differences counts as none.
+NO_EFFECT_PP = 5.0
+
+
+def lookup_text(column: str, table: dict[str, str]) -> F.Column:
+    out = F.lit(None).cast("string")
+    for key, text in table.items():
+        out = F.when(F.col(column) == key, F.lit(text)).otherwise(out)
+    return out
+
+
 def _findings(general: DataFrame, by_campaign: DataFrame, by_segment: DataFrame,
               by_signal: DataFrame) -> DataFrame:
     """A17 picks from the four summary tables (each small: one row per campaign at most)."""

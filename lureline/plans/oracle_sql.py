@@ -511,7 +511,13 @@ def _contrast_sql() -> dict[str, str]:
         parts = [f"{rate(f'{side} AND {s} = 1', 'opened_flag')} - {rate(f'{side} AND {s} = 0', 'opened_flag')}"
                  for side in (inside, f"NOT {inside}")]
         did.append(row("interaction", s, *parts))
-    return {"contrast_signal": f"{pre} " + " UNION ALL ".join(signal),
+    segment = row("segment", "segment", rate(inside, "clicked_flag"), rate(f"NOT {inside}", "clicked_flag"))
+    every = " UNION ALL ".join([segment, *signal, *did])
+    return {"observed_validation": f"""{pre} SELECT *,
+  CASE contrast WHEN 'signal' THEN 'higher with the signal' WHEN 'interaction' THEN 'none' END AS expected_pattern,
+  CASE contrast WHEN 'signal' THEN difference_pp > 0 WHEN 'interaction' THEN abs(difference_pp) < 5.0 END AS as_expected
+  FROM ({every}) x""",
+            "contrast_signal": f"{pre} " + " UNION ALL ".join(signal),
             "contrast_segment": f"{pre} " + row("segment", "segment", rate(inside, "clicked_flag"),
                                                 rate(f"NOT {inside}", "clicked_flag")),
             "did_interaction": f"{pre} " + " UNION ALL ".join(did)}
@@ -879,7 +885,8 @@ def _files_sql() -> dict[str, str]:
     per = every["targets_per_segment"]
     appended = (f"SELECT event_type FROM (SELECT event_type FROM event_log UNION ALL "
                 f"SELECT event_type FROM ({every['expand_deliveries']}) d) x")
-    return {"source_default": f"{with_views('fact')} SELECT {', '.join(cols)} FROM fact",
+    return {"dataset_choice": f"{with_views('fact')} SELECT {', '.join(cols)} FROM fact",
+            "source_default": f"{with_views('fact')} SELECT {', '.join(cols)} FROM fact",
             "parquet_round_trip": every["event_counts"],
             "latest_run": f"SELECT segment_id, targets, '20240102_000000' AS run_id FROM ({per}) x",
             "metrics_json": f"SELECT *, '20240101_000000' AS run_id FROM ({every['classification_metrics']}) m",

@@ -289,6 +289,23 @@ def q_source_default(spark, sf):
     return files.read_dataset_csv(spark, path)
 
 
+@register("dataset_choice")
+def q_dataset_choice(spark, sf):
+    """Of two observed exports and a legacy file the newest one is found and read."""
+    fact = _fact(spark, sf).drop("source")
+    base = run_folder(spark, "exports")
+    files.write_csv(fact.where("campaign_id % 2 = 0"), f"{base}/analytic_dataset_observed_20240101_000000.csv")
+    files.write_csv(fact, f"{base}/analytic_dataset_observed_20240102_000000.csv")
+    files.write_csv(fact.limit(1), f"{base}/analytic_dataset.csv")
+    return files.load_dataset(spark, "observed-export", base)
+
+
+@register("observed_validation")
+def q_observed_validation(spark, sf):
+    """A16 on the observed fact."""
+    return summaries.observed_validation(_fact(spark, sf))
+
+
 # ---- sinks and versioned runs, read back (S5-S8, S10), test rows by source (E7) ------------------
 
 @register("parquet_round_trip")

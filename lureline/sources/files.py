@@ -183,6 +183,38 @@ def read_metrics(spark: SparkSession, base: str, name: str, schema: T.StructType
 
 
 DATASET_OPTIONS = ("observed-live", "observed-export", "synthetic", "combined")
+#: Names of exported datasets; a versioned export is ``<name>_<source>_<run id>.csv``.
+EXPORT_NAME = "analytic_dataset"
+EXPORTS = {"observed-export": (SOURCE_OBSERVED, f"{EXPORT_NAME}.csv"),
+           "synthetic": (SOURCE_SYNTHETIC, f"{EXPORT_NAME}_{SOURCE_SYNTHETIC}.csv"),
+           "combined": (SOURCE_COMBINED, f"{EXPORT_NAME}_{SOURCE_COMBINED}.csv")}
+
+
+def newest_export(spark: SparkSession, base: str, option: str) -> str | None:
+    """Path of the newest versioned export of an option (run ids sort as time), else the legacy
+    file, else None; one listing of the export folder."""
+    source, legacy = EXPORTS[option]
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    prefix = f"{EXPORT_NAME}_{source}_"
+    versions = [n for n in names if n.startswith(prefix) and n.endswith(".csv")]
+    chosen = max(versions, default=legacy if legacy in names else None)
+    return None if chosen is None else f"{base.rstrip('/')}/{chosen}"
+
+
+def load_dataset(spark: SparkSession, option: str, exports: str, live=None, multi_line: bool = False) -> DataFrame:
+    """The dataset of an option, found by itself: ``observed-live`` calls ``live`` (the fact over
+    the operational tables), any other reads its newest export under ``exports`` with its types and
+    source. An unknown option or a missing export is an empty fact."""
+    if option == "observed-live":
+        found = live() if live is not None else None
+    else:
+        path = newest_export(spark, exports, option) if option in EXPORTS else None
+        found = None if path is None else read_dataset_csv(spark, path, multi_line=multi_line)
+    return found if found is not None else spark.createDataFrame([], FACT_SCHEMA)
 
 
 def choose_dataset(spark: SparkSession, option: str, loaders: dict) -> DataFrame:
