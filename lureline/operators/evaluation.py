@@ -133,12 +133,14 @@ def lift_table(ev: DataFrame, n_bins: int = 10, keys=("source", "campaign_id", "
     rows = ev.select((-F.col("p").cast("double")).alias("_down"), F.col("p").cast("double").alias("p"),
                      F.coalesce(F.col("y").cast("int"), F.lit(0)).alias("y"),
                      *[key_order(k, ev.schema[k].dataType).alias(f"_k{i}") for i, k in enumerate(key_cols)]).where("p is not null")
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
+    named = [f"_k{i}" for i in range(len(key_cols))]
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"),
+                      *[(F.min(k) < F.max(k)).alias(k) for k in named]).first()
     n, total_pos = int(totals["n"]), int(totals["pos"] or 0)
     if n == 0:
         return ev.sparkSession.createDataFrame([], _LIFT_SCHEMA)
     q = min(n_bins, n)
-    order = ["_down", *[f"_k{i}" for i in range(len(key_cols))], "y"]
+    order = ["_down", *[k for k in named if totals[k]], "y"]  # a key that is the same everywhere decides nothing
     last = sorted({b * (n - 1) // q + 1 for b in range(1, q)})  # last rank of each bucket but the lowest
     ends = rows_at_ranks(rows, order, last, n)
     bucket, parted, alike, extra = F.lit(1), F.lit(True), set(), []

@@ -31,19 +31,19 @@ def order_statistics(df: DataFrame, column: str, ranks: dict[int, dict[int, int]
     ranks = {g: w for g, w in ranks.items() if w["ranks"]}
     if not ranks:
         return {}
-    value = F.col(column)
-    own = {g: F.lit(True) if group is None else F.col(group) == g for g in ranks}
+    number = F.lit(0) if group is None else F.col(group)
+    rows = df.select(number.alias("_g"), F.col(column).alias("_v")).where(F.col("_g").isin(list(ranks)) & F.col("_v").isNotNull())
     shares = {}
     for g, wanted in ranks.items():
         n, slack = wanted["n"], 2 * wanted["n"] / ACCURACY + 1
-        shares[g] = sorted({min(1.0, max(0.0, (r + d) / n)) for r in wanted["ranks"] for d in (-slack, 0, slack)})
-    order = list(ranks)
-    row = df.agg(*[x for g in order for x in (
-        F.percentile_approx(F.when(own[g], value), shares[g], ACCURACY), F.min(F.when(own[g], value)),
-        F.max(F.when(own[g], value)))]).first()
-    pivots = {g: sorted({v for v in (*(row[3 * i] or ()), row[3 * i + 1], row[3 * i + 2]) if v is not None})
-              for i, g in enumerate(order)}
-    below = _counts(df, value, own, pivots)
+        shares[g] = {min(1.0, max(0.0, (r + d) / n)) for r in wanted["ranks"] for d in (-slack, 0, slack)}
+    every = sorted(set().union(*shares.values()))
+    pivots = {}
+    for r in rows.groupBy("_g").agg(F.percentile_approx("_v", every, ACCURACY).alias("q"), F.min("_v").alias("low"),
+                                    F.max("_v").alias("high")).collect():  # one row per group
+        pivots[r["_g"]] = sorted({v for v, share in zip(r["q"], every) if share in shares[r["_g"]]} | {r["low"], r["high"]})
+    below, order = _counts(rows, pivots), list(ranks)
+    value, own = F.col("_v"), {g: F.col("_g") == g for g in order}
     out, inside = {}, {}
     for g in order:
         for r in ranks[g]["ranks"]:
@@ -54,33 +54,45 @@ def order_statistics(df: DataFrame, column: str, ranks: dict[int, dict[int, int]
             else:  # strictly between two pivots
                 inside.setdefault((g, lo, hi), []).append(r)
     if inside:
-        out |= _between(df, column, value, own, below, inside)
+        out |= _between(rows, value, own, below, inside)
     return out
 
 
-def _counts(df: DataFrame, value: Column, own: dict, pivots: dict) -> dict:
-    """``(group, pivot) -> (rows below, rows up to)``, one exact pass."""
-    wanted = [(g, v) for g in pivots for v in pivots[g]]
-    if not wanted:
+def _counts(rows: DataFrame, pivots: dict) -> dict:
+    """``(group, pivot) -> (rows below, rows up to)``, one exact pass: every row goes to its place
+    among its group's pivots, and the places are counted."""
+    lists = [(g, F.array(*[F.lit(v) for v in own])) for g, own in pivots.items()]
+    if not lists:
         return {}
-    row = df.agg(*[F.count_if(own[g] & c) for g, v in wanted for c in (value < F.lit(v), value <= F.lit(v))]).first()
-    return {key: (row[2 * i], row[2 * i + 1]) for i, key in enumerate(wanted)}
+    own = reduce(lambda acc, kv: acc.when(F.col("_g") == kv[0], kv[1]), lists[1:], F.when(F.col("_g") == lists[0][0], lists[0][1]))
+    place = F.size(F.filter(own, lambda v: v < F.col("_v")))
+    counted = rows.select("_g", place.alias("place"), F.coalesce(F.get(own, place) == F.col("_v"), F.lit(False)).alias("at")) \
+        .groupBy("_g", "place", "at").count()
+    seen = {(r["_g"], r["place"], r["at"]): r["count"] for r in counted.collect()}  # two rows per pivot at most
+    out = {}
+    for g, values in pivots.items():
+        upto = 0
+        for i, v in enumerate(values):
+            less = upto + seen.get((g, i, False), 0)
+            upto = less + seen.get((g, i, True), 0)
+            out[g, v] = (less, upto)
+    return out
 
 
-def _between(df: DataFrame, column: str, value: Column, own: dict, below: dict, inside: dict) -> dict:
+def _between(df: DataFrame, value: Column, own: dict, below: dict, inside: dict) -> dict:
     """Ranks whose value lies strictly between two neighbouring pivots."""
     brackets = list(inside)
     number = reduce(lambda acc, kv: acc.when(own[kv[1][0]] & (value > F.lit(kv[1][1])) & (value < F.lit(kv[1][2])), kv[0]),
                     list(enumerate(brackets))[1:],
                     F.when(own[brackets[0][0]] & (value > F.lit(brackets[0][1])) & (value < F.lit(brackets[0][2])), 0))
-    rows = df.select(value.alias(column), number.alias("_bracket")).where("_bracket is not null")
+    rows = df.select(value.alias("_x"), number.alias("_bracket")).where("_bracket is not null")
     size = {b: below[g, hi][0] - below[g, lo][1] for b, (g, lo, hi) in enumerate(brackets)}
     few = [b for b in size if size[b] <= INTERIOR]
     found = {}
     if few:
         seen: dict[int, list] = {b: [] for b in few}
-        for r in rows.where(F.col("_bracket").isin(few)).groupBy("_bracket", column).count().collect():
-            seen[r["_bracket"]].append((r[column], r["count"]))
+        for r in rows.where(F.col("_bracket").isin(few)).groupBy("_bracket", "_x").count().collect():
+            seen[r["_bracket"]].append((r["_x"], r["count"]))
         for b in few:
             g, lo, _ = brackets[b]
             upto = below[g, lo][1]
@@ -89,7 +101,7 @@ def _between(df: DataFrame, column: str, value: Column, own: dict, below: dict,
                 upto += n
     many = {b: {"n": size[b], "ranks": [r - below[brackets[b][0], brackets[b][1]][1] for r in inside[brackets[b]]]}
             for b in size if size[b] > INTERIOR}
-    for (b, local), (v, less, equal) in order_statistics(rows, column, many, "_bracket").items():
+    for (b, local), (v, less, equal) in order_statistics(rows, "_x", many, "_bracket").items():
         g, lo, _ = brackets[b]
         before = below[g, lo][1]
         found[g, local + before] = (v, less + before, equal)
