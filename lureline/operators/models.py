@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression,
 )
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
@@ -158,7 +158,18 @@ def gbt_pipeline(max_iter: int = 500, seed: int = 42) -> Pipeline:
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    return pipeline.fit(train)
+    return without_summaries(pipeline.fit(train))
+
+
+def without_summaries(model: PipelineModel) -> PipelineModel:
+    """The fitted pipeline without training summaries. A summary holds the session, which cannot be
+    serialised once any query of it was observed; the model that holds it would then fail to travel
+    to a task."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            jvm = SparkSession.active()._jvm
+            stage._java_obj.setSummary(jvm.scala.Option.apply(None))
+    return model
 
 
 def feature_slots(model: PipelineModel) -> list[Column]:

@@ -86,7 +86,7 @@ def train_text_classifier(df: DataFrame, text_col: str, label_col: str, model_na
     # a keyed hash per row: no text is sorted, shuffled or written
     split = models.stratified_split(data, label="label", test_size=test_size, seed=seed, keys=keys, exact=False)
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    model = text_classifier_pipeline(label_col="label").fit(train)
+    model = models.without_summaries(text_classifier_pipeline(label_col="label").fit(train))
     scored = model.transform(test).select(
         F.col("label").alias("y"), vector_to_array("probability")[1].alias("p"))
     return evaluation.model_metrics(scored, model_name, materialize=True)

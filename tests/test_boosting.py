@@ -143,6 +143,19 @@ def test_histogram_rows_are_bounded_by_bins(frame):
     assert len(h) <= 2 + 4 + 3 * 2 and len({(r.feature, r.bin) for r in h}) == len(h)
 
 
+def test_a_fitted_model_travels_after_an_observed_query(spark):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    rows = [(float(i % 2), 0.0, 1.0, float(i % 3), "a", "F", "T", i % 2, 1.0) for i in range(40)]
+    train = spark.createDataFrame(rows, "signal_urgency double, signal_authority double, signal_reward double, "
+                                        "signal_personalization double, age_bracket string, gender string, education string, "
+                                        "clicked_flag int, weight double")
+    model = models.fit(models.logistic_pipeline(40), train)
+    assert model.transform(train).select(vector_to_array("probability")[1].alias("p")).where("p > 0").count() == 40
+
+
 @pytest.mark.parametrize("kind", ["logistic", "scaled", "tree", "boosted"])
 def test_native_scores_equal_the_transformers(spark, kind):
     rows = [(i, float(i % 2), float((i // 2) % 2), float((i // 5) % 2), 1.0, ["18-24", "25-34", "35-44"][i % 3], ["F", "M"][i % 2],
