@@ -116,7 +116,7 @@ def q_gbt_metrics(spark, sf):
 
 
 #: Rounds of the registered boosted fit (the library's default is 500).
-BOOST = boosting.BoostParams(rounds=40)
+BOOST = boosting.BoostParams(rounds=12)
 
 
 def _boost_train(spark, sf):
