@@ -17,7 +17,8 @@
    are not made again (a link inside a component cannot change it).
 4. Where more rows share ``min_prefix`` minima than the window holds and are not connected by then
    (documents with a long template in common), the window may have left pairs out. All documents of
-   such runs are joined by prefix filtering on their rarest shingles, which leaves out no pair.
+   such runs that share one of their rarest shingles (prefix filtering, which leaves out no pair) are
+   compared in bounded groups over an inverted index of the full sets; only links leave a task.
 5. Connected components by hooking and contraction; the smallest document of each stays.
 
 A pair at the threshold 0.75 shares two minima in at least one of twelve trees with probability
@@ -235,34 +236,133 @@ def crowded(signatures: DataFrame, trees: int, depth: int, min_prefix: int, neig
         .select("_rid", "known", "n").distinct()
 
 
-def prefix_pairs(dense: DataFrame, rows: DataFrame, words: int, threshold_pct: int) -> DataFrame:
-    """Distinct ``(src, dst)`` of ``dense(_rid, known, n)`` by prefix filtering, which is exact: with
-    the shingles of every set ordered by rising frequency, a pair at the threshold shares one among
-    the first n - ceil(2t / (1 + t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of the
-    larger set. Shingles of a template are the last of a set, so rows that share no more than a
-    template do not meet. Pairs of one known component are never made: components that share a
-    shingle are paired first, then their rows."""
+def _gram_sets(words: int):
+    """(_rid, known, text) -> the sorted shingle hashes of every document as one value."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):  # bounded work arrays
+                part = batch.slice(lo, 64)
+                sets = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_rid"), part.column("known"), pa.array(sets, pa.binary())],
+                    names=["_rid", "known", "grams"])
+
+    return run
+
+
+def linked_rows(sets: list[np.ndarray], known: np.ndarray, side: np.ndarray, threshold_pct: int):
+    """Index pairs of ``sets`` (sorted distinct values) that reach the threshold, are not of one
+    known component and, where ``side`` holds two values, stand on different sides.
+
+    Intersections are counted exactly, for a bounded number of rows at a time: values that at least an
+    eighth of the sets hold by a product of 0/1 matrices, the others over their inverted index. No
+    pair is kept but a link.
+    """
+    count, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    crossing = len(np.unique(side)) > 1
+    row = np.repeat(np.arange(count), sizes)
+    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = (often > 1) & (8 * often >= count)
+    place = np.cumsum(common) - 1
+    mass = np.zeros((count, int(common.sum())), np.float32)  # at most eight times the given values
+    mass[row[common[value]], place[value[common[value]]]] = 1.0
+    rare = ((often > 1) & ~common)[value]
+    row, value = row[rare], value[rare]
+    start = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=len(often)))])
+    holders, width = row[np.argsort(value, kind="stable")], (start[1:] - start[:-1])[value]
+    work = np.concatenate([[0], np.cumsum(np.bincount(row, weights=width, minlength=count).astype(np.int64))])
+    at = np.searchsorted(row, np.arange(count + 1))
+    lo = 0
+    while lo < count:
+        hi = int(np.searchsorted(work, work[lo] + (1 << 21), side="right")) - 1
+        hi = max(lo + 1, min(hi, lo + max(1, (1 << 21) // count)))
+        both = mass[lo:hi] @ mass.T  # counts below 2^24 are exact
+        part = slice(at[lo], at[hi])
+        many = width[part]
+        if len(many):
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            partner = holders[np.repeat(start[value[part]], many) + inside]
+            both += np.bincount(np.repeat(row[part] - lo, many) * count + partner,
+                                minlength=(hi - lo) * count).reshape(hi - lo, count)
+        # n >= t (a + b - n), first in single precision with a margin, then exactly
+        a, b = np.nonzero(both * ((100 + threshold_pct) / threshold_pct * 1.0001)
+                          >= sizes[lo:hi, None].astype(np.float32) + sizes.astype(np.float32))
+        n, a = both[a, b].astype(np.int64), a + lo
+        ok = (a < b) & (known[a] != known[b]) & (100 * n >= threshold_pct * (sizes[a] + sizes[b] - n))
+        if crossing:
+            ok &= side[a] != side[b]
+        yield a[ok], b[ok]
+        lo = hi
+
+
+def _link_groups(threshold_pct: int):
+    """Rows in the order of (shingle, i, j) -> the links inside each such group."""
+    def links(group):
+        ids, known, side, sets = zip(*group)
+        if len(set(known)) == 1:
+            return
+        ids, known, side = np.array(ids), np.array(known), np.array(side)
+        for a, b in linked_rows(list(sets), known, side, threshold_pct):
+            if len(a):
+                x, y = ids[a], ids[b]
+                yield pa.RecordBatch.from_pydict({"src": np.minimum(x, y), "dst": np.maximum(x, y)})
+
+    def run(batches):
+        key, group = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("shingle", "i", "j", "_rid", "known", "side")]
+            for k, (shingle, i, j, rid, known, side) in enumerate(zip(*cols)):
+                if (shingle, i, j) != key:
+                    if len(group) > 1:
+                        yield from links(group)
+                    key, group = (shingle, i, j), []
+                group.append((rid, known, side, np.frombuffer(batch.column("grams")[k].as_buffer(), np.uint64)))
+        if len(group) > 1:
+            yield from links(group)
+
+    return run
+
+
+def prefix_links(dense: DataFrame, rows: DataFrame, words: int, threshold_pct: int,
+                 block: int = 1 << 20) -> DataFrame:
+    """Distinct links ``(src, dst)`` of ``dense(_rid, known, n)`` between different known components
+    by prefix filtering, which is exact: with the shingles of every set ordered by rising frequency,
+    a pair at the threshold shares one among the first n - ceil(2t / (1 + t) n) + 1 of the smaller and
+    the first n - ceil(t n) + 1 of the larger set.
+
+    The rows that hold a shingle in such a prefix are one group; shingles with the same rows (a
+    passage has many) are one group together. Groups are compared inside tasks over an inverted index
+    of the full sets (:func:`linked_rows`) and give links only, never a row per pair. A group of more
+    than ``block`` shingles in all is dealt out in blocks, each pair of blocks a group of its own, so
+    memory is bounded by two blocks (and the longest document).
+    """
     pct = threshold_pct
-    each = scratch(dense.join(rows.select("_rid", "text"), "_rid").select("_rid", "known", "n", "text").mapInArrow(
-        _shingle_rows(words), "_rid long, known long, n long, shingle long"), "shingles")
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df"))
-    place = F.row_number().over(Window.partitionBy("_rid").orderBy("_df", "shingle"))
+    texts = dense.join(rows.select("_rid", "text"), "_rid").select("_rid", "known", "n", "text")
+    each = scratch(texts.mapInArrow(_shingle_rows(words), "_rid long, known long, n long, shingle long"), "shingles")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+    place = F.row_number().over(Window.partitionBy("_rid").orderBy(F.col("_df").asc_nulls_first(), "shingle"))
     need = lambda top, low: F.expr(f"n - (({top}) * n + ({low}) - 1) div ({low}) + 1")
-    first = each.join(often, "shingle").withColumn("_at", place).filter(F.col("_at") <= need(pct, 100)) \
-        .withColumn("small", F.col("_at") <= need(2 * pct, 100 + pct)).filter("_df > 1") \
+    first = each.join(often, "shingle", "left").withColumn("_at", place).filter(F.col("_at") <= need(pct, 100)) \
+        .withColumn("small", F.col("_at") <= need(2 * pct, 100 + pct)).filter("_df is not null") \
         .select("_rid", "known", "n", "shingle", "small")
     first = scratch(first, "prefixes")
-    groups = first.groupBy("shingle", "known").agg(F.max("small").alias("small"))
-    mixed = groups.groupBy("shingle").agg(F.min("known").alias("_low"), F.max("known").alias("_high")) \
-        .filter("_low < _high").select("shingle")
-    groups = scratch(groups.join(mixed, "shingle", "left_semi"), "groups")
-    meet = groups.filter("small").select("shingle", F.col("known").alias("ka")).join(
-        groups.select("shingle", F.col("known").alias("kb")), "shingle").filter("ka <> kb")
-    a = first.filter("small").select("shingle", F.col("known").alias("ka"), F.col("_rid").alias("a"), F.col("n").alias("na"))
-    b = first.select("shingle", F.col("known").alias("kb"), F.col("_rid").alias("b"), F.col("n").alias("nb"))
-    return meet.join(a, ["shingle", "ka"]).join(b, ["shingle", "kb"]) \
-        .filter((F.col("na") <= F.col("nb")) & (100 * F.col("na") >= pct * F.col("nb"))) \
-        .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    groups = first.groupBy("shingle").agg(
+        F.min("known").alias("_low"), F.max("known").alias("_high"), F.max("small").alias("small"),
+        F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_size"),
+        F.bit_xor(F.xxhash64("_rid")).alias("_ha"), F.bit_xor(F.xxhash64("_rid", F.lit(9))).alias("_hb")) \
+        .filter("_low < _high and small")
+    chosen = groups.groupBy("_rows", "_size", "_ha", "_hb").agg(F.min("shingle").alias("shingle")).select(
+        "shingle", F.ceil(F.col("_size") / block).cast("long").alias("_blocks"))
+    own = F.pmod(F.xxhash64("_rid", "shingle"), F.col("_blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    members = first.select("_rid", "shingle").join(chosen, "shingle").withColumn("side", own) \
+        .withColumn("_other", other).select(
+            "_rid", "shingle", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side")
+    grams = scratch(texts.select("_rid", "known", "text").mapInArrow(
+        _gram_sets(words), "_rid long, known long, grams binary"), "grams")
+    dealt = members.join(grams, "_rid").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    return dealt.select("shingle", "i", "j", "_rid", "known", "side", "grams").mapInArrow(
+        _link_groups(pct), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -293,7 +393,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             dense = scratch(crowded(tag(signed, "_rid", "known"), trees, depth, min_prefix, neighbours), "crowded")
             if dense.isEmpty():
                 break
-            left = scratch(prefix_pairs(dense, rows, words, threshold_pct), "candidates")
+            left = scratch(prefix_links(dense, rows, words, threshold_pct), "links")
             left = tag(tag(left, "src", "_src"), "dst", "_dst")
         else:  # the components of the last round, on the components before it
             for side in ("_src", "_dst"):
@@ -307,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             now = open_pairs.withColumns({"_a": rank("src"), "_b": rank("dst")}).filter(
                 (F.col("_a") <= best) | (F.col("_b") <= best))
         now = scratch(now.select("src", "dst", "_src", "_dst"), "now")
-        links = confirmed(now, rows, words, threshold_pct).join(now, ["src", "dst"])
+        links = now if lag == 0 else confirmed(now, rows, words, threshold_pct).join(now, ["src", "dst"])
         found = scratch(components(links.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))), "comp")
         if labels is None:
             labels = found

@@ -335,6 +335,46 @@ def test_forest_finds_pairs_among_documents_that_share_a_template(spark, own):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_links_of_a_group_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for count, spread in ((2, 8), (60, 40), (400, 60)):
+        base = np.arange(100, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[:100 - k], rng.integers(1000, 5000, k).astype(np.uint64)]))
+                for k in rng.integers(0, spread, count)]
+        known, side = rng.integers(0, max(2, count // 2), count), rng.integers(0, 2, count)
+        for sides in (np.zeros(count, np.int64), side):
+            want = set()
+            for b in range(count):
+                for a in range(b):
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if (100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and known[a] != known[b]
+                            and (len(set(sides)) == 1 or sides[a] != sides[b])):
+                        want.add((a, b))
+            got = [(int(x), int(y)) for a, b in minhash_dedup.linked_rows(sets, known, sides, 75) for x, y in zip(a, b)]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_prefix_links_in_blocks_equal_brute_force(spark):
+    """Sets around the threshold, ties at exactly 75 % and groups dealt out in many blocks."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(74)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else word() for w in base)) for i in range(150)]
+    tail = [word() for _ in range(11)]
+    rows += [(500, " ".join(tail)), (501, " ".join(tail[:-1] + [word()]))]  # 6 of 8 shingles: exactly 75 %
+    docs = frame(spark, rows)
+    dense = docs.select(F.col("doc_id").alias("_rid"), F.col("doc_id").alias("known"),
+                        (F.size(F.split("text", " ")) - 4).cast("long").alias("n"))
+    texts = docs.select(F.col("doc_id").alias("_rid"), "text")
+    grams = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {(a, b) for a in grams for b in grams if a < b
+            and 100 * len(grams[a] & grams[b]) >= 75 * len(grams[a] | grams[b])}
+    assert (500, 501) in want and len(want) > 100
+    for block in (1 << 20, 1500):
+        got = minhash_dedup.prefix_links(dense, texts, 5, 75, block=block).collect()
+        assert {(r.src, r.dst) for r in got} == want
+
+
 def test_forest_repeated_ids_and_filter(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d E f"), (None, "q"), (3, None), (3, "")]
     kept = minhash_dedup.deduplicate(spark.createDataFrame([r + ("x",) for r in rows],
