@@ -13,9 +13,14 @@ what precedes the first word. The model's probability of a token after its prede
    counted; this table is bounded by the number of items, not by the corpus.
 3. Exchange clustering moves items between ``classes`` classes, each to where the likelihood of
    the class bigrams grows most, until few move.
-4. Transitions are smoothed with the class frequencies; emissions by absolute discounting, whose
+4. Then the vocabulary, which grows with the corpus, is placed: every other word seen at least
+   ``own_count`` times (among the ``head_words`` most frequent) goes from its group's class to the one
+   where its own counts of preceding and following classes raise the same likelihood most. These
+   counts are one Spark aggregate, the words are placed in parallel, and the class bigrams are
+   counted again. Only rarer and unseen words keep the class of their last characters.
+5. Transitions are smoothed with the class frequencies; emissions by absolute discounting, whose
    freed mass is the probability of an unseen word of that class. Both sum to one.
-5. Scoring reads every text once. Words above a count threshold (at most ``head_words``) are
+6. Scoring reads every text once. Words above a count threshold (at most ``head_words``) are
    looked up in a broadcast table; the counts of all other words come from a join with the whole
    vocabulary, summed per text. The frequent words, which would make hot keys, never enter the join.
 
@@ -100,32 +105,122 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_item_bigrams(texts: DataFrame, items: Items) -> np.ndarray:
-    """Bigram counts of items, predecessor by row (bounded: items squared)."""
-    shared, key = texts.sparkSession.sparkContext.broadcast((items.own, items.groups)), uuid.uuid4().hex
+class Units:
+    """Word -> class, or ``classes`` + its place in ``words`` where the word stands there."""
+
+    def __init__(self, items: Items, label: np.ndarray, words: list[bytes], codes):
+        self.items, self.label = items, label.tolist()
+        self.known = dict(zip(words, codes))
+
+    def __call__(self, word: bytes) -> int:
+        code = self.known.get(word)
+        return self.label[self.items(word)] if code is None else code
+
+
+def _streams(batches, code):
+    """Codes of the tokens, about a million at a time; each array begins and ends with an end mark."""
+    end = code(END)
+    for batch in batches:
+        stream = [end]
+        for text in batch.column(0).to_pylist():
+            stream.extend(map(code, tokens(text)))
+            stream.append(end)
+            if len(stream) > 1 << 20:
+                yield np.array(stream, np.int64)
+                stream = [end]
+        yield np.array(stream, np.int64)
+
+
+def count_bigrams(texts: DataFrame, size: int, make, state) -> np.ndarray:
+    """Bigram counts of codes below ``size``, predecessor by row; ``make(*state)`` gives word -> code."""
+    shared, key = texts.sparkSession.sparkContext.broadcast(state), uuid.uuid4().hex
 
     def run(batches):
-        item = _shared(key, lambda: Items(*shared.value))
-        end, size = item(END), item.count
         table = np.zeros(size * size, np.int64)
-        for batch in batches:
-            stream = [end]
-            for text in batch.column(0).to_pylist():
-                stream.extend(map(item, tokens(text)))
-                stream.append(end)
-                if len(stream) > 1 << 20:
-                    at = np.array(stream, np.int64)
-                    table += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
-                    stream = [end]
-            at = np.array(stream, np.int64)
+        for at in _streams(batches, _shared(key, lambda: make(*shared.value))):
             table += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         hit = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(hit), "n": pa.array(table[hit])})
 
     rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(items.count ** 2)
+    table = np.zeros(size ** 2)
     table[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
-    return table.reshape(items.count, items.count)
+    return table.reshape(size, size)
+
+
+def count_item_bigrams(texts: DataFrame, items: Items) -> np.ndarray:
+    """Bigram counts of items (bounded: items squared)."""
+    return count_bigrams(texts, items.count, Items, (items.own, items.groups))
+
+
+def count_contexts(texts: DataFrame, items: Items, label: np.ndarray, words: list[bytes], classes: int) -> DataFrame:
+    """``word`` (place in ``words``), ``side`` (class that follows, or ``classes`` + class before), ``n``."""
+    spark, key = texts.sparkSession, uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((items.own, items.groups, label, words))
+
+    def load():
+        own, groups, of, listed = shared.value
+        item = Items(own, groups)
+        seed = np.array([of[item(w)] for w in listed], np.int64)
+        return Units(item, of, listed, range(classes, classes + len(listed))), np.concatenate([np.arange(classes), seed])
+
+    def run(batches):
+        unit, seed = _shared(key, load)
+        for at in _streams(batches, unit):
+            cls, here = seed[at], np.flatnonzero(at >= classes)
+            first = (at[here] - classes) * (2 * classes)
+            pair, n = np.unique(np.concatenate([first + cls[here + 1], first + classes + cls[here - 1]]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(n.astype(np.int64))})
+
+    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).select(
+        F.floor(F.col("pair") / (2 * classes)).alias("word"), (F.col("pair") % (2 * classes)).alias("side"), "n")
+
+
+def best_classes(joint: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Per word the class with the greatest likelihood of the class bigrams ``joint``, from which the
+    word's own (by its ``old`` class) are taken out; ``right``, ``left``: its counts by class."""
+    rest, k = np.repeat(joint[None], len(old), axis=0), np.arange(len(old))
+    rest[k, old, :] -= right
+    rest[k, :, old] -= left
+    rest = np.maximum(rest, 0.0)
+    turned = rest.transpose(0, 2, 1)
+    base = _xlogx(rest)
+    gain = (_xlogx(rest + right[:, None, :]) - base).sum(axis=2)
+    gain += (_xlogx(turned + left[:, None, :]) - base.transpose(0, 2, 1)).sum(axis=2)
+    diag = rest[:, np.arange(len(joint)), np.arange(len(joint))]
+    gain += _xlogx(diag + right + left) - _xlogx(diag + right) - _xlogx(diag + left) + _xlogx(diag)
+    rows, cols = rest.sum(axis=2) + left, rest.sum(axis=1) + right
+    out, into = right.sum(axis=1, keepdims=True), left.sum(axis=1, keepdims=True)
+    gain -= _xlogx(rows + out) - _xlogx(rows) + _xlogx(cols + into) - _xlogx(cols)
+    new = gain.argmax(axis=1)
+    return np.where(gain[k, new] > gain[k, old] + 1e-9, new, old)
+
+
+def place_words(texts: DataFrame, items: Items, label: np.ndarray, joint: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Class of every word of ``words`` by its own neighbours (at most ``len(words)`` rows come back)."""
+    classes = len(joint)
+    old = np.array([label[items(w)] for w in words], np.int64)
+    contexts = count_contexts(texts, items, label, words, classes).groupBy("word").agg(
+        F.collect_list("side").alias("sides"), F.collect_list("n").alias("ns"))  # at most 2 x classes each
+    shared = texts.sparkSession.sparkContext.broadcast((joint, old))
+
+    def run(batches):
+        table, before = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):  # 128 words x classes squared at a time
+                part = batch.slice(lo, 128)
+                at = part.column("word").to_numpy()
+                sides, ns = part.column("sides"), part.column("ns")
+                row = np.repeat(np.arange(len(at)), np.diff(sides.offsets.to_numpy()))
+                seen = np.zeros((len(at), 2 * classes))
+                seen[row, sides.flatten().to_numpy()] = ns.flatten().to_numpy()
+                new = best_classes(table, before[at], seen[:, :classes], seen[:, classes:])
+                yield pa.RecordBatch.from_pydict({"word": pa.array(at), "cls": pa.array(new)})
+
+    rows = contexts.mapInArrow(run, "word long, cls long").toArrow()
+    cls = old.copy()
+    cls[rows.column("word").to_numpy()] = rows.column("cls").to_numpy()
+    return cls
 
 
 def _xlogx(x):
@@ -184,23 +279,22 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
 class BrownModel:
     """A fitted model; ``score`` gives one row per text."""
 
-    def __init__(self, vocabulary, items, label, bigrams, classes, head_words):
-        self.items, self.label, self.classes = items, label, classes
-        member = np.zeros((items.count, classes))
-        member[np.arange(items.count), label] = 1.0
-        joint = member.T @ bigrams @ member
+    def __init__(self, vocabulary, items, label, joint, threshold, placed):
+        """``joint``: bigrams of classes; ``placed``: words of classes of their own, and these."""
+        self.items, self.label, self.classes, self.threshold = items, label, len(joint), threshold
+        classes = self.classes
         self.class_tokens = joint.sum(axis=0)
         share = (self.class_tokens + 0.5) / (self.class_tokens.sum() + 0.5 * classes)
         weight = 5.0
         self.transition = np.log10((joint + weight * share) / (joint.sum(axis=1, keepdims=True) + weight))
         spark = vocabulary.sparkSession
-        shared, key = spark.sparkContext.broadcast((items.own, items.groups, label)), uuid.uuid4().hex
+        shared, key = spark.sparkContext.broadcast((items.own, items.groups, label, *placed)), uuid.uuid4().hex
 
         def classify(batches):
-            own, groups, labels = shared.value
-            item = _shared(key, lambda: Items(own, groups))
+            own, groups, labels, words, cls = shared.value
+            unit = _shared(key, lambda: Units(Items(own, groups), labels, words, cls))
             for batch in batches:
-                cls = labels[np.fromiter(map(item, batch.column("word").cast(pa.binary()).to_pylist()), np.int64, batch.num_rows)]
+                cls = np.fromiter(map(unit, batch.column("word").cast(pa.binary()).to_pylist()), np.int64, batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"),
                                                   pa.array(cls.astype(np.int32))], names=["word", "c", "cls"])
 
@@ -216,13 +310,6 @@ class BrownModel:
             unseen[r.cls] = self.discount * r.v / r.n
         self.unseen = np.log10(unseen)
         self.total = np.log10(np.maximum(self.class_tokens, 1.0))
-        # the count from which at most head_words words remain, from the table of counts
-        by_count = self.vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("v")).orderBy(F.col("c").desc())
-        self.threshold, held = None, 0
-        for r in by_count.toLocalIterator():
-            if held + r.v > head_words:
-                break
-            self.threshold, held = r.c, held + r.v
         head = self.vocabulary.filter(F.col("c") >= (self.threshold or 1 << 62)).toArrow()
         self.head = (head.column("word").cast(pa.binary()).to_pylist(), head.column("c").to_numpy(), head.column("cls").to_numpy())
 
@@ -305,15 +392,39 @@ class BrownModel:
                              "base_score", "score")
 
 
+def head_threshold(vocabulary: DataFrame, head_words: int) -> int | None:
+    """The count from which at most ``head_words`` words remain, from the table of counts."""
+    by_count = vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("v")).orderBy(F.col("c").desc())
+    threshold, held = None, 0
+    for r in by_count.toLocalIterator():
+        if held + r.v > head_words:
+            break
+        threshold, held = r.c, held + r.v
+    return threshold
+
+
 def fit(texts: DataFrame, text_col: str = "text", classes: int = 64, own_items: int = 640,
-        group_items: int = 384, head_words: int = 300_000) -> BrownModel:
-    """Learn from all given texts."""
+        group_items: int = 384, head_words: int = 300_000, own_count: int | None = 5) -> BrownModel:
+    """Learn from all given texts; without ``own_count`` no word beyond the items is placed by itself."""
     column = texts.select(F.col(text_col).cast("string").alias("text"))
     vocabulary = scratch(count_words(column), "words")
     top = vocabulary.filter(F.col("word") != END.decode()).orderBy(F.col("c").desc(), "word").limit(own_items - 1).collect()
     items = Items([END, *[r.word.encode("utf-8") for r in top]], group_items)
     bigrams = count_item_bigrams(column, items)
-    return BrownModel(vocabulary, items, exchange(bigrams, classes), bigrams, classes, head_words)
+    label = exchange(bigrams, classes)
+    member = np.zeros((items.count, classes))
+    member[np.arange(items.count), label] = 1.0
+    joint = member.T @ bigrams @ member
+    threshold, words, cls = head_threshold(vocabulary, head_words), [], np.empty(0, np.int64)
+    if own_count and threshold:
+        head = vocabulary.filter(F.col("c") >= max(threshold, own_count)).select("word").toArrow()
+        own = set(items.own)
+        words = [w for w in head.column("word").cast(pa.binary()).to_pylist() if w not in own]
+    if words:
+        cls = place_words(column, items, label, joint, words)
+        state = (items.own, items.groups, label, words, cls.tolist())
+        joint = count_bigrams(column, classes, lambda o, g, l, w, c: Units(Items(o, g), l, w, c), state)
+    return BrownModel(vocabulary, items, label, joint, threshold, (words, cls.tolist()))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -53,6 +53,59 @@ def test_brown_probabilities_sum_to_one(spark, two_tongues):
     assert all(abs(m - 1) < 1e-9 for c, m in mass.items() if model.class_tokens[c])
 
 
+def test_brown_places_words_by_their_neighbours(spark, two_tongues):
+    """Words beyond the items: contexts counted over all texts, class of greatest likelihood."""
+    texts = frame(spark, two_tongues).select("text")
+    items, label = brown_lm.Items([brown_lm.END], 2), np.array([0, 1, 2])
+    words = sorted({w for _, t in two_tongues for w in brown_lm.tokens(t)})
+    of = lambda w: int(label[items(w)])
+    seen, joint = Counter(), np.zeros((3, 3))
+    for _, t in two_tongues:
+        line = [brown_lm.END, *brown_lm.tokens(t), brown_lm.END]
+        for a, b in zip(line, line[1:]):
+            joint[of(a), of(b)] += 1
+            if a != brown_lm.END:
+                seen[(words.index(a), of(b))] += 1
+            if b != brown_lm.END:
+                seen[(words.index(b), 3 + of(a))] += 1
+    rows = brown_lm.count_contexts(texts, items, label, words, 3).collect()
+    assert {(r.word, r.side): r.n for r in rows} == dict(seen)
+
+    def likelihood(t):
+        part = lambda x: sum(v * math.log(v) for v in np.ravel(x) if v > 0)
+        return part(t) - part(t.sum(axis=0)) - part(t.sum(axis=1))
+
+    placed = brown_lm.place_words(texts, items, label, joint, words)
+    for i, w in enumerate(words):
+        right, left = (np.array([seen[(i, k + c)] for c in range(3)], float) for k in (0, 3))
+        scores = []
+        for c in range(3):
+            t = joint.copy()
+            t[of(w), :] -= right
+            t[:, of(w)] -= left
+            t = np.maximum(t, 0)
+            t[c, :] += right
+            t[:, c] += left
+            scores.append(likelihood(t))
+        assert scores[placed[i]] >= max(scores) - 0.02 * abs(max(scores))
+
+
+def test_brown_placed_words_raise_the_held_out_score(spark, two_tongues):
+    train, held = frame(spark, two_tongues[:150]), frame(spark, two_tongues[150:])
+    total = {n: sum(r.score for r in brown_lm.fit(train, classes=4, own_items=12, group_items=3, own_count=n)
+                    .score(held).collect()) for n in (None, 5)}
+    assert total[5] > total[None]
+
+
+def test_brown_very_long_empty_and_clashing(spark):
+    rows = [(i, "a b c d " * 20_000 if i == 3 else "a b", "x") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("word", F.lit("w"))
+    model = brown_lm.fit(docs, classes=2, own_items=3, group_items=2, own_count=2)
+    got = {r.doc_id: r for r in model.score(docs).collect()}
+    assert len(got) == 6 and got[3].n_tokens == 80_001 and all(math.isfinite(r.score) for r in got.values())
+    assert model.score(docs.limit(0)).count() == 0
+
+
 def test_brown_without_training_text(spark):
     model = brown_lm.fit(frame(spark, []), classes=4, own_items=12, group_items=8)
     row = model.score(frame(spark, [(1, "a b"), (None, None)])).collect()
