@@ -2,13 +2,13 @@
 
 Benchmark texts and documents are normalised alike: A-Z lower-cased, words are runs of digits,
 a-z and non-ASCII characters. A window is ``window`` consecutive words of an item (a shorter item
-is one window). The windows, joined by single blanks and fenced by blanks, are the patterns of one
-automaton; each document's normalised text is scanned once and every occurrence marks its words.
-Matched words are mapped back to code point offsets of the original text.
+is one window). The words of the benchmark are numbered; the windows, as sequences of word numbers,
+are the patterns of one automaton; each document's words are scanned once and every occurrence marks
+its words. Matched words are mapped back to code point offsets of the original text.
 
-The benchmark must fit the bound ``max_benchmark_bytes`` (checked by an aggregate before anything
-is collected; beyond it the operator raises): only then are its windows broadcast. Documents are
-never shuffled.
+Every Python worker holds the automaton. Its nodes are at most the words of all windows, counted by
+an aggregate before anything is collected; beyond ``max_nodes`` (a node takes about 60 bytes), or
+texts of ``max_benchmark_bytes``, the operator raises. Only then is the benchmark broadcast, as word numbers. Documents are never shuffled.
 
 Cases: null and empty texts have no words; an item without words has no window; rows that share
 an item id count as one item, an item with a null id marks words but is not listed; repeated
@@ -36,6 +36,7 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongT
 
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
                 for b in range(256))
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the words of normalise()
 _automata: dict = {}
 
 
@@ -44,53 +45,65 @@ def normalise(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(_NORMAL)
 
 
-def windows_of(items, window: int) -> dict[str, tuple[int, set]]:
-    """Pattern -> (number of words, ids of the items that hold it)."""
-    found: dict[str, tuple[int, set]] = {}
-    for item_id, text in items:
-        words = normalise(text).split()
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i:i + window]
-            pattern = (b" " + b" ".join(part) + b" ").decode("latin-1")
-            ids = found.setdefault(pattern, (len(part), set()))[1]
-            if item_id is not None:
-                ids.add(str(item_id))
-    return found
-
-
-def build(patterns):
-    import ahocorasick
-    machine = ahocorasick.Automaton()
-    for pattern, (size, ids) in patterns.items():
-        machine.add_word(pattern, (size, tuple(ids)))
-    if len(machine):
-        machine.make_automaton()
-    return machine
-
-
-def _automaton(key: str, shared):
-    """Built once per Python worker from the broadcast patterns."""
+class Machine:
+    """The automaton over the windows of ``items`` (pairs of item id and array of word numbers)."""
+
+    def __init__(self, words: list[bytes], items, window: int):
+        import ahocorasick
+        self.number = {w: i for i, w in enumerate(words)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.sizes: list[int] = []
+        self.owners: list[tuple] = []
+        for item_id, codes in items:
+            codes = tuple(codes.tolist())
+            for i in range(max(1, len(codes) - window + 1) if codes else 0):
+                part = codes[i:i + window]
+                at = self.automaton.get(part, None)
+                if at is None:
+                    at = len(self.sizes)
+                    self.automaton.add_word(part, at)
+                    self.sizes.append(len(part))
+                    self.owners.append(())
+                if item_id is not None and item_id not in self.owners[at]:
+                    self.owners[at] += (item_id,)
+        if self.sizes:
+            self.automaton.make_automaton()
+
+    @classmethod
+    def of(cls, state):
+        return cls(*state)
+
+
+def numbered(items, window: int):
+    """``(item id, text)`` rows -> the state of a :class:`Machine`; texts that repeat stay once per id."""
+    number: dict[bytes, int] = {}
+    coded = [(item_id, np.array([number.setdefault(w, len(number)) for w in normalise(text).split()], np.int32))
+             for item_id, text in items]
+    return list(number), coded, window
+
+
+def _machine(key: str, shared) -> Machine:
+    """Built once per Python worker from the broadcast word numbers."""
     if key not in _automata:
         _automata.clear()
-        _automata[key] = build(shared.value)
+        _automata[key] = Machine.of(shared.value)
     return _automata[key]
 
 
-def scan(text: str | None, machine) -> tuple[int, np.ndarray | None, set]:
+def scan(text: str | None, machine: Machine) -> tuple[int, np.ndarray | None, set]:
     """Number of words, mask of the words inside occurrences (None: no occurrence), item ids."""
     words = normalise(text).split()
-    if not words or not len(machine):
+    if not words or not machine.sizes:
         return len(words), None, set()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    mask, ids, ends = None, set(), None
-    for at, (size, items) in machine.iter(line):
+    other = len(machine.number)  # a number that no window holds
+    line = tuple([machine.number.get(w, other) for w in words])
+    mask, ids = None, set()
+    for last, at in machine.automaton.iter(line):
         if mask is None:
             mask = np.zeros(len(words) + 1, np.int64)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        last = int(np.searchsorted(ends, at))
-        mask[last - size + 1] += 1
+        mask[last - machine.sizes[at] + 1] += 1
         mask[last + 1] -= 1
-        ids.update(items)
+        ids.update(machine.owners[at])
     return len(words), None if mask is None else np.cumsum(mask[:-1]) > 0, ids
 
 
@@ -109,18 +122,22 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
-                  max_benchmark_bytes: int = 64 << 20) -> DataFrame:
+                  max_benchmark_bytes: int = 64 << 20, max_nodes: int = 4_000_000) -> DataFrame:
     """``docs`` plus ``n_words, n_hit, item_ids (sorted), spans, contaminated``."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"),
-                             F.col(item_text_col).cast("string").alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+                             F.col(item_text_col).cast("string").alias("t")).distinct()
+    n = F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long")
+    size, nodes = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.sum(
+        F.greatest(n - window + 1, F.lit(1)) * F.least(n, F.lit(window))), F.lit(0))).first()
     if size > max_benchmark_bytes:
         raise ValueError(f"the benchmark has {size} bytes; max_benchmark_bytes is {max_benchmark_bytes}")
-    patterns = windows_of(((r.i, r.t) for r in items.collect()), window)
-    shared, key = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
+    if nodes > max_nodes:
+        raise ValueError(f"the windows of the benchmark hold {nodes} words; max_nodes is {max_nodes}")
+    state = numbered(((r.i, r.t) for r in items.collect()), window)
+    shared, key = docs.sparkSession.sparkContext.broadcast(state), uuid.uuid4().hex
 
     def make(batch):
-        machine = _automaton(key, shared)
+        machine = _machine(key, shared)
         n_words, n_hit, ids, spans = [], [], [], []
         for value in batch.column(text_col):
             text = value.as_py()

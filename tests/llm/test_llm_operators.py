@@ -233,6 +233,20 @@ def test_decontamination_spans_and_odd_items(spark):
                                     max_benchmark_bytes=5)
 
 
+def test_decontamination_bound_is_the_automatons_size(spark):
+    items = frame(spark, [("i", "a b c d e"), ("i", "a b c d e"), ("j", "b c d"), ("k", None)], "item_id string, text string")
+    docs = frame(spark, [(1, "z a b c d e z"), (2, "b c d " * 30_000), (3, "a b x c d e"), (3, None)])
+    with pytest.raises(ValueError, match="hold 12 words"):
+        decontaminate.decontaminate(docs, items, window=3, max_nodes=11)
+    clash = docs.withColumn("n_hit", F.lit("x")).withColumn("item_id", F.lit("y"))
+    got = {(r.doc_id, r.n_words): r for r in decontaminate.decontaminate(clash, items, window=3, max_nodes=12).collect()}
+    assert (got[1, 7].n_hit, got[1, 7].item_ids) == (5, ["i", "j"])
+    assert (got[2, 90_000].n_hit, got[2, 90_000].item_ids) == (90_000, ["i", "j"])
+    assert got[3, 6].n_hit == 3 and got[3, 0].n_hit == 0 and got[1, 7].item_id == "y"
+    assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
+
+
+
 # ---- operator 4 ---------------------------------------------------------------------------------
 
 def test_folding():
