@@ -12,6 +12,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression,
 )
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,18 +202,13 @@ def _tree_value(node, slots: list[Column], leaf) -> Column:
 
 
 def probability(model: PipelineModel) -> Column:
-    """P(label = 1) of a fitted pipeline as one expression of built-in functions."""
+    """P(label = 1) of a fitted linear or single-tree pipeline as one expression of built-in functions."""
     last, slots = model.stages[-1], feature_slots(model)
     if hasattr(last, "coefficients"):
         z = F.lit(float(last.intercept))
         for coefficient, x in zip(last.coefficients.toArray(), slots):
             z = z + float(coefficient) * x
         return sigmoid(z)
-    if hasattr(last, "treeWeights"):  # boosted trees: the margin is twice the sum
-        z = F.lit(0.0)
-        for weight, tree in zip(last.treeWeights, last.trees):
-            z = z + float(weight) * _tree_value(tree._java_obj.rootNode(), slots, lambda n: n.prediction())
-        return sigmoid(2.0 * z)
 
     def share(node):
         stats = list(node.impurityStats().stats())
@@ -220,15 +216,30 @@ def probability(model: PipelineModel) -> Column:
     return _tree_value(last._java_obj.rootNode(), slots, share)
 
 
+def _lenient(model: PipelineModel) -> PipelineModel:
+    """The pipeline with null signals taken as NaN, which goes right at every split, as a null does in a
+    CASE of :func:`probability`."""
+    return PipelineModel([stage.copy({stage.handleInvalid: "keep"}) if isinstance(stage, VectorAssembler) else stage
+                          for stage in model.stages])
+
+
 def score(model: PipelineModel, df: DataFrame, context=("source", "campaign_id", "target_id", "template_id",
                                                         "segment_id")) -> DataFrame:
     """M11 + P12: class and positive-class probability per row, with the context columns present.
 
     The fitted pipeline becomes one expression over the raw columns: no vectors, no object
-    functions, so the scan, the scoring and what follows are one generated stage.
+    functions, so the scan, the scoring and what follows are one generated stage. Hundreds of
+    boosted trees are too deep and too long for one expression; there the model itself, which goes
+    to the tasks as one broadcast, scores the rows.
     """
     ctx = [c for c in context if c in df.columns]
-    out = df.select(*ctx, F.col(TARGET_COLUMN).cast("int").alias("y"), probability(model).alias("p"))
+    boosted = hasattr(model.stages[-1], "treeWeights")
+    p = vector_to_array("probability")[1] if boosted else probability(model)
+    if boosted:
+        needed = dict.fromkeys([*ctx, TARGET_COLUMN, *SIGNAL_COLUMNS, *DEMOGRAPHIC_COLUMNS])
+        rows = df.select(*[F.col(c).cast("double").alias(c) if c in SIGNAL_COLUMNS else F.col(c) for c in needed])
+        df = _lenient(model).transform(rows)
+    out = df.select(*ctx, F.col(TARGET_COLUMN).cast("int").alias("y"), p.alias("p"))
     return out.select(*ctx, "y", (F.col("p") > 0.5).cast("int").alias("predicted_class"), "p")
 
 

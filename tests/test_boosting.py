@@ -7,6 +7,8 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -172,3 +174,27 @@ def test_native_scores_equal_the_transformers(spark, kind):
     assert both.count() >= 220
     assert both.where("abs(p - q) > 1e-9 or predicted_class <> prediction").where("target_id > 2").count() == 0
     assert both.groupBy("target_id").agg(F.min(F.abs(F.col("p") - F.col("q"))).alias("d")).where("d > 1e-9").count() == 0
+
+
+def test_scores_of_hundreds_of_trees(spark):
+    """A chain of 500 trees in one expression overflowed the stack (gbt_metrics)."""
+    rows = [(i, float(i % 2), float((i // 2) % 2), 0.0, None if i == 7 else 1.0, ["18-24", "25-34"][i % 2], None if i == 9 else "F",
+             "Tecnica", int((i * 7919) % 11 < 3 + 4 * (i % 2)), 1.0) for i in range(60)]
+    data = spark.createDataFrame(rows, "target_id long, signal_urgency double, signal_authority double, signal_reward double, "
+                                       "signal_personalization double, age_bracket string, gender string, education string, "
+                                       "clicked_flag int, weight double")
+    model = models.fit(models.gbt_pipeline(max_iter=2), data.where("target_id <> 7"))
+    small = model.stages[-1]
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, 500)
+    weights = gateway.new_array(jvm.double, 500)
+    for i in range(500):
+        trees[i] = small._java_obj.trees()[i % 2]
+        weights[i] = small.treeWeights[i % 2] / 250
+    java = jvm.org.apache.spark.ml.classification.GBTClassificationModel("gbtc_500", trees, weights)
+    for name in ("featuresCol", "labelCol"):
+        java.set(java.getParam(name), small._java_obj.getOrDefault(small._java_obj.getParam(name)))
+    large = PipelineModel([*model.stages[:-1], GBTClassificationModel(java)])
+    a = {r.target_id: r.p for r in models.score(model, data, context=("target_id",)).collect()}
+    b = {r.target_id: r.p for r in models.score(large, data, context=("target_id",)).collect()}
+    assert len(b) == 60 and a == pytest.approx(b)
