@@ -715,13 +715,16 @@ OBSERVED_SOURCES = ("SELECT * REPLACE (CASE WHEN campaign_id % 2 = 0 THEN 'obser
                     "FROM fact")
 
 
-def _comb_sql() -> str:
-    return f"comb AS (SELECT * EXCLUDE (gender), {_na_sql('gender')} AS gender FROM ({OBSERVED_SOURCES}) z)"
+COMBINED = "SELECT * FROM fact UNION ALL SELECT * FROM population"
 
 
-def _split_sql(test_size: float = 0.3, seed: int = 42) -> str:
+def _comb_sql(rows: str) -> str:
+    return f"comb AS (SELECT * EXCLUDE (gender), {_na_sql('gender')} AS gender FROM ({rows}) z)"
+
+
+def _split_sql(rows: str, test_size: float = 0.3, seed: int = 42) -> str:
     u = keyed_uniform_sql(seed, "source", "campaign_id", "target_id")
-    return f"""{_comb_sql()},
+    return f"""{_comb_sql(rows)},
 hashed AS (SELECT *, {u} AS h FROM comb),
 split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY clicked_flag ORDER BY h, source, campaign_id, target_id)
                  <= round_even(CAST({test_size!r} AS DOUBLE) * count(*) OVER (PARTITION BY clicked_flag), 0)
@@ -753,12 +756,12 @@ FROM sums WHERE hl >= 2.0 AND h - hl >= 2.0"""
 
 
 def _model_prep_sql() -> dict[str, str]:
-    pre = f"{with_views('fact', 'templates')}, {_split_sql()}"
+    pre = f"{with_views('fact', 'templates')}, {_population_sql()}, {_split_sql(COMBINED)}"
     q: dict[str, str] = {}
     q["combined_observed"] = f"{with_views('fact')} {OBSERVED_SOURCES}"
     q["observed_source_distribution"] = (f"{with_views('fact')} SELECT source, CAST(count(*) AS BIGINT) AS count "
                                          f"FROM ({OBSERVED_SOURCES}) x GROUP BY source")
-    q.update(_boost_sql(pre))
+    q.update(_boost_sql(f"{with_views('fact', 'templates')}, {_split_sql(OBSERVED_SOURCES)}"))
     q["test_rows_by_source"] = (f"{pre} SELECT source, CAST(count(*) AS BIGINT) AS count FROM split "
                                 f"WHERE split = 'test' GROUP BY source")
     q["scored_keys"] = (f"{pre} SELECT source, campaign_id, target_id, CAST(clicked_flag AS INTEGER) AS y "
@@ -807,7 +810,7 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
 
 
 def _mixed_sql() -> dict[str, str]:
-    pre, comb = with_views('fact', 'templates'), _comb_sql()
+    pre = with_views('fact', 'templates')
     sig = ", ".join(f"CAST(coalesce({c}, 0) AS INTEGER) AS {c}" for c in SIGNAL_COLUMNS)
     dem = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'unknown') AS {c}" for c in ("age_bracket", "gender", "education"))
     keys = ", ".join([*SIGNAL_COLUMNS, "age_bracket", "gender", "education", "grp"])
@@ -816,10 +819,10 @@ def _mixed_sql() -> dict[str, str]:
         for c in ("age_bracket", "gender", "education"))
     fixed = " UNION ALL ".join(f"SELECT '{t}' AS term" for t in ("Intercept", *SIGNAL_COLUMNS))
     return {"mixed_map_gradient": (
-        f"{pre}, {comb}, cl AS (SELECT {sig}, {dem}, CAST(segment_id AS VARCHAR) AS grp FROM comb WHERE segment_id IS NOT NULL) "
+        f"{pre}, {_comb_sql(OBSERVED_SOURCES)}, cl AS (SELECT {sig}, {dem}, CAST(segment_id AS VARCHAR) AS grp FROM comb WHERE segment_id IS NOT NULL) "
         f"SELECT term, CAST(0 AS DOUBLE) AS gradient FROM ({fixed} UNION ALL {levels}) t"),
         "mixed_cells": (
-        f"{pre}, {comb}, cl AS (SELECT {sig}, {dem}, CAST(segment_id AS VARCHAR) AS grp, "
+        f"{pre}, {_population_sql()}, {_comb_sql(COMBINED)}, cl AS (SELECT {sig}, {dem}, CAST(segment_id AS VARCHAR) AS grp, "
         f"CAST(coalesce(clicked_flag, 0) AS INTEGER) AS clicked_flag FROM comb WHERE segment_id IS NOT NULL) "
         f"SELECT {keys}, CAST(count(*) AS BIGINT) AS n, CAST(sum(clicked_flag) AS BIGINT) AS k FROM cl GROUP BY {keys}")}
 

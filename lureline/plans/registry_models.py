@@ -28,7 +28,7 @@ from lureline.streaming.attribution import OUTPUT_SCHEMA, run_folder
 from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
 from lureline.functions.expressions import na_to_null
 from lureline.operators import evaluation, models
-from lureline.plans.registry import _fact, register
+from lureline.plans.registry import _fact, q_combined_dataset, register
 
 SPLIT_KEYS = ("source", "campaign_id", "target_id")
 
@@ -41,7 +41,13 @@ def observed_sources(fact):
 
 
 def _combined(spark, sf):
-    """The training table: two sources of observed rows, NA tokens as the CSV reader sees them."""
+    """The training table: observed fact + synthetic population, NA tokens as the CSV reader sees them."""
+    return q_combined_dataset(spark, sf).withColumn("gender", na_to_null("gender"))
+
+
+def _observed(spark, sf):
+    """The training table of M9 and G2 (map): two sources of observed rows, NA tokens as the CSV reader
+    sees them."""
     return observed_sources(_fact(spark, sf)).withColumn("gender", na_to_null("gender"))
 
 
@@ -119,13 +125,17 @@ def q_gbt_metrics(spark, sf):
 BOOST = boosting.BoostParams(rounds=12)
 
 
+def _boost_split(spark, sf):
+    return models.stratified_split(_observed(spark, sf), keys=SPLIT_KEYS)
+
+
 def _boost_train(spark, sf):
-    return facts_ops.clean_dataset(_split(spark, sf)).where("split = 'train'")
+    return facts_ops.clean_dataset(_boost_split(spark, sf)).where("split = 'train'")
 
 
 def _boost(spark, sf):
     """M9 on the observed rows: ``(model, test rows)``."""
-    data = facts_ops.clean_dataset(_split(spark, sf)).checkpoint(eager=True)
+    data = facts_ops.clean_dataset(_boost_split(spark, sf)).checkpoint(eager=True)
     train, test = data.where("split = 'train'"), data.where("split = 'test'")
     models.check_trainable(train, min_rows=10)
     return boosting.fit(train, SIGNAL_COLUMNS, DEMOGRAPHIC_COLUMNS, params=BOOST), test
@@ -233,7 +243,8 @@ def q_mixed_extremes(spark, sf):
 
 
 def _mixed_map(spark, sf):
-    return mixed.fit_mixed_map(_cells(spark, sf), component="re_segment_id")
+    cells = mixed.mixed_cells(_observed(spark, sf), group="segment_id")
+    return mixed.fit_mixed_map(cells, component="re_segment_id")
 
 
 @register("mixed_map_terms")
