@@ -34,15 +34,18 @@ def parse_hits(hits: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def resolve_uids(parsed_hits: DataFrame, targets: DataFrame) -> DataFrame:
-    """Hits whose ``uid`` names a target, with its ``target_id`` (inner join on uid)."""
+    """Hits whose ``uid`` names a target, with its ``target_id`` (inner join on uid).
+
+    Targets grow with the input and a computed uid is wider than the columns it is estimated by, so
+    they are merged, never gathered on the driver for a broadcast."""
     t = targets.where(F.col("uid").isNotNull()).select(
-        F.col("uid"), F.col("id").alias("target_id"))
+        F.col("uid"), F.col("id").alias("target_id")).hint("merge")
     return parsed_hits.where(F.col("event_type").isNotNull()).join(t, "uid", "inner")
 
 
 def unknown_uid_hits(parsed_hits: DataFrame, targets: DataFrame) -> DataFrame:
-    """J5 quarantine: hits whose uid matches no target (``left_anti``)."""
-    t = targets.where(F.col("uid").isNotNull()).select("uid")
+    """J5 quarantine: hits whose uid matches no target (``left_anti``, merged as in :func:`resolve_uids`)."""
+    t = targets.where(F.col("uid").isNotNull()).select("uid").hint("merge")
     return parsed_hits.join(t, "uid", "left_anti")
 
 

@@ -102,7 +102,11 @@ def time_ranges(rows: DataFrame, ranges: int) -> list:
 
 def feed(spark: SparkSession, rows: DataFrame, source: str, run, ranges: int = 4) -> None:
     """Add the rows to ``source`` one time range after the other; ``run()`` starts the stream anew
-    (from its checkpoint) and it finishes each range before the next one is added."""
+    (from its checkpoint) and it finishes each range before the next one is added. The rows are
+    computed once, into a folder beside ``source``."""
+    staged = f"{source.rstrip('/')}-staged"
+    rows.write.mode("errorifexists").parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
     bounds = time_ranges(rows, ranges)
     micros = F.coalesce(F.unix_micros("ts"), F.lit(2 ** 62))  # rows without a time come last
     for k in range(len(bounds) + 1):

@@ -125,3 +125,14 @@ def test_calibration_bins_cover_all_rows(spark):
     cal = evaluation.calibration_curve(ev, n_bins=10).collect()
     assert [r.bin for r in cal] == list(range(1, len(cal) + 1))
     assert all(0.0 <= r.observed_positive_rate <= 1.0 for r in cal)
+
+
+def test_targets_are_not_gathered_on_the_driver(spark):
+    """Every micro-batch broadcast the targets twice (stream_raw_hits, stream_quarantine)."""
+    from lureline.operators import attribution
+    hits = spark.createDataFrame([(1, "a", "clicked"), (2, "x", "clicked"), (3, None, "clicked")], "hit_id long, uid string, event_type string")
+    targets = spark.createDataFrame([(7, "a"), (8, None)], "id long, uid string")
+    for df in (attribution.resolve_uids(hits, targets), attribution.unknown_uid_hits(hits, targets)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.hit_id, r.target_id) for r in attribution.resolve_uids(hits, targets).collect()] == [(1, 7)]
+    assert sorted(r.hit_id for r in attribution.unknown_uid_hits(hits, targets).collect()) == [2, 3]
