@@ -1,11 +1,12 @@
 """Structured Streaming attribution (T1) of resolved hits.
 
-T1 re-aims the tracker: deliveries and resolved hits arrive as one stream keyed by target.
-``applyInPandasWithState`` keeps, per target, the deliveries still inside the lateness window
-(plus the latest older one). Each micro-batch is ordered by event time (deliveries before hits at
+T1 re-aims the tracker: deliveries and resolved hits arrive as one stream keyed by target. Targets are
+hashed into a fixed number of buckets, so a micro-batch calls Python once per bucket and not once per
+target, and a call credits the hits of all its targets at once. ``applyInPandasWithState`` keeps, per
+target, the deliveries still inside the lateness window (plus the latest older one). Each micro-batch is ordered by event time (deliveries before hits at
 equal time) and a hit is credited on arrival to the latest delivery at or before it; a delivery
-that arrives later does not re-credit an earlier hit. State expires by event-time timeout once
-the watermark passes the newest delivery plus ``ttl``.
+that arrives later does not re-credit an earlier hit. A target's state expires by event-time timeout
+once the watermark passes its newest delivery plus ``ttl``.
 
 Sources and sinks are files under the shared ``spark.checkpoint.dir`` (never a machine-local
 folder); the checkpoint makes the query restartable after a driver or executor loss.
@@ -47,12 +48,11 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("uid", T.StringType()),
 ])
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("d_ts", T.ArrayType(T.LongType())),
-    T.StructField("d_id", T.ArrayType(T.LongType())),
-    T.StructField("d_campaign", T.ArrayType(T.LongType())),
-    T.StructField("d_template", T.ArrayType(T.LongType())),
-])
+#: The deliveries of a bucket of targets: int64 rows target_id, ts, id, campaign_id, template_id.
+STATE_SCHEMA = T.StructType([T.StructField("deliveries", T.BinaryType())])
+
+#: Fixed value: buckets that the targets are hashed into (groups of a micro-batch, rows of state).
+BUCKETS = 1024
 
 US = 1_000_000
 
@@ -80,43 +80,65 @@ def _to_us(s: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy()
 
 
+def _credit(deliveries: np.ndarray, target: np.ndarray, ts: np.ndarray) -> np.ndarray:
+    """For each hit the column of ``deliveries`` that it is credited to, -1 where there is none: the latest
+    delivery of its target at or before it (deliveries first at equal time, the larger id winning a tie)."""
+    n, m = deliveries.shape[1], len(target)
+    kind = np.repeat([0, 1], [n, m])
+    order = np.lexsort((np.concatenate([deliveries[2], np.zeros(m, dtype=np.int64)]), kind,
+                        np.concatenate([deliveries[1], ts]), np.concatenate([deliveries[0], target])))
+    latest = np.maximum.accumulate(np.where(kind[order] == 0, np.arange(n + m), -1))
+    at = np.full(n + m, -1)
+    at[order] = np.where(latest >= 0, order[latest], -1)
+    at = at[n:]
+    return np.where((at >= 0) & (deliveries[0][at] == target), at, -1) if n else at
+
+
+def _prune(deliveries: np.ndarray, lateness_us: int) -> np.ndarray:
+    """Of deliveries ordered by (target, time, id) those inside the lateness window of their target's newest
+    one, and the latest before that window."""
+    target, ts = deliveries[:2]
+    last = np.searchsorted(target, target, side="right") - 1
+    newest = np.maximum(ts[last], np.iinfo(np.int64).min + lateness_us)
+    keep = ts >= newest - lateness_us
+    keep[:-1] |= keep[1:] & (target[:-1] == target[1:])
+    return deliveries[:, keep]
+
+
 def _make_update(lateness_us: int, ttl_us: int | None):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (target_id,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        t_us = _to_us(pdf["ts"])
-        is_dlv = (pdf["kind"] == 0).to_numpy()
-        kept = [np.asarray(x, dtype=np.int64) for x in state.get] if state.exists else \
-            [np.empty(0, dtype=np.int64)] * 4
-        new = [t_us[is_dlv]] + [pdf[c].to_numpy()[is_dlv].astype(np.int64)
-                                for c in ("id", "campaign_id", "template_id")]
-        d_ts, d_id, d_camp, d_tpl = (np.concatenate([k, n]) for k, n in zip(kept, new))
-        order = np.lexsort((d_id, d_ts))            # by (ts, id)
-        d_ts, d_id, d_camp, d_tpl = d_ts[order], d_id[order], d_camp[order], d_tpl[order]
-        # each hit: the latest delivery at or before it (deliveries first at equal time, the
-        # larger id winning a time tie) -- one binary search per hit, no per-row loop
-        hits = pdf[~is_dlv]
-        if len(hits) and len(d_ts):
-            at = np.searchsorted(d_ts, t_us[~is_dlv], side="right") - 1
+        kept = np.frombuffer(state.get[0], dtype=np.int64).reshape(5, -1) if state.exists else \
+            np.empty((5, 0), dtype=np.int64)
+        pdf = None if state.hasTimedOut else pd.concat(list(batches), ignore_index=True)
+        seen = np.empty(0, dtype=np.int64) if pdf is None else pdf["target_id"].to_numpy().astype(np.int64)
+        if ttl_us is not None:  # forget targets of which nothing came and that the watermark has passed
+            last = np.searchsorted(kept[0], kept[0], side="right") - 1
+            over = (kept[1][last] + ttl_us) // 1000 < state.getCurrentWatermarkMs()
+            kept = kept[:, ~over | np.isin(kept[0], seen)]
+        if pdf is not None:
+            t_us = _to_us(pdf["ts"])
+            is_dlv = (pdf["kind"] == 0).to_numpy()
+            new = [seen[is_dlv], t_us[is_dlv]] + [pdf[c].to_numpy()[is_dlv].astype(np.int64)
+                                                  for c in ("id", "campaign_id", "template_id")]
+            kept = np.concatenate([kept, np.stack(new)], axis=1)
+            kept = kept[:, np.lexsort((kept[2], kept[1], kept[0]))]  # by (target, ts, id)
+            at = _credit(kept, seen[~is_dlv], t_us[~is_dlv])
             found = at >= 0
-            at = at[found]
-            hits = hits[found]
-            yield pd.DataFrame({
-                "hit_id": hits["id"].to_numpy(), "campaign_id": d_camp[at],
-                "target_id": np.full(len(at), target_id, dtype=np.int64),
-                "template_id": d_tpl[at], "event_type": hits["event_type"].to_numpy(),
-                "occurred_at": hits["ts"].to_numpy(), "delivery_id": d_id[at],
-                "uid": hits["uid"].to_numpy()})
-        # prune: keep deliveries inside the lateness window and the latest one before it
-        if len(d_ts):
-            newest = int(d_ts[-1])
-            start = max(int(np.searchsorted(d_ts, newest - lateness_us, side="left")) - 1, 0)
-            state.update(tuple(a[start:].tolist() for a in (d_ts, d_id, d_camp, d_tpl)))
+            if found.any():
+                hits, credited = pdf[~is_dlv][found], kept[:, at[found]]
+                yield pd.DataFrame({
+                    "hit_id": hits["id"].to_numpy(), "campaign_id": credited[3], "target_id": credited[0],
+                    "template_id": credited[4], "event_type": hits["event_type"].to_numpy(),
+                    "occurred_at": hits["ts"].to_numpy(), "delivery_id": credited[2], "uid": hits["uid"].to_numpy()})
+        if kept.shape[1]:
+            kept = _prune(kept, lateness_us)
+            state.update((kept.tobytes(),))
             if ttl_us is not None:  # a timeout must lie after the watermark
-                state.setTimeoutTimestamp(max((newest + ttl_us) // 1000, state.getCurrentWatermarkMs() + 1))
+                last = np.searchsorted(kept[0], kept[0], side="right") - 1
+                first_over = int(kept[1][last].min() + ttl_us) // 1000
+                state.setTimeoutTimestamp(max(first_over, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
     return update
 
 
@@ -136,7 +158,8 @@ def start_attribution(spark: SparkSession, source_dir: str, sink_dir: str, check
     base = F.timestamp_seconds(F.lit(0))
     late = spark.range(1).select(F.unix_micros(base + F.expr(f"INTERVAL {lateness}"))).first()[0]
     fn = _make_update(late, None if ttl_days is None else ttl_days * 86400 * US)
-    attributed = rows.groupBy("target_id").applyInPandasWithState(
+    rows = rows.where("target_id is not null").withColumn("bucket", F.pmod(F.xxhash64("target_id"), F.lit(BUCKETS)))
+    attributed = rows.groupBy("bucket").applyInPandasWithState(
         fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout if ttl_days is None else GroupStateTimeout.EventTimeTimeout)
     writer = (attributed.writeStream.format("parquet").option("path", sink_dir)

@@ -218,3 +218,38 @@ def test_stream_state_carries_across_micro_batches(spark):
     assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == len(files)
     got = {r.hit_id: r.delivery_id for r in spark.read.parquet(f"{run}/out").collect()}
     assert got == {101: 1, 102: 2, 103: 1, 104: 2, 106: 3, 107: 2}
+
+
+def test_stream_state_is_one_row_per_bucket(spark):
+    """A micro-batch called Python once per target; now at most once per bucket (stream_attribution)."""
+    n = stream_attr.BUCKETS + 500
+    at = "timestamp'2024-01-01 00:00:00'"
+    rows = spark.range(n).select(F.col("id").alias("target_id"), F.lit(0).alias("kind"), F.expr(at).alias("ts"), "id",
+                                 F.lit(1).cast("long").alias("campaign_id"), F.lit(2).cast("long").alias("template_id"),
+                                 F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("uid"))
+    hits = rows.select("target_id", F.lit(1).alias("kind"), F.expr(f"{at} + INTERVAL 1 MINUTE").alias("ts"), (F.col("id") + n).alias("id"),
+                       F.lit(None).cast("long").alias("campaign_id"), F.lit(None).cast("long").alias("template_id"),
+                       F.lit("clicked").alias("event_type"), F.lit("u").alias("uid"))
+    run = stream_attr.run_folder(spark, "bucket-test")
+    rows.unionByName(hits).write.parquet(f"{run}/in")
+    q = stream_attr.start_attribution(spark, f"{run}/in", f"{run}/out", f"{run}/chk")
+    q.awaitTermination()
+    out = spark.read.schema(stream_attr.OUTPUT_SCHEMA).parquet(f"{run}/out")
+    assert out.where("delivery_id = target_id and hit_id = target_id + %d" % n).count() == out.count() == n
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= stream_attr.BUCKETS
+
+
+def test_frozen_split_is_built_once_and_narrow(spark):
+    """The passes of the split and the fit read frozen narrow rows, not the joined events (boosted_terms)."""
+    from lureline.plans import registry_models as rm
+    rows = spark.createDataFrame(
+        [("a" if i % 2 else "b", 1, i, 1, 1, 1, 0, 0, 0, "18-24", "F", "T", int(i % 3 == 0), "wide") for i in range(40)],
+        "source string, campaign_id long, target_id long, template_id long, segment_id long, signal_urgency int, "
+        "signal_authority int, signal_reward int, signal_personalization int, age_bracket string, gender string, "
+        "education string, clicked_flag int, template_subject string")
+    joined = rows.join(spark.range(1, 2).withColumnRenamed("id", "campaign_id"), "campaign_id")
+    split = rm._frozen_split(joined)
+    assert split.columns == [*rm.MODEL_COLUMNS, "split"]
+    assert "Join" not in split._jdf.queryExecution().optimizedPlan().toString()
+    want = models.stratified_split(joined, keys=rm.SPLIT_KEYS).select(*split.columns)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, want.collect()))
