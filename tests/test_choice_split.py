@@ -80,3 +80,19 @@ def test_references_decode_as_html_defines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.d for r in df.select("i", decode_entities(F.col("t")).alias("d")).collect()}
     assert got == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+
+
+def test_training_table_holds_both_sources(spark):
+    """The training rows had lost the synthetic population (stratified_split and what follows it, mixed_cells)."""
+    from lureline.plans import registry_models as rm
+    from lureline.plans import registry
+    seen = {}
+    keep = rm.q_combined_dataset
+    rm.q_combined_dataset = lambda s, sf: seen.setdefault(
+        sf, s.createDataFrame([("observed", 1, "N/A"), ("synthetic", 2, "F")], "source string, campaign_id long, gender string"))
+    try:
+        got = sorted(tuple(r) for r in rm._combined(spark, "rows").collect())
+    finally:
+        rm.q_combined_dataset = keep
+    assert keep is registry.q_combined_dataset
+    assert got == [("observed", 1, None), ("synthetic", 2, "F")]
