@@ -29,6 +29,7 @@ from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUM
 from lureline.functions.expressions import na_to_null
 from lureline.operators import evaluation, models
 from lureline.plans.registry import _fact, q_combined_dataset, register
+from lureline.session import ensure_checkpoint_dir
 
 SPLIT_KEYS = ("source", "campaign_id", "target_id")
 
@@ -85,9 +86,20 @@ def q_impute_mode(spark, sf):
     return filled.select(*SPLIT_KEYS, *cols)
 
 
+#: What a fit and the scored rows take from the training table.
+MODEL_COLUMNS = (*SPLIT_KEYS, "template_id", "segment_id", *SIGNAL_COLUMNS, *DEMOGRAPHIC_COLUMNS, TARGET_COLUMN)
+
+
+def _frozen_split(rows):
+    """The split of the training table's narrow rows, which are built once (reliable checkpoint): the
+    split takes several passes, and none of them joins and counts the events again."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return models.stratified_split(rows.select(*MODEL_COLUMNS).checkpoint(eager=True), keys=SPLIT_KEYS)
+
+
 def _train_test(spark, sf):
     # freeze the prepared table once (reliable checkpoint): every fit pass reads it, not the lineage
-    df = models._prepare(_split(spark, sf)).checkpoint(eager=True)
+    df = models._prepare(_frozen_split(_combined(spark, sf))).checkpoint(eager=True)
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
     n_train, _ = models.check_trainable(train, min_rows=10)
     w = models.class_weights(train)
@@ -135,7 +147,7 @@ def _boost_train(spark, sf):
 
 def _boost(spark, sf):
     """M9 on the observed rows: ``(model, test rows)``."""
-    data = facts_ops.clean_dataset(_boost_split(spark, sf)).checkpoint(eager=True)
+    data = facts_ops.clean_dataset(_frozen_split(_observed(spark, sf))).checkpoint(eager=True)
     train, test = data.where("split = 'train'"), data.where("split = 'test'")
     models.check_trainable(train, min_rows=10)
     return boosting.fit(train, SIGNAL_COLUMNS, DEMOGRAPHIC_COLUMNS, params=BOOST), test
