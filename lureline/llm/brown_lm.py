@@ -34,13 +34,15 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lureline.llm.common import crc_mod5, scratch
+from lureline.llm.common import crc_mod5, drop_scratch, scratch
 
 END = b"\n"  # cannot be a word
 _cached: dict = {}
@@ -105,75 +107,109 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Units:
-    """Word -> class, or ``classes`` + its place in ``words`` where the word stands there."""
+class Codes(dict):
+    """Word -> ``items.count`` + its place in ``words``, or the number of its item."""
 
-    def __init__(self, items: Items, label: np.ndarray, words: list[bytes], codes):
-        self.items, self.label = items, label.tolist()
-        self.known = dict(zip(words, codes))
+    def __init__(self, items: Items, words: list[bytes]):
+        super().__init__(zip(words, range(items.count, items.count + len(words))))
+        self.update(zip(items.own, range(len(items.own))))
+        self.base, self.groups = len(items.own), items.groups
 
-    def __call__(self, word: bytes) -> int:
-        code = self.known.get(word)
-        return self.label[self.items(word)] if code is None else code
+    def __missing__(self, word: bytes) -> int:
+        return self.base + zlib.crc32(word[-3:]) % self.groups
+
+
+def encode_texts(texts: DataFrame, items: Items, words: list[bytes]) -> DataFrame:
+    """``codes``: the tokens of each text as numbers by :class:`Codes`; the last one is the end mark's.
+
+    The one reading of the texts that looks words up; what is counted afterwards is counted from it.
+    """
+    shared, key = texts.sparkSession.sparkContext.broadcast((items.own, items.groups, words)), uuid.uuid4().hex
+
+    def load():
+        own, groups, listed = shared.value
+        return Codes(Items(own, groups), listed)
+
+    def flush(stream, ends):
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(np.array(stream, np.int32)))], names=["codes"])
+
+    def run(batches):
+        codes = _shared(key, load)
+        code, end = codes.__getitem__, codes[END]
+        for batch in batches:
+            stream, ends = [], [0]
+            for text in batch.column(0).to_pylist():
+                stream.extend(map(code, tokens(text)))
+                stream.append(end)
+                ends.append(len(stream))
+                if len(stream) > 1 << 20:
+                    yield flush(stream, ends)
+                    stream, ends = [], [0]
+            if stream:
+                yield flush(stream, ends)
+
+    return texts.mapInArrow(run, "codes array<int>")
+
+
+def _encoded(texts: DataFrame, items: Items, words: list[bytes]) -> DataFrame:
+    """Texts that are encoded already are taken as they are."""
+    return texts if texts.columns == ["codes"] and isinstance(texts.schema["codes"].dataType, T.ArrayType) \
+        else encode_texts(texts, items, words)
 
 
-def _streams(batches, code):
-    """Codes of the tokens, about a million at a time; each array begins and ends with an end mark."""
-    end = code(END)
+def _places(items: Items, words: list[bytes]) -> np.ndarray:
+    """Item of every code."""
+    return np.concatenate([np.arange(items.count), np.array([items(w) for w in words], np.int64)])
+
+
+def _streams(batches, size: int = 1 << 20):
+    """Codes of at most ``size`` tokens at a time, each time with the one before them in front."""
     for batch in batches:
-        stream = [end]
-        for text in batch.column(0).to_pylist():
-            stream.extend(map(code, tokens(text)))
-            stream.append(end)
-            if len(stream) > 1 << 20:
-                yield np.array(stream, np.int64)
-                stream = [end]
-        yield np.array(stream, np.int64)
+        flat = batch.column(0).flatten().to_numpy()
+        line = np.concatenate([flat[-1:], flat])  # the last code is an end mark
+        for lo in range(0, len(flat), size):
+            yield line[lo:lo + size + 1]
 
 
-def count_bigrams(texts: DataFrame, size: int, make, state) -> np.ndarray:
-    """Bigram counts of codes below ``size``, predecessor by row; ``make(*state)`` gives word -> code."""
-    shared, key = texts.sparkSession.sparkContext.broadcast(state), uuid.uuid4().hex
+def count_bigrams(codes: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """Bigram counts of ``of[code]``, which is below ``size``; predecessor by row."""
+    shared = codes.sparkSession.sparkContext.broadcast(of)
 
     def run(batches):
-        table = np.zeros(size * size, np.int64)
-        for at in _streams(batches, _shared(key, lambda: make(*shared.value))):
+        table, number = np.zeros(size * size, np.int64), shared.value
+        for line in _streams(batches):
+            at = number[line]
             table += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         hit = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(hit), "n": pa.array(table[hit])})
 
-    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = codes.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size ** 2)
     table[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
     return table.reshape(size, size)
 
 
-def count_item_bigrams(texts: DataFrame, items: Items) -> np.ndarray:
-    """Bigram counts of items (bounded: items squared)."""
-    return count_bigrams(texts, items.count, Items, (items.own, items.groups))
-
-
 def count_contexts(texts: DataFrame, items: Items, label: np.ndarray, words: list[bytes], classes: int) -> DataFrame:
-    """``word`` (place in ``words``), ``side`` (class that follows, or ``classes`` + class before), ``n``."""
-    spark, key = texts.sparkSession, uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast((items.own, items.groups, label, words))
+    """``word`` (place in ``words``), ``side`` (class that follows, or ``classes`` + class before), ``n``.
 
-    def load():
-        own, groups, of, listed = shared.value
-        item = Items(own, groups)
-        seed = np.array([of[item(w)] for w in listed], np.int64)
-        return Units(item, of, listed, range(classes, classes + len(listed))), np.concatenate([np.arange(classes), seed])
+    ``texts``: texts, or their codes by :func:`encode_texts` with the same ``words``."""
+    shared = texts.sparkSession.sparkContext.broadcast(label[_places(items, words)])
+    first, width = items.count, 2 * classes
 
     def run(batches):
-        unit, seed = _shared(key, load)
-        for at in _streams(batches, unit):
-            cls, here = seed[at], np.flatnonzero(at >= classes)
-            first = (at[here] - classes) * (2 * classes)
-            pair, n = np.unique(np.concatenate([first + cls[here + 1], first + classes + cls[here - 1]]), return_counts=True)
+        seed = shared.value
+        for line in _streams(batches):
+            cls, word = seed[line], line.astype(np.int64) - first
+            here = np.flatnonzero(word >= 0)
+            after, before = here[here < len(line) - 1], here[here > 0]
+            pair, n = np.unique(np.concatenate([word[after] * width + cls[after + 1],
+                                                word[before] * width + classes + cls[before - 1]]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(n.astype(np.int64))})
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).select(
-        F.floor(F.col("pair") / (2 * classes)).alias("word"), (F.col("pair") % (2 * classes)).alias("side"), "n")
+    return _encoded(texts, items, words).mapInArrow(run, "pair long, n long") \
+        .groupBy("pair").agg(F.sum("n").alias("n")).select(
+        F.floor(F.col("pair") / width).alias("word"), (F.col("pair") % width).alias("side"), "n")
 
 
 def best_classes(joint: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -197,7 +233,9 @@ def best_classes(joint: np.ndarray, old: np.ndarray, right: np.ndarray, left: np
 
 
 def place_words(texts: DataFrame, items: Items, label: np.ndarray, joint: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Class of every word of ``words`` by its own neighbours (at most ``len(words)`` rows come back)."""
+    """Class of every word of ``words`` by its own neighbours (at most ``len(words)`` rows come back).
+
+    ``texts``: texts, or their codes by :func:`encode_texts` with the same ``words``."""
     classes = len(joint)
     old = np.array([label[items(w)] for w in words], np.int64)
     contexts = count_contexts(texts, items, label, words, classes).groupBy("word").agg(
@@ -292,11 +330,13 @@ class BrownModel:
 
         def classify(batches):
             own, groups, labels, words, cls = shared.value
-            unit = _shared(key, lambda: Units(Items(own, groups), labels, words, cls))
+            codes = _shared(key, lambda: Codes(Items(own, groups), words))
+            of = np.concatenate([labels, cls]).astype(np.int32)
             for batch in batches:
-                cls = np.fromiter(map(unit, batch.column("word").cast(pa.binary()).to_pylist()), np.int64, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"),
-                                                  pa.array(cls.astype(np.int32))], names=["word", "c", "cls"])
+                code = map(codes.__getitem__, batch.column("word").cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("word"), batch.column("c"), pa.array(of[np.fromiter(code, np.int64, batch.num_rows)])],
+                    names=["word", "c", "cls"])
 
         self.vocabulary = scratch(vocabulary.mapInArrow(classify, "word string, c long, cls int"), "vocabulary")
         per_class = self.vocabulary.groupBy("cls").agg(
@@ -326,11 +366,12 @@ class BrownModel:
             counts = np.asarray(counts, float)
             cls = np.asarray(cls, np.int64)
             return ({w: i for i, w in enumerate(words)}, cls, np.log10(counts + 0.5) - denominator,
-                    np.log10(np.maximum(counts - discount, 1e-12)) - total[cls], Items(own, groups), label, transition)
+                    np.log10(np.maximum(counts - discount, 1e-12)) - total[cls], Items(own, groups),
+                    label.tolist(), transition)
 
         def run(batches):
             head, cls, base, emit, item, label, transition = _shared(key, load)
-            end_class, end_at = int(label[item(END)]), head.get(END)
+            end_class, place = int(label[item(END)]), head.get
             for batch in batches:
                 out_rid, out_word, out_cls, out_n = [], [], [], []
                 summary = {k: [] for k in ("id", "tokens", "known", "base", "score")}
@@ -338,24 +379,25 @@ class BrownModel:
                 for rid, doc_id, text in zip(rids, batch.column("_id").to_pylist(), batch.column("text").to_pylist()):
                     words = tokens(text)
                     words.append(END)
-                    at = np.fromiter((head.get(w, -1) for w in words), np.int64, len(words))
+                    at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
                     seen = at >= 0
                     of = np.empty(len(words) + 1, np.int64)
                     of[0] = end_class
                     of[1:][seen] = cls[at[seen]]
-                    rare = [words[i] for i in np.flatnonzero(~seen)]
-                    of[1:][~seen] = [label[item(w)] for w in rare]
+                    rare = [words[i] for i in np.flatnonzero(~seen).tolist()]
+                    rare_cls = [label[item(w)] for w in rare]
+                    of[1:][~seen] = rare_cls
                     known = at[seen]
                     summary["id"].append(doc_id)
                     summary["tokens"].append(len(words))
                     summary["known"].append(len(known))
                     summary["base"].append(float(base[known].sum()))
                     summary["score"].append(float(transition[of[:-1], of[1:]].sum() + emit[known].sum()))
-                    for word, n in Counter(rare).items():
-                        out_rid.append(rid)
-                        out_word.append(word)
-                        out_cls.append(int(label[item(word)]))
-                        out_n.append(n)
+                    times = Counter(rare)
+                    out_rid.extend(repeat(rid, len(times)))
+                    out_word.extend(times)
+                    out_cls.extend(dict(zip(rare, rare_cls)).values())  # in the same order
+                    out_n.extend(times.values())
                 k = len(rids)
                 doc = pa.StructArray.from_arrays(
                     [pa.array(summary["id"], batch.schema.field("_id").type), pa.array(summary["tokens"], pa.int64()),
@@ -410,21 +452,22 @@ def fit(texts: DataFrame, text_col: str = "text", classes: int = 64, own_items:
     vocabulary = scratch(count_words(column), "words")
     top = vocabulary.filter(F.col("word") != END.decode()).orderBy(F.col("c").desc(), "word").limit(own_items - 1).collect()
     items = Items([END, *[r.word.encode("utf-8") for r in top]], group_items)
-    bigrams = count_item_bigrams(column, items)
-    label = exchange(bigrams, classes)
-    member = np.zeros((items.count, classes))
-    member[np.arange(items.count), label] = 1.0
-    joint = member.T @ bigrams @ member
     threshold, words, cls = head_threshold(vocabulary, head_words), [], np.empty(0, np.int64)
     if own_count and threshold:
         head = vocabulary.filter(F.col("c") >= max(threshold, own_count)).select("word").toArrow()
         own = set(items.own)
         words = [w for w in head.column("word").cast(pa.binary()).to_pylist() if w not in own]
+    codes = scratch(encode_texts(column, items, words), "codes")
+    bigrams = count_bigrams(codes, _places(items, words), items.count)
+    label = exchange(bigrams, classes)
+    member = np.zeros((items.count, classes))
+    member[np.arange(items.count), label] = 1.0
+    joint = member.T @ bigrams @ member
     if words:
-        cls = place_words(column, items, label, joint, words)
-        state = (items.own, items.groups, label, words, cls.tolist())
-        joint = count_bigrams(column, classes, lambda o, g, l, w, c: Units(Items(o, g), l, w, c), state)
-    return BrownModel(vocabulary, items, label, joint, threshold, (words, cls.tolist()))
+        cls = place_words(codes, items, label, joint, words)
+        joint = count_bigrams(codes, np.concatenate([label, cls]), classes)
+    drop_scratch(codes)
+    return BrownModel(vocabulary, items, label, joint, threshold, (words, cls))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -112,6 +112,28 @@ def test_brown_without_training_text(spark):
     assert sorted(r.n_tokens for r in row) == [1, 3] and all(math.isfinite(r.score) for r in row)
 
 
+def test_brown_fit_reads_every_text_twice(spark, two_tongues):
+    """Once to count the words, once to encode them; items, contexts and classes are counted from the codes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = frame(spark, two_tongues)
+    model = brown_lm.fit(docs.mapInArrow(counted, docs.schema), classes=4, own_items=12, group_items=3)
+    assert model.words == 41 and seen.value == 2 * len(two_tongues)
+
+
+def test_brown_codes_are_items_and_listed_words(spark):
+    texts = [None, "", "b a B zz", "a", "a zz " * 300_000]
+    items, words = brown_lm.Items([brown_lm.END, b"a"], 3), [b"b"]
+    rows = brown_lm.encode_texts(frame(spark, [(t,) for t in texts], "text string").coalesce(1), items, words).collect()
+    number = lambda w: items.count if w == b"b" else items(w)
+    assert [r.codes for r in rows] == [[*map(number, brown_lm.tokens(t)), 0] for t in texts]
+
+
 def test_exchange_separates_contexts():
     table = np.zeros((6, 6))
     for i in range(6):
