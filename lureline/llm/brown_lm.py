@@ -9,8 +9,10 @@ what precedes the first word. The model's probability of a token after its prede
    with the corpus and stays in the shared folder.
 2. Every word belongs to an *item*: the ``own_items`` most frequent words (and the end mark) are
    items of their own, all others share one of ``group_items`` items by their last characters. So
-   rare and unseen words have an item as well. Bigrams of items over the whole training text are
-   counted; this table is bounded by the number of items, not by the corpus.
+   rare and unseen words have an item as well. Every training text is written once as the numbers
+   of its tokens (a word that step 4 places, or an item); this and all later counts read these.
+   Bigrams of items over the whole training text are counted; this table is bounded by the number
+   of items, not by the corpus.
 3. Exchange clustering moves items between ``classes`` classes, each to where the likelihood of
    the class bigrams grows most, until few move.
 4. Then the vocabulary, which grows with the corpus, is placed: every other word seen at least
