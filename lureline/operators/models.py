@@ -7,6 +7,9 @@ pipelines are Spark ML ``PipelineModel``s that persist with ``write().save``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression,
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lureline.constants import DEMOGRAPHIC_COLUMNS, SIGNAL_COLUMNS, TARGET_COLUMN
 from lureline.functions.expressions import keyed_uniform, sigmoid
+from lureline.operators import gbt
 from lureline.operators.quantiles import after, key_order, order_statistics, rows_at_ranks
 
 KEYS = ("source", "campaign_id", "target_id")
@@ -152,13 +156,18 @@ def gbt_pipeline(max_iter: int = 500, seed: int = 42) -> Pipeline:
     """M9: gradient-boosted trees: rate 0.05, depth 4, min rows per node 2, row and feature
     sampling 0.8 (Spark GBT has no leaf L1/L2 penalties)."""
     stages, features, _ = feature_stages()
-    gbt = GBTClassifier(featuresCol=features, labelCol=TARGET_COLUMN, weightCol="weight",
-                        maxIter=max_iter, stepSize=0.05, maxDepth=4, minInstancesPerNode=2,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-    return Pipeline(stages=stages + [gbt])
+    trees = GBTClassifier(featuresCol=features, labelCol=TARGET_COLUMN, weightCol="weight",
+                          maxIter=max_iter, stepSize=0.05, maxDepth=4, minInstancesPerNode=2,
+                          subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    return Pipeline(stages=stages + [trees])
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Boosted trees are fitted from counts of equal rows (``gbt``), all else by the pipeline itself."""
+    *before, last = pipeline.getStages()
+    if isinstance(last, GBTClassifier):
+        front = Pipeline(stages=before).fit(train)
+        return PipelineModel([*front.stages, gbt.fit(last, front, train, [*SIGNAL_COLUMNS, *DEMOGRAPHIC_COLUMNS])])
     return without_summaries(pipeline.fit(train))
 
 
@@ -230,15 +239,20 @@ def score(model: PipelineModel, df: DataFrame, context=("source", "campaign_id",
     The fitted pipeline becomes one expression over the raw columns: no vectors, no object
     functions, so the scan, the scoring and what follows are one generated stage. Hundreds of
     boosted trees are too deep and too long for one expression; there the model itself, which goes
-    to the tasks as one broadcast, scores the rows.
+    to the tasks as one broadcast, scores the distinct rows of the features, and each row takes its
+    probability from there.
     """
     ctx = [c for c in context if c in df.columns]
-    boosted = hasattr(model.stages[-1], "treeWeights")
-    p = vector_to_array("probability")[1] if boosted else probability(model)
-    if boosted:
-        needed = dict.fromkeys([*ctx, TARGET_COLUMN, *SIGNAL_COLUMNS, *DEMOGRAPHIC_COLUMNS])
-        rows = df.select(*[F.col(c).cast("double").alias(c) if c in SIGNAL_COLUMNS else F.col(c) for c in needed])
-        df = _lenient(model).transform(rows)
+    if hasattr(model.stages[-1], "treeWeights"):
+        used = [*SIGNAL_COLUMNS, *DEMOGRAPHIC_COLUMNS]
+        rows = df.select(*dict.fromkeys([*ctx, TARGET_COLUMN, *DEMOGRAPHIC_COLUMNS]),
+                         *[F.col(c).cast("double").alias(c) for c in SIGNAL_COLUMNS])
+        scored = _lenient(model).transform(rows.select(*used).distinct()).select(
+            *[F.col(c).alias(f"_{c}") for c in used], vector_to_array("probability")[1].alias("_p"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in used]
+        df, p = rows.join(scored, reduce(and_, same)), F.col("_p")
+    else:
+        p = probability(model)
     out = df.select(*ctx, F.col(TARGET_COLUMN).cast("int").alias("y"), p.alias("p"))
     return out.select(*ctx, "y", (F.col("p") > 0.5).cast("int").alias("predicted_class"), "p")
 
