@@ -3,8 +3,9 @@
 Every feature is a small bin number: a 0/1 indicator per categorical level, or the position of a
 number among its cut points. Rows with equal bins share every margin, so the table that the rounds
 work on has one row per distinct combination of bins (a *cell*) with the sampled positives and
-negatives of each tree; it is counted from the rows once per ``block`` of trees. A level of a tree
-is one job:
+negatives of each tree. Where the cells of all trees fit in memory they are counted from the rows in one
+pass (``draws``) and the trees are grown on the driver; else they are counted once per ``block`` of
+trees and a level of a tree is one job. Either way:
 
 * a CASE over the tree so far gives each cell's node, its margin the gradient and hessian
   ``g = w * (p - y)``, ``h = w * p * (1 - p)`` (``w`` is ``scale_pos_weight`` for positives);
@@ -17,22 +18,27 @@ is one job:
 
 A leaf adds ``-rate * T(G) / (H + lambda)``. Rows (per tree, by a keyed hash of the row's keys) and
 features (per tree, by a keyed hash of the name) are sampled, so a fit does not depend on
-partitioning. Scoring is one expression of built-in functions over the raw columns.
+partitioning. Scoring walks the trees once per distinct combination of bins in a task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lureline.functions.expressions import keyed_uniform, sigmoid
+from lureline.operators import draws
 from lureline.session import ensure_checkpoint_dir
 
 EPS = 1e-6  # least gain of a split
+KNOWN = 100_000  # combinations of bins whose margin a scoring task keeps
 
 
 @dataclass(frozen=True)
@@ -87,6 +93,19 @@ class Tree:
     def value(self, bins: list[Column]) -> Column:
         return self.walk(bins, lambda k: F.lit(self.leaves.get(k, 0.0)))
 
+    def places(self, bins: np.ndarray) -> np.ndarray:
+        """The node of each row of ``bins`` (row, feature)."""
+        node = np.zeros(len(bins), np.int64)
+        for k in sorted(self.splits):  # parents first
+            feature, last, _ = self.splits[k]
+            at = np.flatnonzero(node == k)
+            node[at] = np.where(bins[at, feature] <= last, 2 * k + 1, 2 * k + 2)
+        return node
+
+    def values(self, bins: np.ndarray) -> np.ndarray:
+        found, at = np.unique(self.places(bins), return_inverse=True)
+        return np.array([self.leaves.get(int(k), 0.0) for k in found])[at]
+
 
 def find_features(df: DataFrame, numbers, levels, params: BoostParams = BoostParams()) -> list[Feature]:
     """Cut points of the number columns and the levels of the categorical ones, as seen in ``df``."""
@@ -161,14 +180,14 @@ def histograms(cells: DataFrame, tree: Tree, nodes: list[int], margin: Column, s
         .agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
-def grow(cells: DataFrame, margin: Column, scale: float, chosen: list[int], features: list[Feature],
-         pos: str, neg: str, params: BoostParams) -> Tree:
-    """One tree, level by level."""
+def grow(read, params: BoostParams) -> Tree:
+    """One tree, level by level; ``read(tree, nodes)`` gives ``(node, feature, bin, g, h)`` of the nodes'
+    non-empty bins."""
     tree, open_nodes = Tree(), [0]
     for level in range(params.depth + 1):
         found: dict[int, dict[int, list]] = {k: {} for k in open_nodes}
-        for r in histograms(cells, tree, open_nodes, margin, scale, chosen, features, pos, neg).collect():
-            found[r.node].setdefault(r.feature, []).append((r.bin, r.g, r.h))
+        for node, feature, number, g, h in read(tree, open_nodes):
+            found[node].setdefault(feature, []).append((number, g, h))
         following = []
         for node in open_nodes:
             if not found[node]:
@@ -187,11 +206,14 @@ def grow(cells: DataFrame, margin: Column, scale: float, chosen: list[int], feat
     return tree
 
 
+def bin_columns(features: list[Feature]) -> list[Column]:
+    return [f.bin().cast("tinyint").alias(f"f{i}") for i, f in enumerate(features)]
+
+
 def count_cells(df: DataFrame, features: list[Feature], label: str, trees: range, keys, params: BoostParams) -> DataFrame:
     """``f0.., pos_t, neg_t`` per combination of bins: sampled rows of each tree in ``trees``."""
-    bins = [f.bin().cast("tinyint").alias(f"f{i}") for i, f in enumerate(features)]
     rows = df.where(F.col(label).isNotNull()).select(
-        *bins, (F.col(label) == 1).alias("_y"), *[in_sample(t, keys, params).alias(f"_s{t}") for t in trees])
+        *bin_columns(features), (F.col(label) == 1).alias("_y"), *[in_sample(t, keys, params).alias(f"_s{t}") for t in trees])
     return rows.groupBy(*[f"f{i}" for i in range(len(features))]).agg(
         *[F.count_if(F.col("_y") & F.col(f"_s{t}")).alias(f"pos_{t}") for t in trees],
         *[F.count_if(~F.col("_y") & F.col(f"_s{t}")).alias(f"neg_{t}") for t in trees])
@@ -207,15 +229,30 @@ class BoostedTrees:
             "source", "campaign_id", "target_id", "template_id", "segment_id")) -> DataFrame:
         """Class and positive-class probability per row, with the context columns present."""
         kept = [c for c in context if c in df.columns]
-        names = [f"_b{i}" for i in range(len(self.features))]
-        binned = df.select(*kept, F.col(label).cast("int").alias("y"),
-                           *[f.bin().alias(n) for f, n in zip(self.features, names)])
-        bins, margin = [F.col(n) for n in names], F.lit(0.0)
-        for tree in self.trees:
-            margin = margin + tree.value(bins)
-        return binned.select(*kept, "y", sigmoid(margin).alias("p")).select(
+        bins = F.struct(*[f.bin().cast("int").alias(f"f{i}") for i, f in enumerate(self.features)])
+        binned = df.select(*kept, F.col(label).cast("int").alias("y"), self.margin(bins).alias("_m"))
+        return binned.select(*kept, "y", sigmoid(F.col("_m")).alias("p")).select(
             *kept, "y", (F.col("p") >= 0.5).cast("int").alias("predicted_class"), "p")
 
+    def margin(self, bins: Column) -> Column:
+        """The sum of the trees' values for a struct of bins (hundreds of trees are too deep for an expression)."""
+        trees = self.trees
+
+        @F.pandas_udf("double")
+        def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            known: dict[bytes, float] = {}
+            for batch in batches:
+                rows, at = np.unique(batch.to_numpy(np.int32), axis=0, return_inverse=True)
+                if len(known) > KNOWN:
+                    known.clear()
+                new = [r for r in rows if r.tobytes() not in known]
+                if new:
+                    found = np.stack(new)
+                    total = sum((tree.values(found) for tree in trees), np.zeros(len(new)))
+                    known.update((r.tobytes(), m) for r, m in zip(new, total))
+                yield pd.Series(np.array([known[r.tobytes()] for r in rows])[at])
+        return margins(bins)
+
     def importances(self, spark: SparkSession) -> DataFrame:
         """Total gain per feature."""
         gain = [0.0] * len(self.features)
@@ -264,8 +301,12 @@ def fit(train: DataFrame, numbers, levels, label: str = "clicked_flag",
     if not features:
         raise ValueError("no features")
     scale = scale_pos_weight(train, label) if scale is None else scale
-    bins = [F.col(f"f{i}") for i in range(len(features))]
     names = [f"f{i}" for i in range(len(features))]
+    rows = train.where(F.col(label).isNotNull()).select(
+        *bin_columns(features), (F.col(label) == 1).alias("_y"), draws.KeyedDraws.text(keys).alias("_text"))
+    if draws.fits_in_memory(rows, [*names, "_y"], params.rounds):
+        return BoostedTrees(features, _fit_in_memory(rows, features, scale, params), scale)
+    bins = [F.col(n) for n in names]
     trees: list[Tree] = []
     margins = None
     for first in range(0, params.rounds, params.block):
@@ -275,14 +316,56 @@ def fit(train: DataFrame, numbers, levels, label: str = "clicked_flag",
         cells = cells.checkpoint(eager=True)
         margin = F.col("margin")
         for t in block:
-            tree = grow(cells, margin, scale, sampled_features(features, t, params), features,
-                        f"pos_{t}", f"neg_{t}", params)
+            chosen = sampled_features(features, t, params)
+
+            def read(tree, nodes):
+                found = histograms(cells, tree, nodes, margin, scale, chosen, features, f"pos_{t}", f"neg_{t}")
+                return [(r.node, r.feature, r.bin, r.g, r.h) for r in found.collect()]
+            tree = grow(read, params)
             trees.append(tree)
             margin = margin + tree.value(bins)
         margins = cells.select(*names, margin.alias("margin"))
     return BoostedTrees(features, trees, scale)
 
 
+def _fit_in_memory(rows: DataFrame, features: list[Feature], scale: float, params: BoostParams) -> list[Tree]:
+    """The trees from the counts of all of them at once; ``rows`` have bins, ``_y`` and ``_text``."""
+    names = [f"f{i}" for i in range(len(features))]
+    keyed = draws.KeyedDraws(params.seed, params.row_share, params.rounds)
+    # the draws go by the keys, so the rows may be dealt out: they cost far more than their reading
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    table = draws.sampled_counts(dealt, [*names, "_y"], keyed, "_text").toArrow()
+    found = np.stack([table.column(n).to_numpy() for n in names], axis=1).astype(np.int64)
+    bins, cell = np.unique(found, axis=0, return_inverse=True)  # in order, so the order of the sums is given
+    counts = table.column("drawn").combine_chunks().flatten().to_numpy().reshape(-1, params.rounds)
+    clicked = np.array(table.column("_y").to_pylist(), bool)
+    pos, neg = (np.zeros((len(bins), params.rounds), np.int64) for _ in range(2))
+    pos[cell[clicked]], neg[cell[~clicked]] = counts[clicked], counts[~clicked]
+    sizes = bins.max(axis=0, initial=0) + 1
+    margin, trees = np.zeros(len(bins)), []
+    for t in range(params.rounds):
+        p = 1.0 / (1.0 + np.exp(-margin))
+        inside = np.flatnonzero(pos[:, t] + neg[:, t])
+        n_pos, n_neg, q = pos[inside, t], neg[inside, t], p[inside]
+        g = n_pos * scale * (q - 1.0) + n_neg * q
+        h = (n_pos * scale + n_neg) * q * (1.0 - q)
+        chosen = sampled_features(features, t, params)
+
+        def read(tree, nodes):
+            place = tree.places(bins[inside])
+            for node in nodes:
+                own = np.flatnonzero(place == node)
+                for f in chosen if len(own) else ():
+                    number = bins[inside[own], f]
+                    some = np.bincount(number, minlength=sizes[f])
+                    sums = [np.bincount(number, weights=x[own]) for x in (g, h)]
+                    yield from ((node, f, int(b), float(sums[0][b]), float(sums[1][b])) for b in np.flatnonzero(some))
+        tree = grow(read, params)
+        trees.append(tree)
+        margin = margin + tree.values(bins)
+    return trees
+
+
 def root_histogram(train: DataFrame, numbers, levels, label: str = "clicked_flag",
                    keys=("source", "campaign_id", "target_id"), params: BoostParams = BoostParams()) -> DataFrame:
     """``feature, bin, n, gradient, hessian`` of the first tree's root over all features."""

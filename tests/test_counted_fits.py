@@ -94,3 +94,42 @@ def test_counts_of_keyed_draws(spark):
     counted = draws.sampled_counts(df.withColumn("_t", draws.KeyedDraws.text(["k1", "k2"])), ["c", "y"], keyed, "_t")
     want = df.groupBy("c", "y").agg(F.array(*[F.count_if(keyed_uniform(f"7-rows-{t}", "k1", "k2") < 0.6) for t in range(13)]).alias("drawn"))
     assert sorted(map(str, counted.collect())) == sorted(map(str, want.collect())) and counted.count() == 4
+
+
+def test_registered_boosted_terms_take_all_rounds(spark, train, monkeypatch):
+    """boosted_terms ran 12 of the 500 rounds."""
+    from lureline.plans import registry_models as rm
+    ids = [F.col("target_id").alias(c) for c in ("campaign_id", "template_id", "segment_id")]
+    rows = train.select(F.when(F.col("target_id") % 2 == 0, "a").otherwise("b").alias("source"), "*", *ids)
+    monkeypatch.setattr(rm, "_observed", lambda s, sf: rows)
+    (model, test), jobs = jobs_of(spark, "boosted", lambda: rm._boost(spark, ""))
+    assert len(model.trees) == 500 and jobs < 60
+    assert all(t.leaves for t in model.trees) and len({tuple(sorted(t.splits.items())) for t in model.trees}) > 400
+    scores = model.score(test, context=("target_id",)).collect()
+    assert len(scores) == test.count() and all(0 < r.p < 1 for r in scores)
+    names, bins = [f.name for f in model.features], []
+    for r in test.select(*models.SIGNAL_COLUMNS, *models.DEMOGRAPHIC_COLUMNS).collect():
+        bins.append([int(r[f.column] > f.cuts[0]) if f.cuts else 0 if f.level is None else int(r[f.column] == f.level)
+                     for f in model.features])
+    margin = sum(t.values(np.array(bins)) for t in model.trees)
+    assert np.allclose(sorted(1 / (1 + np.exp(-margin))), sorted(r.p for r in scores))
+    terms = rm.q_boosted_terms(spark, "").collect()
+    gain = {n: sum(s[2] for t in model.trees for s in t.splits.values() if names[s[0]] == n) for n in names}
+    assert {r.feature: r.value for r in terms} == pytest.approx(gain)
+
+
+def test_boosting_by_jobs_and_in_memory_agree(spark, train, monkeypatch):
+    """Labels and keys that are null, rows that come twice."""
+    from lureline.operators import boosting
+    params = boosting.BoostParams(rounds=4, block=3, rate=0.3)
+    rows = train.withColumn("clicked_flag", F.when(F.col("target_id") % 31 != 0, F.col("clicked_flag"))) \
+        .withColumn("source", F.when(F.col("target_id") % 3 != 0, "s")).withColumn("campaign_id", F.col("target_id") % 7) \
+        .withColumn("age_bracket", F.when(F.col("target_id") % 11 != 0, F.col("age_bracket")))
+    fit = lambda: boosting.fit(rows, models.SIGNAL_COLUMNS, models.DEMOGRAPHIC_COLUMNS, params=params)
+    one = fit()
+    monkeypatch.setattr(draws, "MOST_COUNTS", 0)
+    two = fit()
+    for a, b in zip(one.trees, two.trees, strict=True):
+        assert {k: s[:2] for k, s in a.splits.items()} == {k: s[:2] for k, s in b.splits.items()}
+        assert a.leaves == pytest.approx(b.leaves)
+    assert sum(len(t.splits) for t in one.trees) > 20
