@@ -5,8 +5,9 @@ of a fit on flags and levels are few distinct ones, and the statistics of a node
 this fit counts the rows of each distinct (features, label, weight) that each tree draws
 (``draws.sampled_counts``, one pass) and grows the same trees from the counts: same row and feature draws,
 splits, minimum node size, pruning and learning rate as ``ml.tree.impl.GradientBoostedTrees``. Only the
-order of floating sums differs; gains are compared to twelve digits of the node's impurity, the feature drawn
-first wins a tie. Split points lie between all values seen (Spark looks at some 10,000 rows for them).
+order of floating sums differs, by which Spark decides between splits of equal gain; here gains are
+compared to twelve digits of the node's impurity and the feature drawn first wins a tie. Split points lie
+between all values seen (Spark looks at some 10,000 rows for them).
 
 What the counts do not cover is fitted by Spark itself: more distinct rows than memory holds, numbers with
 more values than bins, levels that are not one-hot, other losses, labels or weights that Spark rejects.
